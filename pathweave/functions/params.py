@@ -9,10 +9,15 @@ _FIELDS = {"int": "int_value", "string": "string_value",
 
 
 def event_param(key: str, kind: str = "int", params: str | Column = "event_params") -> Column:
-    """Value of the first parameter named ``key`` (first match wins on duplicate keys)."""
+    """Value of the first parameter named ``key`` (first match wins on duplicate keys).
+
+    ``array_position`` over the extracted key array plus a positional ``get`` on the
+    extracted value array: both are code-generated (no lambda), and the nested field
+    references let the Parquet reader prune ``event_params`` to the subfields used.
+    """
     arr = F.col(params) if isinstance(params, str) else params
-    hit = F.get(F.filter(arr, lambda p: p["key"] == F.lit(key)), 0)
-    return hit["value"][_FIELDS[kind]]
+    pos = F.array_position(arr.getField("key"), F.lit(key)).cast("int") - 1
+    return F.get(arr.getField("value").getField(_FIELDS[kind]), pos)
 
 
 def event_param_any(key: str, params: str | Column = "event_params") -> Column:

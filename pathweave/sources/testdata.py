@@ -91,9 +91,21 @@ def ga4_events(spark: SparkSession, sf_dir: str, product: str = "game",
 
 def raw_frame(src: DataFrame, product: str = "game") -> DataFrame:
     """Map synthetic rows (event_id, ts, user_id, event_type, value, props) to the export frame."""
+    if product not in ("web", "game"):
+        raise ValueError(f"unknown product {product!r}")
+    # Stage 1: parse props once and derive the per-row drivers as plain columns.  The
+    # one-element ``inline`` is a Generate node, which the optimizer does not collapse
+    # into the projection above it, so the JSON is parsed once per row instead of at
+    # every reference to ``k``.
+    k0 = F.get_json_object("props", "$.k").cast("int")
+    n0 = F.datediff(F.to_date("ts"), F.lit(FIRST_DAY).cast("date"))
+    names = _web_names if product == "web" else _game_names
+    pre = src.select("event_id", "ts", "user_id", "event_type", "value",
+                     F.inline(F.array(F.struct(k0.alias("_k"), n0.alias("_n")))))
+    pre = pre.select("*", F.inline(F.array(F.struct(
+        names(F.col("event_type"), F.col("_k")).alias("_name")))))
     uid, eid, t = F.col("user_id"), F.col("event_id"), F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("int")
-    n = F.datediff(F.to_date("ts"), F.lit(FIRST_DAY).cast("date"))
+    k, n, name = F.col("_k"), F.col("_n"), F.col("_name")
     span = F.lit(5) + uid % 11
     gen = F.floor((n + uid % 7) / span).cast("long")
     gen_start = F.greatest(F.lit(0), gen * span - uid % 7)
@@ -106,13 +118,11 @@ def raw_frame(src: DataFrame, product: str = "game") -> DataFrame:
         _param("engagement_time_msec", None, i=k * 1000 + 500),
     ]
     if product == "web":
-        name = _web_names(t, k)
         page = (F.when(k == 0, F.lit(SHOP_URL))
                 .when(k % 10 == 5, F.concat(F.lit(SHOP_URL + "/p/"), (k % 20).cast("string"), F.lit("#top")))
                 .otherwise(F.concat(F.lit(SHOP_URL + "/p/"), (k % 20).cast("string"), F.lit("?x=1"))))
         params = common + [_param("page_location", k != 1, s=page)]
-    elif product == "game":
-        name = _game_names(t, k)
+    else:
         level = (eid % 9 + 1)
         is_start = name == "level_start"
         term = name.isin("level_complete", "level_fail")
@@ -150,14 +160,12 @@ def raw_frame(src: DataFrame, product: str = "game") -> DataFrame:
             _param("retry_streak_number", name == "level_retry", i=k % 5),
             _param("ab_test", name == "custom_session_start", s=_pick(uid % 2, ["A", "B"])),
         ]
-    else:
-        raise ValueError(f"unknown product {product!r}")
 
     traffic = F.when(uid % 4 == 3, F.lit(None).cast("struct<source:string,medium:string,name:string>")).otherwise(
         F.struct(_pick(uid % 4, ["google", "(direct)", "news"]).alias("source"),
                  _pick(uid % 4, ["organic", "(none)", "email"]).alias("medium"),
                  _pick(uid % 4, ["brand", None, "spring"]).alias("name")))
-    return src.select(
+    return pre.select(
         F.date_format("ts", "yyyyMMdd").alias("event_date"),
         micros.alias("event_timestamp"),
         name.alias("event_name"),
