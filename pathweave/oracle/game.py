@@ -4,6 +4,8 @@ Attempt stitching here is the plain single-window form; the Spark side uses the
 two-level bucketed carry-forward, so this also checks that the two agree.
 """
 
+import re
+
 from pathweave.config import TESTDATA_PARAMS as P
 from pathweave.oracle.prefix import ev_cte
 from pathweave.oracle.web import W_END, day_part_sql, mode_cte, weekend_sql
@@ -151,9 +153,13 @@ ga AS (
 
 
 def game_journeys_cte(new: int = P.new_cutoff_days, churn: int = P.churn_cutoff_days) -> str:
-    end = W_END
     return f"""{game_attempts_cte()},
-gsr AS (
+{journeys_body(new, churn)}"""
+
+
+def journeys_body(new: int = P.new_cutoff_days, churn: int = P.churn_cutoff_days) -> str:
+    end = W_END
+    return f"""gsr AS (
   SELECT *,
     row_number() OVER (PARTITION BY user_pseudo_id ORDER BY start_us, session_id) AS r_asc,
     row_number() OVER (PARTITION BY user_pseudo_id ORDER BY start_us DESC, session_id DESC) AS r_desc
@@ -277,7 +283,11 @@ gj AS (
 
 def game_levels_cte() -> str:
     return f"""{game_journeys_cte()},
-lu AS (
+{levels_body()}"""
+
+
+def levels_body() -> str:
+    return f"""lu AS (
   SELECT level_id, user_pseudo_id, COUNT(*) FILTER (WHERE outcome = 'complete') AS user_completes,
     COUNT(*) FILTER (WHERE outcome = 'fail') AS user_fails, COUNT(*) AS user_attempts
   FROM ga GROUP BY level_id, user_pseudo_id
@@ -357,6 +367,23 @@ gl AS (
 )"""
 
 
+_RENAME = re.compile(r"\b(gsr|m_plat|m_cty|m_ver|m_tod|gsa|ret|gar|att|sc|sl|fsa|gj|gs|ga|lu|la|lua|lr|sic|tsi|gl)\b")
+
+
+def sliced_levels_cte(countries: list[str], app_versions: list[str]) -> str:
+    """Journeys and levels rebuilt from the sessions of the slice (CTE names get '_f')."""
+    conds = ["TRUE"]
+    if countries:
+        conds.append("country IN (" + ", ".join(f"'{c}'" for c in countries) + ")")
+    if app_versions:
+        conds.append("app_version IN (" + ", ".join(f"'{v}'" for v in app_versions) + ")")
+    body = _RENAME.sub(lambda m: m.group(1) + "_f", journeys_body() + ",\n" + levels_body())
+    return f"""{game_attempts_cte()},
+gs_f AS (SELECT * FROM gs WHERE {' AND '.join(conds)}),
+ga_f AS (SELECT * FROM ga WHERE session_id IN (SELECT session_id FROM gs_f)),
+{body}"""
+
+
 def r6(c: str) -> str:
     return f"round(CAST({c} AS DOUBLE), 6)"
 
@@ -412,4 +439,29 @@ SELECT user_pseudo_id, CAST(first_open_date AS VARCHAR) AS first_open_date FROM
     "level_attempts": f"WITH {game_attempts_cte()} SELECT {ATTEMPTS_OUT} FROM ga",
     "game_user_journeys": f"WITH {game_journeys_cte()} SELECT {JOURNEYS_OUT} FROM gj",
     "game_levels": f"WITH {game_levels_cte()} SELECT {LEVELS_OUT} FROM gl",
+    "filtered_slice": f"WITH {sliced_levels_cte(['US', 'DE'], [])} SELECT {LEVELS_OUT} FROM gl_f",
+    "filtered_slice_journeys": f"WITH {sliced_levels_cte(['US', 'BR'], ['1.0.0', '1.2.0'])} SELECT {JOURNEYS_OUT} FROM gj_f",
+    "event_attempt_qa": f"""WITH {game_attempts_cte()},
+att AS (
+  SELECT user_pseudo_id, ga_session_id, attempt_id, attempt_start_ts_us,
+    lead(attempt_start_ts_us) OVER (PARTITION BY user_pseudo_id, ga_session_id
+                                    ORDER BY attempt_start_ts_us, attempt_id) AS next_us
+  FROM ga
+)
+SELECT e.user_pseudo_id, e.event_date, e.event_timestamp, e.event_timestamp AS event_ts, e.event_name,
+  e.ga_session_id, e.user_first_touch_timestamp, a.attempt_id, e.platform, e.os_version, e.device_category,
+  e.app_version, e.app_bundle_id, e.country, e.src AS source, e.med AS medium, e.cmp AS campaign, e.event_id
+FROM ev e LEFT JOIN att a ON e.user_pseudo_id = a.user_pseudo_id AND e.ga_session_id = a.ga_session_id
+  AND e.event_timestamp >= a.attempt_start_ts_us AND (a.next_us IS NULL OR e.event_timestamp < a.next_us)
+WHERE e.user_pseudo_id IS NOT NULL""",
+    "next_start": f"""WITH {game_attempts_cte()}
+SELECT user_pseudo_id, ga_session_id, attempt_id, attempt_start_ts_us AS attempt_start_ts,
+  lead(attempt_start_ts_us) OVER (PARTITION BY user_pseudo_id, ga_session_id
+                                  ORDER BY attempt_start_ts_us, attempt_id) AS next_attempt_start_us
+FROM ga""",
+    "materialize_game": f"""WITH {game_levels_cte()}
+SELECT 'game_sessions' AS table_name, count(*) AS row_count FROM gs
+UNION ALL SELECT 'game_level_attempts', count(*) FROM ga
+UNION ALL SELECT 'game_user_journeys', count(*) FROM gj
+UNION ALL SELECT 'game_levels', count(*) FROM gl""",
 }

@@ -11,17 +11,27 @@ from pathweave.config import TESTDATA_PARAMS, JobParams
 from pathweave.operators import game as G
 from pathweave.operators import web as Wb
 from pathweave.sources.events import resolve_window, window_days, window_end_date
+from pathweave.sources.store import TableStore
 from pathweave.sources.testdata import ga4_events
 from pathweave.session import prepare
 
 
 class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str, params: JobParams = TESTDATA_PARAMS,
-                 window_request_days: int | None = None):
+                 window_request_days: int | None = None, materialize: bool = True):
         self.spark = prepare(spark)
         self.sf_dir = sf_dir
         self.base_params = params
         self.window_request_days = window_request_days or params.window_days
+        self.materialize = materialize
+
+    @cached_property
+    def store(self) -> TableStore:
+        return TableStore(self.spark, ("v1", self.sf_dir, self.base_params, self.window_request_days),
+                          (f"{self.sf_dir}/events.parquet",))
+
+    def _table(self, name: str, build) -> DataFrame:
+        return self.store.get(name, build) if self.materialize else build()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -49,29 +59,29 @@ class Ctx:
     # web
     @cached_property
     def web_sessions(self) -> DataFrame:
-        return Wb.web_sessions(self.raw_web, self.params)
+        return self._table("web_sessions", lambda: Wb.web_sessions(self.raw_web, self.params))
 
     @cached_property
     def web_journeys(self) -> DataFrame:
-        return Wb.web_user_journeys(self.web_sessions, self.w_end, self.params)
+        return self._table("web_journeys", lambda: Wb.web_user_journeys(self.web_sessions, self.w_end, self.params))
 
     # game
     @cached_property
     def game_sessions(self) -> DataFrame:
-        return G.game_sessions(self.raw_game, self.params)
+        return self._table("game_sessions", lambda: G.game_sessions(self.raw_game, self.params))
 
     @cached_property
     def ufo(self) -> DataFrame:
-        return G.user_first_open(self.raw_game)
+        return self._table("ufo", lambda: G.user_first_open(self.raw_game))
 
     @cached_property
     def attempts(self) -> DataFrame:
-        return G.level_attempts(self.raw_game, self.ufo, self.params)
+        return self._table("attempts", lambda: G.level_attempts(self.raw_game, self.ufo, self.params))
 
     @cached_property
     def game_journeys(self) -> DataFrame:
-        return G.game_user_journeys(self.game_sessions, self.attempts, self.ufo, self.w_end, self.params)
+        return self._table("game_journeys", lambda: G.game_user_journeys(self.game_sessions, self.attempts, self.ufo, self.w_end, self.params))
 
     @cached_property
     def game_levels(self) -> DataFrame:
-        return G.game_levels(self.attempts, self.game_journeys)
+        return self._table("game_levels", lambda: G.game_levels(self.attempts, self.game_journeys))

@@ -43,3 +43,34 @@ def game_user_journeys(c):
 @register("game_levels")
 def game_levels(c):
     return c.game_levels
+
+
+@register("filtered_slice")
+def filtered_slice(c):
+    from pathweave.operators.slice import filtered_slice as fs
+    return fs(c.game_sessions, c.attempts, c.ufo, c.w_end, ["US", "DE"], [], c.params)["game_levels"]
+
+
+@register("filtered_slice_journeys")
+def filtered_slice_journeys(c):
+    from pathweave.operators.slice import filtered_slice as fs
+    return fs(c.game_sessions, c.attempts, c.ufo, c.w_end, ["US", "BR"], ["1.0.0", "1.2.0"],
+              c.params)["game_user_journeys"]
+
+
+@register("event_attempt_qa")
+def event_attempt_qa(c):
+    from pathweave.operators.qa import event_attempt_qa as qa
+    return qa(c.raw_game, c.attempts, c.params).drop("event_params")
+
+
+@register("next_start")
+def next_start(c):
+    from pathweave.operators.qa import next_start as ns
+    return ns(c.attempts)
+
+
+@register("materialize_game")
+def materialize_game(c):
+    from pathweave.plans.materialize import build_summary_counts
+    return build_summary_counts(c, "game")
