@@ -1,3 +1,261 @@
-"""DuckDB oracle SQL."""
+"""DuckDB oracle SQL for the catalogue analyses."""
 
-SQL: dict[str, str] = {}
+from pathweave.oracle.prefix import ev_cte
+from pathweave.oracle.web import W_END, url_path_sql, web_journeys_cte, web_sessions_cte
+
+WJ = f"WITH {web_journeys_cte()}"
+WS = f"WITH {web_sessions_cte()}"
+EVW = f"""WITH {ev_cte('web')},
+wev AS (SELECT *, {url_path_sql('page_location')} AS page FROM ev
+  WHERE user_pseudo_id IS NOT NULL AND ga_session_id IS NOT NULL)"""
+SW = "PARTITION BY user_pseudo_id, ga_session_id ORDER BY event_timestamp, event_id"
+WEEK = "CAST(date_trunc('week', {}) AS DATE)"
+
+
+def r6(x: str) -> str:
+    return f"round(CAST({x} AS DOUBLE), 6)"
+
+
+def rate(num: str, den: str) -> str:
+    return f"round(CAST({num} AS DOUBLE) / nullif({den}, 0), 6)"
+
+
+STEPS = ("view_item", "add_to_cart", "begin_checkout", "purchase")
+
+
+def funnel_sql(level: str = "session", by: str | None = None) -> str:
+    keys = "user_pseudo_id, ga_session_id" if level == "session" else "user_pseudo_id"
+    ts = "{'ts': event_timestamp, 'id': event_id}"
+    firsts = ", ".join(f"min({ts}) FILTER (WHERE event_name = '{s}') AS t{i}" for i, s in enumerate(STEPS))
+    dim = (f", arg_min({by}, {ts}) AS {by}") if by else ""
+    conds, prev = [], None
+    for i in range(len(STEPS)):
+        c = f"t{i} IS NOT NULL" if prev is None else f"({prev}) AND t{i} >= t{i - 1}"
+        conds.append(c)
+        prev = c
+    reached = ", ".join(f"count(*) FILTER (WHERE {c}) AS step{i}_{s}" for i, (c, s) in enumerate(zip(conds, STEPS)))
+    group = f" GROUP BY {by}" if by else ""
+    sel = f"{by}, " if by else ""
+    return f"""{EVW},
+f AS (SELECT {keys}{dim}, {firsts} FROM wev GROUP BY {keys})
+SELECT {sel}count(*) AS entities, {reached} FROM f{group}"""
+
+
+SQL = {
+    "sequence_ngrams": f"""{EVW},
+x AS (SELECT event_name || '>' || lead(event_name, 1) OVER w || '>' || lead(event_name, 2) OVER w AS ngram,
+  lead(event_name, 2) OVER w AS l2 FROM wev WINDOW w AS ({SW}))
+SELECT ngram, count(*) AS occurrences FROM x WHERE l2 IS NOT NULL GROUP BY ngram""",
+    "path_archetypes": f"""{WS}
+SELECT array_to_string(event_sequence, '>') AS path, count(*) AS sessions,
+  count(*) FILTER (WHERE converted_this_session) AS conversions,
+  {rate('count(*) FILTER (WHERE converted_this_session)', 'count(*)')} AS conversion_rate,
+  min(event_count) AS min_event_count FROM ws GROUP BY 1""",
+    "transition_matrix": f"""{EVW},
+x AS (SELECT page AS from_page, lead(page) OVER ({SW}) AS to_page FROM wev),
+g AS (SELECT from_page, to_page, count(*) AS transitions FROM x WHERE to_page IS NOT NULL GROUP BY 1, 2)
+SELECT from_page, to_page, transitions, {r6('transitions / sum(transitions) OVER (PARTITION BY from_page)')} AS share_from_page
+FROM g""",
+    "hub_exit_pages": f"""{EVW},
+last AS (SELECT page FROM (SELECT page, row_number() OVER (PARTITION BY user_pseudo_id, ga_session_id
+  ORDER BY event_timestamp DESC, event_id DESC) AS rn FROM wev) WHERE rn = 1),
+ex AS (SELECT page, count(*) AS exits FROM last GROUP BY page),
+vw AS (SELECT page, count(*) AS events, count(DISTINCT user_pseudo_id || '|' || CAST(ga_session_id AS VARCHAR)) AS sessions
+  FROM wev GROUP BY page)
+SELECT v.page, v.events, v.sessions, coalesce(e.exits, 0) AS exits, {rate('coalesce(e.exits, 0)', 'v.sessions')} AS exit_rate
+FROM vw v LEFT JOIN ex e ON v.page = e.page""",
+    "session_depth": f"""{WS}
+SELECT CASE WHEN event_count <= 1 THEN '1' WHEN event_count = 2 THEN '2' WHEN event_count <= 5 THEN '3-5'
+  WHEN event_count <= 10 THEN '6-10' ELSE '11+' END AS depth, count(*) AS sessions,
+  count(*) FILTER (WHERE converted_this_session) AS conversions,
+  {rate('count(*) FILTER (WHERE converted_this_session)', 'count(*)')} AS conversion_rate FROM ws GROUP BY 1""",
+    "dwell_bands": f"""{EVW},
+x AS (SELECT page, (lead(event_timestamp) OVER ({SW}) - event_timestamp) / 1e6 AS dwell_s FROM wev)
+SELECT page, CASE WHEN dwell_s < 10 THEN '<10s' WHEN dwell_s < 60 THEN '10-60s' WHEN dwell_s < 300 THEN '1-5min'
+  ELSE '5min+' END AS band, count(*) AS events, {r6('avg(dwell_s)')} AS avg_dwell_s
+FROM x WHERE dwell_s IS NOT NULL GROUP BY 1, 2""",
+    "funnel": funnel_sql(),
+    "funnel_by_device": funnel_sql(by="device_category"),
+    "funnel_user_level": funnel_sql(level="user"),
+    "event_bursts": f"""{EVW},
+x AS (SELECT user_pseudo_id, (event_timestamp - lag(event_timestamp) OVER (PARTITION BY user_pseudo_id
+  ORDER BY event_timestamp, event_id)) / 1e6 < 3600 AS burst FROM wev)
+SELECT user_pseudo_id, count(*) AS events, count(*) FILTER (WHERE coalesce(burst, false)) AS burst_events
+FROM x GROUP BY user_pseudo_id""",
+    "duplicate_events": f"""{EVW}
+SELECT user_pseudo_id, event_name, event_timestamp, count(*) AS copies FROM wev
+GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+    "cohort_retention": f"""{WS},
+fs AS (SELECT user_pseudo_id, min(session_date) AS first_seen FROM ws GROUP BY 1),
+x AS (SELECT s.user_pseudo_id, {WEEK.format('f.first_seen')} AS cohort_week,
+  CAST(floor(date_diff('day', {WEEK.format('f.first_seen')}, {WEEK.format('s.session_date')}) / 7) AS INTEGER) AS week_offset
+  FROM ws s JOIN fs f ON s.user_pseudo_id = f.user_pseudo_id),
+g AS (SELECT cohort_week, week_offset, count(DISTINCT user_pseudo_id) AS active_users FROM x GROUP BY 1, 2),
+sz AS (SELECT cohort_week, active_users AS cohort_size FROM g WHERE week_offset = 0)
+SELECT CAST(g.cohort_week AS VARCHAR) AS cohort_week, CAST(g.week_offset AS BIGINT) AS week_offset, g.active_users,
+  sz.cohort_size, {rate('g.active_users', 'sz.cohort_size')} AS retention
+FROM g JOIN sz ON g.cohort_week = sz.cohort_week""",
+    "cohort_ltv": f"""{WS},
+fs AS (SELECT user_pseudo_id, min(session_date) AS first_seen FROM ws GROUP BY 1),
+x AS (SELECT {WEEK.format('f.first_seen')} AS cohort_week,
+  CAST(floor(date_diff('day', {WEEK.format('f.first_seen')}, {WEEK.format('s.session_date')}) / 7) AS INTEGER) AS week_offset,
+  CAST(s.revenue AS DOUBLE) AS revenue FROM ws s JOIN fs f ON s.user_pseudo_id = f.user_pseudo_id),
+g AS (SELECT cohort_week, week_offset, sum(revenue) AS revenue FROM x GROUP BY 1, 2),
+sz AS (SELECT {WEEK.format('first_seen')} AS cohort_week, count(*) AS cohort_size FROM fs GROUP BY 1)
+SELECT CAST(g.cohort_week AS VARCHAR) AS cohort_week, CAST(g.week_offset AS BIGINT) AS week_offset, sz.cohort_size,
+  {r6('g.revenue')} AS revenue,
+  {r6('sum(g.revenue) OVER (PARTITION BY g.cohort_week ORDER BY g.week_offset ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sz.cohort_size')} AS cumulative_ltv
+FROM g JOIN sz ON g.cohort_week = sz.cohort_week""",
+    "lag_distribution": f"""{WS},
+d AS (SELECT DISTINCT user_pseudo_id, session_date FROM ws),
+x AS (SELECT date_diff('day', lag(session_date) OVER (PARTITION BY user_pseudo_id ORDER BY session_date), session_date) AS gap_days FROM d)
+SELECT gap_days, count(*) AS gaps FROM x WHERE gap_days IS NOT NULL GROUP BY 1""",
+    "reactivation": f"""{WS},
+d AS (SELECT DISTINCT user_pseudo_id, session_date FROM ws),
+x AS (SELECT session_date, date_diff('day', lag(session_date) OVER (PARTITION BY user_pseudo_id ORDER BY session_date), session_date) AS gap FROM d)
+SELECT CAST(session_date AS VARCHAR) AS session_date, count(*) AS reactivated_users FROM x WHERE gap >= 7 GROUP BY 1""",
+    "post_purchase_return": f"""{WJ},
+x AS (SELECT j.user_pseudo_id, j.user_group, bool_or(s.session_date > j.first_purchase_date
+  AND s.session_date <= j.first_purchase_date + 30) AS returned
+  FROM wj j JOIN ws s ON j.user_pseudo_id = s.user_pseudo_id WHERE j.first_purchase_date IS NOT NULL GROUP BY 1, 2)
+SELECT user_group, count(*) AS buyers, count(*) FILTER (WHERE returned) AS returned,
+  {rate('count(*) FILTER (WHERE returned)', 'count(*)')} AS return_rate FROM x GROUP BY 1""",
+    "rfm_and_lifecycle": f"""{WJ},
+b AS (SELECT user_pseudo_id, date_diff('day', last_seen_date, {W_END}) AS recency_days, total_sessions AS frequency,
+  CAST(total_revenue AS DOUBLE) AS monetary FROM wj),
+th AS (SELECT quantile_disc(recency_days, [0.2, 0.4, 0.6, 0.8]) AS qr, quantile_disc(frequency, [0.2, 0.4, 0.6, 0.8]) AS qf,
+  quantile_disc(monetary, [0.2, 0.4, 0.6, 0.8]) AS qm FROM b),
+x AS (SELECT b.*, 6 - (1 + len(list_filter(qr, lambda t: t < recency_days))) AS r_score,
+  1 + len(list_filter(qf, lambda t: t < frequency)) AS f_score, 1 + len(list_filter(qm, lambda t: t < monetary)) AS m_score
+  FROM b, th)
+SELECT user_pseudo_id, recency_days, frequency, {r6('monetary')} AS monetary, CAST(r_score AS BIGINT) AS r_score,
+  CAST(f_score AS BIGINT) AS f_score, CAST(m_score AS BIGINT) AS m_score,
+  CASE WHEN r_score >= 4 AND f_score >= 4 THEN 'champion' WHEN r_score <= 2 AND f_score >= 4 THEN 'at_risk'
+    WHEN r_score >= 4 AND f_score <= 2 THEN 'new_or_light' WHEN r_score <= 2 THEN 'hibernating' ELSE 'regular' END AS segment
+FROM x""",
+    "pareto_concentration": """WITH rev AS (SELECT o_custkey, sum(o_totalprice) AS revenue FROM orders GROUP BY 1),
+th AS (SELECT quantile_disc(revenue, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM rev),
+x AS (SELECT revenue, 10 - len(list_filter(q, lambda t: t < revenue)) AS decile FROM rev, th),
+g AS (SELECT decile, count(*) AS customers, sum(revenue) AS revenue FROM x GROUP BY 1)
+SELECT CAST(decile AS BIGINT) AS decile, customers, round(revenue, 6) AS revenue,
+  round(sum(revenue) OVER (ORDER BY decile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(revenue) OVER (), 6)
+  AS cum_revenue_share FROM g""",
+    "period_deltas": f"""{WS},
+g AS (SELECT {WEEK.format('session_date')} AS week, count(*) AS sessions, count(DISTINCT user_pseudo_id) AS users,
+  sum(CAST(revenue AS DOUBLE)) AS revenue FROM ws GROUP BY 1)
+SELECT CAST(week AS VARCHAR) AS week, sessions, users, round(revenue, 6) AS revenue,
+  round((sessions - lag(sessions) OVER w) / nullif(CAST(lag(sessions) OVER w AS DOUBLE), 0), 6) AS sessions_wow,
+  round((users - lag(users) OVER w) / nullif(CAST(lag(users) OVER w AS DOUBLE), 0), 6) AS users_wow,
+  round((revenue - lag(revenue) OVER w) / nullif(lag(revenue) OVER w, 0), 6) AS revenue_wow
+FROM g WINDOW w AS (ORDER BY week)""",
+    "trend_and_anomaly": f"""WITH {ev_cte('web')},
+d AS (SELECT event_date AS day, count(*) AS events FROM ev GROUP BY 1),
+x AS (SELECT day, events, avg(events) OVER w AS mean_prev, stddev_samp(events) OVER w AS sd_prev FROM d
+  WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+SELECT day, events, round(mean_prev, 6) AS mean_prev, round(sd_prev, 6) AS sd_prev,
+  round((events - mean_prev) / nullif(sd_prev, 0), 6) AS z_score, abs((events - mean_prev) / nullif(sd_prev, 0)) > 2 AS is_anomaly
+FROM x""",
+    "early_signal_lift": f"""{WJ},
+wev AS (SELECT *, row_number() OVER (PARTITION BY user_pseudo_id ORDER BY event_timestamp, event_id) AS rn FROM ev
+  WHERE user_pseudo_id IS NOT NULL AND ga_session_id IS NOT NULL),
+f AS (SELECT user_pseudo_id, bool_or(event_name = 'add_to_cart') AS has_signal FROM wev WHERE rn <= 3 GROUP BY 1),
+x AS (SELECT f.has_signal, j.total_purchases > 0 AS buyer FROM f JOIN wj j ON f.user_pseudo_id = j.user_pseudo_id)
+SELECT has_signal, count(*) AS users, count(*) FILTER (WHERE buyer) AS buyers,
+  {rate('count(*) FILTER (WHERE buyer)', 'count(*)')} AS conversion_rate FROM x GROUP BY 1""",
+    "at_risk_users": f"""{WS},
+wk AS (SELECT user_pseudo_id, {WEEK.format('session_date')} AS week, count(*) AS sessions FROM ws GROUP BY 1, 2),
+x AS (SELECT *, lag(sessions) OVER (PARTITION BY user_pseudo_id ORDER BY week) AS prev_sessions FROM wk)
+SELECT user_pseudo_id, CAST(week AS VARCHAR) AS week, sessions, prev_sessions FROM x
+WHERE prev_sessions IS NOT NULL AND sessions <= prev_sessions * 0.5""",
+    "behaviour_clusters": f"""{WJ},
+th AS (SELECT quantile_disc(total_sessions, 0.5) AS med_s, quantile_disc(total_events, 0.5) AS med_e FROM wj),
+x AS (SELECT wj.*, CASE WHEN total_sessions > med_s AND total_events > med_e THEN 'high'
+  WHEN total_sessions > med_s OR total_events > med_e THEN 'mid' ELSE 'low' END || '_' ||
+  CASE WHEN total_purchases > 0 THEN 'buyer' ELSE 'browser' END AS cluster FROM wj, th)
+SELECT cluster, count(*) AS users, {r6('avg(total_sessions)')} AS avg_sessions,
+  {r6('avg(CAST(total_revenue AS DOUBLE))')} AS avg_revenue FROM x GROUP BY 1""",
+    "conversion_cube": f"""{WS},
+x AS (SELECT coalesce(source, '(none)') AS source, coalesce(device_category, '(none)') AS device_category,
+  {url_path_sql('landing_page')} AS landing_path, converted_this_session FROM ws),
+g AS (SELECT source, device_category, landing_path, grouping(source, device_category, landing_path) AS grouping_id,
+  count(*) AS sessions, count(*) FILTER (WHERE converted_this_session) AS conversions
+  FROM x GROUP BY CUBE (source, device_category, landing_path))
+SELECT source, device_category, landing_path, CAST(grouping_id AS BIGINT) AS grouping_id, sessions, conversions,
+  {rate('conversions', 'sessions')} AS conversion_rate,
+  round(CAST(conversions AS DOUBLE) / sessions - max(CASE WHEN grouping_id = 7 THEN CAST(conversions AS DOUBLE) / sessions END) OVER (), 6)
+  AS deviation_from_total FROM g""",
+    "order_cube": """SELECT n_name, c_mktsegment, o_orderpriority,
+  CAST(grouping(n_name, c_mktsegment, o_orderpriority) AS BIGINT) AS grouping_id, count(*) AS orders,
+  round(sum(o_totalprice), 6) AS revenue
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+GROUP BY CUBE (n_name, c_mktsegment, o_orderpriority)""",
+    "attribution": f"""{WS},
+s AS (SELECT user_pseudo_id, coalesce(source, '(none)') AS src, start_us, session_id, converted_this_session FROM ws),
+conv AS (SELECT user_pseudo_id, arg_min(src, {{'t': start_us, 'i': session_id}}) AS last_touch, min(start_us) AS conv_ts
+  FROM s WHERE converted_this_session GROUP BY 1),
+fst AS (SELECT user_pseudo_id, arg_min(src, {{'t': start_us, 'i': session_id}}) AS first_touch FROM s GROUP BY 1),
+asst AS (SELECT src AS channel, count(*) AS assists FROM (SELECT DISTINCT s.user_pseudo_id, s.src FROM s
+  JOIN conv c ON s.user_pseudo_id = c.user_pseudo_id WHERE s.start_us <= c.conv_ts AND s.src <> c.last_touch) GROUP BY 1),
+ft AS (SELECT f.first_touch AS channel, count(*) AS first_touch FROM conv c JOIN fst f ON c.user_pseudo_id = f.user_pseudo_id GROUP BY 1),
+lt AS (SELECT last_touch AS channel, count(*) AS last_touch FROM conv GROUP BY 1),
+ch AS (SELECT channel FROM ft UNION SELECT channel FROM lt UNION SELECT channel FROM asst)
+SELECT ch.channel, coalesce(ft.first_touch, 0) AS first_touch, coalesce(lt.last_touch, 0) AS last_touch,
+  coalesce(asst.assists, 0) AS assists
+FROM ch LEFT JOIN ft ON ch.channel = ft.channel LEFT JOIN lt ON ch.channel = lt.channel
+LEFT JOIN asst ON ch.channel = asst.channel""",
+    "channel_quality": f"""{WS}
+SELECT coalesce(lower(trim(source)), '(none)') AS channel, CAST({WEEK.format('session_date')} AS VARCHAR) AS week,
+  count(*) AS sessions, count(*) FILTER (WHERE converted_this_session) AS conversions,
+  {rate('count(*) FILTER (WHERE converted_this_session)', 'count(*)')} AS conversion_rate FROM ws GROUP BY 1, 2""",
+    "order_value": """WITH x AS (SELECT o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS idx
+  FROM orders)
+SELECT CASE WHEN idx >= 3 THEN '3+' ELSE CAST(idx AS VARCHAR) END AS order_index, count(*) AS orders,
+  round(avg(o_totalprice), 6) AS avg_value, round(quantile_disc(o_totalprice, 0.5), 6) AS median_value FROM x GROUP BY 1""",
+    "basket_pairs": """WITH items AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+n AS (SELECT count(DISTINCT o) AS n_orders FROM items),
+supp AS (SELECT p, count(*) AS n FROM items GROUP BY p),
+freq AS (SELECT * FROM items WHERE p IN (SELECT p FROM supp WHERE n >= 2)),
+pairs AS (SELECT a.p AS part_a, b.p AS part_b, count(*) AS orders FROM freq a JOIN freq b ON a.o = b.o AND a.p < b.p
+  GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT part_a, part_b, orders, round(CAST(orders AS DOUBLE) * n.n_orders / (sa.n * sb.n), 6) AS lift
+FROM pairs JOIN supp sa ON part_a = sa.p JOIN supp sb ON part_b = sb.p, n""",
+    "viewed_not_bought": f"""{EVW},
+b AS (SELECT DISTINCT user_pseudo_id, ga_session_id FROM wev WHERE event_name = 'purchase')
+SELECT page, count(DISTINCT v.user_pseudo_id) AS users, count(*) AS views FROM wev v
+WHERE event_name = 'view_item' AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_pseudo_id = v.user_pseudo_id
+  AND b.ga_session_id = v.ga_session_id) GROUP BY page""",
+    "hour_day_heatmap": f"""{WS}
+SELECT CAST(hour(session_start_ts) AS BIGINT) AS hour,
+  {", ".join(f'count(*) FILTER (WHERE dayofweek(session_start_ts) + 1 = {d}) AS "{d}"' for d in range(1, 8))}
+FROM ws GROUP BY 1""",
+    "bot_heuristics": f"""{WS}
+SELECT CAST(session_date AS VARCHAR) AS session_date, coalesce(country, '(none)') AS country, count(*) AS sessions,
+  count(*) FILTER (WHERE event_count >= 8 AND duration_seconds <= 86400) AS suspect_sessions FROM ws GROUP BY 1, 2""",
+    "data_health": f"""WITH {ev_cte('web')},
+d AS (SELECT event_date_parsed AS day, user_pseudo_id, event_name, country FROM ev),
+daily AS (SELECT day, count(*) AS events, count(DISTINCT user_pseudo_id) AS users,
+  avg(CAST(country IS NOT NULL AS INTEGER)) AS country_coverage FROM d GROUP BY 1),
+firsts AS (SELECT day, count(*) AS new_event_names FROM (SELECT event_name, min(day) AS day FROM d GROUP BY 1) GROUP BY 1),
+spine AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
+SELECT CAST(s.day AS VARCHAR) AS day, coalesce(dl.events, 0) AS events, coalesce(dl.users, 0) AS users,
+  coalesce(f.new_event_names, 0) AS new_event_names, round(dl.country_coverage, 6) AS country_coverage
+FROM spine s LEFT JOIN daily dl ON s.day = dl.day LEFT JOIN firsts f ON s.day = f.day""",
+    "product_performance": f"""{EVW},
+g AS (SELECT page, count(*) FILTER (WHERE event_name = 'view_item') AS views,
+  count(*) FILTER (WHERE event_name = 'add_to_cart') AS adds, count(*) FILTER (WHERE event_name = 'purchase') AS purchases,
+  sum(CASE WHEN event_name = 'purchase' THEN purchase_revenue END) AS revenue FROM wev GROUP BY 1),
+last AS (SELECT page FROM (SELECT page, row_number() OVER (PARTITION BY user_pseudo_id, ga_session_id
+  ORDER BY event_timestamp DESC, event_id DESC) AS rn FROM wev) WHERE rn = 1),
+ends AS (SELECT page, count(*) AS session_ends FROM last GROUP BY 1)
+SELECT g.page, views, adds, purchases, round(revenue, 6) AS revenue, {rate('adds', 'views')} AS add_rate,
+  coalesce(session_ends, 0) AS session_ends FROM g LEFT JOIN ends e ON g.page = e.page""",
+    "cross_device": f"""{WS},
+u AS (SELECT user_pseudo_id, count(DISTINCT device_category) AS devices, bool_or(converted_this_session) AS buyer FROM ws GROUP BY 1)
+SELECT devices, count(*) AS users, count(*) FILTER (WHERE buyer) AS buyers FROM u GROUP BY 1""",
+    "impact_ranking": f"""{WS},
+g AS (SELECT coalesce(country, '(none)') AS segment, count(*) FILTER (WHERE session_date < {W_END} - 14) AS before,
+  count(*) FILTER (WHERE session_date >= {W_END} - 14) AS after FROM ws GROUP BY 1)
+SELECT segment, before, after, after - before AS delta,
+  round(CAST(after - before AS DOUBLE) / nullif(sum(after - before) OVER (), 0), 6) AS share_of_delta,
+  row_number() OVER (ORDER BY abs(after - before) DESC, segment) AS rank FROM g""",
+}

@@ -140,4 +140,7 @@ SELECT user_pseudo_id, user_group, CAST(first_seen_date AS VARCHAR) AS first_see
 FROM wj""",
     "web_user_group": f"""WITH {web_journeys_cte()}
 SELECT user_pseudo_id, user_group FROM wj""",
+    "materialize_web": f"""WITH {web_journeys_cte()}
+SELECT 'site_sessions' AS table_name, count(*) AS row_count FROM ws
+UNION ALL SELECT 'site_user_journeys', count(*) FROM wj""",
 }

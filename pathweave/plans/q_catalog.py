@@ -1,3 +1,51 @@
-"""Registered queries."""
+"""Registered queries: catalogue analyses (tier C)."""
 
-from pathweave.plans.registry import register  # noqa: F401
+from datetime import timedelta
+
+from pathweave.operators import catalog_cohorts as CC
+from pathweave.operators import catalog_commerce as CM
+from pathweave.operators import catalog_paths as CP
+from pathweave.operators.web import web_session_events
+from pathweave.plans.registry import register
+
+
+def _ev(c):
+    return web_session_events(c.raw_web)
+
+
+register("sequence_ngrams")(lambda c: CP.sequence_ngrams(_ev(c), 3))
+register("path_archetypes")(lambda c: CP.path_archetypes(c.web_sessions))
+register("transition_matrix")(lambda c: CP.transition_matrix(_ev(c)))
+register("hub_exit_pages")(lambda c: CP.hub_exit_pages(_ev(c)))
+register("session_depth")(lambda c: CP.session_depth(c.web_sessions))
+register("dwell_bands")(lambda c: CP.dwell_bands(_ev(c)))
+register("funnel")(lambda c: CP.funnel(_ev(c)))
+register("funnel_by_device")(lambda c: CP.funnel(_ev(c), by="device_category"))
+register("funnel_user_level")(lambda c: CP.funnel(_ev(c), level="user"))
+register("event_bursts")(lambda c: CP.event_bursts(_ev(c), 3600.0))
+register("duplicate_events")(lambda c: CP.duplicate_events(_ev(c)))
+register("cohort_retention")(lambda c: CC.cohort_retention(c.web_sessions))
+register("cohort_ltv")(lambda c: CC.cohort_ltv(c.web_sessions))
+register("lag_distribution")(lambda c: CC.lag_distribution(c.web_sessions))
+register("reactivation")(lambda c: CC.reactivation(c.web_sessions, 7))
+register("post_purchase_return")(lambda c: CC.post_purchase_return(c.web_journeys, c.web_sessions))
+register("rfm_and_lifecycle")(lambda c: CC.rfm_and_lifecycle(c.web_journeys, c.w_end))
+register("pareto_concentration")(lambda c: CC.pareto_concentration(c.table("orders")))
+register("period_deltas")(lambda c: CC.period_deltas(c.web_sessions))
+register("trend_and_anomaly")(lambda c: CC.trend_and_anomaly(c.raw_web))
+register("early_signal_lift")(lambda c: CC.early_signal_lift(_ev(c), c.web_journeys))
+register("at_risk_users")(lambda c: CC.at_risk_users(c.web_sessions))
+register("behaviour_clusters")(lambda c: CM.behaviour_clusters(c.web_journeys))
+register("conversion_cube")(lambda c: CM.conversion_cube(c.web_sessions))
+register("order_cube")(lambda c: CM.order_cube(c.table("orders"), c.table("customer"), c.table("nation")))
+register("attribution")(lambda c: CM.attribution(c.web_sessions))
+register("channel_quality")(lambda c: CM.channel_quality(c.web_sessions))
+register("order_value")(lambda c: CM.order_value(c.table("orders")))
+register("basket_pairs")(lambda c: CM.basket_pairs(c.table("lineitem")))
+register("viewed_not_bought")(lambda c: CM.viewed_not_bought(_ev(c)))
+register("hour_day_heatmap")(lambda c: CM.hour_day_heatmap(c.web_sessions))
+register("bot_heuristics")(lambda c: CM.bot_heuristics(c.web_sessions, 8, 86400))
+register("data_health")(lambda c: CM.data_health(c.raw_web))
+register("product_performance")(lambda c: CM.product_performance(_ev(c)))
+register("cross_device")(lambda c: CM.cross_device(c.web_sessions))
+register("impact_ranking")(lambda c: CM.impact_ranking(c.web_sessions, c.w_end - timedelta(days=14)))

@@ -74,3 +74,9 @@ def next_start(c):
 def materialize_game(c):
     from pathweave.plans.materialize import build_summary_counts
     return build_summary_counts(c, "game")
+
+
+@register("materialize_web")
+def materialize_web(c):
+    from pathweave.plans.materialize import build_summary_counts
+    return build_summary_counts(c, "web")
