@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pathweave.config import TESTDATA_PARAMS, JobParams
 from pathweave.operators import game as G
 from pathweave.operators import web as Wb
-from pathweave.sources.events import resolve_window, window_days, window_end_date
+from pathweave.schema import RAW_EVENT
+from pathweave.sources.events import resolve_window, scan_events_window, window_days, window_end_date
 from pathweave.sources.store import TableStore
 from pathweave.sources.testdata import ga4_events
 from pathweave.session import prepare
@@ -36,9 +37,18 @@ class Ctx:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def export(self, product: str) -> DataFrame:
+        """The raw event export of ``product``: the synthetic table mapped once and
+        stored as Parquet partitioned by event_date (the shape of a real export)."""
+        if not self.materialize:
+            return ga4_events(self.spark, self.sf_dir, product)
+        df = self.store.get(f"export_{product}", lambda: ga4_events(self.spark, self.sf_dir, product),
+                            partition_by=["event_date"], schema=RAW_EVENT)
+        return df.select(*RAW_EVENT.fieldNames())
+
     @cached_property
     def window(self) -> tuple[str, str]:
-        return resolve_window(ga4_events(self.spark, self.sf_dir, "web"), self.window_request_days)
+        return resolve_window(self.export("web"), self.window_request_days)
 
     @cached_property
     def w_end(self):
@@ -50,11 +60,11 @@ class Ctx:
 
     @cached_property
     def raw_web(self) -> DataFrame:
-        return ga4_events(self.spark, self.sf_dir, "web", self.window)
+        return scan_events_window(self.export("web"), *self.window, require_user=False)
 
     @cached_property
     def raw_game(self) -> DataFrame:
-        return ga4_events(self.spark, self.sf_dir, "game", self.window)
+        return scan_events_window(self.export("game"), *self.window, require_user=False)
 
     # web
     @cached_property

@@ -25,14 +25,17 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
             .option("basePath", path).parquet(path))
 
 
-def scan_events_window(events: DataFrame, start: str, end: str) -> DataFrame:
-    """Rows of days ``start``..``end`` (yyyyMMdd, inclusive) with a known user.
+def scan_events_window(events: DataFrame, start: str, end: str, require_user: bool = True) -> DataFrame:
+    """Rows of days ``start``..``end`` (yyyyMMdd, inclusive), by default only those
+    with a known user.
 
     On a partitioned export the predicate on ``event_date`` prunes whole day
     folders (PartitionFilters); the null check on the user is pushed to Parquet.
     """
-    return events.where(F.col("event_date").between(start, end)
-                        & F.col("user_pseudo_id").isNotNull())
+    cond = F.col("event_date").between(start, end)
+    if require_user:
+        cond = cond & F.col("user_pseudo_id").isNotNull()
+    return events.where(cond)
 
 
 def date_coverage(events: DataFrame) -> DataFrame:

@@ -84,14 +84,19 @@ class TableStore:
         self.root = os.path.join(checkpoint_dir(spark), "pathweave-tables",
                                  _fingerprint((_CODE_VERSION, key_parts, sig)))
 
-    def get(self, name: str, build) -> DataFrame:
+    def get(self, name: str, build, partition_by: list[str] | None = None, schema=None) -> DataFrame:
         path = os.path.join(self.root, name)
         memo_key = f"{self.spark.sparkContext.applicationId}:{path}"
         with _LOCK:
             if memo_key in _MEMO:
                 return _MEMO[memo_key]
             if _fs_status(self.spark, path + "/_SUCCESS") is None:
-                write_table(build(), path)
-            df = self.spark.read.parquet(path)
+                write_table(build(), path, partition_by)
+            reader = self.spark.read
+            if schema is not None:  # also fixes partition column types (no inference)
+                reader = reader.schema(schema)
+            if partition_by:
+                reader = reader.option("basePath", path)
+            df = reader.parquet(path)
             _MEMO[memo_key] = df
             return df
