@@ -31,7 +31,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from pathweave.session import get_spark
-    spark = get_spark(app="pathweave-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = get_spark(app="pathweave-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus))
     from __spark_entry__ import queries
     qs = queries()
     times: dict[str, float] = {}

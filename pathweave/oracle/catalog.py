@@ -259,3 +259,22 @@ SELECT segment, before, after, after - before AS delta,
   round(CAST(after - before AS DOUBLE) / nullif(sum(after - before) OVER (), 0), 6) AS share_of_delta,
   row_number() OVER (ORDER BY abs(after - before) DESC, segment) AS rank FROM g""",
 }
+
+_EV = f"WITH {ev_cte('web')}"
+SQL.update({
+    "stream_events_clean": f"""{_EV}
+SELECT user_pseudo_id, event_name, event_timestamp, event_id FROM ev WHERE user_pseudo_id IS NOT NULL""",
+    "stream_session_rollup": f"""{_EV},
+x AS (SELECT *, CASE WHEN event_timestamp - lag(event_timestamp) OVER (PARTITION BY user_pseudo_id
+  ORDER BY event_timestamp, event_id) < 1800000000 THEN 0 ELSE 1 END AS brk FROM ev WHERE user_pseudo_id IS NOT NULL),
+y AS (SELECT *, sum(brk) OVER (PARTITION BY user_pseudo_id ORDER BY event_timestamp, event_id) AS sid FROM x),
+s AS (SELECT user_pseudo_id, min(event_timestamp) AS start_us, max(event_timestamp) AS end_us, count(*) AS event_count,
+  count(*) FILTER (WHERE event_name = 'purchase') AS purchases FROM y GROUP BY user_pseudo_id, sid)
+SELECT user_pseudo_id, start_us AS session_start, end_us + 1800000000 AS session_end, event_count, start_us, end_us,
+  purchases FROM s
+WHERE end_us + 1800000000 <= (SELECT max(event_timestamp) FROM ev) - 7200000000""",
+    "daily_overrides_intraday": f"""{_EV}
+SELECT event_id, event_date, user_pseudo_id FROM ev""",
+    "incremental_append": f"""{_EV}
+SELECT event_date, count(*) AS events FROM ev GROUP BY event_date""",
+})

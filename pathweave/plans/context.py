@@ -46,6 +46,10 @@ class Ctx:
                             partition_by=["event_date"], schema=RAW_EVENT)
         return df.select(*RAW_EVENT.fieldNames())
 
+    def export_path(self, product: str) -> str:
+        self.export(product)
+        return f"{self.store.root}/export_{product}"
+
     @cached_property
     def window(self) -> tuple[str, str]:
         return resolve_window(self.export("web"), self.window_request_days)

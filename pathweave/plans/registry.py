@@ -29,5 +29,5 @@ def _wrap(fn: Callable[[Ctx], DataFrame]) -> Query:
 
 def all_queries() -> dict[str, Query]:
     # import modules that register queries
-    from pathweave.plans import q_tables, q_primitives, q_reports, q_catalog  # noqa: F401
+    from pathweave.plans import q_tables, q_primitives, q_reports, q_catalog, q_streaming  # noqa: F401
     return {k: _wrap(v) for k, v in _REGISTRY.items()}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
 import threading
 import time
 from dataclasses import dataclass
@@ -91,7 +92,9 @@ class TableStore:
             if memo_key in _MEMO:
                 return _MEMO[memo_key]
             if _fs_status(self.spark, path + "/_SUCCESS") is None:
-                write_table(build(), path, partition_by)
+                st = write_table(build(), path, partition_by)
+                if os.environ.get("PATHWEAVE_TRACE"):
+                    print(f"[store] {name}: {st.row_count} rows in {st.elapsed_ms} ms", file=sys.stderr)
             reader = self.spark.read
             if schema is not None:  # also fixes partition column types (no inference)
                 reader = reader.schema(schema)
