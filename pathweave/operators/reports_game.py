@@ -7,10 +7,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pathweave.config import SMALL_SAMPLE_USERS
 
 U, G_ = "user_pseudo_id", "user_group"
-_ALL = Window.partitionBy()
+
+
 FAIL_REASONS = ("stack_full", "time_up", "pause_quit")
 
 
+def _all() -> Window:
+    return Window.partitionBy()
+
+
 def level_band(num: Column) -> Column:
     """Fixed bands 1-5 / 6-15 / 16-30 / 31+; non-numeric ids -> 'unknown'."""
     return (F.when(num.between(1, 5), "1-5").when(num.between(6, 15), "6-15")
@@ -29,7 +34,7 @@ def game_baseline(j: DataFrame) -> DataFrame:
             F.count_if(f"is_eligible_for_d{n}").alias(f"d{n}_eligible"),
             _rate(F.count_if(F.col(f"d{n}_retained") == F.lit(True)), F.count_if(f"is_eligible_for_d{n}"))
             .alias(f"d{n}_rate"))])
-    return g.select(G_, "users", (F.col("users") / F.sum("users").over(_ALL)).alias("share"),
+    return g.select(G_, "users", (F.col("users") / F.sum("users").over(_all())).alias("share"),
                     *[c for c in g.columns if c not in (G_, "users")])
 
 
@@ -42,7 +47,7 @@ def player_groups(j: DataFrame) -> DataFrame:
         _rate(F.count_if(F.col("d7_retained") == F.lit(True)), F.count_if("is_eligible_for_d7")).alias("d7_rate"),
         F.count_if("is_eligible_for_d7").alias("d7_eligible"),
         F.percentile_approx("farthest_level_numeric", 0.5).alias("median_farthest_level"))
-    return g.select(G_, "users", (F.col("users") / F.sum("users").over(_ALL)).alias("share"),
+    return g.select(G_, "users", (F.col("users") / F.sum("users").over(_all())).alias("share"),
                     *[c for c in g.columns if c not in (G_, "users")])
 
 

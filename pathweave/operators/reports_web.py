@@ -12,11 +12,14 @@ from pathweave.config import SMALL_SAMPLE_USERS
 
 U, G_ = "user_pseudo_id", "user_group"
 WEB_GROUPS = ("new", "active_buyer", "churned_buyer", "active_non_buyer", "churned_non_buyer")
-_ALL = Window.partitionBy()
+
+
+def _all() -> Window:
+    return Window.partitionBy()
 
 
 def _share(col: str) -> F.Column:
-    return F.col(col) / F.sum(col).over(_ALL)
+    return F.col(col) / F.sum(col).over(_all())
 
 
 def web_baseline(j: DataFrame) -> DataFrame:
@@ -130,7 +133,7 @@ def underdelivering_channels(j: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("users"),
         F.count_if(F.col(G_) == "churned_non_buyer").alias("churned_non_buyers"))
     share = F.col("churned_non_buyers") / F.col("users")
-    base = F.sum("churned_non_buyers").over(_ALL) / F.sum("users").over(_ALL)
+    base = F.sum("churned_non_buyers").over(_all()) / F.sum("users").over(_all())
     return g.select("channel", "users", "churned_non_buyers", share.alias("cnb_share"),
                     base.alias("baseline_share"), F.try_divide(share, base).alias("ratio_to_baseline"))
 
