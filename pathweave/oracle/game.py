@@ -464,4 +464,25 @@ SELECT 'game_sessions' AS table_name, count(*) AS row_count FROM gs
 UNION ALL SELECT 'game_level_attempts', count(*) FROM ga
 UNION ALL SELECT 'game_user_journeys', count(*) FROM gj
 UNION ALL SELECT 'game_levels', count(*) FROM gl""",
+    "attempt_outcome": f"WITH {game_attempts_cte()} SELECT attempt_id, outcome, duration_s, fail_reason, stars_gained FROM ga",
+    "snapshot_fallback": f"""WITH {game_attempts_cte()} SELECT attempt_id, items_cleared_perc, objectives_left_perc,
+  time_left_perc, pause_max_progress_perc FROM ga""",
+    "booster_usage": f"""WITH {game_attempts_cte()} SELECT attempt_id, boosters_vacuum, boosters_spring, boosters_fan,
+  boosters_ice, pre_hammer, pre_sandglass, end_clear_bar, end_extra_time, had_shop_purchase FROM ga""",
+    "churn_flags": f"WITH {game_journeys_cte()} SELECT user_pseudo_id, is_eligible_for_churn, is_churned FROM gj",
+    "attempt_totals": f"""WITH {game_journeys_cte()} SELECT user_pseudo_id, total_attempts, total_completes, total_fails,
+  total_abandons, CAST(total_revives AS BIGINT) AS total_revives, farthest_level, farthest_completed_level FROM gj""",
+    "game_user_group": f"WITH {game_journeys_cte()} SELECT user_pseudo_id, user_group FROM gj",
+    "level_difficulty": f"""WITH {game_levels_cte()} SELECT level_id, level_id_numeric, total_attempts, unique_starters,
+  total_completes, total_fails, total_abandons, first_try_wins, {r6('median_duration_complete_s')} AS median_duration_complete_s,
+  {r6('median_duration_fail_s')} AS median_duration_fail_s, fail_stack_full_count, fail_time_up_count,
+  fail_pause_quit_count, attempts_with_ingame_booster, attempts_with_revive,
+  {r6('avg_items_cleared_perc_on_fail')} AS avg_items_cleared_perc_on_fail,
+  {r6('avg_objectives_left_perc_on_fail')} AS avg_objectives_left_perc_on_fail,
+  {r6('avg_time_left_perc_on_fail')} AS avg_time_left_perc_on_fail, {r6('avg_stars_on_complete')} AS avg_stars_on_complete
+FROM la""",
+    "attempts_to_beat": f"""WITH {game_levels_cte()} SELECT level_id, unique_completers, median_attempts_to_beat,
+  p90_attempts_to_beat FROM lua""",
+    "level_retention": f"""WITH {game_levels_cte()} SELECT level_id, churn_eligible_reachers, churned_here_count,
+  d1_eligible_reachers, d1_retained_reachers, d7_eligible_reachers, d7_retained_reachers FROM lr""",
 }

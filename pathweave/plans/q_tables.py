@@ -80,3 +80,55 @@ def materialize_game(c):
 def materialize_web(c):
     from pathweave.plans.materialize import build_summary_counts
     return build_summary_counts(c, "web")
+
+
+# Component operators of the tables, each checked on its own.
+@register("attempt_outcome")
+def attempt_outcome(c):
+    return c.attempts.select("attempt_id", "outcome", "duration_s", "fail_reason", "stars_gained")
+
+
+@register("snapshot_fallback")
+def snapshot_fallback(c):
+    return c.attempts.select("attempt_id", "items_cleared_perc", "objectives_left_perc", "time_left_perc",
+                             "pause_max_progress_perc")
+
+
+@register("booster_usage")
+def booster_usage(c):
+    return c.attempts.select("attempt_id", "boosters_vacuum", "boosters_spring", "boosters_fan", "boosters_ice",
+                             "pre_hammer", "pre_sandglass", "end_clear_bar", "end_extra_time", "had_shop_purchase")
+
+
+@register("churn_flags")
+def churn_flags(c):
+    return c.game_journeys.select("user_pseudo_id", "is_eligible_for_churn", "is_churned")
+
+
+@register("attempt_totals")
+def attempt_totals(c):
+    return c.game_journeys.select("user_pseudo_id", "total_attempts", "total_completes", "total_fails",
+                                  "total_abandons", "total_revives", "farthest_level", "farthest_completed_level")
+
+
+@register("game_user_group")
+def game_user_group(c):
+    return c.game_journeys.select("user_pseudo_id", "user_group")
+
+
+@register("level_difficulty")
+def level_difficulty(c):
+    from pathweave.operators import game as G
+    return G.level_difficulty(c.attempts)
+
+
+@register("attempts_to_beat")
+def attempts_to_beat(c):
+    from pathweave.operators import game as G
+    return G.attempts_to_beat(G.level_users(c.attempts))
+
+
+@register("level_retention")
+def level_retention(c):
+    from pathweave.operators import game as G
+    return G.level_retention(G.level_users(c.attempts), c.game_journeys)
