@@ -1,17 +1,18 @@
-"""Carry-forward ("last non-null value at or before this row") in two levels.
+"""Ordered per-key scans in two levels: carry-forward, previous / next value,
+running row number.
 
 A single ``last(x, ignorenulls).over(partitionBy(key).orderBy(ts))`` puts a whole
-key (a user session) into one task.  At scale one session may hold a large share
+key (a user, a session) into one task.  At scale one key may hold a large share
 of all rows, so the scan is split by time bucket:
 
-1. per (key, bucket): running ``last`` inside the bucket (window, one task per bucket);
-2. per (key, bucket): the bucket's last value -- grouped on the same partitioning,
-   so no extra shuffle;
-3. per key over the (few) bucket rows: the last value of all earlier buckets;
-4. join 3 back on (key, bucket) and ``coalesce(local, carried)``.
+1. per (key, bucket): the running value inside the bucket (window, one task per bucket);
+2. per (key, bucket): the bucket's summary (last non-null value, or row count),
+   grouped on the same partitioning, so no extra shuffle;
+3. per key over the (few) bucket rows: the value of all earlier buckets;
+4. join 3 back on (key, bucket) and combine.
 
-The result equals the one-window form exactly.  Also used as the as-of join of
-events to attempt spans (marker rows carry the attempt id).
+The results equal the one-window forms exactly (tests compare them on random data).
+Also used as the as-of join of events to attempt spans (marker rows carry the id).
 """
 
 from __future__ import annotations
@@ -20,22 +21,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def carry_forward(df: DataFrame, keys: list[str], ts: str, tie: list[str],
-                  values: dict[str, Column], bucket_us: int) -> DataFrame:
-    """Add one column per ``values`` entry: last non-null of the expression over the
-    rows of the same ``keys`` ordered by (ts, *tie), up to and including the row."""
+                  values: dict[str, Column], bucket_us: int, include_current: bool = True) -> DataFrame:
+    """Add one column per ``values`` entry: the last non-null value of the expression
+    over the rows of the same ``keys`` ordered by (ts, *tie), up to and including the
+    row (``include_current``) or strictly before it."""
     names = list(values)
     base_cols = df.columns
     src = df.select("*", F.floor(F.col(ts) / F.lit(bucket_us)).alias("_bkt"),
                     *[values[n].alias(f"_src_{n}") for n in names])
     order = [F.col(ts), *[F.col(t) for t in tie]]
+    upto = Window.currentRow if include_current else -1
     w_local = (Window.partitionBy(*keys, "_bkt").orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = src.select(*base_cols, "_bkt",
+               .rowsBetween(Window.unboundedPreceding, upto))
+    local = src.select(*base_cols, "_bkt", *[f"_src_{n}" for n in names],
                        *[F.last(f"_src_{n}", ignorenulls=True).over(w_local).alias(f"_loc_{n}")
                          for n in names])
     ord_struct = F.struct(*order)
     per_bucket = local.groupBy(*keys, "_bkt").agg(
-        *[F.max_by(f"_loc_{n}", ord_struct).alias(f"_end_{n}") for n in names])
+        *[F.max_by(f"_src_{n}", F.when(F.col(f"_src_{n}").isNotNull(), ord_struct)).alias(f"_end_{n}")
+          for n in names])
     w_prev = (Window.partitionBy(*keys).orderBy("_bkt")
               .rowsBetween(Window.unboundedPreceding, -1))
     carried = per_bucket.select(*keys, "_bkt",
@@ -44,3 +48,35 @@ def carry_forward(df: DataFrame, keys: list[str], ts: str, tie: list[str],
     joined = local.join(carried, on=[*keys, "_bkt"], how="left")
     return joined.select(*base_cols,
                          *[F.coalesce(F.col(f"_loc_{n}"), F.col(f"_car_{n}")).alias(n) for n in names])
+
+
+def previous_value(df: DataFrame, keys: list[str], ts: str, tie: list[str],
+                   values: dict[str, Column], bucket_us: int) -> DataFrame:
+    """LAG for never-null expressions: the value on the previous row of the key."""
+    return carry_forward(df, keys, ts, tie, values, bucket_us, include_current=False)
+
+
+def next_value(df: DataFrame, keys: list[str], ts: str, tie: list[str],
+               values: dict[str, Column], bucket_us: int) -> DataFrame:
+    """LEAD for never-null expressions: the value on the next row of the key
+    (the carry-forward in reversed order; ``ts`` and ``tie`` must be numeric)."""
+    neg = {f"_neg_{c}": -F.col(c) for c in [ts, *tie]}
+    x = df.select("*", *[v.alias(k) for k, v in neg.items()])
+    out = carry_forward(x, keys, f"_neg_{ts}", [f"_neg_{t}" for t in tie], values, bucket_us,
+                        include_current=False)
+    return out.drop(*neg)
+
+
+def running_row_number(df: DataFrame, keys: list[str], ts: str, tie: list[str], bucket: int,
+                       out: str = "row_number") -> DataFrame:
+    """ROW_NUMBER over (keys) ordered by (ts, *tie): the number inside the (key,
+    bucket) plus the row counts of all earlier buckets of the key."""
+    base_cols = df.columns
+    x = df.select("*", F.floor(F.col(ts) / F.lit(bucket)).alias("_bkt"))
+    w_local = Window.partitionBy(*keys, "_bkt").orderBy(F.col(ts), *[F.col(t) for t in tie])
+    local = x.select("*", F.row_number().over(w_local).alias("_rn"))
+    counts = local.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    w_prev = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_before"))
+    j = local.join(before, [*keys, "_bkt"], "left")
+    return j.select(*base_cols, (F.col("_rn") + F.col("_before")).alias(out))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathweave.functions import scalars as S
+from pathweave.operators.asof import running_row_number
 
 U, SESS = "user_pseudo_id", "ga_session_id"
 
@@ -86,12 +87,13 @@ def search_terms(ev: DataFrame, term_col: str = "search_term", results_col: str
                     .alias("cum_share"))
 
 
-def order_value(orders: DataFrame) -> DataFrame:
+def order_value(orders: DataFrame, bucket_us: int = 30 * 86_400_000_000) -> DataFrame:
     """Average and median order value by the order's index in its customer's history
     (1, 2, 3+).  The median is ``percentile_approx`` with accuracy 100000: its rank
     error is at most n / 100000 per group, with a bounded sketch per group."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    x = orders.select("o_totalprice", F.row_number().over(w).alias("idx"))
+    o = orders.select("o_custkey", "o_orderkey", "o_totalprice",
+                      F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("_ts"))
+    x = running_row_number(o, ["o_custkey"], "_ts", ["o_orderkey"], bucket_us, out="idx")
     b = F.when(F.col("idx") >= 3, "3+").otherwise(F.col("idx").cast("string"))
     return x.groupBy(b.alias("order_index")).agg(
         F.count(F.lit(1)).alias("orders"), F.avg("o_totalprice").alias("avg_value"),

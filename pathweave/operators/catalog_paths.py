@@ -1,8 +1,9 @@
 """Catalogue analyses on event paths: n-grams, archetypes, transitions, exits,
 depth, dwell, funnels, bursts and duplicates.
 
-Per-session ordered steps use ``lead`` over (user, session) windows on the flat
-event frame; every aggregate after that is a partial hash aggregate.
+Next / previous steps come from the bucketed scans in ``operators/asof.py`` (a hot
+session or user is split by time bucket); every aggregate after that is a partial
+hash aggregate.
 """
 
 from __future__ import annotations
@@ -10,22 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pathweave.functions import scalars as S
+from pathweave.operators.asof import next_value, previous_value
 
 U, SESS = "user_pseudo_id", "ga_session_id"
 FUNNEL_STEPS = ("view_item", "add_to_cart", "begin_checkout", "purchase")
+BUCKET_US = 3_600_000_000
+ORDER = ("event_timestamp", ["event_id"])
 
 
 def _session_window() -> Window:
     return Window.partitionBy(U, SESS).orderBy("event_timestamp", "event_id")
 
 
-def sequence_ngrams(ev: DataFrame, n: int = 2) -> DataFrame:
+def sequence_ngrams(ev: DataFrame, n: int = 2, bucket_us: int = BUCKET_US) -> DataFrame:
     """Counts of consecutive event-name n-grams inside sessions (whole sessions)."""
-    w = _session_window()
-    parts = [F.col("event_name")] + [F.lead("event_name", i).over(w) for i in range(1, n)]
-    x = ev.select(F.concat_ws(">", *parts).alias("ngram"), parts[-1].isNotNull().alias("_full"))
-    x = x.where(F.col("_full"))
-    return x.groupBy("ngram").agg(F.count(F.lit(1)).alias("occurrences"))
+    x = ev.select(U, SESS, "event_timestamp", "event_id", F.col("event_name").alias("g0"))
+    for i in range(1, n):  # g_i = g_{i-1} of the next event
+        x = next_value(x, [U, SESS], *ORDER, {f"g{i}": F.col(f"g{i - 1}")}, bucket_us)
+    x = x.where(F.col(f"g{n - 1}").isNotNull())
+    return x.groupBy(F.concat_ws(">", *[F.col(f"g{i}") for i in range(n)]).alias("ngram")).agg(
+        F.count(F.lit(1)).alias("occurrences"))
 
 
 def path_archetypes(sessions: DataFrame) -> DataFrame:
@@ -37,12 +42,12 @@ def path_archetypes(sessions: DataFrame) -> DataFrame:
         F.min("event_count").alias("min_event_count"))
 
 
-def transition_matrix(ev: DataFrame) -> DataFrame:
+def transition_matrix(ev: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """Page-path transitions with the share of each exit from the source page."""
-    w = _session_window()
-    x = ev.select(S.url_path("page_location").alias("from_page"),
-                  F.lead(S.url_path("page_location")).over(w).alias("to_page")).where(F.col("to_page").isNotNull())
-    g = x.groupBy("from_page", "to_page").agg(F.count(F.lit(1)).alias("transitions"))
+    x = ev.select(U, SESS, "event_timestamp", "event_id", S.url_path("page_location").alias("from_page"))
+    x = next_value(x, [U, SESS], *ORDER, {"to_page": F.col("from_page")}, bucket_us)
+    g = x.where(F.col("to_page").isNotNull()).groupBy("from_page", "to_page").agg(
+        F.count(F.lit(1)).alias("transitions"))
     return g.select("*", (F.col("transitions") / F.sum("transitions").over(Window.partitionBy("from_page")))
                     .alias("share_from_page"))
 
@@ -70,11 +75,12 @@ def session_depth(sessions: DataFrame) -> DataFrame:
         (F.count_if("converted_this_session") / F.count(F.lit(1))).alias("conversion_rate"))
 
 
-def dwell_bands(ev: DataFrame) -> DataFrame:
+def dwell_bands(ev: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """Time to the next event in the session, banded, per page path."""
-    w = _session_window()
-    d = (F.lead("event_timestamp").over(w) - F.col("event_timestamp")) / 1e6
-    x = ev.select(S.url_path("page_location").alias("page"), d.alias("dwell_s")).where(F.col("dwell_s").isNotNull())
+    x = ev.select(U, SESS, "event_timestamp", "event_id", S.url_path("page_location").alias("page"))
+    x = next_value(x, [U, SESS], *ORDER, {"next_ts": F.col("event_timestamp")}, bucket_us)
+    x = x.select("page", ((F.col("next_ts") - F.col("event_timestamp")) / 1e6).alias("dwell_s")).where(
+        F.col("dwell_s").isNotNull())
     band = (F.when(F.col("dwell_s") < 10, "<10s").when(F.col("dwell_s") < 60, "10-60s")
             .when(F.col("dwell_s") < 300, "1-5min").otherwise("5min+"))
     return x.groupBy("page", band.alias("band")).agg(F.count(F.lit(1)).alias("events"),
@@ -104,13 +110,13 @@ def funnel(ev: DataFrame, steps: tuple[str, ...] = FUNNEL_STEPS, by: str | None
     return agg
 
 
-def event_bursts(ev: DataFrame, gap_s: float = 2.0) -> DataFrame:
+def event_bursts(ev: DataFrame, gap_s: float = 2.0, bucket_us: int = BUCKET_US) -> DataFrame:
     """Per user: events that follow the previous event of the user within ``gap_s``."""
-    w = Window.partitionBy(U).orderBy("event_timestamp", "event_id")
-    gap = (F.col("event_timestamp") - F.lag("event_timestamp").over(w)) / 1e6
-    x = ev.select(U, (gap < gap_s).alias("burst"))
+    x = ev.select(U, "event_timestamp", "event_id")
+    x = previous_value(x, [U], *ORDER, {"prev_ts": F.col("event_timestamp")}, bucket_us)
+    burst = (F.col("event_timestamp") - F.col("prev_ts")) / 1e6 < gap_s
     return x.groupBy(U).agg(F.count(F.lit(1)).alias("events"),
-                            F.count_if(F.coalesce("burst", F.lit(False))).alias("burst_events"))
+                            F.count_if(F.coalesce(burst, F.lit(False))).alias("burst_events"))
 
 
 def duplicate_events(ev: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathweave.config import SMALL_SAMPLE_USERS
+from pathweave.operators.asof import carry_forward
 
 U, G_ = "user_pseudo_id", "user_group"
 
 
 FAIL_REASONS = ("stack_full", "time_up", "pause_quit")
+DAY_US = 86_400_000_000
 
 
 def _all() -> Window:
@@ -120,13 +122,15 @@ def fail_reason_mix(attempts: DataFrame) -> DataFrame:
     return g.select("*", (F.col("fails") / F.sum("fails").over(Window.partitionBy("band"))).alias("share"))
 
 
-def revive_saves_run(attempts: DataFrame) -> DataFrame:
+def revive_saves_run(attempts: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
     """Completion rate of attempts after an earlier revive on the same level by the
-    same user, against attempts without one."""
-    w = (Window.partitionBy(U, "level_id").orderBy("attempt_start_ts", "attempt_id")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    x = attempts.select("outcome", F.coalesce(F.max(F.coalesce("revive_count", F.lit(0)) > 0).over(w), F.lit(False))
-                        .alias("revived_before"))
+    same user, against attempts without one (bucketed scan per user and level)."""
+    a = attempts.select(U, "level_id", "outcome", "attempt_id", "revive_count",
+                        F.unix_micros("attempt_start_ts").alias("_ts"))
+    x = carry_forward(a, [U, "level_id"], "_ts", ["attempt_id"],
+                      {"_rev": F.when(F.coalesce("revive_count", F.lit(0)) > 0, F.lit(True))},
+                      bucket_us, include_current=False)
+    x = x.select("outcome", F.coalesce("_rev", F.lit(False)).alias("revived_before"))
     return x.groupBy("revived_before").agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("outcome") == "complete").alias("completes"),
         _rate(F.count_if(F.col("outcome") == "complete"), F.count(F.lit(1))).alias("completion_rate"))
@@ -151,15 +155,15 @@ def retry_streaks(attempts: DataFrame, j: DataFrame,
     return g.select("*", (F.col("attempts") / F.sum("attempts").over(Window.partitionBy(G_))).alias("share"))
 
 
-def cross_session_completion(attempts: DataFrame) -> DataFrame:
+def cross_session_completion(attempts: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
     """Share of completes on a level where the user failed that level in an earlier session."""
     per = attempts.groupBy(U, "level_id", "session_id").agg(
-        F.min("attempt_start_ts").alias("first_start"),
+        F.unix_micros(F.min("attempt_start_ts")).alias("first_start"),
         F.bool_or(F.col("outcome") == "fail").alias("has_fail"),
         F.count_if(F.col("outcome") == "complete").alias("completes"))
-    w = (Window.partitionBy(U, "level_id").orderBy("first_start", "session_id")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    x = per.select("completes", F.coalesce(F.bool_or("has_fail").over(w), F.lit(False)).alias("failed_before"))
+    x = carry_forward(per, [U, "level_id"], "first_start", ["session_id"],
+                      {"_fb": F.when(F.col("has_fail"), F.lit(True))}, bucket_us, include_current=False)
+    x = x.select("completes", F.coalesce("_fb", F.lit(False)).alias("failed_before"))
     return x.agg(F.sum("completes").alias("completes"),
                  F.sum(F.when(F.col("failed_before"), F.col("completes")).otherwise(0)).alias("cross_session_completes")
                  ).select("*", _rate(F.col("cross_session_completes"), F.col("completes")).alias("share"))

@@ -180,3 +180,19 @@ def test_search_terms_on_hand_rows(spark):
     df = spark.createDataFrame([(" Shoes", 0), ("shoes", 3), ("hat", 0), (None, 1)], "search_term string, results int")
     got = {r["term"]: (r["searches"], r["zero_result"], round(r["cum_share"], 3)) for r in search_terms(df).collect()}
     assert got == {"shoes": (2, 1, 0.667), "hat": (1, 1, 1.0)}
+
+
+def test_bucketed_lag_lead_rownumber_equal_windows(spark):
+    from pathweave.operators.asof import next_value, previous_value, running_row_number
+    rnd = random.Random(11)
+    rows = [(f"k{rnd.randrange(9)}", rnd.randrange(0, 5_000), i, rnd.randrange(1000)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "k string, ts long, id long, v long")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = {r["id"]: (r["p"], r["n"], r["rn"]) for r in df.select(
+        "id", F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("n"),
+        F.row_number().over(w).alias("rn")).collect()}
+    for bucket in (13, 400, 10_000_000):
+        p = {r["id"]: r["p"] for r in previous_value(df, ["k"], "ts", ["id"], {"p": F.col("v")}, bucket).collect()}
+        n = {r["id"]: r["n"] for r in next_value(df, ["k"], "ts", ["id"], {"n": F.col("v")}, bucket).collect()}
+        rn = {r["id"]: r["rn"] for r in running_row_number(df, ["k"], "ts", ["id"], bucket, "rn").collect()}
+        assert {i: (p[i], n[i], rn[i]) for i in want} == want
