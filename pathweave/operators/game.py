@@ -36,9 +36,9 @@ def game_session_events(raw: DataFrame) -> DataFrame:
     return ev.where(F.col(SESS).isNotNull())
 
 
-def game_sessions(raw: DataFrame, params: JobParams = JobParams()) -> DataFrame:
+def game_sessions(raw: DataFrame, params: JobParams = JobParams(), events: DataFrame | None = None) -> DataFrame:
     """One row per (user, ga_session_id); same plan shape as ``web_sessions``."""
-    ev = game_session_events(raw)
+    ev = events if events is not None else game_session_events(raw)
     name = F.col("event_name")
     counters = ev.groupBy(USER, SESS).agg(
         F.min("event_date_parsed").alias("session_date"),
@@ -154,9 +154,13 @@ def _term_max(expr: Column) -> Column:
 
 
 def level_attempts(raw: DataFrame, ufo: DataFrame | None = None,
-                   params: JobParams = JobParams()) -> DataFrame:
-    """One row per (user, session, level_start timestamp, level)."""
-    gp = gameplay_events(raw)
+                   params: JobParams = JobParams(), gameplay: DataFrame | None = None) -> DataFrame:
+    """One row per (user, session, level_start timestamp, level).
+
+    ``gameplay`` is the flat output of :func:`gameplay_events`; pass a stored copy so
+    the stitch and the session-level branches read compact columns instead of
+    re-parsing the nested parameters of the export for each branch."""
+    gp = gameplay if gameplay is not None else gameplay_events(raw)
     stitched = stitch_attempts(gp, params)
     name = F.col("event_name")
     is_term = name.isin(*TERMINAL_EVENTS)

@@ -31,14 +31,15 @@ def web_session_events(raw: DataFrame) -> DataFrame:
     return ev.where(F.col(SESS).isNotNull())
 
 
-def web_sessions(raw: DataFrame, params: JobParams = JobParams()) -> DataFrame:
-    """One row per (user, ga_session_id).
+def web_sessions(raw: DataFrame, params: JobParams = JobParams(), events: DataFrame | None = None) -> DataFrame:
+    """One row per (user, ga_session_id).  ``events``: stored output of
+    :func:`web_session_events` (both branches then read flat columns).
 
     Plan: a hash aggregate with map-side combine for the counters, plus a
     first-N branch (partial WindowGroupLimit) for sequences and first-row values;
     both are hash-partitioned on (user, session) so the final join needs no shuffle.
     """
-    ev = web_session_events(raw)
+    ev = events if events is not None else web_session_events(raw)
     name = F.col("event_name")
     counters = ev.groupBy(USER, SESS).agg(
         F.min("event_date_parsed").alias("session_date"),

@@ -71,26 +71,42 @@ class Ctx:
         return scan_events_window(self.export("game"), *self.window, require_user=False)
 
     # web
+    @cached_property
+    def web_events(self) -> DataFrame:
+        """Flat in-session web events (parameters extracted once, then stored)."""
+        return self._table("web_events", lambda: Wb.web_session_events(self.raw_web))
+
     @cached_property
     def web_sessions(self) -> DataFrame:
-        return self._table("web_sessions", lambda: Wb.web_sessions(self.raw_web, self.params))
+        return self._table("web_sessions", lambda: Wb.web_sessions(self.raw_web, self.params, self.web_events))
 
     @cached_property
     def web_journeys(self) -> DataFrame:
         return self._table("web_journeys", lambda: Wb.web_user_journeys(self.web_sessions, self.w_end, self.params))
 
     # game
+    @cached_property
+    def game_events(self) -> DataFrame:
+        """Flat in-session game events (parameters extracted once, then stored)."""
+        return self._table("game_events", lambda: G.game_session_events(self.raw_game))
+
     @cached_property
     def game_sessions(self) -> DataFrame:
-        return self._table("game_sessions", lambda: G.game_sessions(self.raw_game, self.params))
+        return self._table("game_sessions", lambda: G.game_sessions(self.raw_game, self.params, self.game_events))
 
     @cached_property
     def ufo(self) -> DataFrame:
         return self._table("ufo", lambda: G.user_first_open(self.raw_game))
 
+    @cached_property
+    def gameplay(self) -> DataFrame:
+        """Flat in-session gameplay events: parameters extracted once, then stored."""
+        return self._table("gameplay", lambda: G.gameplay_events(self.raw_game))
+
     @cached_property
     def attempts(self) -> DataFrame:
-        return self._table("attempts", lambda: G.level_attempts(self.raw_game, self.ufo, self.params))
+        return self._table("attempts", lambda: G.level_attempts(self.raw_game, self.ufo, self.params,
+                                                                self.gameplay))
 
     @cached_property
     def game_journeys(self) -> DataFrame:

@@ -5,12 +5,11 @@ from datetime import timedelta
 from pathweave.operators import catalog_cohorts as CC
 from pathweave.operators import catalog_commerce as CM
 from pathweave.operators import catalog_paths as CP
-from pathweave.operators.web import web_session_events
 from pathweave.plans.registry import register
 
 
 def _ev(c):
-    return web_session_events(c.raw_web)
+    return c.web_events
 
 
 register("sequence_ngrams")(lambda c: CP.sequence_ngrams(_ev(c), 3))

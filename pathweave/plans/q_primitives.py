@@ -238,7 +238,7 @@ def top1_by_ignore_nulls_q(c):
 
 @register("ordered_array_limit")
 def ordered_array_limit_q(c):
-    ev = G.game_session_events(c.raw_game)
+    ev = c.game_events
     return A.ordered_array_limit(ev, [U, "ga_session_id"], ["event_timestamp", "event_id"],
                                  {"first4": F.col("event_name")}, 4)
 
@@ -276,7 +276,7 @@ def count_distinct_if_q(c):
 # ---------------------------------------------------------------- windows (W*)
 @register("carry_forward")
 def carry_forward_q(c):
-    gp = G.gameplay_events(c.raw_game)
+    gp = c.gameplay
     st = G.stitch_attempts(gp, c.params)
     return st.select("event_id", "attempt_start_ts_us", "attempt_level_id", "latest_retry_streak")
 
@@ -303,7 +303,7 @@ def session_rank_q(c):
 def carry_forward_bucketed_small_q(c):
     """Same carry with one-minute buckets: many buckets per session exercise the
     cross-bucket step; must equal the single-window result."""
-    gp = G.gameplay_events(c.raw_game)
+    gp = c.gameplay
     name = F.col("event_name")
     st = carry_forward(gp, [U, "ga_session_id"], "event_timestamp", ["event_id"],
                        {"attempt_start_ts_us": F.when(name == "level_start", F.col("event_timestamp"))},

@@ -83,7 +83,7 @@ class TableStore:
         self.spark = spark
         sig = tuple(_input_signature(spark, p) for p in inputs)
         self.root = os.path.join(checkpoint_dir(spark), "pathweave-tables",
-                                 _fingerprint((_CODE_VERSION, key_parts, sig)))
+                                 _fingerprint((_CODE_VERSION, os.environ.get("PATHWEAVE_STORE_TAG", ""), key_parts, sig)))
 
     def get(self, name: str, build, partition_by: list[str] | None = None, schema=None) -> DataFrame:
         path = os.path.join(self.root, name)
