@@ -10,7 +10,7 @@ def ev_cte(product: str) -> str:
     base = """
 ev_src AS (
   SELECT event_id AS eid, ts, user_id AS uid, event_type AS t, value,
-         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
          date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS n
   FROM events
 ),

@@ -26,9 +26,14 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
+    odd = [(f.name, f.dataType.simpleString()) for f in df.schema.fields
+           if f.dataType.simpleString() not in ("bigint", "double", "string", "boolean")]
+    assert not odd, f"{name}: non-canonical Spark types {odd}"
     srows = [tuple(r) for r in df.collect()]
     res = con.execute(SQL[name])
     ocols = [d[0] for d in res.description]
+    otypes = dict(con.execute(f"DESCRIBE ({SQL[name]})").fetchall()[i][:2] for i in range(len(ocols)))
+    assert set(otypes.values()) <= {"BIGINT", "DOUBLE", "VARCHAR", "BOOLEAN"}, f"{name}: {otypes}"
     problem = compare(df.columns, srows, ocols, res.fetchall())
     assert problem is None, f"{name}: {problem}"
 
