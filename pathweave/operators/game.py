@@ -142,17 +142,6 @@ def attempt_outcome(completes: Column, fails: Column) -> Column:
     return (F.when(completes > 0, "complete").when(fails > 0, "fail").otherwise("abandoned"))
 
 
-def _snapshot(col: str) -> Column:
-    """Terminal-event value, else popup / pause value."""
-    name = F.col("event_name")
-    return F.coalesce(F.max(F.when(name.isin(*TERMINAL_EVENTS), F.col(col))),
-                      F.max(F.when(name.isin(*SNAPSHOT_EVENTS), F.col(col))))
-
-
-def _term_max(expr: Column) -> Column:
-    return F.max(F.when(F.col("event_name").isin(*TERMINAL_EVENTS), expr))
-
-
 def level_attempts(raw: DataFrame, ufo: DataFrame | None = None,
                    params: JobParams = JobParams(), gameplay: DataFrame | None = None) -> DataFrame:
     """One row per (user, session, level_start timestamp, level).
@@ -163,51 +152,71 @@ def level_attempts(raw: DataFrame, ufo: DataFrame | None = None,
     gp = gameplay if gameplay is not None else gameplay_events(raw)
     stitched = stitch_attempts(gp, params)
     name = F.col("event_name")
-    is_term = name.isin(*TERMINAL_EVENTS)
-    aa = (stitched.where(F.col("attempt_start_ts_us").isNotNull() & F.col("attempt_level_id").isNotNull())
-          .groupBy(USER, SESS, "attempt_start_ts_us", F.col("attempt_level_id").alias("level_id"))
-          .agg(
-              F.min("event_date_parsed").alias("session_date"),
-              F.min(F.when(name == "level_start", F.col("current_level"))).alias("current_level_at_start"),
-              F.min(F.when(is_term, F.col("attempt_number"))).alias("attempt_number"),
-              F.min(F.when(name == "level_start", F.col("latest_retry_streak"))).alias("retry_streak_number"),
-              F.count_if(name == "level_complete").alias("_n_complete"),
-              F.count_if(name == "level_fail").alias("_n_fail"),
-              F.coalesce(F.max(F.when(name == "level_complete", F.col("completion_time"))),
-                         F.max(F.when(name == "level_fail", F.col("fail_time_val")))).alias("duration_s"),
-              F.max(F.when(name == "level_fail", F.col("fail_reason"))).alias("fail_reason"),
-              F.max(F.when(name == "level_complete", F.col("stars_gained"))).alias("stars_gained"),
-              _snapshot("items_cleared_perc").alias("items_cleared_perc"),
-              _snapshot("objectives_left_perc").alias("objectives_left_perc"),
-              _snapshot("time_left_perc").alias("time_left_perc"),
-              _term_max(F.col("pre_boosters_chief_level")).alias("pre_boosters_chief_level"),
-              _term_max(S.int_at("b_arr", 0)).alias("boosters_vacuum"),
-              _term_max(S.int_at("b_arr", 1)).alias("boosters_spring"),
-              _term_max(S.int_at("b_arr", 2)).alias("boosters_fan"),
-              _term_max(S.int_at("b_arr", 3)).alias("boosters_ice"),
-              _term_max(S.int_at("pbm_arr", 0) > 0).alias("pre_hammer"),
-              _term_max(S.int_at("pbm_arr", 1) > 0).alias("pre_sandglass"),
-              _term_max(S.int_at("eb_arr", 0)).alias("end_clear_bar"),
-              _term_max(S.int_at("eb_arr", 1)).alias("end_extra_time"),
-              F.count_if(name.isin(*REVIVE_EVENTS)).alias("revive_count"),
-              F.bool_or(F.coalesce(F.col("shop_purchase_flag"), F.lit(0)) > 0).alias("had_shop_purchase"),
-              F.count_if(name == "game_paused").alias("pause_count"),
-              F.max(F.when(name == "game_paused", F.col("items_cleared_perc"))).alias("pause_max_progress_perc"),
-              F.count_if(name == "pause_quit_cancelled").alias("pause_quit_cancelled_count"),
-              F.count_if(name == "fail_stack_full").alias("fail_stack_full_popup_count"),
-              F.count_if(name == "fail_time_up").alias("fail_time_up_popup_count"),
-              A.array_concat_agg(F.when(name == "fail_stack_full", F.col("stack_items")),
-                                 "event_timestamp", "event_id").alias("stack_fail_items"),
-          ))
-    # Documented deviation: the popup mode counts revive events only (non-revive
-    # rows would make NULL the mode of almost every attempt).
+    is_term, is_snap = name.isin(*TERMINAL_EVENTS), name.isin(*SNAPSHOT_EVENTS)
     akeys = [USER, SESS, "attempt_start_ts_us", "level_id"]
-    revives = (stitched.where(name.isin(*REVIVE_EVENTS) & F.col("attempt_start_ts_us").isNotNull()
-                              & F.col("attempt_level_id").isNotNull())
-               .select(USER, SESS, "attempt_start_ts_us", F.col("attempt_level_id").alias("level_id"), "from_popup"))
-    pm = A.modes(revives, akeys, {"revive_from_popup_mode": F.col("from_popup")},
-                 ignore_nulls=("revive_from_popup_mode",))
-    aa = aa.join(pm, akeys, "left")
+
+    def w(cond, col):
+        return F.when(cond, col if isinstance(col, Column) else F.col(col))
+
+    # (output, per-event expression, merge) -- mergeable parts of every attempt measure
+    parts = [
+        ("session_date", F.col("event_date_parsed"), "min"),
+        ("current_level_at_start", w(name == "level_start", "current_level"), "min"),
+        ("attempt_number", w(is_term, "attempt_number"), "min"),
+        ("retry_streak_number", w(name == "level_start", "latest_retry_streak"), "min"),
+        ("_dur_c", w(name == "level_complete", "completion_time"), "max"),
+        ("_dur_f", w(name == "level_fail", "fail_time_val"), "max"),
+        ("fail_reason", w(name == "level_fail", "fail_reason"), "max"),
+        ("stars_gained", w(name == "level_complete", "stars_gained"), "max"),
+        *[(f"_{c}_{k}", w(cond, c), "max") for c in ("items_cleared_perc", "objectives_left_perc", "time_left_perc")
+          for k, cond in (("t", is_term), ("s", is_snap))],
+        ("pre_boosters_chief_level", w(is_term, "pre_boosters_chief_level"), "max"),
+        ("boosters_vacuum", w(is_term, S.int_at("b_arr", 0)), "max"),
+        ("boosters_spring", w(is_term, S.int_at("b_arr", 1)), "max"),
+        ("boosters_fan", w(is_term, S.int_at("b_arr", 2)), "max"),
+        ("boosters_ice", w(is_term, S.int_at("b_arr", 3)), "max"),
+        ("pre_hammer", w(is_term, S.int_at("pbm_arr", 0) > 0), "max"),
+        ("pre_sandglass", w(is_term, S.int_at("pbm_arr", 1) > 0), "max"),
+        ("end_clear_bar", w(is_term, S.int_at("eb_arr", 0)), "max"),
+        ("end_extra_time", w(is_term, S.int_at("eb_arr", 1)), "max"),
+        ("had_shop_purchase", F.coalesce(F.col("shop_purchase_flag"), F.lit(0)) > 0, "or"),
+        ("pause_max_progress_perc", w(name == "game_paused", "items_cleared_perc"), "max"),
+    ]
+    counts = [("_n_complete", name == "level_complete"), ("_n_fail", name == "level_fail"),
+              ("revive_count", name.isin(*REVIVE_EVENTS)), ("pause_count", name == "game_paused"),
+              ("pause_quit_cancelled_count", name == "pause_quit_cancelled"),
+              ("fail_stack_full_popup_count", name == "fail_stack_full"),
+              ("fail_time_up_popup_count", name == "fail_time_up")]
+    first_agg = {"min": F.min, "max": F.max, "or": F.bool_or}
+    # Two-level aggregate.  Level 1 groups by attempt and revive popup value (null for
+    # non-revive events), so the popup mode needs no second pass over the stitched
+    # events; level 2 merges the parts per attempt.  Both levels combine map-side.
+    # Documented deviation: the popup mode counts revive events only.
+    popup = F.when(name.isin(*REVIVE_EVENTS), F.col("from_popup"))
+    items = F.when(name == "fail_stack_full",
+                   F.struct(F.col("event_timestamp").alias("o0"), F.col("event_id").alias("o1"),
+                            F.col("stack_items").alias("arr")))
+    lvl1 = (stitched.where(F.col("attempt_start_ts_us").isNotNull() & F.col("attempt_level_id").isNotNull())
+            .groupBy(USER, SESS, "attempt_start_ts_us", F.col("attempt_level_id").alias("level_id"),
+                     popup.alias("_popup"))
+            .agg(*[first_agg[m](e).alias(n) for n, e, m in parts],
+                 *[F.count_if(c).alias(n) for n, c in counts],
+                 F.count(F.lit(1)).alias("_popup_n"),
+                 F.collect_list(items).alias("_items")))
+    merge = {"min": F.min, "max": F.max, "or": F.bool_or}
+    aa = lvl1.groupBy(*akeys).agg(
+        *[merge[m](n).alias(n) for n, _, m in parts],
+        *[F.sum(n).alias(n) for n, _ in counts],
+        F.min_by("_popup", F.when(F.col("_popup").isNotNull(), F.struct(-F.col("_popup_n"), F.col("_popup"))))
+        .alias("revive_from_popup_mode"),
+        F.flatten(F.collect_list("_items")).alias("_items"))
+    aa = aa.select(
+        *akeys, *[n for n, _, _ in parts if not n.startswith("_")], *[n for n, _ in counts],
+        "revive_from_popup_mode",
+        F.coalesce("_dur_c", "_dur_f").alias("duration_s"),
+        *[F.coalesce(f"_{c}_t", f"_{c}_s").alias(c) for c in ("items_cleared_perc", "objectives_left_perc",
+                                                            "time_left_perc")],
+        F.flatten(F.transform(F.array_sort("_items"), lambda e: e["arr"])).alias("stack_fail_items"))
     # ab_test is a session property (max over the session's custom_session_start events)
     session_ab = (gp.where(name == "custom_session_start").groupBy(USER, SESS)
                   .agg(F.max("ab_test_param").alias("ab_test")))
