@@ -32,9 +32,10 @@ def test_query_matches_oracle(spark, con, name):
     srows = [tuple(r) for r in df.collect()]
     res = con.execute(SQL[name])
     ocols = [d[0] for d in res.description]
-    otypes = dict(con.execute(f"DESCRIBE ({SQL[name]})").fetchall()[i][:2] for i in range(len(ocols)))
+    orows = res.fetchall()
+    otypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({SQL[name]})").fetchall()}
     assert set(otypes.values()) <= {"BIGINT", "DOUBLE", "VARCHAR", "BOOLEAN"}, f"{name}: {otypes}"
-    problem = compare(df.columns, srows, ocols, res.fetchall())
+    problem = compare(df.columns, srows, ocols, orows)
     assert problem is None, f"{name}: {problem}"
 
 
