@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pathweave.functions import aggs as A
 
 U = "user_pseudo_id"
+# One global sketch per cut-point set: exact up to a million rows, bounded memory.
+CUT_ACCURACY = 1_000_000
+MONEY = "decimal(18,2)"  # order totals are cents; decimal sums do not depend on order
 
 
 def _week(d) -> Column:
@@ -38,13 +41,13 @@ def cohort_ltv(sessions: DataFrame) -> DataFrame:
     x = sessions.select(U, "session_date", "revenue").join(first, U)
     x = x.select(_week("first_seen").alias("cohort_week"),
                  F.floor(F.datediff(_week("session_date"), _week("first_seen")) / 7).cast("int").alias("week_offset"),
-                 F.col("revenue").cast("double").alias("revenue"), U)
+                 F.col("revenue"), U)
     g = x.groupBy("cohort_week", "week_offset").agg(F.sum("revenue").alias("revenue"))
     size = first.groupBy(_week("first_seen").alias("cohort_week")).agg(F.count(F.lit(1)).alias("cohort_size"))
     w = Window.partitionBy("cohort_week").orderBy("week_offset").rowsBetween(Window.unboundedPreceding, 0)
     return g.join(size, "cohort_week").select(
         "cohort_week", "week_offset", "cohort_size", "revenue",
-        (F.sum("revenue").over(w) / F.col("cohort_size")).alias("cumulative_ltv"))
+        (F.sum("revenue").over(w).cast("double") / F.col("cohort_size")).alias("cumulative_ltv"))
 
 
 def lag_distribution(sessions: DataFrame) -> DataFrame:
@@ -86,9 +89,9 @@ def rfm_and_lifecycle(journeys: DataFrame, w_end: date) -> DataFrame:
     base = journeys.select(U, rec.alias("recency_days"), F.col("total_sessions").alias("frequency"),
                            F.col("total_revenue").cast("double").alias("monetary"))
     qs = [0.2, 0.4, 0.6, 0.8]
-    th = base.agg(F.percentile_approx("recency_days", qs).alias("qr"),
-                  F.percentile_approx("frequency", qs).alias("qf"),
-                  F.percentile_approx("monetary", qs).alias("qm"))
+    th = base.agg(F.percentile_approx("recency_days", qs, CUT_ACCURACY).alias("qr"),
+                  F.percentile_approx("frequency", qs, CUT_ACCURACY).alias("qf"),
+                  F.percentile_approx("monetary", qs, CUT_ACCURACY).alias("qm"))
     x = base.crossJoin(F.broadcast(th))  # exactly one row
     r = 6 - _score(F.col("recency_days"), F.col("qr"))  # recent = high score
     x = x.select(U, "recency_days", "frequency", "monetary", r.alias("r_score"),
@@ -103,22 +106,23 @@ def rfm_and_lifecycle(journeys: DataFrame, w_end: date) -> DataFrame:
 
 def pareto_concentration(orders: DataFrame, buckets: int = 10) -> DataFrame:
     """Revenue by customer decile (top decile = 1) with cumulative revenue share."""
-    rev = orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("revenue"))
+    rev = orders.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("revenue"))
     qs = [i / buckets for i in range(1, buckets)]
-    th = rev.agg(F.percentile_approx("revenue", qs).alias("q"))
+    th = rev.agg(F.percentile_approx("revenue", qs, CUT_ACCURACY).alias("q"))
     x = rev.crossJoin(F.broadcast(th)).select(
         "revenue", (buckets - F.size(F.filter("q", lambda t: t < F.col("revenue")))).alias("decile"))
     g = x.groupBy("decile").agg(F.count(F.lit(1)).alias("customers"), F.sum("revenue").alias("revenue"))
     w = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)  # <= buckets rows
     return g.select("decile", "customers", "revenue",
-                    (F.sum("revenue").over(w) / F.sum("revenue").over(Window.partitionBy())).alias("cum_revenue_share"))
+                    (F.sum("revenue").over(w).cast("double") / F.sum("revenue").over(Window.partitionBy()).cast("double"))
+                    .alias("cum_revenue_share"))
 
 
 def period_deltas(sessions: DataFrame) -> DataFrame:
     """Weekly sessions, users, revenue with week-over-week change."""
     g = sessions.groupBy(_week("session_date").alias("week")).agg(
         F.count(F.lit(1)).alias("sessions"), F.count_distinct(U).alias("users"),
-        F.sum(F.col("revenue").cast("double")).alias("revenue"))
+        F.sum("revenue").cast("double").alias("revenue"))
     w = Window.orderBy("week")  # one row per week
     return g.select("*", *[F.try_divide(F.col(c) - F.lag(c).over(w), F.lag(c).over(w).cast("double"))
                            .alias(f"{c}_wow") for c in ("sessions", "users", "revenue")])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathweave.functions import scalars as S
 from pathweave.operators.asof import running_row_number
+from pathweave.operators.catalog_cohorts import CUT_ACCURACY, MONEY
 
 U, SESS = "user_pseudo_id", "ga_session_id"
 
@@ -13,8 +14,8 @@ U, SESS = "user_pseudo_id", "ga_session_id"
 def behaviour_clusters(journeys: DataFrame) -> DataFrame:
     """Rule-based behaviour segments from quantile cut points (median sessions and
     events, one global aggregate) crossed with buyer status."""
-    th = journeys.agg(F.percentile_approx("total_sessions", 0.5).alias("med_s"),
-                      F.percentile_approx("total_events", 0.5).alias("med_e"))
+    th = journeys.agg(F.percentile_approx("total_sessions", 0.5, CUT_ACCURACY).alias("med_s"),
+                      F.percentile_approx("total_events", 0.5, CUT_ACCURACY).alias("med_e"))
     x = journeys.crossJoin(F.broadcast(th))  # one row
     eng = F.when((F.col("total_sessions") > F.col("med_s")) & (F.col("total_events") > F.col("med_e")), "high") \
         .when((F.col("total_sessions") > F.col("med_s")) | (F.col("total_events") > F.col("med_e")), "mid") \
@@ -23,7 +24,7 @@ def behaviour_clusters(journeys: DataFrame) -> DataFrame:
     c = F.concat(eng, F.lit("_"), buyer)
     return x.groupBy(c.alias("cluster")).agg(
         F.count(F.lit(1)).alias("users"), F.avg("total_sessions").alias("avg_sessions"),
-        F.avg(F.col("total_revenue").cast("double")).alias("avg_revenue"))
+        F.avg("total_revenue").alias("avg_revenue"))
 
 
 def conversion_cube(sessions: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def order_cube(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> Dat
          .join(F.broadcast(nation.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey")))
     return x.cube("n_name", "c_mktsegment", "o_orderpriority").agg(
         F.grouping_id().alias("grouping_id"), F.count(F.lit(1)).alias("orders"),
-        F.sum("o_totalprice").alias("revenue"))
+        F.sum(F.col("o_totalprice").cast(MONEY)).alias("revenue"))
 
 
 def attribution(sessions: DataFrame) -> DataFrame:

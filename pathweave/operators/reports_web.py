@@ -77,7 +77,7 @@ def group_contrast(j: DataFrame) -> DataFrame:
     return j.groupBy().pivot(G_, list(WEB_GROUPS)).agg(
         F.avg("total_sessions").alias("avg_sessions"),
         F.avg("total_events").alias("avg_events"),
-        F.avg(F.col("total_revenue").cast("double")).alias("avg_revenue"),
+        F.avg("total_revenue").alias("avg_revenue"),
         F.avg(F.col("had_add_to_cart").cast("int")).alias("add_to_cart_rate"))
 
 
@@ -88,7 +88,7 @@ def small_sample_flag(j: DataFrame, min_users: int = SMALL_SAMPLE_USERS) -> Data
 
 def groups_at_a_glance(j: DataFrame) -> DataFrame:
     g = j.groupBy(G_).agg(F.count(F.lit(1)).alias("users"), F.avg("total_sessions").alias("avg_sessions"),
-                          F.avg(F.col("total_revenue").cast("double")).alias("avg_revenue"))
+                          F.avg("total_revenue").alias("avg_revenue"))
     return g.select(G_, "users", _share("users").alias("share"), "avg_sessions", "avg_revenue")
 
 
@@ -141,7 +141,8 @@ def underdelivering_channels(j: DataFrame) -> DataFrame:
 def lost_buyer_value(j: DataFrame) -> DataFrame:
     b = j.where(F.col(G_).isin("active_buyer", "churned_buyer"))
     g = b.groupBy(G_).agg(F.count(F.lit(1)).alias("users"),
-                          F.sum(F.col("total_revenue").cast("double")).alias("revenue"))
+                          F.sum("total_revenue").alias("revenue"))
+    g = g.withColumn("revenue", F.col("revenue").cast("double"))
     return g.select(G_, "users", "revenue", (F.col("revenue") / F.col("users")).alias("avg_revenue"),
                     _share("revenue").alias("share_of_buyer_revenue"))
 

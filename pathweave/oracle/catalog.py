@@ -99,7 +99,7 @@ FROM g JOIN sz ON g.cohort_week = sz.cohort_week""",
 fs AS (SELECT user_pseudo_id, min(session_date) AS first_seen FROM ws GROUP BY 1),
 x AS (SELECT {WEEK.format('f.first_seen')} AS cohort_week,
   CAST(floor(date_diff('day', {WEEK.format('f.first_seen')}, {WEEK.format('s.session_date')}) / 7) AS INTEGER) AS week_offset,
-  CAST(s.revenue AS DOUBLE) AS revenue FROM ws s JOIN fs f ON s.user_pseudo_id = f.user_pseudo_id),
+  s.revenue AS revenue FROM ws s JOIN fs f ON s.user_pseudo_id = f.user_pseudo_id),
 g AS (SELECT cohort_week, week_offset, sum(revenue) AS revenue FROM x GROUP BY 1, 2),
 sz AS (SELECT {WEEK.format('first_seen')} AS cohort_week, count(*) AS cohort_size FROM fs GROUP BY 1)
 SELECT CAST(g.cohort_week AS VARCHAR) AS cohort_week, CAST(g.week_offset AS BIGINT) AS week_offset, sz.cohort_size,
@@ -133,16 +133,16 @@ SELECT user_pseudo_id, recency_days, frequency, {r6('monetary')} AS monetary, CA
   CASE WHEN r_score >= 4 AND f_score >= 4 THEN 'champion' WHEN r_score <= 2 AND f_score >= 4 THEN 'at_risk'
     WHEN r_score >= 4 AND f_score <= 2 THEN 'new_or_light' WHEN r_score <= 2 THEN 'hibernating' ELSE 'regular' END AS segment
 FROM x""",
-    "pareto_concentration": """WITH rev AS (SELECT o_custkey, sum(o_totalprice) AS revenue FROM orders GROUP BY 1),
+    "pareto_concentration": """WITH rev AS (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS revenue FROM orders GROUP BY 1),
 th AS (SELECT quantile_disc(revenue, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM rev),
 x AS (SELECT revenue, 10 - len(list_filter(q, lambda t: t < revenue)) AS decile FROM rev, th),
 g AS (SELECT decile, count(*) AS customers, sum(revenue) AS revenue FROM x GROUP BY 1)
-SELECT CAST(decile AS BIGINT) AS decile, customers, round(revenue, 6) AS revenue,
-  round(sum(revenue) OVER (ORDER BY decile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(revenue) OVER (), 6)
+SELECT CAST(decile AS BIGINT) AS decile, customers, round(CAST(revenue AS DOUBLE), 6) AS revenue,
+  round(CAST(sum(revenue) OVER (ORDER BY decile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / CAST(sum(revenue) OVER () AS DOUBLE), 6)
   AS cum_revenue_share FROM g""",
     "period_deltas": f"""{WS},
 g AS (SELECT {WEEK.format('session_date')} AS week, count(*) AS sessions, count(DISTINCT user_pseudo_id) AS users,
-  sum(CAST(revenue AS DOUBLE)) AS revenue FROM ws GROUP BY 1)
+  CAST(sum(revenue) AS DOUBLE) AS revenue FROM ws GROUP BY 1)
 SELECT CAST(week AS VARCHAR) AS week, sessions, users, round(revenue, 6) AS revenue,
   round((sessions - lag(sessions) OVER w) / nullif(CAST(lag(sessions) OVER w AS DOUBLE), 0), 6) AS sessions_wow,
   round((users - lag(users) OVER w) / nullif(CAST(lag(users) OVER w AS DOUBLE), 0), 6) AS users_wow,
@@ -173,7 +173,7 @@ x AS (SELECT wj.*, CASE WHEN total_sessions > med_s AND total_events > med_e THE
   WHEN total_sessions > med_s OR total_events > med_e THEN 'mid' ELSE 'low' END || '_' ||
   CASE WHEN total_purchases > 0 THEN 'buyer' ELSE 'browser' END AS cluster FROM wj, th)
 SELECT cluster, count(*) AS users, {r6('avg(total_sessions)')} AS avg_sessions,
-  {r6('avg(CAST(total_revenue AS DOUBLE))')} AS avg_revenue FROM x GROUP BY 1""",
+  {r6('avg(total_revenue)')} AS avg_revenue FROM x GROUP BY 1""",
     "conversion_cube": f"""{WS},
 x AS (SELECT coalesce(source, '(none)') AS source, coalesce(device_category, '(none)') AS device_category,
   {url_path_sql('landing_page')} AS landing_path, converted_this_session FROM ws),
@@ -186,7 +186,7 @@ SELECT source, device_category, landing_path, CAST(grouping_id AS BIGINT) AS gro
   AS deviation_from_total FROM g""",
     "order_cube": """SELECT n_name, c_mktsegment, o_orderpriority,
   CAST(grouping(n_name, c_mktsegment, o_orderpriority) AS BIGINT) AS grouping_id, count(*) AS orders,
-  round(sum(o_totalprice), 6) AS revenue
+  round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE), 6) AS revenue
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY CUBE (n_name, c_mktsegment, o_orderpriority)""",
     "attribution": f"""{WS},

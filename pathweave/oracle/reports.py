@@ -23,7 +23,7 @@ BAND = """CASE WHEN level_id_numeric BETWEEN 1 AND 5 THEN '1-5' WHEN level_id_nu
 _contrast = ",\n  ".join(
     f"{r6(f'avg(total_sessions) FILTER (WHERE user_group = {chr(39)}{g}{chr(39)})')} AS {g}_avg_sessions, "
     f"{r6(f'avg(total_events) FILTER (WHERE user_group = {chr(39)}{g}{chr(39)})')} AS {g}_avg_events, "
-    f"{r6(f'avg(CAST(total_revenue AS DOUBLE)) FILTER (WHERE user_group = {chr(39)}{g}{chr(39)})')} AS {g}_avg_revenue, "
+    f"{r6(f'avg(total_revenue) FILTER (WHERE user_group = {chr(39)}{g}{chr(39)})')} AS {g}_avg_revenue, "
     f"{r6(f'avg(CAST(had_add_to_cart AS INTEGER)) FILTER (WHERE user_group = {chr(39)}{g}{chr(39)})')} AS {g}_add_to_cart_rate"
     for g in GROUPS)
 
@@ -39,7 +39,7 @@ SQL = {
     "web_baseline": f"""{WJ}
 SELECT user_group, users, {r6('users / sum(users) OVER ()')} AS share, {r6('revenue')} AS revenue, purchasers,
   {rate('purchasers', 'users')} AS purchase_rate
-FROM (SELECT user_group, count(*) AS users, sum(CAST(total_revenue AS DOUBLE)) AS revenue,
+FROM (SELECT user_group, count(*) AS users, CAST(sum(total_revenue) AS DOUBLE) AS revenue,
   count(*) FILTER (WHERE total_purchases > 0) AS purchasers FROM wj GROUP BY user_group)""",
     "group_mix": f"""{WJ}
 SELECT user_group, 'first_touch_source' AS dimension, value, users,
@@ -73,7 +73,7 @@ SELECT user_group, count(*) AS users, count(*) < 30 AS is_small_sample FROM wj G
 SELECT user_group, users, {r6('users / sum(users) OVER ()')} AS share, {r6('avg_sessions')} AS avg_sessions,
   {r6('avg_revenue')} AS avg_revenue
 FROM (SELECT user_group, count(*) AS users, avg(total_sessions) AS avg_sessions,
-  avg(CAST(total_revenue AS DOUBLE)) AS avg_revenue FROM wj GROUP BY user_group)""",
+  avg(total_revenue) AS avg_revenue FROM wj GROUP BY user_group)""",
     "conversion_lift": f"""{WJ}
 , s AS ({_signals}),
 g AS (SELECT signal, count(*) FILTER (WHERE has) AS users_with,
@@ -101,7 +101,7 @@ b AS (SELECT *, CAST(churned_non_buyers AS DOUBLE) / users AS cnb_share,
 SELECT channel, users, churned_non_buyers, round(cnb_share, 6) AS cnb_share, round(baseline_share, 6) AS baseline_share,
   round(cnb_share / nullif(baseline_share, 0), 6) AS ratio_to_baseline FROM b""",
     "lost_buyer_value": f"""{WJ}
-, g AS (SELECT user_group, count(*) AS users, sum(CAST(total_revenue AS DOUBLE)) AS revenue FROM wj
+, g AS (SELECT user_group, count(*) AS users, CAST(sum(total_revenue) AS DOUBLE) AS revenue FROM wj
   WHERE user_group IN ('active_buyer', 'churned_buyer') GROUP BY user_group)
 SELECT user_group, users, round(revenue, 6) AS revenue, round(revenue / users, 6) AS avg_revenue,
   round(revenue / sum(revenue) OVER (), 6) AS share_of_buyer_revenue FROM g""",
