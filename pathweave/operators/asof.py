@@ -6,8 +6,8 @@ key (a user, a session) into one task.  At scale one key may hold a large share
 of all rows, so the scan is split by time bucket:
 
 1. per (key, bucket): the running value inside the bucket (window, one task per bucket);
-2. per (key, bucket): the bucket's summary (last non-null value, or row count),
-   grouped on the same partitioning, so no extra shuffle;
+2. per (key, bucket): the bucket's summary (its last row's running value, or its
+   row count), on the same partitioning, so no extra shuffle;
 3. per key over the (few) bucket rows: the value of all earlier buckets;
 4. join 3 back on (key, bucket) and combine.
 
@@ -30,16 +30,19 @@ def carry_forward(df: DataFrame, keys: list[str], ts: str, tie: list[str],
     src = df.select("*", F.floor(F.col(ts) / F.lit(bucket_us)).alias("_bkt"),
                     *[values[n].alias(f"_src_{n}") for n in names])
     order = [F.col(ts), *[F.col(t) for t in tie]]
+    w_bucket = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     upto = Window.currentRow if include_current else -1
-    w_local = (Window.partitionBy(*keys, "_bkt").orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, upto))
-    local = src.select(*base_cols, "_bkt", *[f"_src_{n}" for n in names],
-                       *[F.last(f"_src_{n}", ignorenulls=True).over(w_local).alias(f"_loc_{n}")
-                         for n in names])
-    ord_struct = F.struct(*order)
-    per_bucket = local.groupBy(*keys, "_bkt").agg(
-        *[F.max_by(f"_src_{n}", F.when(F.col(f"_src_{n}").isNotNull(), ord_struct)).alias(f"_end_{n}")
-          for n in names])
+    w_local = w_bucket.rowsBetween(Window.unboundedPreceding, upto)
+    w_incl = w_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One Window node (same partitioning and order) gives the running value, the
+    # running value including the row, and a flag for the bucket's last row.
+    local = src.select(*base_cols, "_bkt",
+                       *[F.last(f"_src_{n}", ignorenulls=True).over(w_local).alias(f"_loc_{n}") for n in names],
+                       *[F.last(f"_src_{n}", ignorenulls=True).over(w_incl).alias(f"_inc_{n}") for n in names],
+                       F.lead(F.lit(1)).over(w_bucket).isNull().alias("_is_last"))
+    # The bucket summary is simply its last row: no aggregation needed.
+    per_bucket = local.where("_is_last").select(*keys, "_bkt", *[F.col(f"_inc_{n}").alias(f"_end_{n}")
+                                                              for n in names])
     w_prev = (Window.partitionBy(*keys).orderBy("_bkt")
               .rowsBetween(Window.unboundedPreceding, -1))
     carried = per_bucket.select(*keys, "_bkt",
