@@ -43,14 +43,26 @@ def stream_session_rollup(clean: DataFrame, gap: str = "30 minutes") -> DataFram
         F.count_if(F.col("event_name") == "purchase").alias("purchases"))
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
+                      state_partitions: int | None = None) -> DataFrame:
     """Run a streaming query over everything available, into Parquet under the
-    checkpoint folder; return the written result as a batch DataFrame."""
+    checkpoint folder; return the written result as a batch DataFrame.
+
+    A stateful stream keeps the shuffle-partition count of its first start for its
+    whole life (it is stored in the checkpoint).  ``state_partitions`` (default: the
+    cluster's default parallelism) is applied only while the query starts; the
+    session setting is restored right after."""
     spark = df.sparkSession
     root = os.path.join(checkpoint_dir(spark), "pathweave-streams", name)
     out, ckpt = os.path.join(root, "out"), os.path.join(root, "ckpt")
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode(output_mode).trigger(availableNow=True).start())
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+             .outputMode(output_mode).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
     return spark.read.parquet(out)
 
