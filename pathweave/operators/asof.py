@@ -83,3 +83,20 @@ def running_row_number(df: DataFrame, keys: list[str], ts: str, tie: list[str],
     before = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_before"))
     j = local.join(before, [*keys, "_bkt"], "left")
     return j.select(*base_cols, (F.col("_rn") + F.col("_before")).alias(out))
+
+
+def running_sum(df: DataFrame, keys: list[str], ts: str, tie: list[str], value: str, bucket: int,
+                out: str = "running_sum") -> DataFrame:
+    """SUM(value) over (keys) ordered by (ts, *tie) up to the row: the running sum
+    inside the (key, bucket) plus the totals of all earlier buckets.  ``keys`` may be
+    empty (one global order): the work is still spread over the buckets."""
+    base_cols = df.columns
+    x = df.select("*", F.floor(F.col(ts) / F.lit(bucket)).alias("_bkt"))
+    w_local = (Window.partitionBy(*keys, "_bkt").orderBy(F.col(ts), *[F.col(t) for t in tie])
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = x.select("*", F.sum(value).over(w_local).alias("_rs"))
+    totals = local.groupBy(*keys, "_bkt").agg(F.sum(value).alias("_t"))
+    w_prev = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_bkt", F.coalesce(F.sum("_t").over(w_prev), F.lit(0)).alias("_before"))
+    j = local.join(before, [*keys, "_bkt"], "left")
+    return j.select(*base_cols, (F.col("_rs") + F.col("_before")).alias(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathweave.functions import scalars as S
-from pathweave.operators.asof import running_row_number
+from pathweave.operators.asof import running_row_number, running_sum
 from pathweave.operators.catalog_cohorts import CUT_ACCURACY, MONEY
 
 U, SESS = "user_pseudo_id", "ga_session_id"
@@ -37,8 +37,10 @@ def conversion_cube(sessions: DataFrame) -> DataFrame:
         F.grouping_id().alias("grouping_id"), F.count(F.lit(1)).alias("sessions"),
         F.count_if("converted_this_session").alias("conversions"))
     rate = F.col("conversions") / F.col("sessions")
-    total = F.max(F.when(F.col("grouping_id") == 7, rate)).over(Window.partitionBy())
-    return g.select("*", rate.alias("conversion_rate"), (rate - total).alias("deviation_from_total"))
+    # the overall rate is the grand-total row of the cube: one row, joined to all
+    total = g.where(F.col("grouping_id") == 7).select(rate.alias("_total"))
+    return g.crossJoin(F.broadcast(total)).select(
+        *g.columns, rate.alias("conversion_rate"), (rate - F.col("_total")).alias("deviation_from_total"))
 
 
 def order_cube(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
@@ -83,9 +85,12 @@ def search_terms(ev: DataFrame, term_col: str = "search_term", results_col: str
     (The synthetic export has no search-term field; tested on hand-made rows.)"""
     g = ev.where(F.col(term_col).isNotNull()).groupBy(F.lower(F.trim(term_col)).alias("term")).agg(
         F.count(F.lit(1)).alias("searches"), F.count_if(F.col(results_col) == 0).alias("zero_result"))
-    w = Window.orderBy(F.desc("searches"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    return g.select("*", (F.sum("searches").over(w) / F.sum("searches").over(Window.partitionBy()))
-                    .alias("cum_share"))
+    # cumulative share in (searches desc, term) order, bucketed by the search count so
+    # no single task holds all terms; the total is a one-row aggregate
+    ranked = running_sum(g.withColumn("_neg", -F.col("searches")), [], "_neg", ["term"], "searches", 1, "_cum")
+    total = g.agg(F.sum("searches").alias("_total"))
+    return ranked.crossJoin(F.broadcast(total)).select(
+        "term", "searches", "zero_result", (F.col("_cum") / F.col("_total")).alias("cum_share"))
 
 
 def order_value(orders: DataFrame, bucket_us: int = 30 * 86_400_000_000) -> DataFrame:

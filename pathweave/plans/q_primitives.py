@@ -293,10 +293,13 @@ def is_first_attempt_ever_q(c):
 
 @register("session_rank")
 def session_rank_q(c):
-    w1 = Window.partitionBy(U).orderBy("session_start_ts", "session_id")
-    w2 = Window.partitionBy(U).orderBy(F.desc("session_start_ts"), F.desc("session_id"))
-    return c.web_sessions.select("session_id", F.row_number().over(w1).alias("rank_asc"),
-                                 F.row_number().over(w2).alias("rank_desc"))
+    """Session rank ascending and descending per user, as bucketed running counts
+    (no window holds a whole user)."""
+    from pathweave.operators.asof import running_row_number
+    s = c.web_sessions.select(U, "session_id", F.unix_micros("session_start_ts").alias("_ts"))
+    asc = running_row_number(s, [U], "_ts", ["session_id"], 86_400_000_000, "rank_asc")
+    n = s.groupBy(U).agg(F.count(F.lit(1)).alias("_n"))
+    return asc.join(n, U).select("session_id", "rank_asc", (F.col("_n") - F.col("rank_asc") + 1).alias("rank_desc"))
 
 
 @register("carry_forward_bucketed_small")

@@ -183,7 +183,7 @@ def test_search_terms_on_hand_rows(spark):
 
 
 def test_bucketed_lag_lead_rownumber_equal_windows(spark):
-    from pathweave.operators.asof import next_value, previous_value, running_row_number
+    from pathweave.operators.asof import next_value, previous_value, running_row_number, running_sum
     rnd = random.Random(11)
     rows = [(f"k{rnd.randrange(9)}", rnd.randrange(0, 5_000), i, rnd.randrange(1000)) for i in range(2500)]
     df = spark.createDataFrame(rows, "k string, ts long, id long, v long")
@@ -191,8 +191,15 @@ def test_bucketed_lag_lead_rownumber_equal_windows(spark):
     want = {r["id"]: (r["p"], r["n"], r["rn"]) for r in df.select(
         "id", F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("n"),
         F.row_number().over(w).alias("rn")).collect()}
+    running = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    glob = Window.orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want_sum = {r["id"]: r["s"] for r in df.select("id", F.sum("v").over(running).alias("s")).collect()}
+    want_global = {r["id"]: r["s"] for r in df.select("id", F.sum("v").over(glob).alias("s")).collect()}
     for bucket in (13, 400, 10_000_000):
         p = {r["id"]: r["p"] for r in previous_value(df, ["k"], "ts", ["id"], {"p": F.col("v")}, bucket).collect()}
         n = {r["id"]: r["n"] for r in next_value(df, ["k"], "ts", ["id"], {"n": F.col("v")}, bucket).collect()}
         rn = {r["id"]: r["rn"] for r in running_row_number(df, ["k"], "ts", ["id"], bucket, "rn").collect()}
         assert {i: (p[i], n[i], rn[i]) for i in want} == want
+        cs = {r["id"]: r["cs"] for r in running_sum(df, ["k"], "ts", ["id"], "v", bucket, "cs").collect()}
+        gs = {r["id"]: r["gs"] for r in running_sum(df, [], "ts", ["id"], "v", bucket, "gs").collect()}
+        assert cs == want_sum and gs == want_global
