@@ -1,11 +1,10 @@
 """DuckDB oracle SQL for the building-block queries."""
 
-from pathweave.oracle.game import (ATTEMPTS_OUT, game_attempts_cte, game_journeys_cte, game_levels_cte,
+from pathweave.oracle.game import (game_attempts_cte, game_journeys_cte, game_levels_cte,
                                    game_sessions_cte, int_list, r6)
 from pathweave.oracle.prefix import ev_cte
 from pathweave.oracle.web import day_part_sql, url_path_sql, web_journeys_cte, web_sessions_cte, weekend_sql
 
-D = "CAST({} AS VARCHAR)"
 GJ = f"WITH {game_journeys_cte()} "
 GL = f"WITH {game_levels_cte()} "
 GA = f"WITH {game_attempts_cte()} "

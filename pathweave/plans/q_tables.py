@@ -1,7 +1,5 @@
 """Registered queries: the summary tables themselves (tier I)."""
 
-from pyspark.sql import functions as F
-
 from pathweave.plans.registry import register
 
 

@@ -16,7 +16,7 @@ from pathweave.operators import web as Wb
 from pathweave.operators.asof import carry_forward
 from pathweave.operators.catalog_commerce import search_terms
 from pathweave.operators.slice import filtered_slice, optional_in_filter
-from rows import DAY, DAY0, HOUR, ev, frame
+from rows import DAY0, ev, frame
 
 P = JobParams()
 
