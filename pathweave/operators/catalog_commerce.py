@@ -112,16 +112,16 @@ def basket_pairs(lineitem: DataFrame, min_support: int = 2) -> DataFrame:
     items = lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
     n_orders = items.agg(F.count_distinct("o").alias("n_orders"))  # one row
     supp = items.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    freq = items.join(supp.where(F.col("n") >= min_support), "p", "left_semi")
+    # frequent items carry their own support into the pair join (no joins afterwards)
+    freq = items.join(supp.where(F.col("n") >= min_support), "p")
     a, b = freq.alias("a"), freq.alias("b")
     pairs = (a.join(b, (F.col("a.o") == F.col("b.o")) & (F.col("a.p") < F.col("b.p")))
-             .groupBy(F.col("a.p").alias("part_a"), F.col("b.p").alias("part_b"))
+             .groupBy(F.col("a.p").alias("part_a"), F.col("b.p").alias("part_b"),
+                      F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
              .agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") >= min_support))
-    sa, sb = supp.alias("sa"), supp.alias("sb")
-    x = (pairs.join(sa, F.col("part_a") == F.col("sa.p")).join(sb, F.col("part_b") == F.col("sb.p"))
-         .crossJoin(F.broadcast(n_orders)))
+    x = pairs.crossJoin(F.broadcast(n_orders))
     return x.select("part_a", "part_b", "orders",
-                    (F.col("orders") * F.col("n_orders") / (F.col("sa.n") * F.col("sb.n"))).alias("lift"))
+                    (F.col("orders") * F.col("n_orders") / (F.col("n_a") * F.col("n_b"))).alias("lift"))
 
 
 def viewed_not_bought(ev: DataFrame) -> DataFrame:
