@@ -463,7 +463,8 @@ FROM ga""",
 SELECT 'game_sessions' AS table_name, count(*) AS row_count FROM gs
 UNION ALL SELECT 'game_level_attempts', count(*) FROM ga
 UNION ALL SELECT 'game_user_journeys', count(*) FROM gj
-UNION ALL SELECT 'game_levels', count(*) FROM gl""",
+UNION ALL SELECT 'game_levels', count(*) FROM gl
+UNION ALL SELECT 'game_events_test', count(*) FROM ev WHERE user_pseudo_id IS NOT NULL""",
     "attempt_outcome": f"WITH {game_attempts_cte()} SELECT attempt_id, outcome, duration_s, fail_reason, stars_gained FROM ga",
     "snapshot_fallback": f"""WITH {game_attempts_cte()} SELECT attempt_id, items_cleared_perc, objectives_left_perc,
   time_left_perc, pause_max_progress_perc FROM ga""",

@@ -112,6 +112,12 @@ class Ctx:
     def game_journeys(self) -> DataFrame:
         return self._table("game_journeys", lambda: G.game_user_journeys(self.game_sessions, self.attempts, self.ufo, self.w_end, self.params))
 
+    @cached_property
+    def qa(self) -> DataFrame:
+        """game_events_test: every raw event with its attempt span."""
+        from pathweave.operators.qa import event_attempt_qa
+        return self._table("qa", lambda: event_attempt_qa(self.raw_game, self.attempts, self.params))
+
     @cached_property
     def game_levels(self) -> DataFrame:
         return self._table("game_levels", lambda: G.game_levels(self.attempts, self.game_journeys))

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from pathweave.plans.context import Ctx
 
-GAME_TABLES = ("game_sessions", "game_level_attempts", "game_user_journeys", "game_levels")
+GAME_TABLES = ("game_sessions", "game_level_attempts", "game_user_journeys", "game_levels", "game_events_test")
 WEB_TABLES = ("site_sessions", "site_user_journeys")
 
 _CTX_ATTR = {
     "game_sessions": "game_sessions", "game_level_attempts": "attempts",
-    "game_user_journeys": "game_journeys", "game_levels": "game_levels",
+    "game_user_journeys": "game_journeys", "game_levels": "game_levels", "game_events_test": "qa",
     "site_sessions": "web_sessions", "site_user_journeys": "web_journeys",
 }
 

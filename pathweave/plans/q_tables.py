@@ -58,8 +58,7 @@ def filtered_slice_journeys(c):
 
 @register("event_attempt_qa")
 def event_attempt_qa(c):
-    from pathweave.operators.qa import event_attempt_qa as qa
-    return qa(c.raw_game, c.attempts, c.params).drop("event_params")
+    return c.qa.drop("event_params")
 
 
 @register("next_start")
