@@ -52,7 +52,8 @@ class Ctx:
 
     @cached_property
     def window(self) -> tuple[str, str]:
-        return resolve_window(self.export("web"), self.window_request_days)
+        # only event_date is needed: on the lazy mapping this prunes to a scan of ``ts``
+        return resolve_window(ga4_events(self.spark, self.sf_dir, "web"), self.window_request_days)
 
     @cached_property
     def w_end(self):
