@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import chat, mixing, quality_rules
-from pathweave.llm.common import checkpointed, table
+from pathweave.llm import chat, mixing, packing, quality_rules, warc
+from pathweave.llm.common import checkpointed, shared_dir, table
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, TOKENIZER).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.arc_to_warc(warc.arc_files(table(spark, sf_dir, "pages")), at)
+    return warc.read_warc(spark, at).select(
+        F.col("source_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,4 +46,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(checkpointed(docs), "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op7_chat_formatting, op8_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op4_arc_to_warc, op7_chat_formatting, op8_quality_rules, op10_mix_sources)}
