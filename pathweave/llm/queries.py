@@ -8,10 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import chat, mixing, packing, quality_rules, warc
+from pathweave.llm import chat, mixing, packing, quality_rules, range_join, warc
 from pathweave.llm.common import checkpointed, shared_dir, table
 
-
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -41,9 +40,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op9_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.mix_sources(checkpointed(docs), "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op4_arc_to_warc, op7_chat_formatting, op8_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (
+    op2_vector_packing, op4_arc_to_warc, op7_chat_formatting, op8_quality_rules, op9_metric_range_join, op10_mix_sources)}
