@@ -72,26 +72,26 @@ def local_components(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def settle(ids: np.ndarray, copies: np.ndarray, linked: np.ndarray) -> pa.Table:
-    """(rep, links, root) of the rows of a symmetric link matrix that have links: how many vectors each links
+def settle(ids: np.ndarray, copies: np.ndarray, linked: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Table:
+    """(rep, links, root) of the rows of a symmetric link matrix that have links: how many rows each links
     with, copies counted, and the smallest id of its component here."""
     some = np.flatnonzero(linked.any(axis=1))
     some = some[np.argsort(ids[some], kind="stable")]
     linked = linked[np.ix_(some, some)]
     mine = ids[some]
-    return pa.table({"rep": mine, "links": linked @ copies[some], "root": mine[local_components(linked)]})
+    return pa.table({"rep": pa.array(mine, kind), "links": pa.array(linked @ copies[some], pa.int64()),
+                     "root": pa.array(mine[local_components(linked)], kind)})
 
 
-def blocks_of(members: DataFrame, keys: list[str], block: int = BLOCK, member: str = "rep") -> DataFrame:
-    """``members`` once for each pair of blocks (lo, hi) of its group that its block is in; ``block`` is its own.
-
-    A group of up to ``block`` members is one block; larger ones get as many as
-    they need, by a hash of the member.
-    """
+def with_blocks(members: DataFrame, keys: list[str], block: int = BLOCK, member: str = "rep") -> DataFrame:
+    """``members`` with the number of ``blocks`` of their group, by its size, and their own ``block``, by a hash."""
     n = members.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
-    at = members.join(n, keys).withColumn("block", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.join(n, keys).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Members of with_blocks once for each pair of blocks (lo, hi) that their own is in."""
+    at = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return at.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
 
 
@@ -145,7 +145,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         return settle(rep, n, linked)
 
     keys = ["dims", "label", "cell"]
-    found = checkpointed(blocks_of(members, keys, block).groupBy(*keys, "lo", "hi").applyInArrow(
+    found = checkpointed(block_pairs(with_blocks(members, keys, block)).groupBy(*keys, "lo", "hi").applyInArrow(
         join_blocks, "rep bigint, links bigint, root bigint"))
     component = connected_components(found, "rep", "root")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
