@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import chat, minhash_forest, mixing, packing, quality_rules, range_join, warc
+from pathweave.llm import chat, minhash_forest, mixing, packing, quality_rules, range_join, toxicity, warc
 from pathweave.llm.common import checkpointed, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,12 @@ def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", *toxicity.FEATURES)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
@@ -54,4 +60,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_vector_packing, op4_arc_to_warc, op5_minhash_forest, op7_chat_formatting, op8_quality_rules, op9_metric_range_join, op10_mix_sources)}
+    op2_vector_packing, op4_arc_to_warc, op5_minhash_forest, op6_toxicity, op7_chat_formatting, op8_quality_rules, op9_metric_range_join, op10_mix_sources)}
