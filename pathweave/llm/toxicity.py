@@ -30,7 +30,9 @@ MOST_TRAINING_ROWS = 20_000
 LEAST_RATIO, WORD_PLACES, STEM_PLACES, STEM_WORDS = 25.0, 5, 12, 3
 STEM_LETTERS = range(3, 9)
 #: Letters that a term needs for one and for two errors.
-ONE_ERROR, TWO_ERRORS = 5, 10
+ONE_ERROR, TWO_ERRORS = 5, 12
+#: A term that so many words of clean documents come near counts only as it is written.
+NEAR_CLEAN_WORDS = 3
 WINDOW = 8
 #: Words whose matches a worker keeps; the store is emptied when full.
 KEPT_WORDS = 500_000
@@ -79,8 +81,8 @@ def errors_for(term: str) -> int:
 class Lexicon:
     """Terms with weights in a trie; a term that ends in * is a stem, found at the start of words as it is."""
 
-    def __init__(self, terms: dict[str, float], clean: frozenset[str] = frozenset()):
-        self.terms, self.clean = terms, clean
+    def __init__(self, terms: dict[str, float], clean: frozenset[str] = frozenset(), exact: frozenset[str] = frozenset()):
+        self.terms, self.clean, self.exact = terms, clean, exact
         self.root: dict = {}
         self.stems = frozenset(t[:-1] for t in terms if t.endswith("*"))
         self.stem_letters = sorted({len(s) for s in self.stems})
@@ -112,7 +114,8 @@ class Lexicon:
             node, state = todo.pop()
             for c, below in node.items():
                 if c == "":
-                    if state[-1] <= min(errors_for(below), automaton.most) and (best is None or (state[-1], below) < best):
+                    most = 0 if below in self.exact else min(errors_for(below), automaton.most)
+                    if state[-1] <= most and (best is None or (state[-1], below) < best):
                         best = (state[-1], below)
                 elif automaton.alive(after := automaton.step(state, c)):
                     todo.append((below, after))
@@ -250,8 +253,12 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     clean = {r[0]: r[1] for r in good.mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n")).collect()}
     all_clean = clean.get("", 0)
 
-    def ratio(t: str) -> float:
-        return (found[t] / max(1, total)) / ((clean.get(t, 0) + 0.05) / max(1, all_clean))
+    def ratio(t: str, more: float = 0.05) -> float:
+        return (found[t] / max(1, total)) / ((clean.get(t, 0) + more) / max(1, all_clean))
+
+    def weight(t: str) -> float:
+        """Evidence of a term: the logarithm of its ratio, about 1 for one that is just above the least."""
+        return float(np.clip(np.log(ratio(t, 1.0)) / np.log(LEAST_RATIO), 0.5, 2.0))
 
     marks = {t: n for t, n in found.items() if ratio(t) >= LEAST_RATIO}
     terms: dict[str, float] = {}
@@ -263,8 +270,8 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
         while longer := next((u for u in marks if u[-1] == "*" and len(u) == len(stem) + 2 and u.startswith(stem) and marks[u] >= 0.95 * marks[t]), None):
             stem, t = longer[:-1], longer
         taken.append(stem)
-        terms[stem + "*"] = 1.0
-    terms |= {t: 1.0 for t in marks if t[-1] != "*" and not any(t.startswith(s) for s in taken)}
+        terms[stem + "*"] = weight(stem + "*")
+    terms |= {t: weight(t) for t in marks if t[-1] != "*" and not any(t.startswith(s) for s in taken)}
 
     lexicon = spark.sparkContext.broadcast(Lexicon(terms))
 
@@ -273,10 +280,13 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
         for batch in batches:
             new = {plain_word(w) for t in batch.column("text") for w in set(t.as_py().lower().split())} - known
             known |= new
-            out = [w for w in new if (m := lexicon.value.match(w)) and m[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["word"])
+            out = [(w, m[0]) for w in new if (m := lexicon.value.match(w)) and m[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["word", "term"])
 
-    return Lexicon(terms, frozenset(r[0] for r in good.mapInArrow(near_misses, "word string").distinct().collect()))
+    near = good.mapInArrow(near_misses, "word string, term string").distinct().collect()  # some words of the sample
+    often = Counter(r[1] for r in near)
+    exact = frozenset(t for t, n in often.items() if n >= NEAR_CLEAN_WORDS)
+    return Lexicon(terms, frozenset(r[0] for r in near), exact)
 
 
 class Model:
