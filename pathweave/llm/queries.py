@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import chat, minhash_forest, mixing, packing, quality_rules, range_join, toxicity, warc
+from pathweave.llm import chat, minhash_forest, mixing, packing, quality_classifier, quality_rules, range_join, toxicity, warc
 from pathweave.llm.common import checkpointed, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ensemble = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, ensemble).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, TOKENIZER).select(
@@ -60,4 +66,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_vector_packing, op4_arc_to_warc, op5_minhash_forest, op6_toxicity, op7_chat_formatting, op8_quality_rules, op9_metric_range_join, op10_mix_sources)}
+    op1_rule_ensemble, op2_vector_packing, op4_arc_to_warc, op5_minhash_forest, op6_toxicity, op7_chat_formatting, op8_quality_rules, op9_metric_range_join, op10_mix_sources)}
