@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import chat, minhash_forest, mixing, packing, quality_classifier, quality_rules, range_join, toxicity, warc
+from pathweave.llm import chat, html_paths, minhash_forest, mixing, packing, quality_classifier, quality_rules, range_join, toxicity, warc
 from pathweave.llm.common import checkpointed, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,10 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.arc_to_warc(warc.arc_files(table(spark, sf_dir, "pages")), at)
@@ -66,4 +70,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_rule_ensemble, op2_vector_packing, op4_arc_to_warc, op5_minhash_forest, op6_toxicity, op7_chat_formatting, op8_quality_rules, op9_metric_range_join, op10_mix_sources)}
+    op1_rule_ensemble, op2_vector_packing, op3_host_paths, op4_arc_to_warc, op5_minhash_forest, op6_toxicity, op7_chat_formatting, op8_quality_rules, op9_metric_range_join, op10_mix_sources)}
