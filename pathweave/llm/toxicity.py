@@ -103,7 +103,7 @@ class Lexicon:
         either = [rf"^(?:{'|'.join(map(re.escape, sorted(pieces[0])))})"] * bool(pieces[0])
         either += [rf"(?:{'|'.join(map(re.escape, sorted(pieces[1])))})$"] * bool(pieces[1])
         either += [rf"(?:{'|'.join(map(re.escape, sorted(pieces[2])))})"] * bool(pieces[2])
-        self.maybe = re.compile("|".join(either)).search if either else lambda w: None
+        self.maybe = re.compile("|".join(either) or r"(?!)").search  # without terms nothing may match
 
     def within(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its own number of errors, and the errors; ties by the term."""
