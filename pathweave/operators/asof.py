@@ -6,8 +6,8 @@ key (a user, a session) into one task.  At scale one key may hold a large share
 of all rows, so the scan is split by time bucket:
 
 1. per (key, bucket): the running value inside the bucket (window, one task per bucket);
-2. per (key, bucket): the bucket's summary (its last row's running value, or its
-   row count), on the same partitioning, so no extra shuffle;
+2. per (key, bucket): the bucket's summary (the value of its latest row that has one,
+   or its row count), an aggregate that is combined before its shuffle;
 3. per key over the (few) bucket rows: the value of all earlier buckets;
 4. join 3 back on (key, bucket) and combine.
 
@@ -21,36 +21,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def carry_forward(df: DataFrame, keys: list[str], ts: str, tie: list[str],
-                  values: dict[str, Column], bucket_us: int, include_current: bool = True) -> DataFrame:
+                  values: dict[str, Column], bucket_us: int, include_current: bool = True,
+                  key_max: dict[str, Column] | None = None) -> DataFrame:
     """Add one column per ``values`` entry: the last non-null value of the expression
     over the rows of the same ``keys`` ordered by (ts, *tie), up to and including the
-    row (``include_current``) or strictly before it."""
-    names = list(values)
+    row (``include_current``) or strictly before it. ``key_max`` adds columns with the
+    maximum of an expression over all rows of the key."""
+    names, tops = list(values), key_max or {}
     base_cols = df.columns
-    src = df.select("*", F.floor(F.col(ts) / F.lit(bucket_us)).alias("_bkt"),
-                    *[values[n].alias(f"_src_{n}") for n in names])
+    bucket = F.floor(F.col(ts) / F.lit(bucket_us)).alias("_bkt")
     order = [F.col(ts), *[F.col(t) for t in tie]]
-    w_bucket = Window.partitionBy(*keys, "_bkt").orderBy(*order)
-    upto = Window.currentRow if include_current else -1
-    w_local = w_bucket.rowsBetween(Window.unboundedPreceding, upto)
-    w_incl = w_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # One Window node (same partitioning and order) gives the running value, the
-    # running value including the row, and a flag for the bucket's last row.
-    local = src.select(*base_cols, "_bkt",
-                       *[F.last(f"_src_{n}", ignorenulls=True).over(w_local).alias(f"_loc_{n}") for n in names],
-                       *[F.last(f"_src_{n}", ignorenulls=True).over(w_incl).alias(f"_inc_{n}") for n in names],
-                       F.lead(F.lit(1)).over(w_bucket).isNull().alias("_is_last"))
-    # The bucket summary is simply its last row: no aggregation needed.
-    per_bucket = local.where("_is_last").select(*keys, "_bkt", *[F.col(f"_inc_{n}").alias(f"_end_{n}")
-                                                              for n in names])
-    w_prev = (Window.partitionBy(*keys).orderBy("_bkt")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carried = per_bucket.select(*keys, "_bkt",
-                                *[F.last(f"_end_{n}", ignorenulls=True).over(w_prev).alias(f"_car_{n}")
-                                  for n in names])
+    w_local = (Window.partitionBy(*keys, "_bkt").orderBy(*order)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow if include_current else -1))
+    local = df.select("*", bucket, *[values[n].alias(f"_src_{n}") for n in names]).select(
+        *base_cols, "_bkt", *[F.last(f"_src_{n}", ignorenulls=True).over(w_local).alias(f"_loc_{n}") for n in names])
+    # What a bucket hands on needs no order of its rows: the value of its latest row
+    # that has one, pre-aggregated before the shuffle.
+    at = F.struct(*order)
+    ends = df.select("*", bucket).groupBy(*keys, "_bkt").agg(
+        *[F.max_by(values[n], F.when(values[n].isNotNull(), at)).alias(f"_end_{n}") for n in names],
+        *[F.max(e).alias(f"_top_{n}") for n, e in tops.items()])
+    by_key = Window.partitionBy(*keys)
+    w_prev = by_key.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_bkt",
+                          *[F.last(f"_end_{n}", ignorenulls=True).over(w_prev).alias(f"_car_{n}") for n in names],
+                          *[F.max(f"_top_{n}").over(by_key).alias(f"_all_{n}") for n in tops])
     joined = local.join(carried, on=[*keys, "_bkt"], how="left")
     return joined.select(*base_cols,
-                         *[F.coalesce(F.col(f"_loc_{n}"), F.col(f"_car_{n}")).alias(n) for n in names])
+                         *[F.coalesce(F.col(f"_loc_{n}"), F.col(f"_car_{n}")).alias(n) for n in names],
+                         *[F.col(f"_all_{n}").alias(n) for n in tops])
 
 
 def previous_value(df: DataFrame, keys: list[str], ts: str, tie: list[str],

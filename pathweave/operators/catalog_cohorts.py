@@ -128,9 +128,13 @@ def period_deltas(sessions: DataFrame) -> DataFrame:
                            .alias(f"{c}_wow") for c in ("sessions", "users", "revenue")])
 
 
-def trend_and_anomaly(ev: DataFrame, lookback: int = 7, z: float = 2.0) -> DataFrame:
-    """Daily events with the mean / stddev of the previous ``lookback`` days and a z-score flag."""
-    d = ev.groupBy(F.col("event_date").alias("day")).agg(F.count(F.lit(1)).alias("events"))
+def trend_and_anomaly(ev: DataFrame, lookback: int = 28, z: float = 2.0) -> DataFrame:
+    """Daily events with the mean / stddev of the previous ``lookback`` days and a z-score flag.
+
+    Days without events are days with 0 events (date spine), so the look-back is one of days."""
+    d = ev.groupBy(F.to_date("event_date", "yyyyMMdd").alias("day")).agg(F.count(F.lit(1)).alias("events"))
+    spine = d.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    d = spine.join(d, "day", "left").select("day", F.coalesce("events", F.lit(0)).alias("events"))
     w = Window.orderBy("day").rowsBetween(-lookback, -1)  # one row per day
     x = d.select("day", "events", F.avg("events").over(w).alias("mean_prev"),
                  F.stddev_samp("events").over(w).alias("sd_prev"))
@@ -138,20 +142,32 @@ def trend_and_anomaly(ev: DataFrame, lookback: int = 7, z: float = 2.0) -> DataF
     return x.select("*", zs.alias("z_score"), (F.abs(zs) > z).alias("is_anomaly"))
 
 
-def early_signal_lift(ev: DataFrame, journeys: DataFrame, first_n: int = 3,
-                      signal: str = "add_to_cart") -> DataFrame:
-    """Conversion of users whose first ``first_n`` events include ``signal`` vs the rest."""
-    firsts = A.ordered_array_limit(ev, [U], ["event_timestamp", "event_id"], {"names": F.col("event_name")}, first_n)
-    x = firsts.select(U, F.array_contains("names", signal).alias("has_signal")).join(
-        journeys.select(U, (F.col("total_purchases") > 0).alias("buyer")), U)
-    g = x.groupBy("has_signal").agg(F.count(F.lit(1)).alias("users"), F.count_if("buyer").alias("buyers"))
+def early_signal_lift(ev: DataFrame, first_n: int = 3, signal: str = "add_to_cart", horizon_days: int = 14) -> DataFrame:
+    """Conversion of users whose first ``first_n`` events include ``signal`` vs the rest.
+
+    The label is a purchase after those events and within ``horizon_days`` of the last of
+    them, so no event is both feature and label. Users with fewer events have no label."""
+    at = F.struct("event_timestamp", "event_id")
+    firsts = A.ordered_array_limit(ev, [U], ["event_timestamp", "event_id"], {"names": F.col("event_name"), "at": at}, first_n)
+    x = firsts.where(F.size("names") == first_n).select(
+        U, F.array_contains("names", signal).alias("has_signal"), F.element_at("at", -1).alias("seen"))
+    until = F.col("seen.event_timestamp") + horizon_days * 86_400_000_000
+    bought = (ev.where(F.col("event_name") == "purchase").select(U, at.alias("bought")).join(x.select(U, "seen"), U)
+              .where((F.col("bought") > F.col("seen")) & (F.col("bought.event_timestamp") <= until)).select(U).distinct())
+    g = x.join(bought.withColumn("buyer", F.lit(True)), U, "left").groupBy("has_signal").agg(
+        F.count(F.lit(1)).alias("users"), F.count_if("buyer").alias("buyers"))
     return g.select("*", (F.col("buyers") / F.col("users")).alias("conversion_rate"))
 
 
-def at_risk_users(sessions: DataFrame, drop: float = 0.5) -> DataFrame:
-    """Users whose weekly sessions fell by at least ``drop`` against their previous active week."""
+def at_risk_users(sessions: DataFrame, w_end: date, drop: float = 0.5) -> DataFrame:
+    """Weeks in which a user's sessions fell by at least ``drop`` against the week before.
+
+    Every week from the user's first to that of ``w_end`` counts, so a user who stops
+    altogether shows up in the first week without a session."""
     wk = sessions.groupBy(U, _week("session_date").alias("week")).agg(F.count(F.lit(1)).alias("sessions"))
-    w = Window.partitionBy(U).orderBy("week")  # at most one row per week per user
-    x = wk.select(U, "week", "sessions", F.lag("sessions").over(w).alias("prev_sessions"))
-    return x.where(F.col("prev_sessions").isNotNull()
-                   & (F.col("sessions") <= F.col("prev_sessions") * (1 - drop)))
+    spine = wk.groupBy(U).agg(F.min("week").alias("first")).select(
+        U, F.explode(F.sequence(F.col("first"), _week(F.lit(w_end)), F.expr("interval 7 days"))).alias("week"))
+    x = spine.join(wk, [U, "week"], "left").select(U, "week", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+    w = Window.partitionBy(U).orderBy("week")  # one row per week of a user
+    x = x.withColumn("prev_sessions", F.lag("sessions").over(w))
+    return x.where((F.col("prev_sessions") > 0) & (F.col("sessions") <= F.col("prev_sessions") * (1 - drop)))

@@ -48,7 +48,7 @@ def order_cube(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> Dat
     c = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     x = (orders.select("o_custkey", "o_totalprice", "o_orderpriority")
          .join(c, orders.o_custkey == c.c_custkey)
-         .join(F.broadcast(nation.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey")))
+         .join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")))
     return x.cube("n_name", "c_mktsegment", "o_orderpriority").agg(
         F.grouping_id().alias("grouping_id"), F.count(F.lit(1)).alias("orders"),
         F.sum(F.col("o_totalprice").cast(MONEY)).alias("revenue"))
@@ -125,11 +125,19 @@ def basket_pairs(lineitem: DataFrame, min_support: int = 2) -> DataFrame:
 
 
 def viewed_not_bought(ev: DataFrame) -> DataFrame:
-    """Per product path: users who viewed it but never bought in that session (anti join)."""
-    views = ev.where(F.col("event_name") == "view_item").select(U, SESS, S.url_path("page_location").alias("page"))
-    bought = ev.where(F.col("event_name") == "purchase").select(U, SESS).distinct()
-    x = views.join(bought, [U, SESS], "left_anti")
-    return x.groupBy("page").agg(F.count_distinct(U).alias("users"), F.count(F.lit(1)).alias("views"))
+    """Pairs of product pages viewed in one session: in how many sessions both were viewed,
+    in how many both were bought, and the sessions by which buying lags behind."""
+    p = ev.select(U, SESS, S.url_path("page_location").alias("page"), "event_name").where(F.col("page") != "")
+    seen = p.groupBy(U, SESS, "page").agg(F.max((F.col("event_name") == "view_item").cast("int")).alias("viewed"),
+                                          F.max((F.col("event_name") == "purchase").cast("int")).alias("bought"))
+    seen = seen.where((F.col("viewed") > 0) | (F.col("bought") > 0))
+    a = seen.select(U, SESS, F.col("page").alias("page_a"), F.col("viewed").alias("va"), F.col("bought").alias("ba"))
+    b = seen.select(U, SESS, F.col("page").alias("page_b"), F.col("viewed").alias("vb"), F.col("bought").alias("bb"))
+    pairs = a.join(b, [U, SESS]).where(F.col("page_a") < F.col("page_b"))
+    g = pairs.groupBy("page_a", "page_b").agg(F.sum(F.col("va") * F.col("vb")).alias("viewed_together"),
+                                              F.sum(F.col("ba") * F.col("bb")).alias("bought_together"))
+    return g.where(F.col("viewed_together") > F.col("bought_together")).select(
+        "*", (F.col("viewed_together") - F.col("bought_together")).alias("gap"))
 
 
 def hour_day_heatmap(sessions: DataFrame) -> DataFrame:
@@ -170,7 +178,7 @@ def product_performance(ev: DataFrame) -> DataFrame:
     g = ev.groupBy(page.alias("page")).agg(
         F.count_if(n == "view_item").alias("views"), F.count_if(n == "add_to_cart").alias("adds"),
         F.count_if(n == "purchase").alias("purchases"),
-        F.sum(F.when(n == "purchase", F.col("purchase_revenue"))).alias("revenue"))
+        F.sum(F.when(n == "purchase", F.col("purchase_revenue").cast("decimal(28,9)"))).alias("revenue"))
     last = ev.groupBy(U, SESS).agg(F.max_by(page, F.struct("event_timestamp", "event_id")).alias("page"))
     ends = last.groupBy("page").agg(F.count(F.lit(1)).alias("session_ends"))
     return g.join(ends, "page", "left").select(

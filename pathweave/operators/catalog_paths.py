@@ -119,7 +119,6 @@ def event_bursts(ev: DataFrame, gap_s: float = 2.0, bucket_us: int = BUCKET_US)
                             F.count_if(F.coalesce(burst, F.lit(False))).alias("burst_events"))
 
 
-def duplicate_events(ev: DataFrame) -> DataFrame:
-    """(user, event name, timestamp) that occur more than once."""
-    g = ev.groupBy(U, "event_name", "event_timestamp").agg(F.count(F.lit(1)).alias("copies"))
-    return g.where(F.col("copies") > 1)
+def duplicate_events(ev: DataFrame, keys: tuple[str, ...] = (U, "event_name", "event_timestamp")) -> DataFrame:
+    """Values of ``keys`` (user, event name, timestamp) that occur more than once."""
+    return ev.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)

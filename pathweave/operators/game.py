@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathweave.config import JobParams
 from pathweave.functions import aggs as A
@@ -135,6 +135,7 @@ def stitch_attempts(gp: DataFrame, params: JobParams = JobParams()) -> DataFrame
             "latest_retry_streak": F.when(name == "level_retry", F.col("retry_streak_number")),
         },
         params.attempt_bucket_us,
+        key_max={"session_ab_test": F.when(name == "custom_session_start", F.col("ab_test_param"))},
     )
 
 
@@ -187,48 +188,33 @@ def level_attempts(raw: DataFrame, ufo: DataFrame | None = None,
               ("pause_quit_cancelled_count", name == "pause_quit_cancelled"),
               ("fail_stack_full_popup_count", name == "fail_stack_full"),
               ("fail_time_up_popup_count", name == "fail_time_up")]
-    first_agg = {"min": F.min, "max": F.max, "or": F.bool_or}
-    # Two-level aggregate.  Level 1 groups by attempt and revive popup value (null for
-    # non-revive events), so the popup mode needs no second pass over the stitched
-    # events; level 2 merges the parts per attempt.  Both levels combine map-side.
     # Documented deviation: the popup mode counts revive events only.
     popup = F.when(name.isin(*REVIVE_EVENTS), F.col("from_popup"))
     items = F.when(name == "fail_stack_full",
                    F.struct(F.col("event_timestamp").alias("o0"), F.col("event_id").alias("o1"),
                             F.col("stack_items").alias("arr")))
-    lvl1 = (stitched.where(F.col("attempt_start_ts_us").isNotNull() & F.col("attempt_level_id").isNotNull())
-            .groupBy(USER, SESS, "attempt_start_ts_us", F.col("attempt_level_id").alias("level_id"),
-                     popup.alias("_popup"))
-            .agg(*[first_agg[m](e).alias(n) for n, e, m in parts],
-                 *[F.count_if(c).alias(n) for n, c in counts],
-                 F.count(F.lit(1)).alias("_popup_n"),
-                 F.collect_list(items).alias("_items")))
     merge = {"min": F.min, "max": F.max, "or": F.bool_or}
-    aa = lvl1.groupBy(*akeys).agg(
-        *[merge[m](n).alias(n) for n, _, m in parts],
-        *[F.sum(n).alias(n) for n, _ in counts],
-        F.min_by("_popup", F.when(F.col("_popup").isNotNull(), F.struct(-F.col("_popup_n"), F.col("_popup"))))
-        .alias("revive_from_popup_mode"),
-        F.flatten(F.collect_list("_items")).alias("_items"))
+    aa = (stitched.where(F.col("attempt_start_ts_us").isNotNull() & F.col("attempt_level_id").isNotNull())
+          .groupBy(USER, SESS, "attempt_start_ts_us", F.col("attempt_level_id").alias("level_id"))
+          .agg(*[merge[m](e).alias(n) for n, e, m in parts],
+               *[F.count_if(c).alias(n) for n, c in counts],
+               F.max("session_ab_test").alias("ab_test"),
+               F.collect_list(popup).alias("_popups"), F.collect_list(items).alias("_items")))
+    votes = F.transform(F.array_distinct("_popups"), lambda v: F.struct(
+        (-F.size(F.filter("_popups", lambda x: x == v))).alias("few"), v.alias("v")))
     aa = aa.select(
         *akeys, *[n for n, _, _ in parts if not n.startswith("_")], *[n for n, _ in counts],
-        "revive_from_popup_mode",
+        "ab_test", F.array_min(votes)["v"].alias("revive_from_popup_mode"),
         F.coalesce("_dur_c", "_dur_f").alias("duration_s"),
         *[F.coalesce(f"_{c}_t", f"_{c}_s").alias(c) for c in ("items_cleared_perc", "objectives_left_perc",
                                                             "time_left_perc")],
         F.flatten(F.transform(F.array_sort("_items"), lambda e: e["arr"])).alias("stack_fail_items"))
-    # ab_test is a session property (max over the session's custom_session_start events)
-    session_ab = (gp.where(name == "custom_session_start").groupBy(USER, SESS)
-                  .agg(F.max("ab_test_param").alias("ab_test")))
-    aa = aa.join(session_ab, [USER, SESS], "left")
     aa = aa.withColumn("attempt_id", S.attempt_key(USER, SESS, "attempt_start_ts_us"))
-    # first attempt of the user at the level: min over (user, level), joined back
-    firsts = aa.groupBy(USER, "level_id").agg(
-        F.min(F.struct("attempt_start_ts_us", "attempt_id")).alias("_first"))
-    aa = aa.join(firsts, [USER, "level_id"], "left")
     if ufo is None:
         ufo = user_first_open(raw)
-    aa = aa.join(ufo, USER, "left")
+    # after the join the rows are together by user, so this window needs no shuffle of its own
+    at = F.struct("attempt_start_ts_us", "attempt_id")
+    aa = aa.join(ufo, USER, "left").withColumn("_first", F.min(at).over(Window.partitionBy(USER, "level_id")))
     return aa.select(
         "attempt_id", USER, SESS,
         S.session_key(USER, SESS).alias("session_id"),
@@ -249,8 +235,7 @@ def level_attempts(raw: DataFrame, ufo: DataFrame | None = None,
         "pause_count", "pause_max_progress_perc", "pause_quit_cancelled_count",
         "fail_stack_full_popup_count", "fail_time_up_popup_count",
         "ab_test", "stack_fail_items",
-        ((F.col("_first.attempt_start_ts_us") == F.col("attempt_start_ts_us"))
-         & (F.col("_first.attempt_id") == F.col("attempt_id"))).alias("is_first_attempt_ever"),
+        (F.col("_first") == at).alias("is_first_attempt_ever"),
     )
 
 
@@ -402,10 +387,13 @@ def level_difficulty(attempts: DataFrame) -> DataFrame:
     fail, comp = o == "fail", o == "complete"
     boosters = (F.coalesce("boosters_vacuum", F.lit(0)) + F.coalesce("boosters_spring", F.lit(0))
                 + F.coalesce("boosters_fan", F.lit(0)) + F.coalesce("boosters_ice", F.lit(0)))
-    return attempts.groupBy("level_id").agg(
+    # a user starts a level with the first attempt there, so starters need no distinct sets
+    start = Window.partitionBy(USER, "level_id").orderBy("attempt_start_ts", "attempt_id")
+    rows = attempts.withColumn("_starts", F.row_number().over(start) == 1)
+    return rows.groupBy("level_id").agg(
         F.max("level_id_numeric").alias("level_id_numeric"),
         F.count(F.lit(1)).alias("total_attempts"),
-        F.count_distinct(USER).alias("unique_starters"),
+        F.count_if("_starts").alias("unique_starters"),
         F.count_if(comp).alias("total_completes"),
         F.count_if(fail).alias("total_fails"),
         F.count_if(o == "abandoned").alias("total_abandons"),

@@ -14,18 +14,19 @@ from pyspark.sql import DataFrame, functions as F
 from pathweave.config import JobParams
 from pathweave.functions import scalars as S
 from pathweave.functions.params import event_param
-from pathweave.operators.asof import carry_forward
+from pathweave.operators.asof import carry_forward, next_value
 
 USER, SESS = "user_pseudo_id", "ga_session_id"
 
 
-def next_start(attempts: DataFrame) -> DataFrame:
-    """Each attempt with the start of the next attempt in its session (LEAD)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(USER, SESS).orderBy("attempt_start_ts", "attempt_id")
-    return attempts.select(USER, SESS, "attempt_id", "attempt_start_ts",
-                           F.lead(S.micros_from_timestamp("attempt_start_ts")).over(w)
-                           .alias("next_attempt_start_us"))
+def next_start(attempts: DataFrame, params: JobParams = JobParams()) -> DataFrame:
+    """Each attempt with the start of the next attempt in its session (LEAD), bucketed by time.
+
+    Attempts of one start time differ by level only; a hash of it orders them."""
+    a = attempts.select(USER, SESS, "attempt_id", "attempt_start_ts", S.micros_from_timestamp("attempt_start_ts").alias("_us"),
+                        F.hash("level_id").cast("long").alias("_tie"))
+    out = next_value(a, [USER, SESS], "_us", ["_tie"], {"next_attempt_start_us": F.col("_us")}, params.attempt_bucket_us)
+    return out.drop("_us", "_tie")
 
 
 def event_attempt_qa(raw: DataFrame, attempts: DataFrame, params: JobParams = JobParams()) -> DataFrame:
@@ -43,23 +44,20 @@ def event_attempt_qa(raw: DataFrame, attempts: DataFrame, params: JobParams = Jo
         F.col("traffic_source.name").alias("campaign"),
         S.normalize_platform("device.operating_system").alias("platform"),
     )
-    # Events without a session id can never match a span: keep them aside.
-    no_sess = ev.where(F.col(SESS).isNull()).withColumn("attempt_id", F.lit(None).cast("string"))
-    in_sess = ev.where(F.col(SESS).isNotNull())
-    markers = attempts.select(
-        USER, SESS, S.micros_from_timestamp("attempt_start_ts").alias("event_timestamp"),
-        "attempt_id")
-    cols = in_sess.columns
-    tagged = (in_sess.select(*cols, F.lit(1).alias("_is_event"), F.lit(None).cast("string").alias("_aid"))
-              .unionByName(markers.select(
-                  *[F.col(c) if c in (USER, SESS, "event_timestamp") else F.lit(None).cast(t).alias(c)
-                    for c, t in in_sess.dtypes],
-                  F.lit(0).alias("_is_event"), F.col("attempt_id").alias("_aid"))))
+    # Only keys and times go through the carry-forward; attempt ids then join the wide
+    # rows, which are shuffled once. Rows of equal keys are in one span.
+    keys = [USER, SESS, "event_timestamp", "event_id"]
+    narrow = raw.where(F.col(USER).isNotNull()).select(USER, event_param("ga_session_id").alias(SESS), "event_timestamp", "event_id")
+    markers = attempts.select(USER, SESS, S.micros_from_timestamp("attempt_start_ts").alias("event_timestamp"), "attempt_id")
+    tagged = (narrow.where(F.col(SESS).isNotNull()).distinct()
+              .select("*", F.lit(1).alias("_is_event"), F.lit(None).cast("string").alias("_aid"))
+              .unionByName(markers.select(USER, SESS, "event_timestamp", F.lit(None).cast("long").alias("event_id"),
+                                          F.lit(0).alias("_is_event"), F.col("attempt_id").alias("_aid"))))
     # markers sort before events of the same microsecond: a span includes its start
     carried = carry_forward(tagged, [USER, SESS], "event_timestamp", ["_is_event", "_aid", "event_id"],
                             {"attempt_id": F.col("_aid")}, params.attempt_bucket_us)
-    matched = carried.where(F.col("_is_event") == 1).select(*cols, "attempt_id")
-    out = matched.unionByName(no_sess)
+    spans = carried.where((F.col("_is_event") == 1) & F.col("attempt_id").isNotNull()).select(*keys, "attempt_id")
+    out = ev.join(spans, keys, "left")
     return out.select(
         USER, "event_date", "event_timestamp",
         S.timestamp_from_micros("event_timestamp").alias("event_ts"),

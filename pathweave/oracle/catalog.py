@@ -83,8 +83,8 @@ x AS (SELECT user_pseudo_id, (event_timestamp - lag(event_timestamp) OVER (PARTI
 SELECT user_pseudo_id, count(*) AS events, count(*) FILTER (WHERE coalesce(burst, false)) AS burst_events
 FROM x GROUP BY user_pseudo_id""",
     "duplicate_events": f"""{EVW}
-SELECT user_pseudo_id, event_name, event_timestamp, count(*) AS copies FROM wev
-GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+SELECT DISTINCT user_pseudo_id, ga_session_id, event_name, copies FROM (
+  SELECT *, count(*) OVER (PARTITION BY user_pseudo_id, ga_session_id, event_name) AS copies FROM wev) WHERE copies > 1""",
     "cohort_retention": f"""{WS},
 fs AS (SELECT user_pseudo_id, min(session_date) AS first_seen FROM ws GROUP BY 1),
 x AS (SELECT s.user_pseudo_id, {WEEK.format('f.first_seen')} AS cohort_week,
@@ -113,7 +113,7 @@ SELECT gap_days, count(*) AS gaps FROM x WHERE gap_days IS NOT NULL GROUP BY 1""
     "reactivation": f"""{WS},
 d AS (SELECT DISTINCT user_pseudo_id, session_date FROM ws),
 x AS (SELECT session_date, date_diff('day', lag(session_date) OVER (PARTITION BY user_pseudo_id ORDER BY session_date), session_date) AS gap FROM d)
-SELECT CAST(session_date AS VARCHAR) AS session_date, count(*) AS reactivated_users FROM x WHERE gap >= 7 GROUP BY 1""",
+SELECT CAST(session_date AS VARCHAR) AS session_date, count(*) AS reactivated_users FROM x WHERE gap >= 3 GROUP BY 1""",
     "post_purchase_return": f"""{WJ},
 x AS (SELECT j.user_pseudo_id, j.user_group, bool_or(s.session_date > j.first_purchase_date
   AND s.session_date <= j.first_purchase_date + 30) AS returned
@@ -149,24 +149,27 @@ SELECT CAST(week AS VARCHAR) AS week, sessions, users, round(revenue, 6) AS reve
   round((revenue - lag(revenue) OVER w) / nullif(lag(revenue) OVER w, 0), 6) AS revenue_wow
 FROM g WINDOW w AS (ORDER BY week)""",
     "trend_and_anomaly": f"""WITH {ev_cte('web')},
-d AS (SELECT event_date AS day, count(*) AS events FROM ev GROUP BY 1),
-x AS (SELECT day, events, avg(events) OVER w AS mean_prev, stddev_samp(events) OVER w AS sd_prev FROM d
-  WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
-SELECT day, events, round(mean_prev, 6) AS mean_prev, round(sd_prev, 6) AS sd_prev,
+s AS (SELECT CAST(unnest(generate_series(min(event_date_parsed), max(event_date_parsed), INTERVAL 1 DAY)) AS DATE) AS day FROM ev),
+d AS (SELECT day, (SELECT count(*) FROM ev WHERE event_date_parsed = day) AS events FROM s),
+x AS (SELECT d.day, d.events, avg(p.events) AS mean_prev, stddev_samp(p.events) AS sd_prev
+  FROM d LEFT JOIN d p ON p.day < d.day AND p.day >= d.day - 28 GROUP BY ALL)
+SELECT CAST(day AS VARCHAR) AS day, events, round(mean_prev, 6) AS mean_prev, round(sd_prev, 6) AS sd_prev,
   round((events - mean_prev) / nullif(sd_prev, 0), 6) AS z_score, abs((events - mean_prev) / nullif(sd_prev, 0)) > 2 AS is_anomaly
 FROM x""",
-    "early_signal_lift": f"""{WJ},
-wev AS (SELECT *, row_number() OVER (PARTITION BY user_pseudo_id ORDER BY event_timestamp, event_id) AS rn FROM ev
-  WHERE user_pseudo_id IS NOT NULL AND ga_session_id IS NOT NULL),
-f AS (SELECT user_pseudo_id, bool_or(event_name = 'add_to_cart') AS has_signal FROM wev WHERE rn <= 3 GROUP BY 1),
-x AS (SELECT f.has_signal, j.total_purchases > 0 AS buyer FROM f JOIN wj j ON f.user_pseudo_id = j.user_pseudo_id)
+    "early_signal_lift": f"""{EVW},
+u AS (SELECT user_pseudo_id, list({{'t': event_timestamp, 'n': event_name}} ORDER BY event_timestamp, event_id) AS l FROM wev GROUP BY 1),
+x AS (SELECT list_contains([e.n for e in l[1:3]], 'add_to_cart') AS has_signal,
+  len([1 for e in l[4:] if e.n = 'purchase' AND e.t <= l[3].t + 14 * 86400000000]) > 0 AS buyer FROM u WHERE len(l) >= 3)
 SELECT has_signal, count(*) AS users, count(*) FILTER (WHERE buyer) AS buyers,
   {rate('count(*) FILTER (WHERE buyer)', 'count(*)')} AS conversion_rate FROM x GROUP BY 1""",
     "at_risk_users": f"""{WS},
-wk AS (SELECT user_pseudo_id, {WEEK.format('session_date')} AS week, count(*) AS sessions FROM ws GROUP BY 1, 2),
-x AS (SELECT *, lag(sessions) OVER (PARTITION BY user_pseudo_id ORDER BY week) AS prev_sessions FROM wk)
+b AS (SELECT user_pseudo_id, {WEEK.format('min(session_date)')} AS first FROM ws GROUP BY 1),
+s AS (SELECT user_pseudo_id, CAST(unnest(generate_series(first, {WEEK.format(W_END)}, INTERVAL 7 DAY)) AS DATE) AS week FROM b),
+x AS (SELECT s.user_pseudo_id, s.week, count(*) FILTER (WHERE session_date BETWEEN s.week AND s.week + 6) AS sessions,
+  count(*) FILTER (WHERE session_date BETWEEN s.week - 7 AND s.week - 1) AS prev_sessions
+  FROM s JOIN ws ON s.user_pseudo_id = ws.user_pseudo_id GROUP BY 1, 2)
 SELECT user_pseudo_id, CAST(week AS VARCHAR) AS week, sessions, prev_sessions FROM x
-WHERE prev_sessions IS NOT NULL AND sessions <= prev_sessions * 0.5""",
+WHERE prev_sessions > 0 AND sessions <= prev_sessions * 0.5""",
     "behaviour_clusters": f"""{WJ},
 th AS (SELECT quantile_disc(total_sessions, 0.5) AS med_s, quantile_disc(total_events, 0.5) AS med_e FROM wj),
 x AS (SELECT wj.*, CASE WHEN total_sessions > med_s AND total_events > med_e THEN 'high'
@@ -220,10 +223,13 @@ pairs AS (SELECT a.p AS part_a, b.p AS part_b, count(*) AS orders FROM freq a JO
 SELECT part_a, part_b, orders, round(CAST(orders AS DOUBLE) * n.n_orders / (sa.n * sb.n), 6) AS lift
 FROM pairs JOIN supp sa ON part_a = sa.p JOIN supp sb ON part_b = sb.p, n""",
     "viewed_not_bought": f"""{EVW},
-b AS (SELECT DISTINCT user_pseudo_id, ga_session_id FROM wev WHERE event_name = 'purchase')
-SELECT page, count(DISTINCT v.user_pseudo_id) AS users, count(*) AS views FROM wev v
-WHERE event_name = 'view_item' AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_pseudo_id = v.user_pseudo_id
-  AND b.ga_session_id = v.ga_session_id) GROUP BY page""",
+s AS (SELECT list_distinct(list(page) FILTER (WHERE event_name = 'view_item' AND page <> '')) AS v,
+  list_distinct(list(page) FILTER (WHERE event_name = 'purchase' AND page <> '')) AS b FROM wev GROUP BY user_pseudo_id, ga_session_id),
+p AS (SELECT 'v' AS kind, x, y FROM s, unnest(v) AS a(x), unnest(v) AS b(y) WHERE x < y
+  UNION ALL SELECT 'b', x, y FROM s, unnest(b) AS a(x), unnest(b) AS c(y) WHERE x < y),
+g AS (SELECT x AS page_a, y AS page_b, count(*) FILTER (WHERE kind = 'v') AS viewed_together,
+  count(*) FILTER (WHERE kind = 'b') AS bought_together FROM p GROUP BY x, y)
+SELECT *, viewed_together - bought_together AS gap FROM g WHERE viewed_together > bought_together""",
     "hour_day_heatmap": f"""{WS}
 SELECT CAST(hour(session_start_ts) AS BIGINT) AS hour,
   {", ".join(f'count(*) FILTER (WHERE dayofweek(session_start_ts) + 1 = {d}) AS "{d}"' for d in range(1, 8))}
@@ -243,11 +249,11 @@ FROM spine s LEFT JOIN daily dl ON s.day = dl.day LEFT JOIN firsts f ON s.day =
     "product_performance": f"""{EVW},
 g AS (SELECT page, count(*) FILTER (WHERE event_name = 'view_item') AS views,
   count(*) FILTER (WHERE event_name = 'add_to_cart') AS adds, count(*) FILTER (WHERE event_name = 'purchase') AS purchases,
-  sum(CASE WHEN event_name = 'purchase' THEN purchase_revenue END) AS revenue FROM wev GROUP BY 1),
+  sum(CAST(purchase_revenue AS DECIMAL(28, 9))) FILTER (WHERE event_name = 'purchase') AS revenue FROM wev GROUP BY 1),
 last AS (SELECT page FROM (SELECT page, row_number() OVER (PARTITION BY user_pseudo_id, ga_session_id
   ORDER BY event_timestamp DESC, event_id DESC) AS rn FROM wev) WHERE rn = 1),
 ends AS (SELECT page, count(*) AS session_ends FROM last GROUP BY 1)
-SELECT g.page, views, adds, purchases, round(revenue, 6) AS revenue, {rate('adds', 'views')} AS add_rate,
+SELECT g.page, views, adds, purchases, {r6('revenue')} AS revenue, {rate('adds', 'views')} AS add_rate,
   coalesce(session_ends, 0) AS session_ends FROM g LEFT JOIN ends e ON g.page = e.page""",
     "cross_device": f"""{WS},
 u AS (SELECT user_pseudo_id, count(DISTINCT device_category) AS devices, bool_or(converted_this_session) AS buyer FROM ws GROUP BY 1)
@@ -271,8 +277,9 @@ y AS (SELECT *, sum(brk) OVER (PARTITION BY user_pseudo_id ORDER BY event_timest
 s AS (SELECT user_pseudo_id, min(event_timestamp) AS start_us, max(event_timestamp) AS end_us, count(*) AS event_count,
   count(*) FILTER (WHERE event_name = 'purchase') AS purchases FROM y GROUP BY user_pseudo_id, sid)
 SELECT user_pseudo_id, start_us AS session_start, end_us + 1800000000 AS session_end, event_count, start_us, end_us,
-  purchases FROM s
-WHERE end_us + 1800000000 <= (SELECT max(event_timestamp) FROM ev) - 7200000000""",
+  purchases FROM s""",
+    "incremental_materialize": f"""{WS}
+SELECT session_id, user_pseudo_id, event_count, duration_seconds, converted_this_session FROM ws""",
     "daily_overrides_intraday": f"""{_EV}
 SELECT event_id, event_date, user_pseudo_id FROM ev""",
     "incremental_append": f"""{_EV}

@@ -82,14 +82,14 @@ FROM ev WHERE event_name = 'fail_stack_full'""",
     # filters
     "optional_in_filter": f"WITH {game_sessions_cte()} " + """SELECT session_id, country, app_version FROM gs
 WHERE country IN ('US', 'IN')""",
-    "stuck_level": GJ + "SELECT user_pseudo_id, stuck_level, stuck_level_attempts FROM sl",
+    "stuck_level": GJ + "SELECT user_pseudo_id, stuck_level, stuck_level_attempts FROM gj WHERE stuck_level IS NOT NULL",
     "qualify_first": WS + """SELECT user_pseudo_id, session_id FROM (SELECT *, row_number() OVER (
   PARTITION BY user_pseudo_id ORDER BY event_count DESC, start_us DESC, session_id DESC) AS rn FROM ws) WHERE rn = 1""",
     # joins
     "retention_flags": GJ + """SELECT user_pseudo_id, d1_retained, d7_retained, d30_retained, is_eligible_for_d1,
   is_eligible_for_d7, is_eligible_for_d30 FROM gj""",
     "first_session_depth": GJ + """SELECT user_pseudo_id, first_session_levels_reached,
-  first_session_levels_completed FROM fsa""",
+  first_session_levels_completed FROM gj WHERE first_session_levels_reached > 0""",
     "slice_semi_join": GA + """SELECT attempt_id, session_id FROM ga
 WHERE session_id IN (SELECT session_id FROM gs WHERE country = 'BR')""",
     "lateral_unnest": GA + """SELECT attempt_id, CAST(pos - 1 AS BIGINT) AS pos, item FROM (
@@ -112,8 +112,8 @@ FROM ga""",
     "count_distinct_if": GA + """SELECT level_id, COUNT(DISTINCT user_pseudo_id) AS users,
   COUNT(DISTINCT CASE WHEN outcome = 'complete' THEN user_pseudo_id END) AS completers FROM ga GROUP BY level_id""",
     # windows
-    "carry_forward": GA + """SELECT event_id, attempt_start_ts_us, attempt_level_id, latest_retry_streak FROM gpk""",
-    "carry_forward_bucketed_small": GA + "SELECT event_id, attempt_start_ts_us FROM gpk",
+    "carry_forward": GA + """SELECT event_id, attempt_start_ts_us, attempt_level_id, latest_retry_streak FROM stitched""",
+    "carry_forward_bucketed_small": GA + "SELECT event_id, attempt_start_ts_us FROM stitched",
     "partition_max": GA + "SELECT attempt_id, ab_test FROM ga",
     "is_first_attempt_ever": GA + "SELECT attempt_id, is_first_attempt_ever FROM ga",
     "session_rank": WS + """SELECT session_id,

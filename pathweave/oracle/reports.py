@@ -109,7 +109,8 @@ SELECT user_group, users, round(revenue, 6) AS revenue, round(revenue / users, 6
 , f AS (SELECT s.*, CASE WHEN j.user_group = 'new' THEN 'new'
     WHEN j.user_group IN ('active_buyer', 'churned_buyer') THEN 'buyer'
     WHEN j.user_group = 'churned_non_buyer' THEN 'churned' ELSE 'other' END AS outcome
-  FROM wsr s JOIN wj j ON s.user_pseudo_id = j.user_pseudo_id WHERE s.r_asc = 1)
+  FROM ws s JOIN wj j ON s.user_pseudo_id = j.user_pseudo_id
+  WHERE s.session_id = (SELECT arg_min(w.session_id, {{'t': w.start_us, 'id': w.session_id}}) FROM ws w WHERE w.user_pseudo_id = j.user_pseudo_id))
 SELECT outcome, count(*) AS users, {r6('avg(event_count)')} AS avg_events, {r6('avg(pageview_count)')} AS avg_pageviews,
   {r6('avg(duration_seconds)')} AS avg_duration_s, {r6('avg(CAST(had_add_to_cart AS INTEGER))')} AS add_to_cart_rate,
   {r6('avg(CAST(had_search AS INTEGER))')} AS search_rate FROM f GROUP BY outcome""",

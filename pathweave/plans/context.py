@@ -11,25 +11,38 @@ from pathweave.config import TESTDATA_PARAMS, JobParams
 from pathweave.operators import game as G
 from pathweave.operators import web as Wb
 from pathweave.schema import RAW_EVENT
-from pathweave.sources.events import resolve_window, scan_events_window, window_days, window_end_date
+from pathweave.sources.events import read_export, resolve_window, scan_events_window, window_days, window_end_date
 from pathweave.sources.store import TableStore
 from pathweave.sources.testdata import ga4_events
 from pathweave.session import prepare
 
 
+_WINDOWS: dict[str, tuple[str, str]] = {}
+
+
 class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str, params: JobParams = TESTDATA_PARAMS,
-                 window_request_days: int | None = None, materialize: bool = True):
+                 window_request_days: int | None = None, materialize: bool = True,
+                 export_paths: dict[str, str] | None = None):
+        """``export_paths``: product ("web", "game") -> a stored export (Parquet partitioned by
+        event_date); without it the synthetic events of ``sf_dir`` stand in for one."""
         self.spark = prepare(spark)
         self.sf_dir = sf_dir
+        self.export_paths = export_paths or {}
         self.base_params = params
         self.window_request_days = window_request_days or params.window_days
         self.materialize = materialize
 
     @cached_property
     def store(self) -> TableStore:
-        return TableStore(self.spark, ("v1", self.sf_dir, self.base_params, self.window_request_days),
-                          (f"{self.sf_dir}/events.parquet",))
+        inputs = tuple(self.export_paths.values()) or (f"{self.sf_dir}/events.parquet",)
+        return TableStore(self.spark, ("v2", self.sf_dir, self.base_params, self.window_request_days, sorted(self.export_paths.items())), inputs)
+
+    def rebuilding(self) -> Ctx:
+        """A context of the same inputs whose first use of each summary table writes it anew."""
+        c = Ctx(self.spark, self.sf_dir, self.base_params, self.window_request_days, export_paths=self.export_paths)
+        c.store.rebuild()
+        return c
 
     def _table(self, name: str, build) -> DataFrame:
         return self.store.get(name, build) if self.materialize else build()
@@ -40,20 +53,30 @@ class Ctx:
     def export(self, product: str) -> DataFrame:
         """The raw event export of ``product``: the synthetic table mapped once and
         stored as Parquet partitioned by event_date (the shape of a real export)."""
+        if product in self.export_paths:
+            return read_export(self.spark, self.export_paths[product])
         if not self.materialize:
             return ga4_events(self.spark, self.sf_dir, product)
         df = self.store.get(f"export_{product}", lambda: ga4_events(self.spark, self.sf_dir, product),
-                            partition_by=["event_date"], schema=RAW_EVENT)
+                            partition_by=["event_date"], schema=RAW_EVENT, is_input=True)
         return df.select(*RAW_EVENT.fieldNames())
 
     def export_path(self, product: str) -> str:
+        if product in self.export_paths:
+            return self.export_paths[product]
         self.export(product)
         return f"{self.store.root}/export_{product}"
 
     @cached_property
     def window(self) -> tuple[str, str]:
-        # only event_date is needed: on the lazy mapping this prunes to a scan of ``ts``
-        return resolve_window(ga4_events(self.spark, self.sf_dir, "web"), self.window_request_days)
+        # looked up once for each input: an export answers from its day folders (only the
+        # partition column is read), the synthetic events by a scan of ``ts``
+        key = f"{self.spark.sparkContext.applicationId}:{self.store.root}"
+        if key not in _WINDOWS:
+            product = next(iter(self.export_paths), None)
+            days = self.export(product) if product else ga4_events(self.spark, self.sf_dir, "web")
+            _WINDOWS[key] = resolve_window(days, self.window_request_days)
+        return _WINDOWS[key]
 
     @cached_property
     def w_end(self):

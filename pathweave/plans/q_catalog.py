@@ -22,18 +22,19 @@ register("funnel")(lambda c: CP.funnel(_ev(c)))
 register("funnel_by_device")(lambda c: CP.funnel(_ev(c), by="device_category"))
 register("funnel_user_level")(lambda c: CP.funnel(_ev(c), level="user"))
 register("event_bursts")(lambda c: CP.event_bursts(_ev(c), 3600.0))
-register("duplicate_events")(lambda c: CP.duplicate_events(_ev(c)))
+# the synthetic export repeats no event of a user at one time; within a session names do repeat
+register("duplicate_events")(lambda c: CP.duplicate_events(_ev(c), ("user_pseudo_id", "ga_session_id", "event_name")))
 register("cohort_retention")(lambda c: CC.cohort_retention(c.web_sessions))
 register("cohort_ltv")(lambda c: CC.cohort_ltv(c.web_sessions))
 register("lag_distribution")(lambda c: CC.lag_distribution(c.web_sessions))
-register("reactivation")(lambda c: CC.reactivation(c.web_sessions, 7))
+register("reactivation")(lambda c: CC.reactivation(c.web_sessions, 3))
 register("post_purchase_return")(lambda c: CC.post_purchase_return(c.web_journeys, c.web_sessions))
 register("rfm_and_lifecycle")(lambda c: CC.rfm_and_lifecycle(c.web_journeys, c.w_end))
 register("pareto_concentration")(lambda c: CC.pareto_concentration(c.table("orders")))
 register("period_deltas")(lambda c: CC.period_deltas(c.web_sessions))
-register("trend_and_anomaly")(lambda c: CC.trend_and_anomaly(c.raw_web))
-register("early_signal_lift")(lambda c: CC.early_signal_lift(_ev(c), c.web_journeys))
-register("at_risk_users")(lambda c: CC.at_risk_users(c.web_sessions))
+register("trend_and_anomaly")(lambda c: CC.trend_and_anomaly(c.raw_web, min(28, c.params.window_days - 1)))
+register("early_signal_lift")(lambda c: CC.early_signal_lift(_ev(c)))
+register("at_risk_users")(lambda c: CC.at_risk_users(c.web_sessions, c.w_end))
 register("behaviour_clusters")(lambda c: CM.behaviour_clusters(c.web_journeys))
 register("conversion_cube")(lambda c: CM.conversion_cube(c.web_sessions))
 register("order_cube")(lambda c: CM.order_cube(c.table("orders"), c.table("customer"), c.table("nation")))

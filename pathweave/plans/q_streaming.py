@@ -2,13 +2,12 @@
 trigger over the export files; each returns the written result."""
 
 import hashlib
-import os
 
 from pyspark.sql import functions as F
 
+from pathweave.operators import web as W
 from pathweave.plans.registry import register
-from pathweave.schema import RAW_EVENT
-from pathweave.session import checkpoint_dir
+from pathweave.sources.events import window_days
 from pathweave.streaming import intraday as I
 
 
@@ -16,18 +15,26 @@ def _tag(c, name):
     return name + "-" + hashlib.sha1(c.export_path("web").encode()).hexdigest()[:10]
 
 
+def _clean(c):
+    """The web export as a cleaned stream; its days are a backlog, so the watermark spans them all."""
+    return I.stream_events_clean(I.read_event_stream(c.spark, c.export_path("web")),
+                                 I.backlog_watermark(window_days(c.window)))
+
+
+def _written_clean(c):
+    return I.run_available_now(_clean(c).select("user_pseudo_id", "event_name", "event_timestamp", "event_id", "event_ts"),
+                               _tag(c, "clean"))
+
+
 @register("stream_events_clean")
 def stream_events_clean(c):
-    s = I.stream_events_clean(I.read_event_stream(c.spark, c.export_path("web")))
-    out = I.run_available_now(s.select("user_pseudo_id", "event_name", "event_timestamp", "event_id", "event_ts"),
-                              _tag(c, "clean"))
-    return out.select("user_pseudo_id", "event_name", "event_timestamp", "event_id")
+    return _written_clean(c).select("user_pseudo_id", "event_name", "event_timestamp", "event_id")
 
 
 @register("stream_session_rollup")
 def stream_session_rollup(c):
-    s = I.stream_session_rollup(I.stream_events_clean(I.read_event_stream(c.spark, c.export_path("web"))))
-    out = I.run_available_now(s, _tag(c, "sessions"))
+    emitted = I.run_available_now(I.stream_session_rollup(_clean(c)), _tag(c, "sessions"))
+    out = I.finite_session_rollup(_written_clean(c), emitted)
     return out.select("user_pseudo_id", F.col("session.start").alias("session_start"),
                       F.col("session.end").alias("session_end"), "event_count", "start_us", "end_us", "purchases")
 
@@ -35,18 +42,25 @@ def stream_session_rollup(c):
 @register("daily_overrides_intraday")
 def daily_overrides_intraday(c):
     ex = c.export("web")
-    daily = ex.where(F.col("event_date") <= "20240120")
-    intraday = ex.where(F.col("event_date") >= "20240115")  # overlapping days: daily wins
+    days = [r[0] for r in ex.select("event_date").distinct().orderBy("event_date").collect()]  # one row per day
+    late, early = days[len(days) * 2 // 3], days[len(days) // 2]
+    daily = ex.where(F.col("event_date") <= late)
+    intraday = ex.where(F.col("event_date") >= early)  # overlapping days: daily wins
     return I.daily_overrides_intraday(daily, intraday).select("event_id", "event_date", "user_pseudo_id")
 
 
 @register("incremental_append")
 def incremental_append(c):
-    target = os.path.join(checkpoint_dir(c.spark), "pathweave-streams", _tag(c, "incremental"), "table")
-    ck = os.path.join(checkpoint_dir(c.spark), "pathweave-streams", _tag(c, "incremental"), "ckpt")
-    s = I.read_event_stream(c.spark, c.export_path("web"))
-    q = (s.writeStream.foreachBatch(lambda b, i: I.incremental_append(b, i, target))
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    t = c.spark.read.schema(RAW_EVENT).parquet(target)
+    t = I.incremental_append(I.read_event_stream(c.spark, c.export_path("web")), _tag(c, "incremental"))
     return t.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("incremental_materialize")
+def incremental_materialize(c):
+    """Sessions of the export without its last third of days, brought up to date with the whole of it."""
+    events = c.raw_web
+    days = [r[0] for r in c.export("web").select("event_date").distinct().orderBy("event_date").collect()]
+    before = events.where(F.col("event_date") < days[len(days) * 2 // 3])
+    build = lambda raw: W.web_sessions(raw, c.params, W.web_session_events(raw))
+    out = I.incremental_sessions(build(before), events, I.touched_since(events, before), build)
+    return out.select("session_id", "user_pseudo_id", "event_count", "duration_seconds", "converted_this_session")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,13 +41,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a fresh scratch folder is set.
+    A local session without one (tests) gets a fresh scratch folder; on a cluster a
+    missing setting is an error, as executors can't see each other's local folders.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="pathweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="pathweave-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
+    _DIRS.setdefault(sc.applicationId, d)
+    return _DIRS[sc.applicationId]
+
+
+_DIRS: dict[str, str] = {}  # the first answer holds: setCheckpointDir names a subfolder of its own

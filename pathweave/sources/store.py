@@ -72,27 +72,47 @@ def _fs_status(spark: SparkSession, path: str):
 
 
 def _input_signature(spark: SparkSession, path: str) -> tuple:
-    st = _fs_status(spark, path)
-    return (path,) if st is None else (path, st.getLen(), st.getModificationTime())
+    """(path, length, time) of every file under ``path``: an added or rewritten file gives another signature."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return (path,)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return (path, *sorted(found))
 
 
 class TableStore:
-    """Materialized summary tables for one build (inputs + parameters)."""
+    """Summary tables of one build (inputs + parameters).
+
+    Reads reuse a table that is there. ``rebuild`` starts a run that writes every
+    table it is asked for anew, once, and keeps the statistics of each write.
+    """
 
     def __init__(self, spark: SparkSession, key_parts: tuple, inputs: tuple[str, ...] = ()):
         self.spark = spark
         sig = tuple(_input_signature(spark, p) for p in inputs)
         self.root = os.path.join(checkpoint_dir(spark), "pathweave-tables",
                                  _fingerprint((_CODE_VERSION, os.environ.get("PATHWEAVE_STORE_TAG", ""), key_parts, sig)))
+        self.stats: dict[str, WriteStats] = {}
+        self._rebuilding = False
+
+    def rebuild(self) -> None:
+        self.stats, self._rebuilding = {}, True
 
-    def get(self, name: str, build, partition_by: list[str] | None = None, schema=None) -> DataFrame:
+    def get(self, name: str, build, partition_by: list[str] | None = None, schema=None, is_input: bool = False) -> DataFrame:
+        """The table ``name``, written by ``build`` if it is missing, or in a rebuild unless it is an input of it."""
         path = os.path.join(self.root, name)
         memo_key = f"{self.spark.sparkContext.applicationId}:{path}"
         with _LOCK:
-            if memo_key in _MEMO:
+            again = self._rebuilding and not is_input and name not in self.stats
+            if memo_key in _MEMO and not again:
                 return _MEMO[memo_key]
-            if _fs_status(self.spark, path + "/_SUCCESS") is None:
-                st = write_table(build(), path, partition_by)
+            if again or _fs_status(self.spark, path + "/_SUCCESS") is None:
+                st = self.stats[name] = write_table(build(), path, partition_by)
                 if os.environ.get("PATHWEAVE_TRACE"):
                     print(f"[store] {name}: {st.row_count} rows in {st.elapsed_ms} ms", file=sys.stderr)
             reader = self.spark.read

@@ -3,11 +3,18 @@
 * ``stream_events_clean``: the export read as a file stream, event time from the
   microsecond timestamp, watermark, duplicates dropped within the watermark.
 * ``stream_session_rollup``: gap-based sessions per user with ``session_window``,
-  emitted in append mode once the watermark closes them.
+  emitted in append mode once the watermark closes them; ``finite_session_rollup``
+  adds those that a finite input leaves open.
 * ``daily_overrides_intraday``: a finished daily export replaces the intraday rows
   of the same day (left anti join on event_date + union).
-* ``incremental_append``: ``foreachBatch`` sink that rewrites only the day
-  partitions present in the micro-batch (dynamic partition overwrite).
+* ``append_batch`` / ``read_appended``: a ``foreachBatch`` sink that keeps each
+  micro-batch in a folder of its own, so that a repeated batch replaces itself and no other
+  rows, and the table read back with each event once.
+
+Files of a backlog arrive in the order they were written, not in event order. The
+watermark is a parameter: a live stream takes how late an event may be, a
+backlog the whole span of its days (``backlog_watermark``). A run fails if the
+watermark made it drop a row.
 
 Checkpoints and outputs go under ``spark.checkpoint.dir``.
 """
@@ -22,6 +29,13 @@ from pathweave.schema import RAW_EVENT
 from pathweave.session import checkpoint_dir
 
 DEDUP_KEYS = ["user_pseudo_id", "event_name", "event_timestamp", "event_id"]
+LIVE_WATERMARK = "2 hours"
+#: Micro-batches of a run whose progress is kept, to count the rows dropped as late.
+KEPT_PROGRESS = 1_000_000
+
+
+class LateRowsDropped(RuntimeError):
+    """A stateful operator dropped rows behind the watermark."""
 
 
 def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 64) -> DataFrame:
@@ -29,14 +43,19 @@ def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int
             .option("basePath", path).parquet(path))
 
 
-def stream_events_clean(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
+def backlog_watermark(window_days: int) -> str:
+    """A watermark that no event of a backlog of so many days can fall behind."""
+    return f"{window_days + 1} days"
+
+
+def stream_events_clean(stream: DataFrame, watermark: str = LIVE_WATERMARK) -> DataFrame:
     ev = stream.where(F.col("user_pseudo_id").isNotNull()).withColumn(
         "event_ts", F.timestamp_micros("event_timestamp"))
     return ev.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(DEDUP_KEYS)
 
 
 def stream_session_rollup(clean: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Per user, events closer than ``gap`` form one session."""
+    """Per user, events closer than ``gap`` form one session (streaming or batch)."""
     return clean.groupBy("user_pseudo_id", F.session_window("event_ts", gap).alias("session")).agg(
         F.count(F.lit(1)).alias("event_count"),
         F.min("event_timestamp").alias("start_us"), F.max("event_timestamp").alias("end_us"),
@@ -48,23 +67,41 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
     """Run a streaming query over everything available, into Parquet under the
     checkpoint folder; return the written result as a batch DataFrame.
 
+    Raises LateRowsDropped if a stateful operator dropped rows behind the watermark.
+
     A stateful stream keeps the shuffle-partition count of its first start for its
     whole life (it is stored in the checkpoint).  ``state_partitions`` (default: the
     cluster's default parallelism) is applied only while the query starts; the
-    session setting is restored right after."""
+    session settings are restored right after."""
     spark = df.sparkSession
     root = os.path.join(checkpoint_dir(spark), "pathweave-streams", name)
     out, ckpt = os.path.join(root, "out"), os.path.join(root, "ckpt")
-    n = state_partitions or spark.sparkContext.defaultParallelism
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    wanted = {"spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism),
+              "spark.sql.streaming.numRecentProgressUpdates": str(KEPT_PROGRESS)}
+    old = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
              .outputMode(output_mode).trigger(availableNow=True).start())
+        q.awaitTermination()
+        late = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-    q.awaitTermination()
-    return spark.read.parquet(out)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    if late:
+        raise LateRowsDropped(f"{late} rows of {name} came behind the watermark; widen it")
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def finite_session_rollup(clean: DataFrame, emitted: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """All sessions of a finite input: those a stream has ``emitted`` and, from the
+    ``clean`` rows of that input, those that were still open when it ended."""
+    whole = stream_session_rollup(clean, gap)
+    # by an aggregate, the first event's time: a join on the session column itself would be
+    # pushed below the merging of sessions, where the column is another
+    done = emitted.select("user_pseudo_id", "start_us")
+    return emitted.unionByName(whole.join(done, ["user_pseudo_id", "start_us"], "left_anti"))
 
 
 def daily_overrides_intraday(daily: DataFrame, intraday: DataFrame) -> DataFrame:
@@ -73,7 +110,39 @@ def daily_overrides_intraday(daily: DataFrame, intraday: DataFrame) -> DataFrame
     return daily.unionByName(intraday.join(days, "event_date", "left_anti"))
 
 
-def incremental_append(batch: DataFrame, batch_id: int, path: str) -> None:
-    """foreachBatch body: overwrite only the event_date partitions in this batch."""
-    (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("event_date").parquet(path))
+def append_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """foreachBatch body: the rows of a micro-batch go to a folder of its own.
+
+    A batch that is run again after a failure replaces its own folder; a day whose
+    files span several batches, or a late file for an old day, takes nothing away.
+    """
+    batch.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """The table of append_batch with each event once, however many batches brought it."""
+    rows = spark.read.schema(RAW_EVENT).option("basePath", path).parquet(f"{path}/batch_id=*")
+    return rows.select(*RAW_EVENT.fieldNames()).dropDuplicates(DEDUP_KEYS)
+
+
+def incremental_append(stream: DataFrame, name: str) -> DataFrame:
+    """Append everything available in a raw event stream to the table ``name`` and read it back."""
+    spark = stream.sparkSession
+    root = os.path.join(checkpoint_dir(spark), "pathweave-streams", name)
+    q = (stream.writeStream.foreachBatch(lambda b, i: append_batch(b, i, f"{root}/table"))
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return read_appended(spark, f"{root}/table")
+
+
+def touched_since(appended: DataFrame, before: DataFrame) -> DataFrame:
+    """Keys (user_pseudo_id, ga_session_id) of sessions with rows in ``appended`` that ``before`` lacks."""
+    return appended.join(before.select(*DEDUP_KEYS), DEDUP_KEYS, "left_anti").select("user_pseudo_id").distinct()
+
+
+def incremental_sessions(stored: DataFrame, events: DataFrame, touched: DataFrame, build) -> DataFrame:
+    """A session table brought up to date: rows of ``touched`` users are built anew from ``events``, others stay.
+
+    ``build`` makes session rows from raw events. Only the events of touched users are read by it."""
+    fresh = build(events.join(touched, "user_pseudo_id", "left_semi"))
+    return stored.join(touched, "user_pseudo_id", "left_anti").unionByName(fresh)

@@ -46,3 +46,40 @@ def test_no_cartesian_products_in_table_builds(spark):
 def test_attempt_stitch_is_bucketed(spark, ctx):
     plan = formatted(spark, G.stitch_attempts(G.gameplay_events(ctx.raw_game), ctx.params))
     assert "_bkt" in plan      # windows partition by (user, session, time bucket)
+
+
+def test_attempt_build_reads_and_shuffles_little(spark, ctx):
+    """Two reads of the events and one of the users; seven shuffles even without broadcasts."""
+    ctx.gameplay, ctx.ufo
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = G.level_attempts(ctx.raw_game, ctx.ufo, ctx.params, ctx.gameplay)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("FileScan") <= 3 and plan.count("Exchange hashpartitioning") <= 7
+
+
+def test_qa_carries_narrow_rows(spark, ctx):
+    from pathweave.operators.qa import event_attempt_qa
+    plan = formatted(spark, event_attempt_qa(ctx.raw_game, ctx.attempts, ctx.params))
+    windows = [b for b in plan.split("\n\n") if ") Window" in b.split("\n")[0]]
+    assert windows and not any("event_params" in b or "campaign" in b for b in windows)
+
+
+def test_materialize_replaces_tables_and_sees_new_days(spark, tmp_path):
+    from pathweave.plans.materialize import materialize
+    events = Ctx(spark, SF_SMALL).export("web").cache()
+    path = str(tmp_path / "export")
+    early = events.where("event_date < '20240120'")
+    early.write.partitionBy("event_date").parquet(path)
+    build = lambda: materialize(Ctx(spark, "unused", export_paths={"web": path}), "web")
+    first = build()
+    assert first["ok"] and set(first["stats"]) == set(first["tables"]) and first["window"][1] <= "20240119"
+    events.where("event_date = '20240120'").write.mode("append").partitionBy("event_date").parquet(path)
+    second = build()
+    assert second["window"][1] == "20240120" and second["elapsed_ms"] > 0
+    rows = [r["stats"]["site_sessions"].row_count for r in (first, second)]
+    assert rows[1] > rows[0] and second["tables"]["site_sessions"].count() == rows[1]
+    third = build()   # the same input: every table is written again
+    assert third["stats"]["site_sessions"].row_count == rows[1] and third["tables"]["site_user_journeys"].count() > 0

@@ -1,33 +1,54 @@
 """Streaming counterparts on hand-made rows: duplicates dropped within the watermark,
-gap-based sessions, daily export overriding intraday rows."""
+gap-based sessions, a daily export overriding intraday rows, and exports of many files
+in two write waves: no row is lost, whatever the files per trigger."""
 
-import tempfile
+import os
 import uuid
 
+import pytest
+from conftest import SF_SMALL
+from pyspark.sql import functions as F
+from rows import DAY, DAY0, ev, frame
+
+from pathweave.plans.context import Ctx
 from pathweave.streaming import intraday as I
-from rows import DAY0, ev, frame
 
 MIN = 60_000_000
 
 
-def test_stream_dedup_and_session_windows(spark):
+def name(of):
+    return f"t-{of}-{uuid.uuid4().hex[:8]}"
+
+
+def test_stream_dedup_and_session_windows(spark, tmp_path):
     rows = [ev("u", DAY0, "page_view", {"ga_session_id": 1}, eid=1),
             ev("u", DAY0, "page_view", {"ga_session_id": 1}, eid=1),            # exact duplicate
             ev("u", DAY0 + 10 * MIN, "purchase", {"ga_session_id": 1}, eid=2),
             ev("u", DAY0 + 90 * MIN, "page_view", {"ga_session_id": 1}, eid=3),  # > 30 min gap: new session
             ev("v", DAY0 + 5 * MIN, "page_view", {"ga_session_id": 2}, eid=4),
             ev("u", DAY0 + 600 * MIN, "page_view", {"ga_session_id": 1}, eid=5)]  # advances the watermark
-    path = tempfile.mkdtemp(prefix="pw-stream-", dir="/tmp")
-    frame(spark, rows).write.mode("overwrite").partitionBy("event_date").parquet(path)
-    clean = I.run_available_now(
-        I.stream_events_clean(I.read_event_stream(spark, path)).select("user_pseudo_id", "event_id"),
-        f"t-clean-{uuid.uuid4().hex[:8]}")
+    path = str(tmp_path / "export")
+    frame(spark, rows).write.partitionBy("event_date").parquet(path)
+    stream = I.stream_events_clean(I.read_event_stream(spark, path))
+    clean = I.run_available_now(stream.select("user_pseudo_id", "event_name", "event_timestamp", "event_id", "event_ts"), name("clean"))
     assert sorted(r["event_id"] for r in clean.collect()) == [1, 2, 3, 4, 5]
-    sess = I.run_available_now(I.stream_session_rollup(I.stream_events_clean(I.read_event_stream(spark, path))),
-                               f"t-sess-{uuid.uuid4().hex[:8]}")
-    got = sorted((r["user_pseudo_id"], r["event_count"], r["purchases"]) for r in sess.collect())
-    # sessions closed by the watermark (last event - 2 h); the last one is still open
+    emitted = I.run_available_now(I.stream_session_rollup(stream), name("sess"))
+    got = sorted((r["user_pseudo_id"], r["event_count"], r["purchases"]) for r in emitted.collect())
+    # the watermark (last event - 2 h) closes all sessions but the last
     assert got == [("u", 1, 0), ("u", 2, 1), ("v", 1, 0)]
+    whole = sorted((r["user_pseudo_id"], r["event_count"], r["purchases"]) for r in I.finite_session_rollup(clean, emitted).collect())
+    assert whole == [("u", 1, 0), ("u", 1, 0), ("u", 2, 1), ("v", 1, 0)]
+
+
+def test_late_rows_are_an_error(spark, tmp_path):
+    path = str(tmp_path / "export")
+    for n, day in enumerate((20, 20, 0)):  # the newer day first; a watermark drops rows from the batch after the next
+        frame(spark, [ev("u", DAY0 + day * DAY, "page_view", None, eid=n)]).coalesce(1).write.mode("append").partitionBy("event_date").parquet(path)
+    read = lambda: I.read_event_stream(spark, path, 1)
+    with pytest.raises(I.LateRowsDropped):
+        I.run_available_now(I.stream_events_clean(read()), name("late"))
+    kept = I.run_available_now(I.stream_events_clean(read(), I.backlog_watermark(21)), name("wide"))
+    assert kept.count() == 3
 
 
 def test_daily_overrides_intraday(spark):
@@ -36,3 +57,39 @@ def test_daily_overrides_intraday(spark):
                              ev("u", DAY0 + 86_400_000_000, "page_view", None, eid=2)])
     got = sorted(r["event_id"] for r in I.daily_overrides_intraday(daily, intraday).collect())
     assert got == [1, 2]
+
+
+@pytest.fixture(scope="module")
+def waves(spark, tmp_path_factory):
+    """An export of over 200 files, each day's rows in several files of two write waves, with some events delivered twice."""
+    events = Ctx(spark, SF_SMALL).export("web").where("event_date <= '20240112'").cache()
+    path = str(tmp_path_factory.mktemp("waves"))
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    for part in (events.where(half), events.where(~half | (F.col("event_id") < 100))):
+        part.repartition(12, F.xxhash64("event_id")).write.mode("append").partitionBy("event_date").parquet(path)
+    n = sum(f.endswith(".parquet") for _, _, fs in os.walk(path) for f in fs)
+    assert n > 120
+    return events, path
+
+
+@pytest.mark.parametrize("limit", [16, 64, 1000])
+def test_no_row_is_lost(spark, waves, limit):
+    events, path = waves
+    known = events.where("user_pseudo_id is not null")
+    want = {r[0] for r in known.select("event_id").collect()}
+    stream = I.stream_events_clean(I.read_event_stream(spark, path, limit), I.backlog_watermark(12))
+    clean = I.run_available_now(stream.select(*I.DEDUP_KEYS, "event_ts"), name("waves"), state_partitions=2)
+    got = [r[0] for r in clean.select("event_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+    appended = I.incremental_append(I.read_event_stream(spark, path, limit), name("append"))
+    assert sorted(r[0] for r in appended.select("event_id").collect()) == sorted(r[0] for r in events.select("event_id").collect())
+
+
+def test_a_repeated_batch_replaces_itself_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    day = [ev("u", DAY0 + i * MIN, "page_view", None, eid=i) for i in range(6)]
+    I.append_batch(frame(spark, day[:3]), 0, path)
+    I.append_batch(frame(spark, day[3:5]), 1, path)
+    I.append_batch(frame(spark, day[3:5]), 1, path)   # run again after a failure
+    I.append_batch(frame(spark, [day[5], day[0]]), 2, path)  # a late file for the day, with a row that was there
+    assert sorted(r["event_id"] for r in I.read_appended(spark, path).collect()) == list(range(6))
