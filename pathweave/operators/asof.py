@@ -99,3 +99,19 @@ def running_sum(df: DataFrame, keys: list[str], ts: str, tie: list[str], value:
     before = totals.select(*keys, "_bkt", F.coalesce(F.sum("_t").over(w_prev), F.lit(0)).alias("_before"))
     j = local.join(before, [*keys, "_bkt"], "left")
     return j.select(*base_cols, (F.col("_rs") + F.col("_before")).alias(out))
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], bucket: int, keys: list[str] | None = None,
+                    out: str = "q") -> DataFrame:
+    """Exact discrete quantiles as an array column ``out``, per ``keys`` or for all rows (then one row).
+
+    The quantile q of n values is the smallest one that at least q * n do not exceed. Values
+    are counted first (combined before the shuffle), then summed in order with the
+    bucketed running sum (``bucket``: a stretch of values for one task). Nulls don't count."""
+    keys = keys or []
+    h = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sum(h, keys, "_v", [], "_n", bucket, "_cum")
+    total = h.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    rows = cum.join(total, keys) if keys else cum.crossJoin(F.broadcast(total))  # without keys, one row
+    need = lambda q: F.greatest(F.lit(1), F.col("_total") - F.floor(F.col("_total") - q * F.col("_total")))
+    return rows.groupBy(*keys).agg(F.array(*[F.min(F.when(F.col("_cum") >= need(q), F.col("_v"))) for q in qs]).alias(out))

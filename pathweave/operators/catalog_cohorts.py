@@ -1,8 +1,8 @@
 """Catalogue analyses over time: cohorts, lags, reactivation, RFM, concentration,
 period deltas, trends and anomalies, early signals, at-risk users.
 
-Quantile rules use ``percentile_approx`` thresholds (one global aggregate, a
-single row) and a broadcast of that one row, never a global sort or ``ntile``.
+Quantile rules use exact cut points (counted values and a bucketed running sum,
+ending in a single row) and a broadcast of that one row, never a global sort or ``ntile``.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathweave.functions import aggs as A
+from pathweave.operators.asof import exact_quantiles
 
 U = "user_pseudo_id"
-# One global sketch per cut-point set: exact up to a million rows, bounded memory.
-CUT_ACCURACY = 1_000_000
+# Stretches of values that one task of the cut-point search sums.
+DAY_STRETCH, COUNT_STRETCH, MONEY_STRETCH = 64, 64, 1000
 MONEY = "decimal(18,2)"  # order totals are cents; decimal sums do not depend on order
 
 
@@ -89,9 +90,9 @@ def rfm_and_lifecycle(journeys: DataFrame, w_end: date) -> DataFrame:
     base = journeys.select(U, rec.alias("recency_days"), F.col("total_sessions").alias("frequency"),
                            F.col("total_revenue").cast("double").alias("monetary"))
     qs = [0.2, 0.4, 0.6, 0.8]
-    th = base.agg(F.percentile_approx("recency_days", qs, CUT_ACCURACY).alias("qr"),
-                  F.percentile_approx("frequency", qs, CUT_ACCURACY).alias("qf"),
-                  F.percentile_approx("monetary", qs, CUT_ACCURACY).alias("qm"))
+    th = (exact_quantiles(base, "recency_days", qs, DAY_STRETCH, out="qr")
+          .crossJoin(exact_quantiles(base, "frequency", qs, COUNT_STRETCH, out="qf"))
+          .crossJoin(exact_quantiles(base, "monetary", qs, MONEY_STRETCH, out="qm")))
     x = base.crossJoin(F.broadcast(th))  # exactly one row
     r = 6 - _score(F.col("recency_days"), F.col("qr"))  # recent = high score
     x = x.select(U, "recency_days", "frequency", "monetary", r.alias("r_score"),
@@ -108,7 +109,7 @@ def pareto_concentration(orders: DataFrame, buckets: int = 10) -> DataFrame:
     """Revenue by customer decile (top decile = 1) with cumulative revenue share."""
     rev = orders.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("revenue"))
     qs = [i / buckets for i in range(1, buckets)]
-    th = rev.agg(F.percentile_approx("revenue", qs, CUT_ACCURACY).alias("q"))
+    th = exact_quantiles(rev, "revenue", qs, MONEY_STRETCH)
     x = rev.crossJoin(F.broadcast(th)).select(
         "revenue", (buckets - F.size(F.filter("q", lambda t: t < F.col("revenue")))).alias("decile"))
     g = x.groupBy("decile").agg(F.count(F.lit(1)).alias("customers"), F.sum("revenue").alias("revenue"))

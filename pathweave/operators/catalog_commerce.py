@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathweave.functions import scalars as S
-from pathweave.operators.asof import running_row_number, running_sum
-from pathweave.operators.catalog_cohorts import CUT_ACCURACY, MONEY
+from pathweave.operators.asof import exact_quantiles, running_row_number
+from pathweave.operators.catalog_cohorts import COUNT_STRETCH, MONEY, MONEY_STRETCH
 
 U, SESS = "user_pseudo_id", "ga_session_id"
 
@@ -14,8 +14,9 @@ U, SESS = "user_pseudo_id", "ga_session_id"
 def behaviour_clusters(journeys: DataFrame) -> DataFrame:
     """Rule-based behaviour segments from quantile cut points (median sessions and
     events, one global aggregate) crossed with buyer status."""
-    th = journeys.agg(F.percentile_approx("total_sessions", 0.5, CUT_ACCURACY).alias("med_s"),
-                      F.percentile_approx("total_events", 0.5, CUT_ACCURACY).alias("med_e"))
+    th = (exact_quantiles(journeys, "total_sessions", [0.5], COUNT_STRETCH, out="s")
+          .crossJoin(exact_quantiles(journeys, "total_events", [0.5], COUNT_STRETCH, out="e"))
+          .select(F.col("s")[0].alias("med_s"), F.col("e")[0].alias("med_e")))
     x = journeys.crossJoin(F.broadcast(th))  # one row
     eng = F.when((F.col("total_sessions") > F.col("med_s")) & (F.col("total_events") > F.col("med_e")), "high") \
         .when((F.col("total_sessions") > F.col("med_s")) | (F.col("total_events") > F.col("med_e")), "mid") \
@@ -85,25 +86,32 @@ def search_terms(ev: DataFrame, term_col: str = "search_term", results_col: str
     (The synthetic export has no search-term field; tested on hand-made rows.)"""
     g = ev.where(F.col(term_col).isNotNull()).groupBy(F.lower(F.trim(term_col)).alias("term")).agg(
         F.count(F.lit(1)).alias("searches"), F.count_if(F.col(results_col) == 0).alias("zero_result"))
-    # cumulative share in (searches desc, term) order, bucketed by the search count so
-    # no single task holds all terms; the total is a one-row aggregate
-    ranked = running_sum(g.withColumn("_neg", -F.col("searches")), [], "_neg", ["term"], "searches", 1, "_cum")
+    # cumulative share in (searches desc, term) order; equal counts are split by the term's
+    # first characters, so that the terms searched once don't meet in one task
+    part = F.substring("term", 1, 2)
+    cells = g.groupBy("searches", part.alias("_part")).agg(F.sum("searches").alias("_n"))
+    before = Window.orderBy(F.desc("searches"), "_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("searches", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("searches", "_part").orderBy("term").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = g.withColumn("_part", part).withColumn("_in", F.sum("searches").over(inside)).join(
+        cells, ["searches", "_part"]).withColumn("_cum", F.col("_in") + F.col("_before"))
     total = g.agg(F.sum("searches").alias("_total"))
     return ranked.crossJoin(F.broadcast(total)).select(
         "term", "searches", "zero_result", (F.col("_cum") / F.col("_total")).alias("cum_share"))
 
 
 def order_value(orders: DataFrame, bucket_us: int = 30 * 86_400_000_000) -> DataFrame:
-    """Average and median order value by the order's index in its customer's history
-    (1, 2, 3+).  The median is ``percentile_approx`` with accuracy 100000: its rank
-    error is at most n / 100000 per group, with a bounded sketch per group."""
+    """Average and (exact) median order value by the order's index in its customer's history
+    (1, 2, 3+)."""
     o = orders.select("o_custkey", "o_orderkey", "o_totalprice",
                       F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("_ts"))
     x = running_row_number(o, ["o_custkey"], "_ts", ["o_orderkey"], bucket_us, out="idx")
     b = F.when(F.col("idx") >= 3, "3+").otherwise(F.col("idx").cast("string"))
-    return x.groupBy(b.alias("order_index")).agg(
-        F.count(F.lit(1)).alias("orders"), F.avg("o_totalprice").alias("avg_value"),
-        F.percentile_approx("o_totalprice", 0.5, 100000).alias("median_value"))
+    x = x.select(b.alias("order_index"), "o_totalprice")
+    medians = exact_quantiles(x, "o_totalprice", [0.5], MONEY_STRETCH, ["order_index"])
+    return x.groupBy("order_index").agg(
+        F.count(F.lit(1)).alias("orders"), F.avg(F.col("o_totalprice").cast(MONEY)).alias("avg_value")).join(medians, "order_index").select(
+        "order_index", "orders", "avg_value", F.col("q")[0].alias("median_value"))
 
 
 def basket_pairs(lineitem: DataFrame, min_support: int = 2) -> DataFrame:

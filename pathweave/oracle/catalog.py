@@ -213,7 +213,7 @@ SELECT coalesce(lower(trim(source)), '(none)') AS channel, CAST({WEEK.format('se
     "order_value": """WITH x AS (SELECT o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS idx
   FROM orders)
 SELECT CASE WHEN idx >= 3 THEN '3+' ELSE CAST(idx AS VARCHAR) END AS order_index, count(*) AS orders,
-  round(avg(o_totalprice), 6) AS avg_value, round(quantile_disc(o_totalprice, 0.5), 6) AS median_value FROM x GROUP BY 1""",
+  round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*), 6) AS avg_value, round(quantile_disc(o_totalprice, 0.5), 6) AS median_value FROM x GROUP BY 1""",
     "basket_pairs": """WITH items AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
 n AS (SELECT count(DISTINCT o) AS n_orders FROM items),
 supp AS (SELECT p, count(*) AS n FROM items GROUP BY p),
