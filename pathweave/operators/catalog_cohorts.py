@@ -172,3 +172,12 @@ def at_risk_users(sessions: DataFrame, w_end: date, drop: float = 0.5) -> DataFr
     w = Window.partitionBy(U).orderBy("week")  # one row per week of a user
     x = x.withColumn("prev_sessions", F.lag("sessions").over(w))
     return x.where((F.col("prev_sessions") > 0) & (F.col("sessions") <= F.col("prev_sessions") * (1 - drop)))
+
+
+def sessions_to_purchase(sessions: DataFrame) -> DataFrame:
+    """Buyers by how many sessions they had up to and with their first purchase, and the mean days it took."""
+    at = F.struct("session_start_ts", "session_id")
+    buy = sessions.where("converted_this_session").groupBy(U).agg(F.min(at).alias("_buy"), F.min("session_date").alias("_day"))
+    x = sessions.join(buy, U).where(at <= F.col("_buy"))
+    per_user = x.groupBy(U).agg(F.count(F.lit(1)).alias("sessions"), F.datediff(F.max("_day"), F.min("session_date")).alias("days"))
+    return per_user.groupBy("sessions").agg(F.count(F.lit(1)).alias("buyers"), F.avg("days").alias("avg_days"))

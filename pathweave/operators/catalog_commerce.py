@@ -214,3 +214,29 @@ def impact_ranking(sessions: DataFrame, split_day, dim: str = "country") -> Data
                     F.try_divide(delta.cast("double"), F.sum(delta).over(Window.partitionBy()).cast("double"))
                     .alias("share_of_delta"),
                     F.row_number().over(w).alias("rank"))
+
+
+def order_value_percentiles(orders: DataFrame) -> DataFrame:
+    """Exact percentiles of order values, one row each."""
+    qs = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+    th = exact_quantiles(orders, "o_totalprice", qs, MONEY_STRETCH)
+    pairs = F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("percentile"), F.col("q").alias("order_value"))
+    return th.select(F.inline(pairs)).toDF("percentile", "order_value")
+
+
+def cart_size_curve(lineitem: DataFrame) -> DataFrame:
+    """Orders by number of lines, with their average value."""
+    paid = F.sum(F.col("l_extendedprice").cast(MONEY))
+    o = lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), paid.alias("value"))
+    return o.groupBy("lines").agg(F.count(F.lit(1)).alias("orders"), (F.sum("value").cast("double") / F.count(F.lit(1))).alias("avg_value"))
+
+
+def source_share_drift(sessions: DataFrame) -> DataFrame:
+    """Share of a week's sessions by source, and its change against the week before (0 where the source had none)."""
+    src = F.coalesce("source", F.lit("(none)"))
+    g = sessions.groupBy(F.date_trunc("week", "session_date").cast("date").alias("week"), src.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    t = g.groupBy("week").agg(F.sum("n").alias("_of"))
+    g = g.join(t, "week").select("week", "source", "n", (F.col("n") / F.col("_of")).alias("share"))
+    before = g.select(F.date_add("week", 7).alias("week"), "source", F.col("share").alias("_was"))
+    return g.join(before, ["week", "source"], "left").select(
+        "week", "source", F.col("n").alias("sessions"), "share", (F.col("share") - F.coalesce("_was", F.lit(0.0))).alias("drift"))

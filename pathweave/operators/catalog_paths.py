@@ -24,13 +24,43 @@ def _session_window() -> Window:
 
 
 def sequence_ngrams(ev: DataFrame, n: int = 2, bucket_us: int = BUCKET_US) -> DataFrame:
-    """Counts of consecutive event-name n-grams inside sessions (whole sessions)."""
-    x = ev.select(U, SESS, "event_timestamp", "event_id", F.col("event_name").alias("g0"))
-    for i in range(1, n):  # g_i = g_{i-1} of the next event
-        x = next_value(x, [U, SESS], *ORDER, {f"g{i}": F.col(f"g{i - 1}")}, bucket_us)
-    x = x.where(F.col(f"g{n - 1}").isNotNull())
-    return x.groupBy(F.concat_ws(">", *[F.col(f"g{i}") for i in range(n)]).alias("ngram")).agg(
-        F.count(F.lit(1)).alias("occurrences"))
+    """Consecutive event-name n-grams inside sessions (whole sessions): occurrences, sessions that
+    have them, and the share of those sessions with a purchase.
+
+    One window per (session, time bucket) looks ahead inside the bucket. A bucket's last
+    events take the rest from the first n - 1 names of the buckets after it, of which n - 1 are
+    enough, as each has an event. The number of shuffles does not depend on n."""
+    x = ev.select(U, SESS, "event_timestamp", "event_id", "event_name", F.floor(F.col("event_timestamp") / bucket_us).alias("_bkt"))
+    local = Window.partitionBy(U, SESS, "_bkt").orderBy("event_timestamp", "event_id")
+    x = x.select(U, SESS, "_bkt", "event_name", F.row_number().over(local).alias("_rn"),
+                 F.array_compact(F.array(*[F.lead("event_name", i).over(local) for i in range(1, n)])).alias("_next"))
+    first = F.struct("_rn", "event_name")
+    heads = x.groupBy(U, SESS, "_bkt").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("_rn") < n, first))), lambda s: s["event_name"]).alias("_head"),
+        F.bool_or(F.col("event_name") == "purchase").alias("_bought"))
+    session = Window.partitionBy(U, SESS)
+    after = session.orderBy("_bkt").rowsBetween(1, n - 1)
+    heads = heads.select(U, SESS, "_bkt", F.flatten(F.collect_list("_head").over(after)).alias("_after"),
+                         F.max("_bought").over(session).alias("converted"))
+    gram = F.concat(F.array("event_name"), F.slice(F.concat("_next", "_after"), 1, n - 1))
+    g = x.join(heads, [U, SESS, "_bkt"]).select(U, SESS, "converted", gram.alias("_gram")).where(F.size("_gram") == n)
+    g = g.groupBy(U, SESS, "converted", F.array_join("_gram", ">").alias("ngram")).agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy("ngram").agg(
+        F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("sessions"),
+        (F.count_if("converted") / F.count(F.lit(1))).alias("conversion_rate"))
+
+
+def page_outcomes(ev: DataFrame) -> DataFrame:
+    """Per page: sessions that saw it among those with and without a purchase, and the ratio of the two shares."""
+    page = S.url_path("page_location")
+    s = ev.groupBy(U, SESS).agg(F.bool_or(F.col("event_name") == "purchase").alias("converted"))
+    total = s.agg(F.count_if("converted").alias("_c"), F.count_if(~F.col("converted")).alias("_o"))
+    seen = ev.select(U, SESS, page.alias("page")).where(F.col("page") != "").distinct().join(s, [U, SESS])
+    g = seen.groupBy("page").agg(F.count_if("converted").alias("converting_sessions"), F.count_if(~F.col("converted")).alias("other_sessions"))
+    share = lambda n, of: F.try_divide(F.col(n).cast("double"), F.col(of).cast("double"))
+    g = g.crossJoin(F.broadcast(total))  # one row
+    return g.select("page", "converting_sessions", "other_sessions",
+                    F.try_divide(share("converting_sessions", "_c"), share("other_sessions", "_o")).alias("lift"))
 
 
 def path_archetypes(sessions: DataFrame) -> DataFrame:

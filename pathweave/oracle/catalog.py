@@ -43,9 +43,12 @@ SELECT {sel}count(*) AS entities, {reached} FROM f{group}"""
 
 SQL = {
     "sequence_ngrams": f"""{EVW},
-x AS (SELECT event_name || '>' || lead(event_name, 1) OVER w || '>' || lead(event_name, 2) OVER w AS ngram,
-  lead(event_name, 2) OVER w AS l2 FROM wev WINDOW w AS ({SW}))
-SELECT ngram, count(*) AS occurrences FROM x WHERE l2 IS NOT NULL GROUP BY ngram""",
+l AS (SELECT user_pseudo_id, ga_session_id, list(event_name ORDER BY event_timestamp, event_id) AS e FROM wev GROUP BY ALL),
+g AS (SELECT user_pseudo_id, ga_session_id, list_contains(e, 'purchase') AS buys,
+  unnest([array_to_string(e[i:i + 2], '>') for i in range(1, len(e) - 1)]) AS ngram FROM l WHERE len(e) > 2),
+s AS (SELECT ngram, buys, count(*) AS n FROM g GROUP BY user_pseudo_id, ga_session_id, ngram, buys)
+SELECT ngram, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS sessions,
+  {rate('count(*) FILTER (WHERE buys)', 'count(*)')} AS conversion_rate FROM s GROUP BY ngram""",
     "path_archetypes": f"""{WS}
 SELECT array_to_string(event_sequence, '>') AS path, count(*) AS sessions,
   count(*) FILTER (WHERE converted_this_session) AS conversions,
@@ -285,3 +288,29 @@ SELECT event_id, event_date, user_pseudo_id FROM ev""",
     "incremental_append": f"""{_EV}
 SELECT event_date, count(*) AS events FROM ev GROUP BY event_date""",
 })
+
+SQL.update({
+    "page_outcomes": f"""{EVW},
+s AS (SELECT list_contains(list(event_name), 'purchase') AS buys, list_distinct(list(page) FILTER (WHERE page <> '')) AS pages FROM wev
+  GROUP BY user_pseudo_id, ga_session_id),
+t AS (SELECT count(*) FILTER (WHERE buys) AS c, count(*) FILTER (WHERE NOT buys) AS o FROM s),
+g AS (SELECT page, count(*) FILTER (WHERE buys) AS c, count(*) FILTER (WHERE NOT buys) AS o
+  FROM (SELECT buys, unnest(pages) AS page FROM s) GROUP BY page)
+SELECT page, g.c AS converting_sessions, g.o AS other_sessions,
+  round((CAST(g.c AS DOUBLE) / nullif(t.c, 0)) / nullif(CAST(g.o AS DOUBLE) / nullif(t.o, 0), 0), 6) AS lift FROM g, t""",
+    "order_value_percentiles": """SELECT CAST(p AS DOUBLE) AS percentile, round((SELECT min(v.o_totalprice) FROM (
+    SELECT o_totalprice, cume_dist() OVER (ORDER BY o_totalprice) AS c FROM orders) v WHERE v.c >= p - 1e-12), 6) AS order_value
+FROM (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9, 0.99]) AS p)""",
+    "cart_size_curve": """WITH o AS (SELECT count(*) AS lines, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS value FROM lineitem GROUP BY l_orderkey)
+SELECT lines, count(*) AS orders, round(CAST(sum(value) AS DOUBLE) / count(*), 6) AS avg_value FROM o GROUP BY lines""",
+    "source_share_drift": f"""{WS},
+g AS (SELECT {WEEK.format('session_date')} AS week, coalesce(source, '(none)') AS source, count(*) AS n FROM ws GROUP BY ALL),
+x AS (SELECT *, n / sum(n) OVER (PARTITION BY week) AS share FROM g)
+SELECT CAST(x.week AS VARCHAR) AS week, x.source, x.n AS sessions, round(x.share, 6) AS share,
+  round(x.share - coalesce(y.share, 0), 6) AS drift FROM x LEFT JOIN x y ON x.source = y.source AND y.week = x.week - 7""",
+    "sessions_to_purchase": f"""{WS},
+u AS (SELECT list({{'b': converted_this_session, 'd': session_date}} ORDER BY start_us, session_id) AS l FROM ws GROUP BY user_pseudo_id),
+x AS (SELECT l, list_position([e.b for e in l], true) AS k FROM u)
+SELECT CAST(k AS BIGINT) AS sessions, count(*) AS buyers,
+  round(avg(list_min([e.d for e in l if e.b]) - list_min([e.d for e in l[1:k]])), 6) AS avg_days FROM x WHERE k > 0 GROUP BY k""",
+})

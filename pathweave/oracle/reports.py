@@ -45,6 +45,10 @@ FROM (SELECT user_group, count(*) AS users, CAST(sum(total_revenue) AS DOUBLE) A
 SELECT user_group, 'first_touch_source' AS dimension, value, users,
   {r6('users / sum(users) OVER (PARTITION BY user_group)')} AS share_in_group
 FROM (SELECT user_group, first_touch_source AS value, count(*) AS users FROM wj GROUP BY user_group, first_touch_source)""",
+    "group_mix_device": f"""{WJ},
+t AS (SELECT user_group, count(*) AS of_all FROM wj GROUP BY user_group)
+SELECT user_group, 'primary_device' AS dimension, primary_device AS value, count(*) AS users, {rate('count(*)', 'any_value(of_all)')} AS share_in_group
+FROM wj JOIN t USING (user_group) GROUP BY user_group, primary_device""",
     "journey_length": f"""{WJ}
 SELECT user_group, {r6('avg(total_sessions)')} AS avg_sessions, {r6('avg(total_events)')} AS avg_events,
   {r6('avg(days_active_span)')} AS avg_span_days, quantile_disc(total_sessions, 0.5) AS median_sessions,

@@ -49,3 +49,8 @@ register("data_health")(lambda c: CM.data_health(c.raw_web))
 register("product_performance")(lambda c: CM.product_performance(_ev(c)))
 register("cross_device")(lambda c: CM.cross_device(c.web_sessions))
 register("impact_ranking")(lambda c: CM.impact_ranking(c.web_sessions, c.w_end - timedelta(days=14)))
+register("page_outcomes")(lambda c: CP.page_outcomes(_ev(c)))
+register("order_value_percentiles")(lambda c: CM.order_value_percentiles(c.table("orders")))
+register("cart_size_curve")(lambda c: CM.cart_size_curve(c.table("lineitem")))
+register("source_share_drift")(lambda c: CM.source_share_drift(c.web_sessions))
+register("sessions_to_purchase")(lambda c: CC.sessions_to_purchase(c.web_sessions))

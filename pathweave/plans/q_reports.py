@@ -7,6 +7,7 @@ from pathweave.plans.registry import register
 # web
 register("web_baseline")(lambda c: RW.web_baseline(c.web_journeys))
 register("group_mix")(lambda c: RW.group_mix(c.web_journeys))
+register("group_mix_device")(lambda c: RW.group_mix(c.web_journeys, "primary_device"))
 register("journey_length")(lambda c: RW.journey_length(c.web_journeys))
 register("time_to_purchase")(lambda c: RW.time_to_purchase(c.web_journeys))
 register("time_to_purchase_summary")(lambda c: RW.time_to_purchase_summary(c.web_journeys))

@@ -83,3 +83,10 @@ def test_materialize_replaces_tables_and_sees_new_days(spark, tmp_path):
     assert rows[1] > rows[0] and second["tables"]["site_sessions"].count() == rows[1]
     third = build()   # the same input: every table is written again
     assert third["stats"]["site_sessions"].row_count == rows[1] and third["tables"]["site_user_journeys"].count() > 0
+
+
+def test_ngrams_shuffle_the_same_for_every_length(spark, ctx):
+    from pathweave.operators.catalog_paths import sequence_ngrams
+    plans = [formatted(spark, sequence_ngrams(ctx.web_events, n)) for n in (2, 4)]
+    counts = [p.count(") Exchange\n") for p in plans]
+    assert counts[0] == counts[1] <= 8
