@@ -13,9 +13,10 @@ from pathweave.llm.common import checkpointed
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for each id in ``edges``; the component is its smallest id.
 
-    Each round maps every id to the smallest among itself and its neighbours and
-    contracts the graph by that map, which at least halves the ids of a component.
-    A star, which is what the block-wise joins here hand over, is done in one round.
+    Each round maps every id to the smallest among itself and its neighbours, follows
+    that map to its end by doubling, and contracts the graph by it. As every id that is its
+    own end has a neighbour that isn't, a round at least halves the ids of a component, and
+    a long path costs the logarithm of its length.
     The minimum is pre-aggregated before it is shuffled, and the joins carry
     nothing above them that needs a key whole, so Spark can split a hub's edges.
     Rows with a null end and loops are no links.
@@ -25,6 +26,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     maps = []
     while not maps or not left.isEmpty():
         m = checkpointed(left.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
+        moved = True
+        while moved:
+            at = m.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
+            on = checkpointed(m.join(at, m["to"] == at["_a"]).select("a", F.col("_to").alias("to"), (F.col("to") != F.col("_to")).alias("moved")))
+            m, moved = on.select("a", "to"), not on.filter("moved").isEmpty()
         maps.append(m)
         at = m.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
         for end in ("a", "b"):

@@ -8,8 +8,9 @@ tree reaches the target recall. Sorting and grouping by prefix is Spark's shuffl
 
 Texts with equal sets are one class from the start. Classes that share prefixes,
 directly or through others, form a group; its sets meet once, in blocks when it
-is large, and each pair that shares a prefix is verified on its sets. Tasks
-return counts of links and local components, never pairs.
+is large, and every pair of the group whose sizes allow it is verified on its sets, so
+within a group nothing hangs on chance. Tasks return counts of links and local
+components, never pairs.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from pathweave.llm.graph import connected_components
 from pathweave.llm.range_join import block_pairs, settle, with_blocks
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 16, 8, 0.999
+TREES, DEPTH, RECALL = 24, 8, 0.99999
 #: Classes of a block of a group.
 BLOCK = 1024
 #: Words whose hashes a worker keeps; the store is emptied when full.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -113,31 +114,37 @@ def _signed(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
 
 
 def _verified(key: tuple, t: pa.Table, least: Fraction) -> pa.Table:
-    """Links of one pair of blocks of a group, on the members' whole sets."""
+    """Links of one pair of blocks of a group, on the members' whole sets.
+
+    Members are in order of size, so the ones that a set may link with by size are a
+    stretch, and its overlaps with all of them are one sum over a stretch of ids.
+    """
     lo, hi = key[-2].as_py(), key[-1].as_py()
     rep = np.array(t["rep"].to_pylist(), object)
     rep, first = np.unique(rep, return_index=True)  # a text that is there twice came from a repeated row
     t = t.take(pa.array(first))
     size, copies, own = (t[c].to_numpy() for c in ("size", "copies", "block"))
-    paths = np.array(t["paths"].to_pylist(), dtype=np.int64)
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]
     names, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(size)
-    sets = [ids[e - n:e] for e, n in zip(ends, size, strict=True)]
-    linked, mark = np.zeros((len(rep), len(rep)), bool), np.zeros(len(names), bool)
-    for i in range(len(rep) - 1):
-        may = (paths[i + 1:] == paths[i]).any(axis=1)
-        if lo != hi:
-            may &= own[i + 1:] != own[i]
-        few, many = np.minimum(size[i], size[i + 1:]), np.maximum(size[i], size[i + 1:])
-        js = np.flatnonzero(may & (few * least.denominator >= many * least.numerator)) + i + 1
-        if js.size:
-            mark[sets[i]] = True
-            starts = np.concatenate([[0], np.cumsum(size[js])[:-1]])
-            both = np.add.reduceat(mark[np.concatenate([sets[j] for j in js])].astype(np.int64), starts)
-            mark[sets[i]] = False
-            js = js[both * least.denominator >= (size[i] + size[js] - both) * least.numerator]
-            linked[i, js] = linked[js, i] = True
+    ids, ends = ids.astype(np.int32), np.cumsum(size)
+    up, down = least.numerator, least.denominator
+    these = np.flatnonzero(own == lo)
+    those = np.flatnonzero(own == hi)
+    those = those[np.argsort(size[those], kind="stable")]
+    flat = np.concatenate([ids[:0], *(ids[ends[j] - size[j]:ends[j]] for j in those)])  # a block may be empty
+    starts = np.concatenate([[0], np.cumsum(size[those])])
+    linked, mark = np.zeros((len(rep), len(rep)), bool), np.zeros(len(names), np.int32)
+    for i in these:
+        a = np.searchsorted(size[those] * down, size[i] * up, side="left")
+        b = np.searchsorted(size[those] * up, size[i] * down, side="right")
+        if a < b:
+            mine = ids[ends[i] - size[i]:ends[i]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[flat[starts[a]:starts[b]]], starts[a:b] - starts[a])
+            mark[mine] = 0
+            near = those[a:b][both * down >= (size[i] + size[those[a:b]] - both) * up]
+            linked[i, near] = linked[near, i] = True
+    np.fill_diagonal(linked, False)
     return settle(rep, copies, linked, pa.binary())
 
 
@@ -152,7 +159,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nothing and are kept. Rows that repeat id and text are linked copies and have
     like results; rows that repeat only the id are documents of their own. Further columns are
     dropped; an empty table gives an empty table. Pairs of equal sets are always
-    found, others with the chance ``recall`` or more, which grows with their similarity.
+    found, others with the chance ``recall`` or more, which grows with their similarity and with
+    further links between their groups.
     """
     least = Fraction(str(threshold))
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"),
@@ -165,19 +173,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     at = classes.select("rep", F.explode("paths").alias("path"))
     shared = at.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("root")).filter("n > 1").drop("n")
     groups = connected_components(at.join(shared, "path").filter("rep != root").select("rep", "root"), "rep", "root")
-    members = classes.join(groups.withColumnRenamed("id", "rep"), "rep")
+    members = classes.drop("paths").join(groups.withColumnRenamed("id", "rep"), "rep")
     members = checkpointed(with_blocks(members, ["component"], block))
 
     wanted = members.select("*", F.coalesce("who.doc_id", F.lit(-1)).alias("d"), F.col("who.text_key").alias("text_key"))
     found = plain.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["d", "text_key"]).select(
-        "text", "rep", "copies", "size", "paths", "component", "blocks", "block")
+        "text", "rep", "copies", "size", "component", "blocks", "block")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([sets, *batch.columns[1:]], ["grams", *batch.schema.names[1:]])
 
-    sets = found.mapInArrow(gather, "grams binary, rep binary, copies bigint, size bigint, paths array<bigint>, component binary, blocks int, block int")
+    sets = found.mapInArrow(gather, "grams binary, rep binary, copies bigint, size bigint, component binary, blocks int, block int")
     links = checkpointed(block_pairs(sets).groupBy("component", "lo", "hi").applyInArrow(
         lambda key, t: _verified(key, t, least), "rep binary, links bigint, root binary"))
     joined = connected_components(links, "rep", "root").select(F.col("id").alias("rep"), F.col("component").alias("root"))

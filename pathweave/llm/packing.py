@@ -36,7 +36,7 @@ END_ID = 0
 #: A length gets one more salt for so many pieces of the whole input.
 ROWS_PER_SALT = 2000
 #: Chunks of text whose ids a worker keeps; the store is emptied when full.
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 300_000
 
 
 class ByteBpe:

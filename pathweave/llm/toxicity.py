@@ -35,7 +35,7 @@ ONE_ERROR, TWO_ERRORS = 5, 12
 NEAR_CLEAN_WORDS = 3
 WINDOW = 8
 #: Words whose matches a worker keeps; the store is emptied when full.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 # Words of report and of direct address, quotation marks, and weights.
 REPORT = frozenset("said says quoted quote called word term phrase insult slur means dit mot sagte wort dijo palabra".split())

@@ -66,14 +66,15 @@ def arc_records(content: bytes) -> Iterator[ArcRecord]:
         if not line.strip():
             continue
         parts = line.rstrip(b"\r\n").rsplit(b" ", fields - 1)
-        if line.startswith(b"filedesc:"):
+        version_block = line.startswith(b"filedesc:") and b" 0.0.0.0 " in line  # a page may have such a URL
+        if version_block:
             parts = line.rstrip(b"\r\n").split(b" ")
         if len(parts) < 5 or not parts[-1].isdigit():
             raise ValueError(f"no ARC header at byte {start}: {line[:80]!r}")
         length = int(parts[-1])
         block = f.read(length)
         offset += len(block)
-        if line.startswith(b"filedesc:"):
+        if version_block:
             fields = 10 if block.split(None, 1)[0] == b"2" else 5
             continue
         url, ip, date, mime = (x.decode("utf-8", "replace") for x in parts[:4])

@@ -50,8 +50,8 @@ def test_near_vectors_by_brute_force(spark, classes_a_pivot, block):
     rng = np.random.default_rng(3)
     made = [*near_groups(rng, 25, 6, 1), *near_groups(rng, 20, 6, 2), *near_groups(rng, 5, 3, 1)]
     rows = [(i, [float(np.float32(x)) for x in v], label) for i, (v, label) in enumerate(made)]
-    rows += [(900, None, 1), (901, [], 1), (902, [0.0] * 6, 1), (903, [1.0, None, 0, 0, 0, 0], 1), (904, [float("nan")] * 6, 1),
-             (905, [float("inf"), 0, 0, 0, 0, 0], 1), (906, rows[0][1], None), (None, rows[0][1], 1), rows[3], (907, [x * 7 for x in rows[5][1]], 1)]
+    rows += [(900, None, 1), (901, [], 1), (902, [0.0] * 6, 1), (903, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (904, [float("nan")] * 6, 1),
+             (905, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0], 1), (906, rows[0][1], None), (None, rows[0][1], 1), rows[3], (907, [x * 8 for x in rows[5][1]], 1)]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumns(
         {c: F.lit("clash") for c in ("rep", "cell", "n_links", "block", "dims", "fit")}).repartition(4)
     stored = [tuple(r) for r in table.select("vec_id", "embedding", "label").collect()]
