@@ -54,14 +54,6 @@ def approx_quantile(x, q: float) -> Column:
     return F.percentile_approx(_c(x), q)
 
 
-def array_concat_agg(arr, *order) -> Column:
-    """Concatenate per-row arrays in ``order`` (rows with a null array are skipped)."""
-    a = _c(arr)
-    s = F.struct(*[_c(o).alias(f"o{i}") for i, o in enumerate(order)], a.alias("arr"))
-    coll = F.collect_list(F.when(a.isNotNull(), s))
-    return F.flatten(F.transform(F.array_sort(coll), lambda e: e["arr"]))
-
-
 def ordered_array_limit(df: DataFrame, keys: list[str], order: list[str],
                         values: dict[str, Column], n: int,
                         extra_aggs: list[Column] | None = None) -> DataFrame:

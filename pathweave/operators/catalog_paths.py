@@ -19,10 +19,6 @@ BUCKET_US = 3_600_000_000
 ORDER = ("event_timestamp", ["event_id"])
 
 
-def _session_window() -> Window:
-    return Window.partitionBy(U, SESS).orderBy("event_timestamp", "event_id")
-
-
 def sequence_ngrams(ev: DataFrame, n: int = 2, bucket_us: int = BUCKET_US) -> DataFrame:
     """Consecutive event-name n-grams inside sessions (whole sessions): occurrences, sessions that
     have them, and the share of those sessions with a purchase.
