@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,13 @@ def packed(df: DataFrame, *extra: Column) -> DataFrame:
     """The whole row as one struct ``row`` beside ``extra``: internal names then clash with nothing."""
     row = F.struct("*") if df.columns else F.struct(F.lit(0).alias("_"))
     return df.select(row.alias("row"), *extra)
+
+
+def without_space(text: Column) -> Column:
+    """``text`` without the six ASCII white-space characters."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), " \n\t\r\x0b\x0c", text)
+
+
+def count_of(text: Column, pattern: str) -> Column:
+    """Number of matches of a pattern, such as a class of characters."""
+    return F.regexp_count(text, F.lit(pattern))

@@ -18,9 +18,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import WORD, checkpointed, let, no_name_clash
+from pathweave.llm.common import WORD, checkpointed, count_of, let, no_name_clash, without_space
 from pathweave.llm.labelled import training_rows, with_fold
-from pathweave.llm.quality_rules import STOP_WORDS
+from pathweave.llm.quality_rules import STOP_WORDS, SYMBOL
 
 TARGET, FOLDS, HELD_OUT = "quality", 3, 1
 #: Labelled rows to learn from, at most (about), and the files' worth of tasks that hold them.
@@ -37,37 +37,32 @@ def statistics(text: Column) -> Column:
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0)).cast("double")
 
-    def without(chars: str) -> Column:
-        return F.length(t) - F.length(F.translate(t, chars, ""))
-
     def of(x: Column) -> Column:
         words, n = x["words"], F.size(x["words"])
         lines, k = x["lines"], F.size(x["lines"])
-        chars = F.length(F.translate(t, " \t\n\x0b\x0c\r", ""))
-        pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+        chars = F.length(without_space(t))
         return F.struct(
             F.log1p(n.cast("double")).alias("words"),
             share(chars, n).alias("word_length"),
-            share(without("#*$%&|<>"), n).alias("symbols"),
-            share(without("|"), n).alias("bars"),
-            share(without("!?"), n).alias("exclamations"),
-            share(without(".,;:"), n).alias("punctuation"),
-            share(without("{}[]()=_/\\@"), n).alias("code_signs"),
-            share(without("0123456789"), chars).alias("digits"),
-            share(F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÇÑÓÍÚÁ", "")), chars).alias("capitals"),
+            share(count_of(t, SYMBOL), n).alias("symbols"),
+            share(count_of(t, r"\|"), n).alias("bars"),
+            share(count_of(t, "[!?]"), n).alias("exclamations"),
+            share(count_of(t, "[.,;:]"), n).alias("punctuation"),
+            share(count_of(t, r"[{}\[\]()=_/\\@]"), n).alias("code_signs"),
+            share(count_of(t, "[0-9]"), chars).alias("digits"),
+            share(count_of(t, r"\p{Lu}"), chars).alias("capitals"),
             share(F.size(F.array_distinct(words)), n).alias("distinct_words"),
-            share(F.size(F.array_distinct(pairs)), n).alias("distinct_pairs"),
-            share(F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))), n).alias("stop_words"),
+            share(F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))), n).alias("stop_words"),
             share(k - F.size(F.array_distinct(lines)), k).alias("repeated_lines"),
             share(n, k).alias("line_words"),
         )
 
-    return let(F.struct(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("words"),
-                        F.filter(F.split(t, "\n", -1), lambda x: F.length(F.trim(x)) > 0).alias("lines")), of)
+    return let(F.struct(F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)).alias("words"),
+                        F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)).alias("lines")), of)
 
 
 STATISTICS = ("words word_length symbols bars exclamations punctuation code_signs digits capitals "
-              "distinct_words distinct_pairs stop_words repeated_lines line_words").split()
+              "distinct_words stop_words repeated_lines line_words").split()
 
 
 class Bound(NamedTuple):

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import WORD, let, no_name_clash
+from pathweave.llm.common import WORD, count_of, let, no_name_clash, without_space
 
 #: Frequent function words of the languages served.
 STOP_WORDS = (
@@ -49,7 +49,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_stop", "n_lines", "n_bullet_lines", "n_cut_lines"]
 OUTPUTS = [*COUNTS, *MORE, "base_failed", "failed_rules", "kept"]
 
-_SPACE = "\x20\t\n\x0b\x0c\r"
+SYMBOL = "[#*$%&|<>]"
 
 
 def repeated_words(words: Column) -> Column:
@@ -105,14 +105,14 @@ def counts(text: Column) -> Column:
         words, lines = x["words"], x["lines"]
         return F.struct(
             F.size(words).alias("n_words"),
-            F.length(F.translate(t, _SPACE, "")).alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).alias("n_symbols"),
+            F.length(without_space(t)).alias("word_chars"),
+            count_of(t, SYMBOL).alias("n_symbols"),
             repeated_words(words).alias("n_repeat_words"),
             F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).alias("n_stop"),
             *of_lines(lines))
 
     parts = F.struct(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("words"),
-                     F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, _SPACE, "")) > 0).alias("lines"))
+                     F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
     return let(parts, of)
 
 
