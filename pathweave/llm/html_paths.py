@@ -2,9 +2,11 @@
 
 Each page's containers are scored by the text that stands in them, in Spark
 tasks. A container is named by its path of tags and classes, with numbers in them
-generalised. The scores are votes for paths, summed per host by Spark; pages
-are then extracted again from the first winning path that they have. A page
-without one falls back on its own best container.
+generalised. The best container is raised to the outermost one above that is named
+as content, so that a headline or section beside it is not lost. The scores are
+votes for paths, summed per host by Spark; pages are then extracted again from the
+first winning path that they have, raised in the same way. A page without one falls
+back on its own best container.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -83,6 +86,7 @@ class Page:
         self.chunks: list[Chunk] = []
         self.block = 0
         self.open = [0]
+        self._sums: tuple[list[int], list[int]] | None = None
         at = 0
         for m in _TOKEN.finditer(html):
             if m.start() > at:
@@ -166,13 +170,79 @@ class Page:
                 at = self.elements[self.elements[at].parent].container
         return {k: v for k, v in points.items() if v > 0}
 
-    def text(self, element: int = 0) -> str:
-        """Blocks below an element that are not left out: references decoded, white space one space, one line each."""
+    def sums(self) -> tuple[list[int], list[int]]:
+        """Characters of text outside links, and in links, of all elements before each one; what is left out does not count."""
+        if not self._sums:
+            own = [[0] * (len(self.elements) + 1) for _ in range(2)]
+            for c in self.chunks:
+                e = self.elements[c.element]
+                if not e.left_out:
+                    own[e.link][c.element + 1] += len(c.text.strip())
+            self._sums = list(accumulate(own[0])), list(accumulate(own[1]))
+        return self._sums
+
+    def size(self, element: int) -> tuple[int, int]:
+        """Characters of text outside links and in links below an element."""
+        (plain, links), end = self.sums(), self.ends[element]
+        return plain[end] - plain[element], links[end] - links[element]
+
+    def raised(self, element: int) -> tuple[int, tuple[int, ...]]:
+        """The outermost good container above an element, and the lists of links in it that are no main text.
+
+        Each step up takes all that it adds. Where that is mostly links, containers that
+        are mostly links stay out; where nothing else is added, the step is not taken.
+        """
+        at, without, up = element, (), self.elements[element].parent
+        while up > 0:
+            e = self.elements[up]
+            if e.good and e.tag in CONTAINERS and e.tag not in ("html", "body"):
+                plain, links = (a - b for a, b in zip(self.size(up), self.size(at), strict=True))
+                if links > plain:
+                    lists = self._link_lists(up, at)
+                    for k in lists:
+                        gone = self.size(k)
+                        plain, links = plain - gone[0], links - gone[1]
+                    if links >= plain:
+                        break
+                    without += lists
+                at = up
+            up = e.parent
+        return at, without
+
+    def _link_lists(self, element: int, inner: int) -> tuple[int, ...]:
+        """The outermost containers below ``element`` and beside ``inner`` that are mostly links."""
+        lists, k, end = [], element + 1, self.ends[element]
+        while k < end:
+            plain, links = self.size(k)
+            if k == inner or links > plain and self.elements[k].tag in CONTAINERS and not k < inner < self.ends[k]:
+                lists += [k] * (k != inner)
+                k = self.ends[k]
+            else:
+                k += 1
+        return tuple(lists)
+
+    def best(self, points: dict[int, int]) -> tuple[int, tuple[int, ...]]:
+        """The container of most points, raised."""
+        return self.raised(max(sorted(points), key=points.__getitem__))
+
+    def main(self, found: list[int], best: tuple[int, tuple[int, ...]]) -> str:
+        """Text of containers, raised, in the order of the page, without the lists of links that raising leaves out."""
+        raised = {self.raised(e) for e in found}
+        tops = {e for e, _ in raised}
+        without = {k for _, lists in raised | ({best} if best[0] in tops else set()) for k in lists}
+        inside = bytearray(len(self.elements))
+        for some, value in ((tops, 1), (without, 0), ([e for e in found if any(k <= e < self.ends[k] for k in without)], 1)):
+            for e in some:
+                inside[e:self.ends[e]] = bytes([value]) * (self.ends[e] - e)
+        return self.text(inside)
+
+    def text(self, inside: bytearray | None = None) -> str:
+        """Blocks of the elements ``inside`` (all) that are not left out: references decoded, white space one space, one line each."""
         lines: list[str] = []
         parts: list[str] = []
-        block, end = -1, self.ends[element]
+        block = -1
         for c in self.chunks:
-            if element <= c.element < end and not self.elements[c.element].left_out:
+            if (inside is None or inside[c.element]) and not self.elements[c.element].left_out:
                 if c.block != block and parts:
                     lines.append(" ".join(unescape("".join(parts)).split()))
                     parts = []
@@ -195,13 +265,13 @@ def main_text(html: str | None, paths: list[str] | None) -> str:
     points = page.scores()
     if not points:
         return page.text()
-    at = defaultdict(list)
-    for e in points:
+    best, at = page.best(points), defaultdict(list)
+    for e in {*points, best[0]}:
         at[page.path(e)].append(e)
     for p in paths or ():
-        if texts := [t for e in sorted(at.get(p, ())) if (t := page.text(e))]:
-            return "\n".join(texts)
-    return page.text(max(sorted(points), key=points.__getitem__))
+        if text := page.main(at.get(p, []), best):
+            return text
+    return page.main([best[0]], best)
 
 
 def path_votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -215,11 +285,10 @@ def path_votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
                 sums[host, ""][2] += 1
                 if not points:
                     continue
-                best, total = max(sorted(points), key=points.__getitem__), sum(points.values())
+                total = sum(points.values())
                 for e, n in points.items():
-                    s = sums[host, page.path(e)]
-                    s[0] += 1000 * n // total
-                    s[1] += e == best
+                    sums[host, page.path(e)][0] += 1000 * n // total
+                sums[host, page.path(page.best(points)[0])][1] += 1
             if sums:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[i] for k in sums]) for i in (0, 1)] + [pa.array([v[i] for v in sums.values()], pa.int64()) for i in (0, 1, 2)],

@@ -183,6 +183,33 @@ def test_main_text_of_hard_pages(spark):
     assert html_paths.extract_main_text(table.limit(0)).collect() == []
 
 
+def test_main_text_beside_the_inner_body():
+    body, links = "<p>" + "word, and more " * 140 + "</p>", '<ul class="tags">' + '<li><a href="x">some tag</a>' * 9 + "</ul>"
+    want = " ".join(["word, and more"] * 140)
+    inner = f'<div class="entry-content">{body}</div>'
+    unlike = "".join(f'<section class="s-{x}"><h2>{x}</h2>{body if x == "methods" else "<p>few words</p>"}</section>' for x in ("intro", "methods", "results"))
+    more = '<div class="more">' + '<p><a href="x">another article</a></p>' * 200 + "</div>"
+    cases = [
+        (f"<article><h1>Head</h1><p>lead</p>{inner}</article>", f"Head\nlead\n{want}"),
+        (f"<article><h1>Head</h1><p>lead</p>{links}{inner}</article>", f"Head\nlead\n{want}"),
+        (f"<main><div><article><h1>Head</h1><div><div><div>{inner}</div></div></div></article></div>{more}</main>", f"Head\n{want}"),
+        (f'<div id="content"><div><p>lead</p></div>{inner}<p>end</p></div>', f"lead\n{want}\nend"),
+        (f"<article>{unlike}</article>", f"intro\nfew words\nmethods\n{want}\nresults\nfew words"),
+        (f'<article>{body}<p class="comments">reader</p></article>', want),
+    ]
+    inner_path = html_paths.Page(page(cases[0][0]))
+    inner_path = [inner_path.path(e) for e in inner_path.scores() if "entry-content" in inner_path.elements[e].name]
+    for html, text in cases:
+        assert html_paths.main_text(page(html), None) == html_paths.main_text(page(html), inner_path) == text
+
+
+def test_votes_for_the_raised_container(spark):
+    html = page("<article><h1>Head</h1><div class='entry-content'><p>" + "long " * 400 + "</p></div></article>")
+    table = spark.createDataFrame([(i, "http://a.example/", html.replace("Head", f"Head {i}")) for i in range(5)], "page_id bigint, url string, html string")
+    assert [r.paths for r in html_paths.winning_paths(html_paths.path_votes(table)).collect()] == [["html>body>article"]]
+    assert {r.page_id: r.text.split("\n")[0] for r in html_paths.extract_main_text(table).collect()} == {i: f"Head {i}" for i in range(5)}
+
+
 def test_hosts():
     assert html_paths.host_of("https://user@WWW.x.example:8/a?b") == "x.example" and html_paths.host_of(None) == html_paths.host_of("/rel") == ""
 
