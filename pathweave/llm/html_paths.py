@@ -49,7 +49,8 @@ LEAST_SHARE, MOST_PATHS = 5, 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<svg(?=[\s/>])[^>]*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][\w:-]*+)(?P<attrs2>[^>]*+)>"
     r"|<[!?][^>]*+>", re.S | re.I)
@@ -61,12 +62,16 @@ class Element(NamedTuple):
     parent: int
     tag: str
     name: str  # tag and classes, generalised
-    left_out: bool
+    left_out: int  # ALWAYS, BY_WORD or 0, by what the element itself is
     container: int  # the nearest container: itself or above
     link: bool
     good: bool
 
 
+#: Left out with all below; left out unless the main text is below.
+ALWAYS, BY_WORD = 2, 1
+
+
 class Chunk(NamedTuple):
     element: int
     block: int
@@ -81,11 +86,12 @@ class Page:
     """Elements and text of a page, read in one pass; unclosed and stray tags are mended as browsers do."""
 
     def __init__(self, html: str):
-        self.elements = [Element(-1, "", "", False, 0, False, False)]
+        self.elements = [Element(-1, "", "", 0, 0, False, False)]
         self.ends = [0]  # after the last element below
         self.chunks: list[Chunk] = []
         self.block = 0
         self.open = [0]
+        self.marks: list[int] = []  # article and main, but those of comments and the like
         self._sums: tuple[list[int], list[int]] | None = None
         at = 0
         for m in _TOKEN.finditer(html):
@@ -102,6 +108,57 @@ class Page:
             self._text(html[at:])
         while self.open:
             self.ends[self.open.pop()] = len(self.elements)
+        self.left_out = self._left_out()
+
+    def _left_out(self) -> bytearray:
+        """For each element whether it is left out, by itself or by one above.
+
+        One left out by a word or as a form stays in where it holds the main text: the only
+        main or article, or else, or if it is named as content too, most of the page's text. A page is never
+        left out whole for words.
+        """
+        own = [e.left_out for e in self.elements]
+        out = self._spread([x == ALWAYS for x in own])
+        if BY_WORD not in own:
+            return out
+        before = [0] * (len(own) + 1)
+        for c in self.chunks:
+            if not out[c.element]:
+                before[c.element + 1] += len(c.text.strip())
+        before = list(accumulate(before))
+
+        def size(e: int) -> int:
+            return before[self.ends[e]] - before[e]
+
+        def words_above(e: int) -> list[int]:
+            found = []
+            while e > 0:
+                if own[e] == BY_WORD:
+                    found.append(e)
+                e = self.elements[e].parent
+            return found[::-1]
+
+        words = [e for e, x in enumerate(own) if x == BY_WORD and not out[e]]
+        marks = [e for e in self.marks if not out[e] and size(e)]
+        stay: set[int] = set()
+        for tag in ("main", "article"):
+            above = [words_above(e) for e in marks if self.elements[e].tag == tag]
+            least = min(map(len, above), default=0)
+            stay.update(x for a in above for x in a[:least])
+        stay.update(e for e in words if 2 * size(e) > before[-1] and (not marks or self.elements[e].good))
+        while True:
+            left = self._spread([x == ALWAYS or x == BY_WORD and e not in stay for e, x in enumerate(own)])
+            if not before[-1] or any(not left[c.element] and c.text.strip() for c in self.chunks):
+                return left
+            stay.add(max((e for e in words if e not in stay and not left[self.elements[e].parent]), key=size))
+
+    def _spread(self, own: list[bool]) -> bytearray:
+        """The elements of ``own`` and all below them."""
+        out = bytearray(own)
+        for k, e in enumerate(self.elements):
+            if k and out[e.parent]:
+                out[k] = 1
+        return out
 
     def _text(self, text: str) -> None:
         self.chunks.append(Chunk(self.open[-1], self.block, text))
@@ -124,18 +181,24 @@ class Page:
                 break
         if tag in BLOCKS:
             self.block += 1
-        if tag in VOID:
+        if tag in VOID or tag == "math" and raw.endswith("/"):
             return None
         up, attrs = self.elements[self.open[-1]], _attributes(raw)
         classes = attrs.get("class", "").split()
         words = {w.lower() for c in [*classes, attrs.get("id", "")] for w in _WORDS.findall(c)}
-        out = (up.left_out or tag in LEFT_OUT or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs
-               or attrs.get("aria-hidden") == "true" or tag not in NEVER_BY_CLASS and bool(words & LEFT_OUT_WORDS))
+        by_word = bool(words & LEFT_OUT_WORDS)
+        if (tag in LEFT_OUT and tag != "form" or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs
+                or attrs.get("aria-hidden") == "true"):
+            out = ALWAYS
+        else:
+            out = BY_WORD * (tag == "form" or by_word and tag not in NEVER_BY_CLASS)
         name = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
         n = len(self.elements)
         holds = tag in CONTAINERS
         self.elements.append(Element(self.open[-1], tag, name, out, n if holds else up.container, up.link or tag == "a",
                                      tag in ("article", "main") or bool(words & GOOD_WORDS)))
+        if tag in ("article", "main") and not by_word:
+            self.marks.append(n)
         self.ends.append(n + 1)
         self.open.append(n)
         return None
@@ -160,7 +223,7 @@ class Page:
         points: dict[int, int] = defaultdict(int)
         for c in self.chunks:
             e = self.elements[c.element]
-            if e.left_out or not (n := len(c.text.strip())):
+            if self.left_out[c.element] or not (n := len(c.text.strip())):
                 continue
             n, at = (-2 * n if e.link else 4 * n), e.container
             for share in (4, 2, 1):
@@ -175,9 +238,8 @@ class Page:
         if not self._sums:
             own = [[0] * (len(self.elements) + 1) for _ in range(2)]
             for c in self.chunks:
-                e = self.elements[c.element]
-                if not e.left_out:
-                    own[e.link][c.element + 1] += len(c.text.strip())
+                if not self.left_out[c.element]:
+                    own[self.elements[c.element].link][c.element + 1] += len(c.text.strip())
             self._sums = list(accumulate(own[0])), list(accumulate(own[1]))
         return self._sums
 
@@ -242,7 +304,7 @@ class Page:
         parts: list[str] = []
         block = -1
         for c in self.chunks:
-            if (inside is None or inside[c.element]) and not self.elements[c.element].left_out:
+            if (inside is None or inside[c.element]) and not self.left_out[c.element]:
                 if c.block != block and parts:
                     lines.append(" ".join(unescape("".join(parts)).split()))
                     parts = []

@@ -203,6 +203,23 @@ def test_main_text_beside_the_inner_body():
         assert html_paths.main_text(page(html), None) == html_paths.main_text(page(html), inner_path) == text
 
 
+def test_main_text_is_not_swallowed():
+    body = "<p>" + "word, and more " * 60 + "</p>"
+    want = " ".join(["word, and more"] * 60)
+    article = f"<article>{body}</article>"
+    comments = '<div id="comments" class="comments-area">' + '<article class="comment"><p>' + "reader says " * 300 + "</p></article></div>"
+    for html in (
+            f'<svg-icon name="x"></svg-icon>{article}', f'<template-x></template-x>{article}', f"<svg/>{article}", f'<svg width="1" />{article}',
+            f'<svg viewBox="0 0 1 1"><path d="M0"/><text>icon</text></svg>{article}', f"<article><p><math/></p>{body}</article>",
+            f'<div class="content no-sidebar">{article}</div>', f'<div id="page" class="has-banner">{article}</div>', f"<form>{article}</form>",
+            f'<form id="all"><div class="has-banner"><div class="no-sidebar">{body}</div></div></form>', f'<div class="content no-sidebar">{body}</div>',
+            f'<div class="has-banner">{article}{comments}</div>', f"{article}{comments}", f'<div class="has-banner"><main>{body}</main></div>{comments}',
+            f'{article}<div class="related"><article><p>teaser</p></article></div>', f'<div class="has-banner"><main><div class="sidebar-right">{article}</div></main></div>'):
+        assert html_paths.main_text(page(html), None) == want, html[:80]
+    some = [f'<div class="{x}"><p>{x} {"text " * n}</p></div>' for x, n in (("no-sidebar", 50), ("sidebar", 45), ("comments", 40))]
+    assert html_paths.main_text(page("".join(some)), None) == "no-sidebar " + " ".join(["text"] * 50)
+
+
 def test_votes_for_the_raised_container(spark):
     html = page("<article><h1>Head</h1><div class='entry-content'><p>" + "long " * 400 + "</p></div></article>")
     table = spark.createDataFrame([(i, "http://a.example/", html.replace("Head", f"Head {i}")) for i in range(5)], "page_id bigint, url string, html string")
