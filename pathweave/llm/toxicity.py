@@ -3,8 +3,8 @@
 The lexicon is learned from labelled documents: words, and stems that begin many
 words, which are far more frequent in toxic documents than in others. It is kept as
 a trie. A word's Levenshtein automaton, run along the trie, finds the terms within
-its number of errors, so misspelled terms count too, unless the misspelling
-is a word of clean documents itself. Each hit is weighed by its window of words:
+its number of errors, and the stems within theirs of its beginning, so misspelled
+terms count too, unless the misspelling is a word of clean documents itself. Each hit is weighed by its window of words:
 quotation and words of report lower it, direct address raises it. A logistic
 model of the sums gives the score of a document.
 """
@@ -29,7 +29,7 @@ MOST_TRAINING_ROWS = 20_000
 #: A term must be so many times as frequent in toxic text as in other text, in so many different places.
 LEAST_RATIO, WORD_PLACES, STEM_PLACES, STEM_WORDS = 25.0, 5, 12, 3
 STEM_LETTERS = range(3, 9)
-#: Letters that a term needs for one and for two errors.
+#: Letters that a term, or a stem by itself, needs for one and for two errors.
 ONE_ERROR, TWO_ERRORS = 5, 12
 #: A term that so many words of clean documents come near counts only as it is written.
 NEAR_CLEAN_WORDS = 3
@@ -75,11 +75,12 @@ class Automaton:
 
 
 def errors_for(term: str) -> int:
-    return (len(term) >= ONE_ERROR) + (len(term) >= TWO_ERRORS)
+    letters = len(term) - term.endswith("*")
+    return (letters >= ONE_ERROR) + (letters >= TWO_ERRORS)
 
 
 class Lexicon:
-    """Terms with weights in a trie; a term that ends in * is a stem, found at the start of words as it is."""
+    """Terms with weights in a trie; a term that ends in * is a stem, found at the start of words with any rest."""
 
     def __init__(self, terms: dict[str, float], clean: frozenset[str] = frozenset(), exact: frozenset[str] = frozenset()):
         self.terms, self.clean, self.exact = terms, clean, exact
@@ -88,18 +89,20 @@ class Lexicon:
         self.stem_letters = sorted({len(s) for s in self.stems})
         pieces: tuple[set[str], ...] = set(), set(), set()  # at the start, at the end, anywhere
         for t in terms:
-            if t.endswith("*"):
-                continue
+            stem, letters = t.endswith("*"), t.removesuffix("*")
             node = self.root
-            for c in t:
+            for c in letters:
                 node = node.setdefault(c, {})
-            node[""] = t
+            node[None if stem else ""] = t
             # of k + 1 pieces of a term, k errors leave one whole
             k = errors_for(t)
-            cut = [t[len(t) * i // (k + 1):len(t) * (i + 1) // (k + 1)] for i in range(k + 1)]
+            cut = [letters[len(letters) * i // (k + 1):len(letters) * (i + 1) // (k + 1)] for i in range(k + 1)]
             pieces[0].add(cut[0])
-            pieces[1].add(cut[-1])
-            pieces[2].update(cut[1:-1])
+            if stem:  # its end is anywhere in a word
+                pieces[2].update(cut[1:])
+            else:
+                pieces[1].add(cut[-1])
+                pieces[2].update(cut[1:-1])
         either = [rf"^(?:{'|'.join(map(re.escape, sorted(pieces[0])))})"] * bool(pieces[0])
         either += [rf"(?:{'|'.join(map(re.escape, sorted(pieces[1])))})$"] * bool(pieces[1])
         either += [rf"(?:{'|'.join(map(re.escape, sorted(pieces[2])))})"] * bool(pieces[2])
@@ -113,10 +116,11 @@ class Lexicon:
         while todo:
             node, state = todo.pop()
             for c, below in node.items():
-                if c == "":
+                if not c:
                     most = 0 if below in self.exact else min(errors_for(below), automaton.most)
-                    if state[-1] <= most and (best is None or (state[-1], below) < best):
-                        best = (state[-1], below)
+                    errors = state[-1] if c == "" else min(state)  # a stem leaves any rest of the word
+                    if errors <= most and (best is None or (errors, below) < best):
+                        best = (errors, below)
                 elif automaton.alive(after := automaton.step(state, c)):
                     todo.append((below, after))
         return best and (best[1], best[0])
@@ -271,7 +275,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
             stem, t = longer[:-1], longer
         taken.append(stem)
         terms[stem + "*"] = weight(stem + "*")
-    terms |= {t: weight(t) for t in marks if t[-1] != "*" and not any(t.startswith(s) for s in taken)}
+    terms |= {t: weight(t) for t in marks if t[-1] != "*"}  # those under a stem too: longer terms have more errors
 
     lexicon = spark.sparkContext.broadcast(Lexicon(terms))
 

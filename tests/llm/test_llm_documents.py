@@ -171,6 +171,50 @@ def test_automaton_by_brute_force():
         assert got == (want and (want[1], want[0])), w
 
 
+def test_misspelled_stems():
+    lexicon = toxicity.Lexicon({"achlich*": 1.0, "scu*": 1.0, "loser": 1.0, "achlichkeitsvoll": 1.0})
+    for word, found in {
+            "achlichkeit": ("achlich*", 0), "achlixhkeit": ("achlich*", 1), "ahlichkeit": ("achlich*", 1), "aachlichem": ("achlich*", 1),
+            "achlic": ("achlich*", 1), "acglichsten": ("achlich*", 1), "scum": ("scu*", 0), "skum": None, "losers": ("loser", 1),
+            "axhlixhkeit": None, "axhlixhkeitsvoll": ("achlichkeitsvoll", 2), "losersome": None}.items():
+        assert lexicon.match(word) == found, word
+    assert toxicity.Scanner(lexicon).features("such achlixhkeit here")[2:] == (toxicity.MISSPELLED, 1)
+    known = toxicity.Lexicon({"achlich*": 1.0}, clean=frozenset(["ahlichkeit"]))
+    assert known.match("ahlichkeit") is None and known.match("achlixhkeit") and known.match("achlichen")
+    as_written = toxicity.Lexicon({"achlich*": 1.0}, exact=frozenset(["achlich*"]))
+    assert as_written.match("achlixhkeit") is None and as_written.match("achlichen") == ("achlich*", 0)
+
+
+def test_stems_by_brute_force():
+    rng = random.Random(9)
+
+    def least(word, stem):  # errors of the stem against the best beginning of the word
+        row = list(range(len(word) + 1))
+        for i, x in enumerate(stem, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(word, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return min(row)
+
+    stems = ["achlich", "idiot", "scum", "worthlessness"]
+    lexicon = toxicity.Lexicon({s + "*": 1.0 for s in stems})
+    for _ in range(3000):
+        w = list(rng.choice(stems) + rng.choice(["", "e", "keit", "s"]))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(w) + 1)
+            w[i:i + rng.randint(0, 1)] = rng.choice(["", "x", "s", "i"])
+        w = "".join(w)
+        near = [(n, s + "*") for s in stems if (n := least(w, s)) <= toxicity.errors_for(s)]
+        assert lexicon.match(w) == (near and min(near)[::-1] or None), w
+
+
+def test_terms_under_learned_stems_take_misspellings(model):
+    lexicon = model.lexicon
+    under = [t for t in lexicon.terms if t[-1] != "*" and any(t.startswith(s) for s in lexicon.stems) and t not in lexicon.exact]
+    wrong = [w for t in under if (w := t[:2] + "q" + t[3:]) not in lexicon.clean]
+    assert wrong and all(lexicon.match(w) for w in wrong)
+
+
 # -- near duplicates
 
 def grams(text):
