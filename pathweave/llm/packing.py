@@ -18,7 +18,9 @@ is that of the whole corpus, not of blocks of it.
 from __future__ import annotations
 
 import base64
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -43,7 +45,8 @@ class ByteBpe:
     """Byte-level BPE ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     The vocabulary is the one of a tokenizer file of the ``tokenizers`` library, in
-    its form as ranks beside it. Strings of special tokens are ordinary text. The
+    its form as ranks beside it. ``ids`` takes strings of added tokens as ordinary
+    text; ``library_ids`` gives their own ids, as the library does by default. The
     pattern of this kind of vocabulary never joins what stands on two sides of
     a single space, so such texts are cut before their spaces and the ids of each
     chunk are kept; texts with runs of white space are encoded in one go.
@@ -64,6 +67,13 @@ class ByteBpe:
                 return ids
 
         self.encode, self.chunks = encode, Chunks()
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
+            raise ValueError("added tokens that depend on what is around them are not supported")
+        self.added = {a["content"]: array("I", [a["id"]]).tobytes() for a in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest))})" if longest else r"(?!)").split
 
     def ids(self, text: str) -> bytes:
         if len(" ".join(text.split())) != len(text):  # white space at an end or in runs
@@ -73,6 +83,13 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return array("I", self.encode(first)).tobytes() + b"".join(map(self.chunks.__getitem__, rest))
 
+    def library_ids(self, text: str) -> bytes:
+        """Ids with added tokens as such; the texts between them are encoded each on its own."""
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self.ids(text)
+        return b"".join(self.added[x] if k % 2 else self.ids(x) for k, x in enumerate(parts) if x)
+
 
 @cache
 def _tokenizer(path: str) -> ByteBpe:
@@ -83,7 +100,8 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
                  max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
-    A document is the ids of its whole text (null: empty) and the end id. Longer
+    A document is the ids of its whole text (null: empty), as the library gives them with
+    add_special_tokens=False (strings of added tokens have their own ids), and the end id. Longer
     ones are cut so that all pieces but the first are full. Repeated rows give
     repeated pieces; null ids stay null; an empty table gives no pieces.
     """
@@ -97,7 +115,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1)):
-                data = bpe.ids(t.as_py() or "") + end
+                data = bpe.library_ids(t.as_py() or "") + end
                 n, at, k = len(data) // 4, 0, 0
                 view = memoryview(data)
                 while at < n:

@@ -329,6 +329,25 @@ def test_ids_equal_the_tokenizers_library():
         assert mine.ids(t) == packing.array("I", e.ids).tobytes(), t
 
 
+def test_pieces_equal_the_librarys_defaults(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    whole, mine = Tokenizer.from_file(TOKENIZER), packing.ByteBpe(TOKENIZER)
+    rng = random.Random(12)
+    parts = [" ", "\n", "a", "bc", "'s", "12", "é", "!!", "<|endoftext|>", "<|endoftext", "|>", "<|", "  ", "\r\n", "한"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|ENDOFTEXT|>", "", "a <|endoftext|>  b"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(2000)]
+    want = [packing.array("I", e.ids).tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [mine.library_ids(t) for t in texts] == want
+    assert want[0] == packing.array("I", [64, 220, 50256, 275]).tobytes()
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    end = packing.array("I", [packing.END_ID]).tobytes()
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.token_pieces(docs, TOKENIZER).collect()}
+    assert got == {i: (len(w) // 4 + 1, zlib.crc32(w + end)) for i, w in enumerate(want)}
+
+
 def check_sequences(rows, most=packing.MAX_TOKENS):
     seqs = defaultdict(list)
     for r in rows:
