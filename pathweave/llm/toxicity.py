@@ -34,6 +34,8 @@ ONE_ERROR, TWO_ERRORS = 5, 12
 #: A term that so many words of clean documents come near counts only as it is written.
 NEAR_CLEAN_WORDS = 3
 WINDOW = 8
+#: The logit of every score where no label can be learned from.
+NO_LABELS = -30.0
 #: Words whose matches a worker keeps; the store is emptied when full.
 KEPT_WORDS = 200_000
 
@@ -310,7 +312,8 @@ def _features(texts: pa.Array, scanner: Scanner) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_TRAINING_ROWS) -> Model:
     """A model of the labelled rows outside the held-out fold, from about ``most`` of them at most.
 
-    Without labels, or with one class only, the score is the share of that class.
+    Without usable labels every score is near 0, so that nothing is rejected; with
+    one class only it is near that class.
     """
     train = checkpointed(training_rows(docs, labels, TARGET, FOLDS, HELD_OUT, most, doc_id, text))
     lexicon = learn_lexicon(train)
@@ -323,7 +326,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     rows = train.mapInArrow(measure, "y int, " + ", ".join(f"{f} double" for f in FEATURES)).collect()  # about ``most`` short rows
     data = np.array(rows, float).reshape(-1, 1 + len(FEATURES))
-    return Model(lexicon, fit_logistic(_vector(data[:, 1:]), data[:, 0]) if len(data) else np.zeros(2 * len(FEATURES) + 1))
+    unlabelled = np.array([0.0] * 2 * len(FEATURES) + [NO_LABELS])
+    return Model(lexicon, fit_logistic(_vector(data[:, 1:]), data[:, 0]) if len(data) else unlabelled)
 
 
 OUTPUTS = ["held_out", "score", "predicted", *FEATURES]

@@ -136,6 +136,17 @@ def test_toxicity_on_hard_rows(hard, labels, model):
     assert all(0 <= r.score <= 1 for r in toxicity.score(hard, blank).collect())
 
 
+def test_nothing_is_rejected_without_labels(spark, hard, labels, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = hard.select("doc_id", "text", "lang", "source")
+    unknown = spark.createDataFrame([(10**9, 0, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    for k, some in enumerate((labels.limit(0), unknown)):
+        some.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert all(r.score < 0.01 and r.predicted == 0 for r in toxicity.score(docs, toxicity.fit(docs, some)).collect())
+        assert Counter(map(tuple, pipeline.drop_toxic(spark, docs, f"{tmp_path}/{k}").collect())) == Counter(map(tuple, docs.collect()))
+
+
 def test_misspelled_and_quoted(model):
     scan = toxicity.Scanner(model.lexicon)
     plain = "they are all an idiot and a loser and such trash here"
