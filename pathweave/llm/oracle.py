@@ -77,4 +77,102 @@ SELECT doc_id, size, source_size, target,
   (size * (floor(r)::BIGINT + ((part * k + u) >> {mixing.BITS}) - ((part * (k - 1) + u) >> {mixing.BITS})))::BIGINT AS taken FROM k"""
 
 
-SQL = {"op7_chat_formatting": _chat(), "op8_quality_rules": _rules(), "op10_mix_sources": _mixing()}
+#: CRC-32 by its definition: the table of 256 remainders, then one step for each character of an ASCII text.
+_CRC = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS remainders)"""
+
+
+def _crc32(text: str) -> str:
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), "
+            "lambda c, b: xor(remainders[(xor(c, b) & 255) + 1], c >> 8)))")
+
+
+def _repair() -> str:
+    """Forward over the rows: for each last role, the least (cost, audit) that leads there; Spark's side goes backward by ranks."""
+    def edit(state: str, label: str, cost: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{label}'}}"
+
+    def when(test: str, value: str) -> str:
+        return f"CASE WHEN {test} AND {value}.c IS NOT NULL THEN {value} END"
+
+    def then(label: str, state: str, initial: str) -> str:
+        if label == "D":
+            return when(f"{state} IS NOT NULL", edit(state, "D", "3"))
+        test = f"{state} IS NOT NULL AND fault NOT IN (1, 2) AND initial {'=' if label == 'K' else '<>'} '{initial}'"
+        return when(test, edit(state, label, f"CASE fault WHEN 3 THEN 1 ELSE 0 END + {0 if label == 'K' else 2}"))
+
+    def best(*of: str) -> str:
+        return f"least({', '.join(of)})"
+
+    def inserts(state: str) -> str:
+        return when(f"{state} IS NOT NULL", edit(state, "I", "2"))
+
+    user = [then(label, state, "u") for label in "KR" for state in ("none", "system", "assistant")]
+    return rf"""
+WITH RECURSIVE {_CRC},
+hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) FROM hit WHERE kind <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM ordered),
+marked AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM numbered),
+path AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': ''}} AS none, NULL::STRUCT(c INTEGER, a VARCHAR) AS system,
+    {{'c': 2, 'a': 'I'}} AS "user", {{'c': 4, 'a': 'II'}} AS assistant FROM marked WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, none, system, {best("moved_user", *[inserts(s) for s in ("none", "system", "moved_assistant")])},
+    {best("moved_assistant", inserts("moved_user"), when("none IS NOT NULL", edit("none", "II", "4")), when("system IS NOT NULL", edit("system", "II", "4")))}
+  FROM (SELECT p.conv_id, m.i, {then("D", "none", "")} AS none, {best(then("D", "system", ""), then("K", "none", "s"))} AS system,
+      {best(then("D", '"user"', ""), *user)} AS moved_user,
+      {best(then("D", "assistant", ""), then("K", '"user"', "a"), then("R", '"user"', "a"))} AS moved_assistant
+    FROM path p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1)),
+best AS (SELECT conv_id, least(none, assistant) AS b FROM path WHERE (conv_id, i) IN (SELECT conv_id, max(i) FROM marked GROUP BY conv_id)),
+edits AS (SELECT conv_id, p, b.a[p] AS e, length(replace(left(b.a, p), 'I', '')) AS i, length(replace(left(b.a, p), 'D', '')) AS k
+  FROM (SELECT *, unnest(range(1, length(b.a) + 1)) AS p FROM best)),
+opening AS (SELECT e.conv_id FROM edits e JOIN marked m USING (conv_id, i) WHERE e = 'K' AND k = 1 AND initial = 's'),
+repaired AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN m.role
+      WHEN (k + CASE WHEN conv_id IN (FROM opening) THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+      || ':' || CASE WHEN e = 'I' THEN '' ELSE m.text END, chr(10) ORDER BY p)) AS hash
+  FROM edits LEFT JOIN marked m USING (conv_id, i) WHERE e <> 'D' GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+  count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+  count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+  coalesce(b.a, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN repaired USING (conv_id)"""
+
+
+def _trie() -> str:
+    """Nodes by the text of their whole path; sums go from each node to the prefixes of its smallest member."""
+    return rf"""
+WITH {_CRC},
+said AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM said), crc),
+turns AS (
+  SELECT c.conv_id, 0 AS own, s.n, s.role, s.text FROM c JOIN said s ON s.conv_id = c.base AND s.n <= c.h
+  UNION ALL SELECT c.conv_id, 1, s.n, s.role, s.text FROM c JOIN said s ON s.conv_id = c.conv_id AND s.n > c.h),
+places AS (SELECT conv_id, text, row_number() OVER w AS depth,
+  string_agg(md5(length(role) || ':' || role || text), '' ) OVER w AS node FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY own, n)),
+members AS (SELECT conv_id AS m, depth, node, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM places
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+nodes AS (SELECT node, depth, min(m) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own FROM members GROUP BY node, depth),
+children AS (SELECT p.node, count(*) AS n FROM nodes v JOIN nodes p ON p.depth = v.depth - 1 AND p.node = left(v.node, 32 * p.depth) GROUP BY p.node),
+below AS (SELECT m.node, sum(v.own)::BIGINT AS saved_tokens, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves
+  FROM nodes v LEFT JOIN children k USING (node) JOIN members m ON m.m = v.conv_id AND m.depth <= v.depth GROUP BY m.node),
+ends AS (SELECT node, sha256(string_agg(m::VARCHAR, ',' ORDER BY m)) AS hash
+  FROM members JOIN (SELECT m, max(depth) AS depth FROM members GROUP BY m) USING (m, depth) GROUP BY node)
+SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens, coalesce(hash, sha256('')) AS ends_sha256
+FROM nodes v JOIN below USING (node) LEFT JOIN children k USING (node) LEFT JOIN ends USING (node)
+LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.node = left(v.node, 32 * p.depth)"""
+
+
+SQL = {"op7_chat_formatting": _chat(), "op8_quality_rules": _rules(), "op10_mix_sources": _mixing(),
+       "op11_conversation_repair": _repair(), "op13_rollup_trie": _trie()}

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import chat, html_paths, minhash_forest, mixing, packing, quality_classifier, quality_rules, range_join, toxicity, warc
+from pathweave.llm import (chat, html_paths, minhash_forest, mixing, packing, prefix_trie, quality_classifier, quality_rules, range_join, repair,
+                           sharding, toxicity, warc)
 from pathweave.llm.common import checkpointed, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,5 +70,28 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(checkpointed(docs), "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair.repair(repair.damage(rows)).withColumnRenamed("conv_id", "c")
+    every = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    said = F.transform(F.arrays_zip("repaired_roles", "repaired_texts"),
+                       lambda t: F.concat(t["repaired_roles"], F.lit(":"), t["repaired_texts"]))
+    said = F.coalesce(F.array_join(said, "\n"), F.lit(""))
+    return every.join(done, every["conv_id"].eqNullSafe(done["c"]), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.encode(said, "UTF-8"), 256).alias("repaired_sha256"))
+
+
+def op12_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+def op13_rollup_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = checkpointed(prefix_trie.turns_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_rule_ensemble, op2_vector_packing, op3_host_paths, op4_arc_to_warc, op5_minhash_forest, op6_toxicity, op7_chat_formatting, op8_quality_rules, op9_metric_range_join, op10_mix_sources)}
+    op1_rule_ensemble, op2_vector_packing, op3_host_paths, op4_arc_to_warc, op5_minhash_forest, op6_toxicity, op7_chat_formatting, op8_quality_rules,
+    op9_metric_range_join, op10_mix_sources, op11_conversation_repair, op12_karmarkar_karp, op13_rollup_trie)}
