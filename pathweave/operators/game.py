@@ -151,6 +151,11 @@ def level_attempts(raw: DataFrame, ufo: DataFrame | None = None,
     the stitch and the session-level branches read compact columns instead of
     re-parsing the nested parameters of the export for each branch."""
     gp = gameplay if gameplay is not None else gameplay_events(raw)
+    return with_user_facts(attempt_rollup(gp, params), ufo if ufo is not None else user_first_open(raw))
+
+
+def attempt_rollup(gp: DataFrame, params: JobParams = JobParams()) -> DataFrame:
+    """Attempts with all that follows from the events of their session alone."""
     stitched = stitch_attempts(gp, params)
     name = F.col("event_name")
     is_term, is_snap = name.isin(*TERMINAL_EVENTS), name.isin(*SNAPSHOT_EVENTS)
@@ -209,9 +214,12 @@ def level_attempts(raw: DataFrame, ufo: DataFrame | None = None,
         *[F.coalesce(f"_{c}_t", f"_{c}_s").alias(c) for c in ("items_cleared_perc", "objectives_left_perc",
                                                             "time_left_perc")],
         F.flatten(F.transform(F.array_sort("_items"), lambda e: e["arr"])).alias("stack_fail_items"))
-    aa = aa.withColumn("attempt_id", S.attempt_key(USER, SESS, "attempt_start_ts_us"))
-    if ufo is None:
-        ufo = user_first_open(raw)
+    return aa.withColumn("attempt_id", S.attempt_key(USER, SESS, "attempt_start_ts_us")).withColumn(
+        "outcome", attempt_outcome(F.col("_n_complete"), F.col("_n_fail"))).drop("_n_complete", "_n_fail")
+
+
+def with_user_facts(aa: DataFrame, ufo: DataFrame) -> DataFrame:
+    """Rows of :func:`attempt_rollup` with what hangs on the user's other events: first open and first attempt of a level."""
     # after the join the rows are together by user, so this window needs no shuffle of its own
     at = F.struct("attempt_start_ts_us", "attempt_id")
     aa = aa.join(ufo, USER, "left").withColumn("_first", F.min(at).over(Window.partitionBy(USER, "level_id")))
@@ -226,8 +234,7 @@ def level_attempts(raw: DataFrame, ufo: DataFrame | None = None,
         F.when(F.col("first_open_date").isNotNull(),
                S.user_day_number("session_date", "first_open_date")).alias("user_day_number"),
         "current_level_at_start", "attempt_number", "retry_streak_number",
-        attempt_outcome(F.col("_n_complete"), F.col("_n_fail")).alias("outcome"),
-        "duration_s", "fail_reason", "stars_gained",
+        "outcome", "duration_s", "fail_reason", "stars_gained",
         "items_cleared_perc", "objectives_left_perc", "time_left_perc", "pre_boosters_chief_level",
         "boosters_vacuum", "boosters_spring", "boosters_fan", "boosters_ice",
         "pre_hammer", "pre_sandglass", "end_clear_bar", "end_extra_time",
@@ -342,13 +349,22 @@ def game_user_group(p: JobParams, w_end: date) -> Column:
 
 def game_user_journeys(sessions: DataFrame, attempts: DataFrame, ufo: DataFrame,
                        w_end: date, params: JobParams = JobParams()) -> DataFrame:
-    """One row per user.  All inputs are grouped by user, so the left joins line up
-    on the same hash partitioning."""
+    """One row per user."""
+    return journey_flags(user_state(sessions, attempts, ufo), w_end, params)
+
+
+def user_state(sessions: DataFrame, attempts: DataFrame, ufo: DataFrame) -> DataFrame:
+    """One row per user with all that doesn't hang on the window's end.  All inputs are
+    grouped by user, so the left joins line up on the same hash partitioning."""
     s = game_session_agg(sessions)
     att = user_attempt_agg(attempts)
     sl = stuck_levels(attempts)
     fsa = first_session_depth(attempts, s)
-    j = (s.join(ufo, USER, "left").join(att, USER, "left").join(sl, USER, "left").join(fsa, USER, "left"))
+    return s.join(ufo, USER, "left").join(att, USER, "left").join(sl, USER, "left").join(fsa, USER, "left").drop("_days", "_first")
+
+
+def journey_flags(j: DataFrame, w_end: date, params: JobParams = JobParams()) -> DataFrame:
+    """Journeys from :func:`user_state`: retention, churn and user group as of ``w_end``."""
     end = F.lit(w_end)
     fs = F.col("first_seen_date")
     d1, e1 = retention_flags(fs, F.col("_second_day"), w_end, 1)
@@ -382,66 +398,67 @@ def game_user_journeys(sessions: DataFrame, attempts: DataFrame, ufo: DataFrame,
 
 
 # --------------------------------------------------------------------------- levels
-def level_difficulty(attempts: DataFrame) -> DataFrame:
-    o = F.col("outcome")
-    fail, comp = o == "fail", o == "complete"
-    boosters = (F.coalesce("boosters_vacuum", F.lit(0)) + F.coalesce("boosters_spring", F.lit(0))
-                + F.coalesce("boosters_fan", F.lit(0)) + F.coalesce("boosters_ice", F.lit(0)))
-    # a user starts a level with the first attempt there, so starters need no distinct sets
-    start = Window.partitionBy(USER, "level_id").orderBy("attempt_start_ts", "attempt_id")
-    rows = attempts.withColumn("_starts", F.row_number().over(start) == 1)
-    return rows.groupBy("level_id").agg(
-        F.max("level_id_numeric").alias("level_id_numeric"),
-        F.count(F.lit(1)).alias("total_attempts"),
-        F.count_if("_starts").alias("unique_starters"),
-        F.count_if(comp).alias("total_completes"),
-        F.count_if(fail).alias("total_fails"),
-        F.count_if(o == "abandoned").alias("total_abandons"),
-        F.count_if(comp & F.col("is_first_attempt_ever")).alias("first_try_wins"),
-        A.approx_median(F.when(comp, F.col("duration_s"))).cast("double").alias("median_duration_complete_s"),
-        A.approx_median(F.when(fail, F.col("duration_s"))).cast("double").alias("median_duration_fail_s"),
-        F.count_if(fail & (F.col("fail_reason") == "stack_full")).alias("fail_stack_full_count"),
-        F.count_if(fail & (F.col("fail_reason") == "time_up")).alias("fail_time_up_count"),
-        F.count_if(fail & (F.col("fail_reason") == "pause_quit")).alias("fail_pause_quit_count"),
-        F.count_if(boosters > 0).alias("attempts_with_ingame_booster"),
-        F.count_if(F.coalesce("revive_count", F.lit(0)) > 0).alias("attempts_with_revive"),
-        F.avg(F.when(fail, F.col("items_cleared_perc"))).alias("avg_items_cleared_perc_on_fail"),
-        F.avg(F.when(fail, F.col("objectives_left_perc"))).alias("avg_objectives_left_perc_on_fail"),
-        F.avg(F.when(fail, F.col("time_left_perc"))).alias("avg_time_left_perc_on_fail"),
-        F.avg(F.when(comp, F.col("stars_gained"))).alias("avg_stars_on_complete"),
-    )
+#: Outcome counts of a level, and ratios as (condition on an attempt, denominator).
+OUTCOME_COUNTS = {"total_completes": "complete", "total_fails": "fail", "total_abandons": "abandoned"}
+BOOSTERS = ("boosters_vacuum", "boosters_spring", "boosters_fan", "boosters_ice")
+AVERAGES = {"avg_items_cleared_perc_on_fail": ("fail", "items_cleared_perc"),
+            "avg_objectives_left_perc_on_fail": ("fail", "objectives_left_perc"),
+            "avg_time_left_perc_on_fail": ("fail", "time_left_perc"),
+            "avg_stars_on_complete": ("complete", "stars_gained")}
+MEDIANS = {"median_duration_complete_s": "complete", "median_duration_fail_s": "fail"}
+
+
+def attempt_ratios() -> dict[str, tuple[Column, str]]:
+    failed, used = F.col("outcome") == "fail", [F.coalesce(b, F.lit(0)) for b in BOOSTERS]
+    return {
+        **{f"fail_rate_{reason}": (failed & (F.col("fail_reason") == reason), "total_fails")
+           for reason in ("stack_full", "time_up", "pause_quit")},
+        "abandon_rate": (F.col("outcome") == "abandoned", "total_attempts"),
+        "booster_attempt_rate": (sum(used, F.lit(0)) > 0, "total_attempts"),
+        "revive_attempt_rate": (F.col("revive_count") > 0, "total_attempts"),
+    }
+
+
+def level_sums(attempts: DataFrame, keys: tuple[str, ...] = ("level_id",), *more: Column) -> DataFrame:
+    """Sums per level (or per level and day) that add up: counts, ``_of`` a ratio its numerator,
+    ``_sum`` and ``_n`` of an average."""
+    def on(outcome: str, c: str) -> Column:
+        return F.when(F.col("outcome") == outcome, F.col(c))
+
+    return attempts.groupBy(*keys).agg(
+        F.max("level_id_numeric").alias("level_id_numeric"), F.count(F.lit(1)).alias("total_attempts"),
+        *[F.count_if(F.col("outcome") == o).alias(n) for n, o in OUTCOME_COUNTS.items()],
+        *[F.count_if(cond).alias(f"{n}_of") for n, (cond, _) in attempt_ratios().items()],
+        *[f(on(*of)).alias(f"{n}_{k}") for n, of in AVERAGES.items() for k, f in (("sum", F.sum), ("n", F.count))],
+        *more)
 
 
 def level_users(attempts: DataFrame) -> DataFrame:
-    o = F.col("outcome")
+    won = F.col("outcome") == "complete"
     return attempts.groupBy("level_id", USER).agg(
-        F.count_if(o == "complete").alias("user_completes"),
-        F.count_if(o == "fail").alias("user_fails"),
-        F.count(F.lit(1)).alias("user_attempts"))
+        F.count_if(won).alias("user_completes"), F.count(F.lit(1)).alias("user_attempts"),
+        F.bool_or(won & F.col("is_first_attempt_ever")).alias("won_first"))
 
 
 def attempts_to_beat(lu: DataFrame) -> DataFrame:
-    """Completers per level and the median / p90 of their attempt counts
-    (all attempts of a completer, also those after the first win)."""
+    """Starters, completers and first-try winners per level, and the median / p90 of the
+    completers' attempt counts (all attempts of a completer, also those after the first win)."""
     beat = F.col("user_completes") > 0
     return lu.groupBy("level_id").agg(
-        F.count_if(beat).alias("unique_completers"),
+        F.count(F.lit(1)).alias("unique_starters"), F.count_if(beat).alias("unique_completers"),
+        F.count_if("won_first").alias("first_try_wins"),
         A.approx_median(F.when(beat, F.col("user_attempts"))).alias("median_attempts_to_beat"),
         A.approx_quantile(F.when(beat, F.col("user_attempts")), 0.9).alias("p90_attempts_to_beat"))
 
 
 def level_retention(lu: DataFrame, journeys: DataFrame) -> DataFrame:
-    j = journeys.select(USER, "is_eligible_for_churn", "is_churned", "farthest_level",
-                        "is_eligible_for_d1", "d1_retained", "is_eligible_for_d7", "d7_retained")
+    """Reachers of a level that could churn or return on day 1 / 7, and how many did."""
+    flags = {"churn": ("is_eligible_for_churn", F.col("is_churned") & (F.col("farthest_level") == F.col("level_id"))),
+             "d1": ("is_eligible_for_d1", F.col("d1_retained")), "d7": ("is_eligible_for_d7", F.col("d7_retained"))}
+    j = journeys.select(USER, "farthest_level", "is_churned", "d1_retained", "d7_retained", *[e for e, _ in flags.values()])
     x = lu.select("level_id", USER).join(j, USER, "inner")
-    return x.groupBy("level_id").agg(
-        F.count_if("is_eligible_for_churn").alias("churn_eligible_reachers"),
-        F.count_if(F.col("is_eligible_for_churn") & F.col("is_churned")
-                   & (F.col("farthest_level") == F.col("level_id"))).alias("churned_here_count"),
-        F.count_if("is_eligible_for_d1").alias("d1_eligible_reachers"),
-        F.count_if(F.col("is_eligible_for_d1") & (F.col("d1_retained") == F.lit(True))).alias("d1_retained_reachers"),
-        F.count_if("is_eligible_for_d7").alias("d7_eligible_reachers"),
-        F.count_if(F.col("is_eligible_for_d7") & (F.col("d7_retained") == F.lit(True))).alias("d7_retained_reachers"))
+    return x.groupBy("level_id").agg(*[c for k, (able, did) in flags.items() for c in (
+        F.count_if(able).alias(f"{k}_able"), F.count_if(F.col(able) & F.coalesce(did, F.lit(False))).alias(f"{k}_did"))])
 
 
 def top_stall_items(attempts: DataFrame, k: int = 5) -> DataFrame:
@@ -454,34 +471,26 @@ def top_stall_items(attempts: DataFrame, k: int = 5) -> DataFrame:
 def game_levels(attempts: DataFrame, journeys: DataFrame) -> DataFrame:
     """One row per level.  Level-grain inputs are tiny; AQE turns the joins into
     broadcasts at runtime when their measured size allows."""
-    la = level_difficulty(attempts)
+    medians = [A.approx_median(F.when(F.col("outcome") == o, F.col("duration_s"))).cast("double").alias(n) for n, o in MEDIANS.items()]
     lu = level_users(attempts)
-    lua = attempts_to_beat(lu)
-    lr = level_retention(lu, journeys)
-    ts = top_stall_items(attempts)
-    j = la.join(lua, "level_id", "left").join(lr, "level_id", "left").join(ts, "level_id", "left")
+    return level_ratios(level_sums(attempts, ("level_id",), *medians), attempts_to_beat(lu), level_retention(lu, journeys),
+                        top_stall_items(attempts))
+
+
+def level_ratios(sums: DataFrame, beaten: DataFrame, retention: DataFrame, items: DataFrame) -> DataFrame:
+    j = (sums.join(beaten, "level_id", "left").join(retention, "level_id", "left").join(items, "level_id", "left"))
     r = S.safe_ratio
     return j.select(
         "level_id", "level_id_numeric", "unique_starters", "unique_completers",
         r("unique_completers", "unique_starters").alias("completion_rate"),
         r("first_try_wins", "unique_starters").alias("first_try_win_rate"),
         "median_attempts_to_beat", "p90_attempts_to_beat",
-        "total_attempts", "total_completes", "total_fails", "total_abandons",
-        "median_duration_complete_s", "median_duration_fail_s",
-        r("fail_stack_full_count", "total_fails").alias("fail_rate_stack_full"),
-        r("fail_time_up_count", "total_fails").alias("fail_rate_time_up"),
-        r("fail_pause_quit_count", "total_fails").alias("fail_rate_pause_quit"),
-        r("total_abandons", "total_attempts").alias("abandon_rate"),
-        r("attempts_with_ingame_booster", "total_attempts").alias("booster_attempt_rate"),
-        r("attempts_with_revive", "total_attempts").alias("revive_attempt_rate"),
-        "avg_items_cleared_perc_on_fail", "avg_objectives_left_perc_on_fail",
-        "avg_time_left_perc_on_fail", "avg_stars_on_complete",
-        F.col("churn_eligible_reachers").alias("n_users_reached_churn_eligible"),
-        F.col("churned_here_count").alias("n_users_who_churned_here"),
-        r("churned_here_count", "churn_eligible_reachers").alias("churn_on_level_rate"),
-        "d1_eligible_reachers",
-        r("d1_retained_reachers", "d1_eligible_reachers").alias("d1_retention_of_reachers"),
-        "d7_eligible_reachers",
-        r("d7_retained_reachers", "d7_eligible_reachers").alias("d7_retention_of_reachers"),
+        "total_attempts", *OUTCOME_COUNTS, *MEDIANS,
+        *[r(f"{n}_of", of).alias(n) for n, (_, of) in attempt_ratios().items()],
+        *[r(f"{n}_sum", f"{n}_n").alias(n) for n in AVERAGES],
+        F.col("churn_able").alias("n_users_reached_churn_eligible"), F.col("churn_did").alias("n_users_who_churned_here"),
+        r("churn_did", "churn_able").alias("churn_on_level_rate"),
+        F.col("d1_able").alias("d1_eligible_reachers"), r("d1_did", "d1_able").alias("d1_retention_of_reachers"),
+        F.col("d7_able").alias("d7_eligible_reachers"), r("d7_did", "d7_able").alias("d7_retention_of_reachers"),
         F.coalesce("top_stack_stall_items", S.empty_string_array()).alias("top_stack_stall_items"),
     )

@@ -382,3 +382,7 @@ FROM level_try""",
     "level_retention": f"""WITH {game_levels_cte()} SELECT level_id, churn_eligible_reachers, churned_here_count,
   d1_eligible_reachers, d1_retained_reachers, d7_eligible_reachers, d7_retained_reachers FROM level_stays""",
 }
+
+# An incremental build has the rows of a full one.
+SQL |= {f"incremental_{to}": SQL[of] for to, of in (("game_sessions", "game_sessions"), ("game_attempts", "level_attempts"),
+                                                   ("game_journeys", "game_user_journeys"), ("game_levels", "game_levels"))}

@@ -62,8 +62,7 @@ FROM gs""",
     "session_key": WS + "SELECT user_pseudo_id, session_id FROM ws",
     "attempt_key": GA + "SELECT attempt_id, user_pseudo_id, ga_session_id, attempt_start_ts_us AS attempt_start_ts FROM ga",
     "url_path": f"SELECT page_id, {url_path_sql('url')} AS url_path FROM pages",
-    "parse_int_list": EVG + f""", b AS (SELECT event_id, {int_list('boosters_used_str')} AS arr FROM ev
-  WHERE event_name IN ('level_complete', 'level_fail'))
+    "parse_int_list": EVG + f""", b AS (SELECT event_id, {int_list('boosters_used_str')} AS arr FROM ev)
 SELECT event_id, TRY_CAST(arr[1] AS BIGINT) AS b0, TRY_CAST(arr[2] AS BIGINT) AS b1,
   TRY_CAST(arr[3] AS BIGINT) AS b2, TRY_CAST(arr[4] AS BIGINT) AS b3 FROM b""",
     "leading_int": GA + "SELECT attempt_id, level_id, level_id_numeric FROM ga",
@@ -78,7 +77,7 @@ SELECT event_id, TRY_CAST(arr[1] AS BIGINT) AS b0, TRY_CAST(arr[2] AS BIGINT) AS
     "decimal_revenue": WJ + "SELECT user_pseudo_id, round(CAST(total_revenue AS DOUBLE), 6) AS total_revenue FROM wj",
     "clean_items": EVG + """SELECT event_id, array_to_string(list_filter([stack_item_1, stack_item_2, stack_item_3,
   stack_item_last], lambda x: x IS NOT NULL AND x <> '' AND x <> '0'), '>') AS items
-FROM ev WHERE event_name = 'fail_stack_full'""",
+FROM ev""",
     # filters
     "optional_in_filter": f"WITH {game_sessions_cte()} " + """SELECT session_id, country, app_version FROM gs
 WHERE country IN ('US', 'IN')""",

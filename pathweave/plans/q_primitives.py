@@ -120,8 +120,7 @@ def url_path_q(c):
 @register("parse_int_list")
 def parse_int_list_q(c):
     b = S.parse_int_list(event_param("boosters_used", "string"))
-    ev = c.raw_game.where(F.col("event_name").isin("level_complete", "level_fail"))
-    return ev.select("event_id", *[S.int_at(b, i).alias(f"b{i}") for i in range(4)])
+    return c.raw_game.select("event_id", *[S.int_at(b, i).alias(f"b{i}") for i in range(4)])
 
 
 @register("leading_int")
@@ -167,10 +166,9 @@ def decimal_revenue_q(c):
 
 @register("clean_items")
 def clean_items_q(c):
-    ev = c.raw_game.where(F.col("event_name") == "fail_stack_full")
     items = S.clean_items(*[event_param_any(k) for k in ("stack_item_1", "stack_item_2", "stack_item_3",
                                                             "stack_item_last")])
-    return ev.select("event_id", items.alias("items"))
+    return c.raw_game.select("event_id", items.alias("items"))
 
 
 # ---------------------------------------------------------------- filters (F*)

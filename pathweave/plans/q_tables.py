@@ -1,5 +1,7 @@
 """Registered queries: the summary tables themselves (tier I)."""
 
+from pyspark.sql import functions as F
+
 from pathweave.plans.registry import register
 
 
@@ -116,16 +118,25 @@ def game_user_group(c):
 @register("level_difficulty")
 def level_difficulty(c):
     from pathweave.operators import game as G
-    return G.level_difficulty(c.attempts)
+    counts = {"fail_stack_full_count": "fail_rate_stack_full", "fail_time_up_count": "fail_rate_time_up",
+              "fail_pause_quit_count": "fail_rate_pause_quit", "attempts_with_ingame_booster": "booster_attempt_rate",
+              "attempts_with_revive": "revive_attempt_rate"}
+    levels = G.game_levels(c.attempts, c.game_journeys)
+    sums = G.level_sums(c.attempts).select("level_id", *[F.col(f"{n}_of").alias(out) for out, n in counts.items()])
+    first = G.attempts_to_beat(G.level_users(c.attempts)).select("level_id", "first_try_wins")
+    return levels.join(sums, "level_id").join(first, "level_id").select(
+        "level_id", "level_id_numeric", "total_attempts", "unique_starters", *G.OUTCOME_COUNTS, "first_try_wins", *G.MEDIANS, *counts, *G.AVERAGES)
 
 
 @register("attempts_to_beat")
 def attempts_to_beat(c):
     from pathweave.operators import game as G
-    return G.attempts_to_beat(G.level_users(c.attempts))
+    return G.attempts_to_beat(G.level_users(c.attempts)).drop("unique_starters", "first_try_wins")
 
 
 @register("level_retention")
 def level_retention(c):
     from pathweave.operators import game as G
-    return G.level_retention(G.level_users(c.attempts), c.game_journeys)
+    names = {"churn_able": "churn_eligible_reachers", "churn_did": "churned_here_count", "d1_able": "d1_eligible_reachers",
+             "d1_did": "d1_retained_reachers", "d7_able": "d7_eligible_reachers", "d7_did": "d7_retained_reachers"}
+    return G.level_retention(G.level_users(c.attempts), c.game_journeys).withColumnsRenamed(names)

@@ -3,17 +3,20 @@
 * ``stream_events_clean``: the export read as a file stream, event time from the
   microsecond timestamp, watermark, duplicates dropped within the watermark.
 * ``stream_session_rollup``: gap-based sessions per user with ``session_window``,
-  emitted in append mode once the watermark closes them; ``finite_session_rollup``
-  adds those that a finite input leaves open.
+  emitted in append mode once the watermark closes them; ``open_sessions`` are those that a
+  finite input leaves open, from the events after each user's last emitted session.
 * ``daily_overrides_intraday``: a finished daily export replaces the intraday rows
   of the same day (left anti join on event_date + union).
 * ``append_batch`` / ``read_appended``: a ``foreachBatch`` sink that keeps each
   micro-batch in a folder of its own, so that a repeated batch replaces itself and no other
   rows, and the table read back with each event once.
 
+* ``replay_days``: a stored export fed to one stream day by day in event order, so that a day's
+  watermark is enough and the state holds the events of a day or two, not those of the window.
+
 Files of a backlog arrive in the order they were written, not in event order. The
-watermark is a parameter: a live stream takes how late an event may be, a
-backlog the whole span of its days (``backlog_watermark``). A run fails if the
+watermark is a parameter: a live stream takes how late an event may be, a replay a day, and a
+backlog read as it lies the whole span of its days (``backlog_watermark``). A run fails if the
 watermark made it drop a row.
 
 Checkpoints and outputs go under ``spark.checkpoint.dir``.
@@ -22,14 +25,19 @@ Checkpoints and outputs go under ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathweave.schema import RAW_EVENT
 from pathweave.session import checkpoint_dir
+from pathweave.sources.store import _fs_status
 
 DEDUP_KEYS = ["user_pseudo_id", "event_name", "event_timestamp", "event_id"]
 LIVE_WATERMARK = "2 hours"
+REPLAY_WATERMARK = "1 day"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Micro-batches of a run whose progress is kept, to count the rows dropped as late.
 KEPT_PROGRESS = 1_000_000
 
@@ -94,14 +102,70 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
     return spark.read.schema(df.schema).parquet(out)
 
 
-def finite_session_rollup(clean: DataFrame, emitted: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """All sessions of a finite input: those a stream has ``emitted`` and, from the
-    ``clean`` rows of that input, those that were still open when it ended."""
-    whole = stream_session_rollup(clean, gap)
-    # by an aggregate, the first event's time: a join on the session column itself would be
-    # pushed below the merging of sessions, where the column is another
-    done = emitted.select("user_pseudo_id", "start_us")
-    return emitted.unionByName(whole.join(done, ["user_pseudo_id", "start_us"], "left_anti"))
+@dataclass
+class Replayed:
+    """What a replay wrote, the most rows that its state held after a batch, and the rows it was fed."""
+
+    rows: DataFrame
+    most_state_rows: int
+    rows_in: int
+
+
+def replay_days(export: DataFrame, days: list[str], make: Callable[[DataFrame], DataFrame], name: str,
+                state_partitions: int | None = None) -> Replayed:
+    """Feed ``days`` of an export, in their order, to the one stream ``make(events)`` and run it over them.
+
+    Each day's rows are appended to a log folder that the stream reads, and the next day follows once
+    they have been processed. State is kept in RocksDB, off the heap; log, checkpoint and output
+    lie under the checkpoint folder. A replay of the same name goes on where it was stopped: days in its log are not
+    appended again, and the stream knows which files it has read. Raises LateRowsDropped as ``run_available_now``.
+    """
+    spark = export.sparkSession
+    root = os.path.join(checkpoint_dir(spark), "pathweave-streams", name)
+    log, out = os.path.join(root, "log"), os.path.join(root, "out")
+
+    def append(day: str) -> None:
+        if _fs_status(spark, f"{log}/day={day}/_SUCCESS") is None:
+            export.where(F.col("event_date") == day).write.mode("overwrite").parquet(f"{log}/day={day}")
+
+    append(days[0])
+    wanted = {"spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism),
+              "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        stream = make(spark.readStream.schema(export.schema).parquet(f"{log}/day=*"))
+        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/ckpt").outputMode("append").start())
+    finally:  # the query has its own copy
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    seen, late, held, fed = -1, 0, 0, 0
+    try:
+        for day in days:
+            append(day)
+            q.processAllAvailable()
+            for p in q.recentProgress:
+                if p.batchId > seen:
+                    seen, fed = p.batchId, fed + p.numInputRows
+                    late += sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+                    held = max(held, sum(op.numRowsTotal for op in p.stateOperators))
+    finally:
+        q.stop()
+    if late:
+        raise LateRowsDropped(f"{late} rows of {name} came behind the watermark; widen it")
+    return Replayed(spark.read.schema(stream.schema).parquet(out), held, fed)
+
+
+def open_sessions(events: DataFrame, emitted: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of a finite input that a stream hasn't ``emitted``: of the events after each user's last one that it has.
+
+    A user's sessions are emitted in order, so these are the events of open sessions and no others."""
+    last = emitted.groupBy("user_pseudo_id").agg(F.max("end_us").alias("_done"))
+    tail = events.where(F.col("user_pseudo_id").isNotNull()).join(last, "user_pseudo_id", "left").where(
+        F.col("_done").isNull() | (F.col("event_timestamp") > F.col("_done"))).drop("_done")
+    tail = tail.dropDuplicates(DEDUP_KEYS).withColumn("event_ts", F.timestamp_micros("event_timestamp"))
+    return stream_session_rollup(tail, gap)
 
 
 def daily_overrides_intraday(daily: DataFrame, intraday: DataFrame) -> DataFrame:
@@ -135,9 +199,9 @@ def incremental_append(stream: DataFrame, name: str) -> DataFrame:
     return read_appended(spark, f"{root}/table")
 
 
-def touched_since(appended: DataFrame, before: DataFrame) -> DataFrame:
-    """Keys (user_pseudo_id, ga_session_id) of sessions with rows in ``appended`` that ``before`` lacks."""
-    return appended.join(before.select(*DEDUP_KEYS), DEDUP_KEYS, "left_anti").select("user_pseudo_id").distinct()
+def touched_users(added: DataFrame) -> DataFrame:
+    """Users with rows in ``added``, the events of new or late files alone."""
+    return added.where(F.col("user_pseudo_id").isNotNull()).select("user_pseudo_id").distinct()
 
 
 def incremental_sessions(stored: DataFrame, events: DataFrame, touched: DataFrame, build) -> DataFrame:
