@@ -79,16 +79,16 @@ def stages() -> str:
     """An automaton that reads a user's events one by one."""
     waits = "[" + ", ".join(f"'{e}'" for e in ENTER[1:]) + "]"
     pairs = " UNION ALL ".join(
-        f"SELECT {i} AS i, '{STAGES[i]}' AS from_stage, '{STAGES[i + 1]}' AS to_stage, at[{i + 2}] - at[{i + 1}] AS us, len(at) = {len(STAGES)} AS buys "
-        f"FROM final WHERE len(at) > {i}" for i in range(len(STAGES) - 1))
+        f"SELECT {i} AS i, '{STAGES[i]}' AS from_stage, '{STAGES[i + 1]}' AS to_stage, entries[{i + 2}] - entries[{i + 1}] AS us, len(entries) = {len(STAGES)} AS buys "
+        f"FROM final WHERE len(entries) > {i}" for i in range(len(STAGES) - 1))
     slow = "us > 7 * 86400000000"
     return recursive(f"""{EVW},
 o AS (SELECT user_pseudo_id AS u, event_name, event_timestamp AS ts, row_number() OVER (PARTITION BY user_pseudo_id ORDER BY event_timestamp, event_id) AS n FROM wev),
 walk AS (
-  SELECT u, n, CASE WHEN event_name = 'view_item' THEN [ts, ts] ELSE [ts] END AS at FROM o WHERE n = 1
+  SELECT u, n, CASE WHEN event_name = 'view_item' THEN [ts, ts] ELSE [ts] END AS entries FROM o WHERE n = 1
   UNION ALL
-  SELECT w.u, o.n, CASE WHEN o.event_name = {waits}[len(w.at)] THEN list_append(w.at, o.ts) ELSE w.at END FROM walk w JOIN o ON o.u = w.u AND o.n = w.n + 1),
-final AS (SELECT u, arg_max(at, n) AS at FROM walk GROUP BY u),
+  SELECT w.u, o.n, CASE WHEN o.event_name = {waits}[len(w.entries)] THEN list_append(w.entries, o.ts) ELSE w.entries END FROM walk w JOIN o ON o.u = w.u AND o.n = w.n + 1),
+final AS (SELECT u, arg_max(entries, n) AS entries FROM walk GROUP BY u),
 x AS ({pairs})
 SELECT from_stage, to_stage, count(*) AS entered, count(us) AS went_on, {rate('count(us)', 'count(*)')} AS transition_rate,
   round(quantile_disc(us, 0.5) / 86400000000.0, 6) AS median_days, count(*) FILTER (WHERE {slow}) AS slow,
@@ -266,8 +266,8 @@ SELECT CASE parts WHEN 1 THEN 'single' WHEN 2 THEN 'pair' ELSE 'bundle' END AS f
   count(*) FILTER (WHERE soon) AS returned_soon, {r6('avg(n)')} AS avg_orders, {rate('sum(cheap)', 'sum(lines)')} AS discounted_lines,
   {rate('count(again)', 'count(*)')} AS return_rate, {rate('count(*) FILTER (WHERE soon)', 'count(*)')} AS soon_rate FROM x GROUP BY 1""",
     "promo_orders": f"""WITH
-l AS (SELECT l_orderkey AS o_orderkey, count(*) AS lines, bool_and(l_discount >= 0.05) AS every, bool_or(l_discount >= 0.05) AS any FROM lineitem GROUP BY 1)
-SELECT CASE WHEN every THEN 'all' WHEN any THEN 'some' ELSE 'none' END AS discounted, count(*) AS orders, {r6('avg(lines)')} AS avg_lines,
+l AS (SELECT l_orderkey AS o_orderkey, count(*) AS lines, bool_and(l_discount >= 0.05) AS every, bool_or(l_discount >= 0.05) AS one FROM lineitem GROUP BY 1)
+SELECT CASE WHEN every THEN 'all' WHEN one THEN 'some' ELSE 'none' END AS discounted, count(*) AS orders, {r6('avg(lines)')} AS avg_lines,
   {r6('avg(CAST(o_totalprice AS DECIMAL(18, 2)))')} AS avg_value FROM orders JOIN l USING (o_orderkey) GROUP BY 1""",
     "schema_drift": f"""WITH {ev_cte('game')},
 k AS ({' UNION ALL '.join(f"SELECT event_name, '{k}' AS key, event_date_parsed AS day FROM ev WHERE {c}" for k, c in GAME_KEYS.items())})

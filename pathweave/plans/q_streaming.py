@@ -16,6 +16,8 @@ def _tag(c, name):
     return name + "-" + hashlib.sha1(c.export_path("web").encode()).hexdigest()[:10]
 
 
+#: Events of a day for one more partition of a stream's state.
+STATE_ROWS = 1_000_000
 STREAMED = [*I.DEDUP_KEYS, "event_date"]
 
 
@@ -25,8 +27,9 @@ def _days(c, product="web"):
 
 def _replay(c, make, name):
     """The web export fed to a stream day by day, with a day's watermark."""
-    events = c.export("web").select(*STREAMED)
-    return I.replay_days(events, _days(c), lambda e: make(I.stream_events_clean(e, I.REPLAY_WATERMARK)), _tag(c, name))
+    events, days = c.export("web").select(*STREAMED), _days(c)
+    parts = 2 + events.count() // len(days) // STATE_ROWS  # a count of a stored export reads footers only
+    return I.replay_days(events, days, lambda e: make(I.stream_events_clean(e, I.REPLAY_WATERMARK)), _tag(c, name), parts)
 
 
 @register("stream_events_clean")

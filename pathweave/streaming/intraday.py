@@ -130,7 +130,9 @@ def replay_days(export: DataFrame, days: list[str], make: Callable[[DataFrame],
 
     append(days[0])
     wanted = {"spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism),
-              "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+              "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+              "spark.sql.streaming.noDataMicroBatches.enabled": "false"}  # the next day moves the watermark
     old = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -140,21 +142,25 @@ def replay_days(export: DataFrame, days: list[str], make: Callable[[DataFrame],
     finally:  # the query has its own copy
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    seen, late, held, fed = -1, 0, 0, 0
+    batches: dict[int, tuple[int, int, int]] = {}  # rows in, rows dropped as late, rows of state
+
+    def note() -> None:
+        for p in q.recentProgress:
+            batches[p.batchId] = (p.numInputRows, sum(op.numRowsDroppedByWatermark for op in p.stateOperators),
+                                  sum(op.numRowsTotal for op in p.stateOperators))
+
     try:
         for day in days:
             append(day)
             q.processAllAvailable()
-            for p in q.recentProgress:
-                if p.batchId > seen:
-                    seen, fed = p.batchId, fed + p.numInputRows
-                    late += sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
-                    held = max(held, sum(op.numRowsTotal for op in p.stateOperators))
+            note()
     finally:
         q.stop()
-    if late:
-        raise LateRowsDropped(f"{late} rows of {name} came behind the watermark; widen it")
-    return Replayed(spark.read.schema(stream.schema).parquet(out), held, fed)
+        note()  # a batch is reported after it has been processed
+    fed, late, held = ([b[i] for b in batches.values()] for i in range(3))
+    if sum(late):
+        raise LateRowsDropped(f"{sum(late)} rows of {name} came behind the watermark; widen it")
+    return Replayed(spark.read.schema(stream.schema).parquet(out), max(held, default=0), sum(fed))
 
 
 def open_sessions(events: DataFrame, emitted: DataFrame, gap: str = "30 minutes") -> DataFrame:

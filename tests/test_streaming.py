@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rows import DAY, DAY0, ev, frame
 
 from pathweave.plans.context import Ctx
+from pathweave.schema import RAW_EVENT
 from pathweave.streaming import intraday as I
 
 MIN = 60_000_000
@@ -36,7 +37,8 @@ def test_stream_dedup_and_session_windows(spark, tmp_path):
     got = sorted((r["user_pseudo_id"], r["event_count"], r["purchases"]) for r in emitted.collect())
     # the watermark (last event - 2 h) closes all sessions but the last
     assert got == [("u", 1, 0), ("u", 2, 1), ("v", 1, 0)]
-    whole = sorted((r["user_pseudo_id"], r["event_count"], r["purchases"]) for r in I.finite_session_rollup(clean, emitted).collect())
+    every = emitted.unionByName(I.open_sessions(frame(spark, rows), emitted))
+    whole = sorted((r["user_pseudo_id"], r["event_count"], r["purchases"]) for r in every.collect())
     assert whole == [("u", 1, 0), ("u", 1, 0), ("u", 2, 1), ("v", 1, 0)]
 
 
@@ -93,3 +95,34 @@ def test_a_repeated_batch_replaces_itself_only(spark, tmp_path):
     I.append_batch(frame(spark, day[3:5]), 1, path)   # run again after a failure
     I.append_batch(frame(spark, [day[5], day[0]]), 2, path)  # a late file for the day, with a row that was there
     assert sorted(r["event_id"] for r in I.read_appended(spark, path).collect()) == list(range(6))
+
+
+def test_replay_holds_a_days_state_and_goes_on_where_it_stopped(spark, tmp_path):
+    days = 6
+    rows = [ev(f"u{u}", DAY0 + d * DAY + u * 60 * MIN + k * MIN, "page_view", {"ga_session_id": d}, eid=d * 1000 + u * 10 + k)
+            for d in range(days) for u in range(20) for k in range(3)]
+    rows += [r for r in rows if r[-1] % 7 == 0]  # delivered twice
+    path = str(tmp_path / "export")
+    frame(spark, rows).repartition(7).write.partitionBy("event_date").parquet(path)  # in no order of time
+    export = spark.read.schema(RAW_EVENT).option("basePath", path).parquet(path).select(*I.DEDUP_KEYS, "event_date")
+    names = sorted({r[0] for r in rows})
+    run = lambda days, of: I.replay_days(export, days, lambda e: I.stream_session_rollup(
+        I.stream_events_clean(e, I.REPLAY_WATERMARK)), of, 2)
+    whole = name("replay")
+    first = run(names[:4], whole)
+    assert first.most_state_rows < 3 * 20 * 4  # the days within the watermark, not the days so far
+    closed = first.rows.count()
+    second = run(names, whole)
+    assert second.rows_in == len([r for r in rows if r[0] in names[4:]])  # what was read before isn't read again
+    emitted = second.rows
+    assert emitted.count() > closed
+    every = emitted.unionByName(I.open_sessions(export, emitted))
+    got = sorted((r["user_pseudo_id"], r["start_us"], r["event_count"]) for r in every.collect())
+    assert got == sorted((f"u{u}", DAY0 + d * DAY + u * 60 * MIN, 3) for d in range(days) for u in range(20))
+    late = I.open_sessions(export, emitted)
+    assert 0 < late.count() < 3 * 20  # the open end only, of 120 sessions
+
+
+def test_touched_users_are_those_of_the_new_rows(spark):
+    added = frame(spark, [ev("u", DAY0, "page_view", None, eid=1), ev(None, DAY0, "page_view", None, eid=2)])
+    assert [r[0] for r in I.touched_users(added).collect()] == ["u"]
