@@ -1,15 +1,16 @@
 """Near-duplicate texts by n-gram Jaccard: MinHash LSH forest, then exact verification.
 
-Each text is the set of its 5-word shingles. A forest of tries holds the texts'
-signatures: in each tree a text's path is a row of min-hashes, and texts are
-candidates where they share a prefix of it. Prefixes begin at full depth and are
-shortened until the chance that a pair at the threshold shares one in some
-tree reaches the target recall. Sorting and grouping by prefix is Spark's shuffle.
-
-Texts with equal sets are one class from the start. Classes that share prefixes,
-directly or through others, form a group; its sets meet once, in blocks when it
-is large, and every pair of the group whose sizes allow it is verified on its sets, so
-within a group nothing hangs on chance. Tasks return counts of links and local
+Each text is the set of its 5-word shingles, and its signature ``HASHES`` min-hashes of that set. A forest of
+tries holds the signatures: a tree's path is a row of ``DEPTH`` of them. Texts that share the
+shortest prefix that counts (``least_level``: the longest one at which a pair at the threshold is found with the target
+recall) are sorted together in Spark, and each such run is matched from full paths upwards:
+a prefix is shortened only where it still holds texts that aren't joined, and these are
+compared by sketches, the last byte of each min-hash. Later trees look only at runs that
+hold texts of different groups.
+
+So groups hang together by texts whose sketches agree, not by mere shared prefixes, and common boilerplate
+joins nothing. Within a group every pair of agreeing sketches is verified on its whole sets, in blocks.
+Texts with equal sets are one class from the start. Tasks return counts of links and local
 components, never pairs.
 """
 
@@ -19,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +30,49 @@ from pyspark.sql import functions as F
 
 from pathweave.llm.common import checkpointed
 from pathweave.llm.graph import connected_components
-from pathweave.llm.range_join import block_pairs, settle, with_blocks
+from pathweave.llm.range_join import block_pairs, settle
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 24, 8, 0.99999
-#: Classes of a block of a group.
-BLOCK = 1024
+HASHES, TREES, DEPTH, RECALL = 128, 32, 8, 0.99999
+#: Trees of the first round, which finds most of what is there.
+FIRST_TREES = 8
+#: Sketches agree if this share of their bytes is equal, for pairs at 0.8; other thresholds in proportion.
+AGREES = 0.75
+#: Classes of a block, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Words whose hashes a worker keeps; the store is emptied when full.
 KEPT_WORDS = 200_000
 
 
-def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+def least_bytes(hashes: int = HASHES, threshold: float = THRESHOLD) -> int:
+    """Equal bytes of two sketches that agree."""
+    return int(AGREES * threshold * hashes)
+
+
+def missed(level: int, hashes: int = HASHES, trees: int = TREES, threshold: float = THRESHOLD) -> float:
+    """Chance that a pair at the threshold shares no prefix of ``level`` in any tree, or that its sketches don't agree."""
+    lost = 0.0
+    for same in range(hashes + 1):  # min-hashes that the two have in common
+        shares = comb(same, level) / comb(hashes, level)
+        unseen = 1.0 if same < least_bytes(hashes, threshold) else (1 - shares) ** trees
+        lost += comb(hashes, same) * threshold**same * (1 - threshold) ** (hashes - same) * unseen
+    return lost
+
+
+@cache
+def least_level(hashes: int = HASHES, trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """The longest prefix at which a pair at the threshold is found with the wanted chance."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and missed(depth, hashes, trees, threshold) > 1 - recall:
         depth -= 1
     return depth
 
 
+@cache
+def places(hashes: int = HASHES, trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
+    """For each tree the min-hashes that its paths read."""
+    return np.argsort(np.random.default_rng(9).random((trees, hashes)), axis=1)[:, :depth]
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh64_intdigest(word)
@@ -84,46 +112,149 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(grams + np.uint64(n)))
 
 
-def signature(grams: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each tree a 64-bit number of the text's path down to ``depth``."""
-    by = _odd(trees * depth, 7)
-    low = np.full(trees * depth, np.iinfo(np.uint64).max)
+def signature(grams: np.ndarray, hashes: int) -> np.ndarray:
+    """Min-hashes of a set, 32 bits each."""
+    by = _odd(hashes, 7)
+    low = np.full(hashes, np.iinfo(np.uint64).max)
     for at in range(0, len(grams), 512):
         np.minimum(low, (grams[at:at + 512, None] * by).min(axis=0), out=low)
-    path = np.arange(trees, dtype=np.uint64)
-    for level in low.reshape(trees, depth).T:
-        path = _mixed(path + level)
+    return (_mixed(low) >> np.uint64(32)).astype("<u4")
+
+
+def prefixes(signatures: np.ndarray, level: int, some: range, at: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each text's path in each of ``some`` trees, down to ``level``."""
+    path = np.broadcast_to(np.array(some, np.uint64), (len(signatures), len(some)))
+    for places_of in at[some.start:some.stop, :level].T:
+        path = _mixed(path * np.uint64(0x9E3779B97F4A7C15) + signatures[:, places_of])
     return path.view(np.int64)
 
 
-def _signed(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, text_key) with class_key, size and paths of each text's set; class_key is null without words."""
+def _signed(docs: DataFrame, words: int, hashes: int) -> DataFrame:
+    """(doc_id, text_key) with class_key, size and signature of each text's set; class_key is null without words."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, paths = [], [], []
+            keys, sizes, signs = [], [], []
             for t in batch.column("text"):
                 grams = shingles(t.as_py(), words)
                 keys.append(hashlib.md5(grams.tobytes()).digest() if len(grams) else None)
                 sizes.append(len(grams))
-                paths.append(signature(grams, trees, depth) if len(grams) else None)
+                signs.append(signature(grams, hashes).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "text_key", "class_key", "size", "paths"])
+                 pa.array(signs, pa.binary())], ["doc_id", "text_key", "class_key", "size", "signature"])
+
+    return docs.mapInArrow(sign, "doc_id bigint, text_key string, class_key binary, size bigint, signature binary")
+
 
-    return docs.mapInArrow(sign, "doc_id bigint, text_key string, class_key binary, size bigint, paths array<bigint>")
+def _rows(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Binary values of one length as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _verified(key: tuple, t: pa.Table, least: Fraction) -> pa.Table:
+def joined(sketches: np.ndarray, own: np.ndarray, apart: bool, path: np.ndarray, base: int, least: int) -> np.ndarray:
+    """Labels of the texts of a run: equal for texts that agreeing sketches join.
+
+    ``path`` has the places that the run's tree reads. Texts meet first where their whole paths are equal; a prefix is
+    shortened by one level after the other, to ``base`` at last, and at each level only texts of different labels are
+    compared. ``apart``: only texts of different blocks ``own`` are.
+    """
+    label = np.arange(len(sketches))
+    for level in range(len(path), base - 1, -1) if len(label) > 8 else [base]:
+        group = np.unique(sketches[:, path[base:level]], axis=0, return_inverse=True)[1].ravel() if level > base else label * 0
+        for i in range(len(label)):
+            other = (label != label[i]) & (group == group[i])
+            other[:i + 1] = False
+            if apart:
+                other &= own != own[i]
+            at = np.flatnonzero(other)
+            if len(at):
+                near = at[(sketches[at] == sketches[i]).sum(axis=1) >= least]
+                if len(near):
+                    same = np.unique(label[np.r_[i, near]])
+                    label[np.isin(label, same)] = same[0]
+    return label
+
+
+def _link(base: int, least: int, at: np.ndarray):
+    """Runs of rows (tree, path, lo, hi, block, rep, sketch), sorted by all but the last two, as (rep, root) of the texts they join."""
+    def runs(t: pa.Table) -> pa.Table:
+        key = np.stack([t[c].to_numpy() for c in ("path", "lo", "hi")])
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        own, tree, rep, sketches = t["block"].to_numpy(), t["tree"].to_numpy(), t["rep"].to_pylist(), _rows(t["sketch"], "u1")
+        ids, roots = [], []
+        for a, b in zip(starts, np.r_[starts[1:], t.num_rows]):
+            if b - a > 1:
+                label = joined(sketches[a:b], own[a:b], bool(key[1, a] != key[2, a]), at[tree[a]], base, least)
+                for i in np.flatnonzero(label != np.arange(b - a)):
+                    ids.append(rep[a + i])
+                    roots.append(rep[a + label[i]])
+        return pa.table({"rep": pa.array(ids, pa.binary()), "root": pa.array(roots, pa.binary())})
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            last = np.ones(t.num_rows, bool)  # the last run may go on in the next batch
+            for c in ("path", "lo", "hi"):
+                v = t[c].to_numpy()
+                last &= v == v[-1]
+            cut = t.num_rows - int(last[::-1].argmin()) if not last.all() else 0
+            held = t.slice(cut)
+            if cut:
+                yield from runs(t.slice(0, cut).combine_chunks()).to_batches()
+        if held is not None and held.num_rows:
+            yield from runs(held.combine_chunks()).to_batches()
+
+    return link
+
+
+def _groups(classes: DataFrame, hashes: int, trees: int, depth: int, threshold: float, recall: float, block: int) -> DataFrame:
+    """(rep, component) of the classes that the forest joins with others."""
+    base, at, least = least_level(hashes, trees, depth, threshold, recall), places(hashes, trees, depth), least_bytes(hashes, threshold)
+    groups = None
+    for some in (range(min(FIRST_TREES, trees)), range(min(FIRST_TREES, trees), trees)):
+        def spell(batches: Iterator[pa.RecordBatch], some: range = some) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    found = prefixes(_rows(batch.column("signature"), "<u4"), base, some, at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.tile(np.array(some, np.int32), batch.num_rows)), pa.array(found.ravel()),
+                         batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), len(some))))], ["tree", "path", "rep"])
+
+        if not len(some):
+            continue
+        rows = classes.select("rep", "signature").mapInArrow(spell, "tree int, path bigint, rep binary")
+        if groups is None:
+            rows = rows.withColumn("label", F.xxhash64("rep"))
+        else:
+            of = groups.select(F.col("id").alias("rep"), "component")
+            rows = rows.join(of, "rep", "left").withColumn("label", F.xxhash64(F.coalesce("component", "rep"))).drop("component")
+        open_runs = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select(
+            "path", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        members = rows.drop("label").join(open_runs, "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        members = members.join(classes.select("rep", "sketch"), "rep")
+        pairs = block_pairs(members).select("tree", "path", "lo", "hi", "block", "rep", "sketch")
+        sorted_runs = pairs.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "block")
+        edges = sorted_runs.mapInArrow(_link(base, least, at), "rep binary, root binary").distinct()
+        if groups is not None:
+            edges = edges.union(groups.select("id", "component"))
+        groups = checkpointed(connected_components(checkpointed(edges), "rep", "root"))
+    return groups.withColumnRenamed("id", "rep")
+
+
+def _verified(key: tuple, t: pa.Table, least: Fraction, agree: int) -> pa.Table:
     """Links of one pair of blocks of a group, on the members' whole sets.
 
     Members are in order of size, so the ones that a set may link with by size are a
-    stretch, and its overlaps with all of them are one sum over a stretch of ids.
+    stretch; those of them whose sketches agree are looked up, and their overlaps are one sum.
     """
     lo, hi = key[-2].as_py(), key[-1].as_py()
     rep = np.array(t["rep"].to_pylist(), object)
     rep, first = np.unique(rep, return_index=True)  # a text that is there twice came from a repeated row
-    t = t.take(pa.array(first))
-    size, copies, own = (t[c].to_numpy() for c in ("size", "copies", "block"))
+    t = t.take(pa.array(first)).combine_chunks()
+    size, copies, own, sketches = *(t[c].to_numpy() for c in ("size", "copies", "block")), _rows(t["sketch"], "u1")
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]
     names, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ids, ends = ids.astype(np.int32), np.cumsum(size)
@@ -131,25 +262,28 @@ def _verified(key: tuple, t: pa.Table, least: Fraction) -> pa.Table:
     these = np.flatnonzero(own == lo)
     those = np.flatnonzero(own == hi)
     those = those[np.argsort(size[those], kind="stable")]
-    flat = np.concatenate([ids[:0], *(ids[ends[j] - size[j]:ends[j]] for j in those)])  # a block may be empty
-    starts = np.concatenate([[0], np.cumsum(size[those])])
     linked, mark = np.zeros((len(rep), len(rep)), bool), np.zeros(len(names), np.int32)
     for i in these:
         a = np.searchsorted(size[those] * down, size[i] * up, side="left")
         b = np.searchsorted(size[those] * up, size[i] * down, side="right")
-        if a < b:
+        at = those[a:b]
+        at = at[(sketches[at] == sketches[i]).sum(axis=1) >= agree]
+        if lo == hi:
+            at = at[at > i]
+        if len(at):
             mine = ids[ends[i] - size[i]:ends[i]]
             mark[mine] = 1
-            both = np.add.reduceat(mark[flat[starts[a]:starts[b]]], starts[a:b] - starts[a])
+            flat = np.concatenate([ids[ends[j] - size[j]:ends[j]] for j in at])
+            both = np.add.reduceat(mark[flat], np.r_[0, np.cumsum(size[at])[:-1]])
             mark[mine] = 0
-            near = those[a:b][both * down >= (size[i] + size[those[a:b]] - both) * up]
+            near = at[both * down >= (size[i] + size[at] - both) * up]
             linked[i, near] = linked[near, i] = True
     np.fill_diagonal(linked, False)
     return settle(rep, copies, linked, pa.binary())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
-                    trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+                    hashes: int = HASHES, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, kept, text_key (MD5 of the text).
 
     Documents link where the Jaccard similarity of their shingle sets is at least
@@ -159,38 +293,40 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nothing and are kept. Rows that repeat id and text are linked copies and have
     like results; rows that repeat only the id are documents of their own. Further columns are
     dropped; an empty table gives an empty table. Pairs of equal sets are always
-    found, others with the chance ``recall`` or more, which grows with their similarity and with
-    further links between their groups.
+    found, others with the chance ``recall`` or more, which grows with their similarity.
     """
     least = Fraction(str(threshold))
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"),
                         F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key"))
-    rows = checkpointed(_signed(plain, words, trees, prefix_depth(trees, depth, threshold, recall)))
+    rows = checkpointed(_signed(plain, words, hashes))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    sketch = F.unhex(F.regexp_replace(F.hex("signature"), "(..)......", "$1"))  # the last byte of each little-endian min-hash
     classes = checkpointed(rows.filter("class_key is not null").groupBy(F.col("class_key").alias("rep")).agg(
-        F.min(who).alias("who"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths")))
+        F.min(who).alias("who"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+        .withColumn("sketch", sketch))
 
-    at = classes.select("rep", F.explode("paths").alias("path"))
-    shared = at.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("root")).filter("n > 1").drop("n")
-    groups = connected_components(at.join(shared, "path").filter("rep != root").select("rep", "root"), "rep", "root")
-    members = classes.drop("paths").join(groups.withColumnRenamed("id", "rep"), "rep")
-    members = checkpointed(with_blocks(members, ["component"], block))
+    groups = _groups(classes, hashes, trees, depth, threshold, recall, block)
+    members = classes.drop("signature").join(groups, "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
+    members = members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component")
+    members = checkpointed(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
 
     wanted = members.select("*", F.coalesce("who.doc_id", F.lit(-1)).alias("d"), F.col("who.text_key").alias("text_key"))
     found = plain.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["d", "text_key"]).select(
-        "text", "rep", "copies", "size", "component", "blocks", "block")
+        "text", "rep", "copies", "size", "sketch", "component", "blocks", "block")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([sets, *batch.columns[1:]], ["grams", *batch.schema.names[1:]])
 
-    sets = found.mapInArrow(gather, "grams binary, rep binary, copies bigint, size bigint, component binary, blocks int, block int")
+    sets = found.mapInArrow(gather, "grams binary, rep binary, copies bigint, size bigint, sketch binary, component binary, blocks int, block int")
+    agree = least_bytes(hashes, threshold)
     links = checkpointed(block_pairs(sets).groupBy("component", "lo", "hi").applyInArrow(
-        lambda key, t: _verified(key, t, least), "rep binary, links bigint, root binary"))
-    joined = connected_components(links, "rep", "root").select(F.col("id").alias("rep"), F.col("component").alias("root"))
+        lambda key, t: _verified(key, t, least, agree), "rep binary, links bigint, root binary"))
+    linked = connected_components(links, "rep", "root").select(F.col("id").alias("rep"), F.col("component").alias("root"))
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    settled = (classes.select("rep", "who", "copies").join(total, "rep", "left").join(joined, "rep", "left")
+    settled = (classes.select("rep", "who", "copies").join(total, "rep", "left").join(linked, "rep", "left")
                .select("rep", "who", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     firsts = settled.groupBy("root").agg(F.min("who").alias("first"))
     settled = settled.join(firsts, "root").select(F.col("rep").alias("class_key"), "first", "n_links")

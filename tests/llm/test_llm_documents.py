@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from check import compare, register_views
 from conftest import SF_SMALL
@@ -292,9 +293,65 @@ def test_one_of_each_class_stays(hard):
     assert minhash_forest.near_duplicates(hard.limit(0)).collect() == []
 
 
-def test_prefix_depth_reaches_recall():
-    d = minhash_forest.prefix_depth(16, 8, 0.8, 0.999)
-    assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
+def test_the_least_level_reaches_the_recall():
+    for recall in (0.99, 0.9999, 0.99999):
+        level = minhash_forest.least_level(128, 32, 8, 0.8, recall)
+        assert minhash_forest.missed(level) <= 1 - recall < minhash_forest.missed(level + 1)
+    rng, m = np.random.default_rng(1), minhash_forest
+    n, level, found = 3000, m.least_level(recall=0.999), 0
+    a = rng.integers(0, 2**32, (n, m.HASHES), dtype=np.uint64).astype("<u4")
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**32, a.shape, dtype=np.uint64).astype("<u4"))
+    x, y = (m.prefixes(v, level, range(m.TREES), m.places()) for v in (a, b))
+    found = (x == y).any(axis=1).mean()
+    assert found >= 0.997
+
+
+def joined_by_all_pairs(sketches, own, apart, least):
+    label = list(range(len(sketches)))
+    for i in range(len(label)):
+        for j in range(i):
+            if (sketches[i] == sketches[j]).sum() >= least and not (apart and own[i] == own[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_runs_are_joined_as_by_all_pairs(apart):
+    rng = np.random.default_rng(6)
+    for n in (2, 5, 9, 60):
+        base = rng.integers(0, 256, (max(1, n // 4), 128))
+        sketches = base[rng.integers(0, len(base), n)]
+        sketches = np.where(rng.random(sketches.shape) < rng.choice([0.05, 0.3, 0.6], (n, 1)), rng.integers(0, 256, sketches.shape), sketches).astype("u1")
+        own = rng.integers(0, 2, n)
+        got = minhash_forest.joined(sketches, own, apart, minhash_forest.places()[3], 4, 76)
+        want = joined_by_all_pairs(sketches, own, apart, 76)
+        assert [list(got).index(x) for x in got] == [want.index(x) for x in want]
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    rng, rows, want = random.Random(12), [], 0
+    for k in range(300):
+        words = [f"w{k}x{i}" for i in range(204)]  # 200 shingles
+        other = list(words)
+        other[rng.choice([10, 60, 110, 160])] = other[190] = other[-12] = "changed"  # 15 of them change: 185 of 215
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = grams(rows[-2][1]), grams(rows[-1][1])
+        want += 5 * len(a & b) >= 4 * len(a | b)
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("n_links > 0").count()
+    assert want == 300 and got >= 2 * 0.99 * want
+
+
+def test_boilerplate_joins_nothing(spark):
+    rng = random.Random(13)
+    shared = " ".join(f"b{i}" for i in range(120))
+    rows = [(k, shared + " " + " ".join(f"t{k}x{i}" for i in range(rng.randrange(60, 100)))) for k in range(400)]  # Jaccard 0.37 to 0.5
+    signed = minhash_forest._signed(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("text_key", F.lit("")), 5, 128)
+    sketch = F.unhex(F.regexp_replace(F.hex("signature"), "(..)......", "$1"))
+    classes = signed.select(F.col("class_key").alias("rep"), "signature", sketch.alias("sketch")).cache()
+    groups = minhash_forest._groups(classes, 128, 32, 8, 0.8, 0.99999, 512).groupBy("component").count().collect()
+    assert sum(g["count"] * (g["count"] - 1) // 2 for g in groups) < 400 * 399 // 2 // 10
+    assert minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("n_links > 0").count() == 0
 
 
 # -- mixing
