@@ -23,7 +23,7 @@ from pathweave.llm.labelled import training_rows, with_fold
 from pathweave.llm.quality_rules import STOP_WORDS, SYMBOL
 
 TARGET, FOLDS, HELD_OUT = "quality", 3, 1
-#: Labelled rows to learn from, at most (about), and the files' worth of tasks that hold them.
+#: Labelled rows to learn from, at most (about), and the tasks that hold them once they are found.
 MOST_TRAINING_ROWS, TRAINING_TASKS = 20_000, 6
 TREES, DEPTH, PENALTY, SEED = 24, 3, 2e-3, 11
 #: Weights below this are no rule.
@@ -41,6 +41,8 @@ def statistics(text: Column) -> Column:
         words, n = x["words"], F.size(x["words"])
         lines, k = x["lines"], F.size(x["lines"])
         chars = F.length(without_space(t))
+        # each word with the next one, as 64-bit numbers
+        pairs = F.transform(F.arrays_zip(F.slice(words, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(words, 2, n).alias("b")), lambda p: F.xxhash64(p["a"], p["b"]))
         return F.struct(
             F.log1p(n.cast("double")).alias("words"),
             share(chars, n).alias("word_length"),
@@ -52,6 +54,7 @@ def statistics(text: Column) -> Column:
             share(count_of(t, "[0-9]"), chars).alias("digits"),
             share(count_of(t, r"\p{Lu}"), chars).alias("capitals"),
             share(F.size(F.array_distinct(words)), n).alias("distinct_words"),
+            share(F.size(F.array_distinct(pairs)), n - 1).alias("distinct_pairs"),
             share(F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))), n).alias("stop_words"),
             share(k - F.size(F.array_distinct(lines)), k).alias("repeated_lines"),
             share(n, k).alias("line_words"),
@@ -62,7 +65,7 @@ def statistics(text: Column) -> Column:
 
 
 STATISTICS = ("words word_length symbols bars exclamations punctuation code_signs digits capitals "
-              "distinct_words stop_words repeated_lines line_words").split()
+              "distinct_words distinct_pairs stop_words repeated_lines line_words").split()
 
 
 class Bound(NamedTuple):
@@ -122,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Without labels the score is 1; with one class only it is near that class.
     """
     train = training_rows(docs, labels, TARGET, FOLDS, HELD_OUT, most, doc_id, text)
-    stats = checkpointed(train.select(F.col("y").cast("double").alias("y"), statistics(F.col("text")).alias("statistics")).coalesce(TRAINING_TASKS))
+    # the scan, the join and the statistics keep a task for each split; only the statistics of the rows found are dealt anew
+    stats = train.select(F.col("y").cast("double").alias("y"), statistics(F.col("text")).alias("statistics"))
+    stats = checkpointed(stats.repartition(TRAINING_TASKS, F.hash("statistics")))
     share = stats.agg(F.avg("y")).first()[0]
     if share is None:
         return Ensemble((), 30.0)
