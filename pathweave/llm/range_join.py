@@ -49,15 +49,19 @@ def _pivots(sample: list[list[float]], n: int) -> np.ndarray:
     return x[chosen]
 
 
-def cells_of(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each unit vector, and which cells below it its copies go to."""
+def distances(pivots: np.ndarray) -> np.ndarray:
+    """Distances between unit vectors, by differences."""
+    return np.array([np.linalg.norm(pivots - p, axis=1) for p in pivots]).reshape(len(pivots), len(pivots))
+
+
+def cells_of(x: np.ndarray, pivots: np.ndarray, between: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each unit vector, and which cells below it its copies go to; ``between`` has the pivots' distances."""
     sims = x @ pivots.T
     own = sims.argmax(axis=1)
     at_own = sims[np.arange(len(x)), own][:, None]
     dist = np.sqrt(np.maximum(0, 2 - 2 * sims))
     nearest = np.sqrt(np.maximum(0, 2 - 2 * at_own))
-    apart = np.linalg.norm(pivots[own][:, None, :] - pivots[None, :, :], axis=2)
-    near = (dist - nearest <= 2 * reach) & (at_own - sims <= reach * apart + 1e-12)
+    near = (dist - nearest <= 2 * reach) & (at_own - sims <= reach * between[own] + 1e-12)
     return own, near & (np.arange(len(pivots))[None, :] < own[:, None])
 
 
@@ -160,10 +164,11 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 def _cells(classes: DataFrame, pivots, reach: float) -> DataFrame:
     """The classes in their own cell (native) and, copied, in the cells that their links may reach."""
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = distances(pivots.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                own, copied = cells_of(_unit(batch.column("embedding")), pivots.value, reach)
+                own, copied = cells_of(_unit(batch.column("embedding")), pivots.value, between, reach)
                 row, cell = np.nonzero(copied)
                 rows = np.concatenate([np.arange(len(own)), row])
                 columns = [c.take(pa.array(rows)) for c in batch.columns]

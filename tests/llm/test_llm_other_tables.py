@@ -73,7 +73,7 @@ def test_cells_lose_no_pair():
     x = rng.normal(size=(400, 5))
     x = np.vstack([x, x + rng.normal(size=x.shape) * 0.1])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    own, copied = range_join.cells_of(x, x[:40], 0.2)
+    own, copied = range_join.cells_of(x, x[:40], range_join.distances(x[:40]), 0.2)
     there = copied.copy()
     there[np.arange(len(x)), own] = True
     for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)), strict=True):
