@@ -17,6 +17,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,6 +46,7 @@ class ArcRecord(NamedTuple):
     offset: int
     block: bytes
     truncated: bool
+    kind: str = "response"  # or warcinfo (the version block), or error (the block says what)
 
 
 def _inflated(content: bytes) -> io.BufferedIOBase:
@@ -52,33 +54,58 @@ def _inflated(content: bytes) -> io.BufferedIOBase:
     return gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
 
 
-def arc_records(content: bytes) -> Iterator[ArcRecord]:
-    """Records of one ARC file, plain or gzipped, without its version block.
+def _header(line: bytes, fields: int) -> list[bytes] | None:
+    """Fields of a header line, taken from the right, as URLs may hold spaces; None if it is none."""
+    parts = line.rstrip(b"\r\n").rsplit(b" ", fields - 1)
+    return parts if len(parts) >= 5 and parts[-1].isdigit() else None
 
-    The first record names the version, which sets the fields of header lines. URLs
-    may hold spaces: fields are taken from the right. A record that ends before
-    its declared length is marked truncated; a line that is no header is an error.
+
+def _plausible(parts: list[bytes] | None) -> bool:
+    """Whether a line of unknown place looks like a header: a URL or scheme first, and a date."""
+    return parts is not None and b":" in parts[0][:20] and parts[2][:8].isdigit() and len(parts[2]) in (8, 10, 12, 14)
+
+
+def arc_records(content: bytes, strict: bool = True) -> Iterator[ArcRecord]:
+    """Records of one ARC file, plain or gzipped; without ``strict`` also its version blocks and what is damaged.
+
+    The first record names the version, which sets the fields of header lines. A record that ends before
+    its declared length is marked truncated. A line that is no header is an error: raised, or
+    else told, and the file is read on from the next line that looks like a header. Where a gzipped file
+    can't be inflated further, the records before stay.
     """
     f = _inflated(content)
-    fields, offset = 5, 0
-    while line := f.readline():
-        start, offset = offset, offset + len(line)
-        if not line.strip():
-            continue
-        parts = line.rstrip(b"\r\n").rsplit(b" ", fields - 1)
-        version_block = line.startswith(b"filedesc:") and b" 0.0.0.0 " in line  # a page may have such a URL
-        if version_block:
-            parts = line.rstrip(b"\r\n").split(b" ")
-        if len(parts) < 5 or not parts[-1].isdigit():
-            raise ValueError(f"no ARC header at byte {start}: {line[:80]!r}")
-        length = int(parts[-1])
-        block = f.read(length)
-        offset += len(block)
-        if version_block:
-            fields = 10 if block.split(None, 1)[0] == b"2" else 5
-            continue
-        url, ip, date, mime = (x.decode("utf-8", "replace") for x in parts[:4])
-        yield ArcRecord(url, ip, date, mime, start, block, len(block) < length)
+    fields, offset, lost = 5, 0, False
+    try:
+        while line := f.readline():
+            start, offset = offset, offset + len(line)
+            if not line.strip():
+                continue
+            parts = _header(line, fields)
+            version_block = line.startswith(b"filedesc:") and b" 0.0.0.0 " in line  # a page may have such a URL
+            if version_block:
+                parts = line.rstrip(b"\r\n").split(b" ")
+                parts = parts if len(parts) >= 5 and parts[-1].isdigit() else None
+            if parts is None or lost and not version_block and not _plausible(parts):
+                if strict:
+                    raise ValueError(f"no ARC header at byte {start}: {line[:80]!r}")
+                if not lost:
+                    yield ArcRecord("", "", "", "", start, b"no header: " + line[:80].rstrip(), False, "error")
+                lost = True
+                continue
+            lost, length = False, int(parts[-1])
+            block = f.read(length)
+            offset += len(block)
+            url, ip, date, mime = (x.decode("utf-8", "replace") for x in parts[:4])
+            if version_block:
+                fields = 10 if block.split(None, 1)[:1] == [b"2"] else 5
+                if not strict:
+                    yield ArcRecord(url, ip, date, mime, start, block, len(block) < length, "warcinfo")
+                continue
+            yield ArcRecord(url, ip, date, mime, start, block, len(block) < length)
+    except (EOFError, OSError, zlib.error) as e:
+        if strict:
+            raise
+        yield ArcRecord("", "", "", "", offset, f"can't be inflated: {e}".encode(), True, "error")
 
 
 def sha1_base32(data: bytes) -> str:
@@ -106,14 +133,15 @@ def _http_field(head: bytes, name: str) -> str | None:
 
 
 RECORDS = ("record_id string, url string, date string, ip string, mime string, truncated boolean, head binary, payload binary, "
-           "payload_digest string, payload_bytes bigint, source_key bigint")
+           "payload_digest string, payload_bytes bigint, source_key bigint, kind string, error string")
 
 
 def convert(arc_files: DataFrame) -> DataFrame:
     """WARC fields of the records of ARC files, given as (path, content), as Spark's binaryFile source reads them.
 
     Ids are version 5 UUIDs of place, URL and date: another run gives them again.
-    Null contents hold no records.
+    Null contents hold no records. ``kind`` is response, warcinfo (a version block) or error: such a row
+    says in ``error`` where a file is damaged, and holds no record.
     """
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
@@ -121,12 +149,16 @@ def convert(arc_files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
-                for r in arc_records(content.as_py() or b""):
-                    head, payload = split_http(r.block)
+                for r in arc_records(content.as_py() or b"", strict=False):
+                    if r.kind == "error":
+                        said = f"{path}, byte {r.offset}: {r.block.decode('utf-8', 'replace')}"
+                        rows.append((None, None, None, None, None, r.truncated, b"", b"", None, 0, None, r.kind, said))
+                        continue
+                    head, payload = split_http(r.block) if r.kind == "response" else (b"", r.block)
                     key = _http_field(head, KEY_FIELD)
                     rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{path}#{r.offset} {r.date} {r.url}")
                     rows.append((f"<urn:uuid:{rid}>", r.url, warc_date(r.date), r.ip, r.mime, r.truncated, head, payload,
-                                 sha1_base32(payload), len(payload), int(key) if key else None))
+                                 sha1_base32(payload), len(payload), int(key) if key and key.isdigit() else None, r.kind, None))
                     size += len(payload)
                     if size > ARC_BYTES:
                         yield _batch(rows, names)
@@ -156,18 +188,23 @@ def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     spark = records.sparkSession
     first = F.min(F.struct(F.col("source_key").isNull().alias("n"), "source_key", "record_id", "url", "date")).alias("first")
-    seen = (records.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
+    page = (F.col("kind") == "response") & (F.col("payload_bytes") >= min_bytes)
+    seen = (records.filter(page).groupBy("payload_digest")
             .agg(F.count("*").alias("times"), first).filter("times > 1"))
     at = f"{shared_dir(spark)}/repeated-{uuid.uuid4().hex}"
     seen.select("payload_digest", F.col("first.source_key").alias("first_key"), F.col("first.record_id").alias("first_id"),
                 F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date")).write.parquet(at)
     joined = records.join(spark.read.parquet(at), "payload_digest", "left")
-    again = F.col("first_id").isNotNull() & (F.col("first_id") != F.col("record_id")) & (F.col("payload_bytes") >= min_bytes)
+    again = F.col("first_id").isNotNull() & (F.col("first_id") != F.col("record_id")) & page
     return joined.select(*records.columns, *[F.when(again, F.col(c)).alias(c) for c in ("first_key", "first_id", "first_url", "first_date")])
 
 
 def warc_record(r: dict) -> bytes:
     """One WARC record, without the two line ends that close it."""
+    if r["kind"] == "warcinfo":
+        fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"]), ("WARC-Filename", r["url"].rpartition("/")[2]),
+                  ("WARC-Block-Digest", "sha1:" + sha1_base32(r["payload"])), ("Content-Type", r["mime"]), ("Content-Length", len(r["payload"]))]
+        return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + CRLF + r["payload"]
     revisit = r["first_id"] is not None
     block = r["head"] + (b"" if revisit else r["payload"])
     kind = "revisit" if revisit else "response"
@@ -219,7 +256,7 @@ READ = "record_id string, url string, record_type string, source_key bigint, ref
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Records of the WARC files under ``path``; digests of stored payloads are computed anew and must match."""
+    """Records of the WARC files under ``path`` but warcinfo; digests of stored payloads are computed anew and must match."""
     spec = READ + ", payload binary" * with_payload
     names = [x.split()[0] for x in spec.split(", ")]
 
@@ -228,6 +265,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
             for content in batch.column(0):
                 rows, size = [], 0
                 for fields, block in warc_records(content.as_py()):
+                    if fields["warc-type"] == "warcinfo":
+                        continue
                     kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                     head, payload = split_http(block)
                     if kind == "revisit":
@@ -292,8 +331,13 @@ def arc_files(pages: DataFrame, date: str = "20240101000000", ip: str = "192.0.2
         write, "path string, content binary")
 
 
-def arc_to_warc(arc: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Convert ARC files (path, content) into WARC files under ``path``; equal payloads become revisits."""
+def arc_to_warc(arc: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
+    """Convert ARC files (path, content) into WARC files under ``path``; equal payloads become revisits, version blocks warcinfo.
+
+    Returns (error): one row for each place where a file is damaged; the records around it are converted.
+    """
     at = f"{shared_dir(arc.sparkSession)}/records-{uuid.uuid4().hex}"
     convert(arc).write.option("compression", "zstd").parquet(at)  # parsed and digested once, used twice
-    write_warc(with_revisits(arc.sparkSession.read.parquet(at), min_bytes), path)
+    records = arc.sparkSession.read.parquet(at)
+    write_warc(with_revisits(records.filter("error is null"), min_bytes), path)
+    return records.filter("error is not null").select("error")
