@@ -127,3 +127,30 @@ def as_events(rows: DataFrame) -> DataFrame:
     n = F.row_number().over(order).cast("bigint")
     return rows.select("conv_id", "turn", "role", "text").withColumn("seq", n).select(
         "conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("turn"), "role", "text")
+
+
+def streamed(log: DataFrame) -> DataFrame:
+    """A log of whole messages as a live system would have written it; it folds to the same messages.
+
+    By a hash of conversation and turn a message is kept whole, streamed as a beginning and deltas, sent with another text and
+    edited, or drafted, discarded by a regeneration and streamed anew. Sequence numbers keep the order of the messages.
+    """
+    n = F.length("text")
+    third, half = F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")
+    none = F.lit(None).cast("string")
+
+    def event(step: int, kind: str, role: Column, text: Column) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    role, text = F.col("role"), F.col("text")
+    whole = [event(0, "message", role, text)]
+    deltas = [event(0, "message", role, F.substring(text, F.lit(1), third)), event(1, "delta", none, F.substring(text, third + 1, third)),
+              event(2, "delta", none, F.substring(text, third * 2 + 1, n))]
+    edited = [event(0, "message", role, F.concat(F.lit("draft: "), text)), event(1, "delta", none, F.lit("...")), event(2, "edit", none, text)]
+    again = [event(0, "message", F.lit("draft"), F.lit("let me")), event(1, "delta", none, F.lit(" think")), event(2, "regenerate", none, none),
+             event(3, "message", role, F.substring(text, F.lit(1), half)), event(4, "delta", none, F.substring(text, half + 1, n))]
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    events = F.when(way == 0, F.array(*deltas)).when(way == 1, F.array(*edited)).when(way == 2, F.array(*again)).otherwise(F.array(*whole))
+    e = log.withColumn("e", F.explode(events))
+    return e.select("conv_id", (F.col("seq") * 8 + F.col("e.step")).alias("seq"), F.col("e.kind").alias("kind"), "turn",
+                    F.col("e.role").alias("role"), F.col("e.text").alias("text"))

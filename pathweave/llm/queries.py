@@ -53,7 +53,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
                                   "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.render(chat.fold_events(chat.as_events(rows))))
+    log = chat.streamed(chat.as_events(rows))  # deltas, edits and regenerations, of which the fold makes the rows again
+    return chat.read_back(chat.render(chat.fold_events(log)))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
