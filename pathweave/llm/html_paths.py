@@ -11,9 +11,10 @@ back on its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from html import unescape
 from itertools import accumulate
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import no_name_clash, shared_dir
+from pathweave.llm.common import checkpointed, no_name_clash, shared_dir
 
 # Kinds of elements, and words in classes and ids that mark what is no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +40,9 @@ LEFT_OUT_WORDS = frozenset(
     "header footer sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments disqus "
     "respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login "
     "breadcrumb breadcrumbs pagination pager toolbar widget widgets form search skip hidden".split())
+#: Of these, the ones that sections of an article have as well.
+SOFT_WORDS = frozenset("header related search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 GOOD_WORDS = frozenset("article content main post entry story text body".split())
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -51,9 +55,13 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<svg(?=[\s/>])[^>]*+(?<=/)>"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][\w:-]*+)(?P<attrs2>[^>]*+)>"
     r"|<[!?][^>]*+>", re.S | re.I)
+#: A tag whose quoted values may hold ">", looked for in so many characters; else one that ends at the next ">".
+_TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BARE_TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>[^>]*+)>")
+LONGEST_TAG = 4096
+#: Longer paths are named by a digest of their beginning.
+LONGEST_PATH = 400
 _ATTR = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -62,14 +70,14 @@ class Element(NamedTuple):
     parent: int
     tag: str
     name: str  # tag and classes, generalised
-    left_out: int  # ALWAYS, BY_WORD or 0, by what the element itself is
+    left_out: int  # ALWAYS, BY_WORD, BY_LINKS or 0, by what the element itself is
     container: int  # the nearest container: itself or above
     link: bool
     good: bool
 
 
-#: Left out with all below; left out unless the main text is below.
-ALWAYS, BY_WORD = 2, 1
+#: Left out with all below; left out unless the main text is below; left out by word if it is mostly links.
+ALWAYS, BY_WORD, BY_LINKS = 2, 1, 3
 
 
 class Chunk(NamedTuple):
@@ -93,23 +101,38 @@ class Page:
         self.open = [0]
         self.marks: list[int] = []  # article and main, but those of comments and the like
         self._sums: tuple[list[int], list[int]] | None = None
-        at = 0
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
-                self._text(html[at:m.start()])
-            at = m.end()
-            if tag := m["tag"] or m["tag2"]:
-                tag = tag.lower()
-                if m["end"] or m["end2"]:
-                    self._close(tag)
-                else:
-                    self._start(tag, m["attrs"] or m["attrs2"] or "")
-        if at < len(html):
-            self._text(html[at:])
-        while self.open:
-            self.ends[self.open.pop()] = len(self.elements)
+        self._paths = [""]
+        self.opened: Counter[str] = Counter()  # open elements of a name
+        self.bars: list[int] = []  # places in ``open`` of what a start tag may close or may not pass
+        self._read(html)
+        self._pop_to(1)
+        self.ends[0] = len(self.elements)
         self.left_out = self._left_out()
 
+    def _read(self, html: str) -> None:
+        """Tags and text in order. What follows the last ">" holds no tag, so no search runs to the page's end again and again."""
+        text, at, last = 0, html.find("<"), html.rfind(">") + 1
+        while 0 <= at:
+            m = _TOKEN.match(html, at) if at < last or html.startswith("<!--", at) else None
+            tag = None
+            if not m and at < last:
+                tag = m = _TAG.match(html, at, min(last, at + LONGEST_TAG)) or _BARE_TAG.match(html, at, last)
+            if not m:
+                at = html.find("<", at + 1)
+                continue
+            if at > text:
+                self._text(html[text:at])
+            text = m.end()
+            if tag:
+                name = tag["tag"].lower()
+                if tag["end"]:
+                    self._close(name)
+                else:
+                    self._start(name, tag["attrs"])
+            at = html.find("<", text)
+        if text < len(html):
+            self._text(html[text:])
+
     def _left_out(self) -> bytearray:
         """For each element whether it is left out, by itself or by one above.
 
@@ -118,6 +141,15 @@ class Page:
         left out whole for words.
         """
         own = [e.left_out for e in self.elements]
+        if BY_LINKS in own:
+            chars = [[0] * (len(own) + 1) for _ in range(2)]
+            for c in self.chunks:
+                chars[self.elements[c.element].link][c.element + 1] += len(c.text.strip())
+            plain, links = (list(accumulate(x)) for x in chars)
+            for e, x in enumerate(own):
+                if x == BY_LINKS:
+                    end = self.ends[e]
+                    own[e] = BY_WORD if links[end] - links[e] > plain[end] - plain[e] else 0
         out = self._spread([x == ALWAYS for x in own])
         if BY_WORD not in own:
             return out
@@ -140,11 +172,14 @@ class Page:
 
         words = [e for e, x in enumerate(own) if x == BY_WORD and not out[e]]
         marks = [e for e in self.marks if not out[e] and size(e)]
+        n_above = [0] * len(own)
+        for e, x in enumerate(own):
+            n_above[e] = (x == BY_WORD) + (n_above[self.elements[e].parent] if e else 0)
         stay: set[int] = set()
         for tag in ("main", "article"):
-            above = [words_above(e) for e in marks if self.elements[e].tag == tag]
-            least = min(map(len, above), default=0)
-            stay.update(x for a in above for x in a[:least])
+            of = [e for e in marks if self.elements[e].tag == tag]
+            if least := min((n_above[e] for e in of), default=0):
+                stay.update(x for e in of for x in words_above(e)[:least])
         stay.update(e for e in words if 2 * size(e) > before[-1] and (not marks or self.elements[e].good))
         while True:
             left = self._spread([x == ALWAYS or x == BY_WORD and e not in stay for e, x in enumerate(own)])
@@ -166,13 +201,17 @@ class Page:
     def _pop_to(self, place: int) -> None:
         while len(self.open) > place:
             gone = self.open.pop()
+            tag = self.elements[gone].tag
             self.ends[gone] = len(self.elements)
-            self.block += self.elements[gone].tag in BLOCKS
+            self.block += tag in BLOCKS
+            self.opened[tag] -= 1
+        while self.bars and self.bars[-1] >= place:
+            self.bars.pop()
 
     def _start(self, tag: str, raw: str) -> None:
         if tag == "br":
             return self._text(" ")
-        for place in range(len(self.open) - 1, 0, -1):
+        for place in reversed(self.bars):
             above = self.elements[self.open[place]].tag
             if tag in CLOSED_BY.get(above, ()):
                 self._pop_to(place)
@@ -186,12 +225,16 @@ class Page:
         up, attrs = self.elements[self.open[-1]], _attributes(raw)
         classes = attrs.get("class", "").split()
         words = {w.lower() for c in [*classes, attrs.get("id", "")] for w in _WORDS.findall(c)}
-        by_word = bool(words & LEFT_OUT_WORDS)
-        if (tag in LEFT_OUT and tag != "form" or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs
+        by_word, in_article = bool(words & LEFT_OUT_WORDS), self.opened["article"] + self.opened["main"] > 0
+        # a label outside a form is a word of its sentence, a header in an article has the headline
+        of_text = tag == "label" and not self.opened["form"] + self.opened["fieldset"] or tag == "header" and in_article
+        if (tag in LEFT_OUT and tag != "form" and not of_text or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs
                 or attrs.get("aria-hidden") == "true"):
             out = ALWAYS
+        elif tag == "form" or by_word and tag not in NEVER_BY_CLASS and tag not in HEADINGS:
+            out = BY_LINKS if in_article and tag != "form" and not words & (LEFT_OUT_WORDS - SOFT_WORDS) else BY_WORD
         else:
-            out = BY_WORD * (tag == "form" or by_word and tag not in NEVER_BY_CLASS)
+            out = BY_LINKS * (tag == "header" and in_article)
         name = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
         n = len(self.elements)
         holds = tag in CONTAINERS
@@ -200,23 +243,29 @@ class Page:
         if tag in ("article", "main") and not by_word:
             self.marks.append(n)
         self.ends.append(n + 1)
+        if holds or tag in CLOSED_BY:
+            self.bars.append(len(self.open))
         self.open.append(n)
+        self.opened[tag] += 1
         return None
 
     def _close(self, tag: str) -> None:
-        for place in range(len(self.open) - 1, 0, -1):
-            if self.elements[self.open[place]].tag == tag:
-                self._pop_to(place)
-                return
+        if self.opened[tag] > 0:
+            place = len(self.open) - 1
+            while self.elements[self.open[place]].tag != tag:
+                place -= 1
+            self._pop_to(place)
 
     def path(self, element: int) -> str:
-        names = []
-        while element > 0:
-            e = self.elements[element]
+        """Names of the block elements from the page to this one. Each is made once, from the one above it."""
+        for e in self.elements[len(self._paths):]:
+            above = self._paths[e.parent]
             if e.tag in BLOCKS:
-                names.append(e.name)
-            element = e.parent
-        return ">".join(reversed(names))
+                if len(above) > LONGEST_PATH:
+                    above = "#" + hashlib.md5(above.encode("utf-8", "surrogatepass")).hexdigest()
+                above = f"{above}>{e.name}" if above else e.name
+            self._paths.append(above)
+        return self._paths[element]
 
     def scores(self) -> dict[int, int]:
         """Points of containers: characters of text outside links that stand in them, half of those one container below, a quarter two below."""
@@ -363,6 +412,7 @@ def path_votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def winning_paths(votes: DataFrame) -> DataFrame:
     """(host, paths): the paths that are the best one of LEAST_SHARE percent of a host's pages or more, most points first."""
     each = votes.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("points", "best", "pages")])
+    each = checkpointed(each)  # a row for each path, read twice; the pages aren't
     pages = each.groupBy("host").agg(F.sum("pages").alias("of"))
     won = each.join(pages, "host").filter((F.col("best") > 0) & (100 * F.col("best") >= LEAST_SHARE * F.col("of")))
     order = F.sort_array(F.collect_list(F.struct((-F.col("points")).alias("p"), "path")))  # at most 100 / LEAST_SHARE

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -142,6 +143,42 @@ def test_header_lines_of_both_versions():
         list(warc.arc_records(b"what is this\n"))
 
 
+def arc_file(bodies, broken=()):
+    out = [b"filedesc://f.arc 0.0.0.0 20010203 text/plain 8\n", b"1 0 me\nU", b"\n"]
+    for k, body in enumerate(bodies):
+        block = b"HTTP/1.0 200 OK\r\nX-Source-Key: %d\r\n\r\n" % k + body
+        length = len(block) + (30 if k in broken else 0)  # a wrong length: the next header is swallowed in part
+        out.append(b"http://x/%d 1.2.3.4 20010203040506 text/html %d\n" % (k, length) + block + b"\n")
+    return b"".join(out)
+
+
+def test_damaged_files_lose_no_other_record(spark, tmp_path):
+    rng = random.Random(2)
+    bodies = [bytes(rng.choices(b"abcdefgh \n", k=300)) for _ in range(60)]
+    whole = arc_file(bodies)
+    packed = gzip.compress(whole)
+    line = whole.index(b"http://x/30 ")
+    junk = whole[:line] + b"what is this\nand this: 20010203 3\n" + whole[line:]
+    files = [("whole", whole), ("cut", packed[:len(packed) * 2 // 3]), ("junk", junk), ("length", arc_file(bodies, {20})), ("flipped", packed[:200] + b"\xff" * 9 + packed[209:]),
+             ("none", None), ("empty", b""), ("garbage", b"\x00\xff\n" * 50)]
+    rows = warc.convert(spark.createDataFrame(files, "path string, content binary")).collect()
+    plain = {k: b for k, b in enumerate(bodies)}
+    for name, _ in files:
+        error = [r.error for r in rows if r.error and r.error.startswith(name + ",")]
+        assert bool(error) == (name not in ("whole", "none", "empty")), name
+    ids = lambda content: {r.url for r in warc.arc_records(content, strict=False) if r.kind == "response"}
+    assert len(ids(whole)) == len(ids(junk)) == 60 and len(ids(arc_file(bodies, {20}))) >= 59
+    cut = list(warc.arc_records(files[1][1], strict=False))
+    assert len(cut) > 20 and cut[0].kind == "warcinfo" and cut[-1].kind == "error"
+    assert all(warc.split_http(r.block)[1] == plain[int(r.url[9:])] for r in cut if r.kind == "response" and not r.truncated)
+    at = str(tmp_path / "w")
+    errors = warc.arc_to_warc(spark.createDataFrame(files, "path string, content binary"), at).collect()
+    assert len(errors) >= 5 and {r.source_key for r in warc.read_warc(spark, at).collect()} >= set(range(60))
+    stored = [f for (c,) in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at).select("content").collect() for f in warc.warc_records(c)]
+    about = [(f["warc-filename"], b) for f, b in stored if f["warc-type"] == "warcinfo"]
+    assert ("f.arc", b"1 0 me\nU") in about and len(about) >= 4
+
+
 def test_revisit_query_counts(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
     rows = queries.op4_arc_to_warc(spark, SF_SMALL).collect()
@@ -220,6 +257,35 @@ def test_main_text_is_not_swallowed():
     assert html_paths.main_text(page("".join(some)), None) == "no-sidebar " + " ".join(["text"] * 50)
 
 
+def test_words_of_sections_leave_nothing_out():
+    body = "<p>" + "word, and more " * 60 + "</p>"
+    want = " ".join(["word, and more"] * 60)
+    links = '<a href="x">another article</a> ' * 9
+    for inner, text in (
+            (f'<h1 class="entry-header">Head</h1>{body}', f"Head\n{want}"), (f'<h2 class="section-header">Head</h2>{body}', f"Head\n{want}"),
+            (f'{body}<p class="related-work">earlier work</p>', f"{want}\nearlier work"), (f'{body}<div class="search-results"><p>we found it</p></div>', f"{want}\nwe found it"),
+            (f"<header><h1>Head</h1><p>lead</p></header>{body}", f"Head\nlead\n{want}"), (f'<header class="entry-header"><h1>Head</h1></header>{body}', f"Head\n{want}"),
+            (f"{body}<p>the <label>word</label> stays</p>", f"{want}\nthe word stays"),
+            (f'{body}<div class="related">{links}</div>', want), (f"<header>{links}</header>{body}", want), (f"{body}<form><label>mail</label></form>", want),
+            (f'{body}<div class="ad">buy</div><aside>aside</aside><p class="share">share it</p>', want)):
+        assert html_paths.main_text(page(f"<article>{inner}</article>"), None) == text, inner[:60]
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 350_000, "<div>t" * 170_000, "<b>" * 330_000 + "text", '<a title="x>' * 85_000, "<script " * 130_000, "<!x" * 300_000,
+    "<div></span>" * 85_000, "<article>" * 110_000 + "text", "<ul><li>" * 120_000 + "x", "<p><svg " * 120_000 + ">", "</div>" * 160_000])
+def test_a_broken_page_of_a_megabyte_takes_seconds(html):
+    began = time.process_time()
+    html_paths.main_text(html, None)
+    assert time.process_time() - began < 10
+
+
+def test_deep_paths_stay_short():
+    deep = html_paths.Page('<div class="some-name">' * 2000 + "text")
+    paths = [deep.path(e) for e in range(len(deep.elements))]
+    assert max(map(len, paths)) < 2 * html_paths.LONGEST_PATH and len(set(paths)) == len(paths)
+
+
 def test_votes_for_the_raised_container(spark):
     html = page("<article><h1>Head</h1><div class='entry-content'><p>" + "long " * 400 + "</p></div></article>")
     table = spark.createDataFrame([(i, "http://a.example/", html.replace("Head", f"Head {i}")) for i in range(5)], "page_id bigint, url string, html string")
@@ -279,3 +345,12 @@ def test_conversation_with_control_strings(spark):
     row = next(r for r in queries.op7_chat_formatting(spark, SF_SMALL).collect() if r.conv_id == -7)
     text = "\\### Assistant: </turn> ok"
     assert (row.n_turns, row.loss_chars) == (2, len(text)) and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_streamed_log_folds_to_the_same_messages(spark):
+    rows = [(c, t, ("user", "assistant", None)[t % 3], text) for c in range(30) for t, text in enumerate(["", "a", "ab", "one two three", None, "語ü\\<"])]
+    log = chat.as_events(spark.createDataFrame([*rows, (None, 1, "user", "x")], "conv_id bigint, turn bigint, role string, text string"))
+    made = chat.streamed(log).cache()
+    assert {r.kind for r in made.select("kind").distinct().collect()} == set(chat.KINDS)
+    key = lambda r: (r.conv_id is None, r.conv_id, r.turn)
+    assert sorted(chat.fold_events(made.repartition(5)).collect(), key=key) == sorted(chat.fold_events(log).collect(), key=key)
