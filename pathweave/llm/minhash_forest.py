@@ -113,20 +113,20 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(grams: np.ndarray, hashes: int) -> np.ndarray:
-    """Min-hashes of a set, 32 bits each."""
+    """Min-hashes of a set, 16 bits each."""
     by = _odd(hashes, 7)
     low = np.full(hashes, np.iinfo(np.uint64).max)
     for at in range(0, len(grams), 512):
         np.minimum(low, (grams[at:at + 512, None] * by).min(axis=0), out=low)
-    return (_mixed(low) >> np.uint64(32)).astype("<u4")
+    return (_mixed(low) >> np.uint64(48)).astype("<u2")
 
 
 def prefixes(signatures: np.ndarray, level: int, some: range, at: np.ndarray) -> np.ndarray:
-    """A 64-bit number of each text's path in each of ``some`` trees, down to ``level``."""
-    path = np.broadcast_to(np.array(some, np.uint64), (len(signatures), len(some)))
+    """A 64-bit number of each text's path in each of ``some`` trees, down to ``level``; its last byte is the tree."""
+    tree = path = np.broadcast_to(np.array(some, np.uint64), (len(signatures), len(some)))
     for places_of in at[some.start:some.stop, :level].T:
         path = _mixed(path * np.uint64(0x9E3779B97F4A7C15) + signatures[:, places_of])
-    return path.view(np.int64)
+    return (path & ~np.uint64(255) | tree).view(np.int64)
 
 
 def _signed(docs: DataFrame, words: int, hashes: int) -> DataFrame:
@@ -176,19 +176,19 @@ def joined(sketches: np.ndarray, own: np.ndarray, apart: bool, path: np.ndarray,
 
 
 def _link(base: int, least: int, at: np.ndarray):
-    """Runs of rows (tree, path, lo, hi, block, rep, sketch), sorted by all but the last two, as (rep, root) of the texts they join."""
+    """Runs of rows (path, lo, hi, block, rep, sketch), sorted by all but the last two, as (rep, root) of the texts they join."""
     def runs(t: pa.Table) -> pa.Table:
         key = np.stack([t[c].to_numpy() for c in ("path", "lo", "hi")])
         starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        own, tree, rep, sketches = t["block"].to_numpy(), t["tree"].to_numpy(), t["rep"].to_pylist(), _rows(t["sketch"], "u1")
+        own, rep, sketches = t["block"].to_numpy(), t["rep"].to_numpy(), _rows(t["sketch"], "u1")
         ids, roots = [], []
         for a, b in zip(starts, np.r_[starts[1:], t.num_rows]):
             if b - a > 1:
-                label = joined(sketches[a:b], own[a:b], bool(key[1, a] != key[2, a]), at[tree[a]], base, least)
+                label = joined(sketches[a:b], own[a:b], bool(key[1, a] != key[2, a]), at[key[0, a] & 255], base, least)
                 for i in np.flatnonzero(label != np.arange(b - a)):
                     ids.append(rep[a + i])
                     roots.append(rep[a + label[i]])
-        return pa.table({"rep": pa.array(ids, pa.binary()), "root": pa.array(roots, pa.binary())})
+        return pa.table({"rep": pa.array(ids, pa.int64()), "root": pa.array(roots, pa.int64())})
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -218,26 +218,23 @@ def _groups(classes: DataFrame, hashes: int, trees: int, depth: int, threshold:
         def spell(batches: Iterator[pa.RecordBatch], some: range = some) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    found = prefixes(_rows(batch.column("signature"), "<u4"), base, some, at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.array(some, np.int32), batch.num_rows)), pa.array(found.ravel()),
-                         batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), len(some))))], ["tree", "path", "rep"])
+                    found = prefixes(_rows(batch.column("signature"), "<u2"), base, some, at)
+                    each = pa.array(np.repeat(np.arange(batch.num_rows), len(some)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *(batch.column(c).take(each) for c in ("rep", "label"))], ["path", "rep", "label"])
 
         if not len(some):
             continue
-        rows = classes.select("rep", "signature").mapInArrow(spell, "tree int, path bigint, rep binary")
-        if groups is None:
-            rows = rows.withColumn("label", F.xxhash64("rep"))
-        else:
-            of = groups.select(F.col("id").alias("rep"), "component")
-            rows = rows.join(of, "rep", "left").withColumn("label", F.xxhash64(F.coalesce("component", "rep"))).drop("component")
+        label, mine = F.col("rep"), classes.select("rep", "signature")
+        if groups is not None:
+            label, mine = F.coalesce("component", "rep"), mine.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+        rows = mine.select("rep", "signature", label.alias("label")).mapInArrow(spell, "path bigint, rep bigint, label bigint")
         open_runs = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select(
             "path", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
         members = rows.drop("label").join(open_runs, "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         members = members.join(classes.select("rep", "sketch"), "rep")
-        pairs = block_pairs(members).select("tree", "path", "lo", "hi", "block", "rep", "sketch")
+        pairs = block_pairs(members).select("path", "lo", "hi", "block", "rep", "sketch")
         sorted_runs = pairs.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "block")
-        edges = sorted_runs.mapInArrow(_link(base, least, at), "rep binary, root binary").distinct()
+        edges = sorted_runs.mapInArrow(_link(base, least, at), "rep bigint, root bigint").distinct()
         if groups is not None:
             edges = edges.union(groups.select("id", "component"))
         groups = checkpointed(connected_components(checkpointed(edges), "rep", "root"))
@@ -251,8 +248,7 @@ def _verified(key: tuple, t: pa.Table, least: Fraction, agree: int) -> pa.Table:
     stretch; those of them whose sketches agree are looked up, and their overlaps are one sum.
     """
     lo, hi = key[-2].as_py(), key[-1].as_py()
-    rep = np.array(t["rep"].to_pylist(), object)
-    rep, first = np.unique(rep, return_index=True)  # a text that is there twice came from a repeated row
+    rep, first = np.unique(t["rep"].to_numpy(), return_index=True)  # a text that is there twice came from a repeated row
     t = t.take(pa.array(first)).combine_chunks()
     size, copies, own, sketches = *(t[c].to_numpy() for c in ("size", "copies", "block")), _rows(t["sketch"], "u1")
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]
@@ -279,7 +275,7 @@ def _verified(key: tuple, t: pa.Table, least: Fraction, agree: int) -> pa.Table:
             near = at[both * down >= (size[i] + size[at] - both) * up]
             linked[i, near] = linked[near, i] = True
     np.fill_diagonal(linked, False)
-    return settle(rep, copies, linked, pa.binary())
+    return settle(rep, copies, linked)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
@@ -300,13 +296,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key"))
     rows = checkpointed(_signed(plain, words, hashes))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    sketch = F.unhex(F.regexp_replace(F.hex("signature"), "(..)......", "$1"))  # the last byte of each little-endian min-hash
-    classes = checkpointed(rows.filter("class_key is not null").groupBy(F.col("class_key").alias("rep")).agg(
+    sketch = F.unhex(F.regexp_replace(F.hex("signature"), "(..)..", "$1"))  # the last byte of each little-endian min-hash
+    # numbers of the classes: the checkpoint keeps them
+    classes = checkpointed(rows.filter("class_key is not null").groupBy("class_key").agg(
         F.min(who).alias("who"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"))
-        .withColumn("sketch", sketch))
+        .withColumn("sketch", sketch).withColumn("rep", F.monotonically_increasing_id()))
 
     groups = _groups(classes, hashes, trees, depth, threshold, recall, block)
-    members = classes.drop("signature").join(groups, "rep")
+    members = classes.drop("signature", "class_key").join(groups, "rep")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
     members = members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component")
     members = checkpointed(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
@@ -320,16 +317,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             sets = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([sets, *batch.columns[1:]], ["grams", *batch.schema.names[1:]])
 
-    sets = found.mapInArrow(gather, "grams binary, rep binary, copies bigint, size bigint, sketch binary, component binary, blocks int, block int")
+    sets = found.mapInArrow(gather, "grams binary, rep bigint, copies bigint, size bigint, sketch binary, component bigint, blocks int, block int")
     agree = least_bytes(hashes, threshold)
     links = checkpointed(block_pairs(sets).groupBy("component", "lo", "hi").applyInArrow(
-        lambda key, t: _verified(key, t, least, agree), "rep binary, links bigint, root binary"))
+        lambda key, t: _verified(key, t, least, agree), "rep bigint, links bigint, root bigint"))
     linked = connected_components(links, "rep", "root").select(F.col("id").alias("rep"), F.col("component").alias("root"))
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    settled = (classes.select("rep", "who", "copies").join(total, "rep", "left").join(linked, "rep", "left")
-               .select("rep", "who", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    settled = (classes.select("rep", "class_key", "who", "copies").join(total, "rep", "left").join(linked, "rep", "left")
+               .select("class_key", "who", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     firsts = settled.groupBy("root").agg(F.min("who").alias("first"))
-    settled = settled.join(firsts, "root").select(F.col("rep").alias("class_key"), "first", "n_links")
+    settled = settled.join(firsts, "root").select("class_key", "first", "n_links")
     first = F.col("first")
     return rows.select("doc_id", "text_key", "class_key").join(settled, "class_key", "left").select(
         "doc_id", F.when(first.isNull(), F.col("doc_id")).otherwise(first["doc_id"]).alias("class_id"),
