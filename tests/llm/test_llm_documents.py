@@ -1,11 +1,14 @@
 """Operators on documents: hard rows, brute force, held-out accuracy."""
 
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 from check import compare, register_views
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
@@ -111,6 +114,55 @@ def test_classifier_does_not_read_held_out_labels(middle, labels, ensemble):
     assert quality_classifier.fit(middle, turned, trees=8) == ensemble
 
 
+def plain_statistics(text):
+    """The statistics by plain Python."""
+    t = text or ""
+    words = re.findall(quality_classifier.WORD, t.lower())
+    lines = [x for x in t.split("\n") if re.search(quality_classifier.WORD, x)]
+    n, k, chars = len(words), len(lines), sum(c not in " \t\n\x0b\x0c\r" for c in t)
+    share = lambda a, b: a / b if b > 0 else 0.0
+    count = lambda p: len(regex.findall(p, t))
+    return {
+        "words": math.log1p(n), "word_length": share(chars, n), "symbols": share(count(quality_classifier.SYMBOL), n), "bars": share(t.count("|"), n),
+        "exclamations": share(count("[!?]"), n), "punctuation": share(count("[.,;:]"), n), "code_signs": share(count(r"[{}\[\]()=_/\\@]"), n),
+        "digits": share(count("[0-9]"), chars), "capitals": share(count(r"\p{Lu}"), chars), "distinct_words": share(len(set(words)), n),
+        "distinct_pairs": share(len(set(zip(words, words[1:]))), n - 1), "stop_words": share(sum(w in quality_classifier.STOP_WORDS for w in words), n),
+        "repeated_lines": share(k - len(set(lines)), k), "line_words": share(n, k)}
+
+
+def test_statistics_and_compiled_rules_by_plain_python(spark, ensemble):
+    rng = random.Random(3)
+    bits = ["The", "of", "x|y", "END!!", "f(a)=[b]", "12", "Ünder", "\n", "\n\n", "a line", "\t", "\x0b", "..", "語", "of the", "of the", ""]
+    texts = [None, "", " ", "one", "\n", PROSE, *(" ".join(rng.choices(bits, k=rng.randrange(1, 80))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.s.asDict() for r in df.select("doc_id", quality_classifier.statistics(F.col("text")).alias("s")).collect()}
+    want = {i: plain_statistics(t) for i, t in enumerate(texts)}
+    for i, w in want.items():
+        assert got[i] == pytest.approx(w), texts[i]
+    holds = lambda rule, s: all(s[b.statistic] > b.value if b.above else s[b.statistic] <= b.value for b in rule)
+    for r in quality_classifier.score(df, ensemble).collect():
+        total = ensemble.intercept + sum(w for rule, w in ensemble.rules if holds(rule, got[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_rules_are_the_paths_of_a_tree():
+    tree = """DecisionTreeClassificationModel: uid=x, depth=2
+  If (feature 0 <= 2.5)
+   If (feature 1 <= 0.5)
+    Predict: 0.0
+   Else (feature 1 > 0.5)
+    Predict: 1.0
+  Else (feature 0 > 2.5)
+   Predict: 1.0
+"""
+    bound = quality_classifier.Bound
+    low, high = bound("words", False, 2.5), bound("words", True, 2.5)
+    assert quality_classifier.tree_rules(tree, ["words", "bars"]) == [
+        (low,), (low, bound("bars", False, 0.5)), (low, bound("bars", True, 0.5)), (high,)]
+    assert quality_classifier.simplified((low, bound("words", False, 1.0), high, bound("words", True, 3.0))) == (
+        bound("words", False, 1.0), bound("words", True, 3.0))
+
+
 def test_classifier_on_hard_rows(spark, hard, labels, ensemble):
     out = quality_classifier.score(hard, ensemble).collect()
     assert len(out) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
@@ -299,8 +351,8 @@ def test_the_least_level_reaches_the_recall():
         assert minhash_forest.missed(level) <= 1 - recall < minhash_forest.missed(level + 1)
     rng, m = np.random.default_rng(1), minhash_forest
     n, level, found = 3000, m.least_level(recall=0.999), 0
-    a = rng.integers(0, 2**32, (n, m.HASHES), dtype=np.uint64).astype("<u4")
-    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**32, a.shape, dtype=np.uint64).astype("<u4"))
+    a = rng.integers(0, 2**16, (n, m.HASHES), dtype=np.uint64).astype("<u2")
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**16, a.shape, dtype=np.uint64).astype("<u2"))
     x, y = (m.prefixes(v, level, range(m.TREES), m.places()) for v in (a, b))
     found = (x == y).any(axis=1).mean()
     assert found >= 0.997
@@ -347,8 +399,8 @@ def test_boilerplate_joins_nothing(spark):
     shared = " ".join(f"b{i}" for i in range(120))
     rows = [(k, shared + " " + " ".join(f"t{k}x{i}" for i in range(rng.randrange(60, 100)))) for k in range(400)]  # Jaccard 0.37 to 0.5
     signed = minhash_forest._signed(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("text_key", F.lit("")), 5, 128)
-    sketch = F.unhex(F.regexp_replace(F.hex("signature"), "(..)......", "$1"))
-    classes = signed.select(F.col("class_key").alias("rep"), "signature", sketch.alias("sketch")).cache()
+    sketch = F.unhex(F.regexp_replace(F.hex("signature"), "(..)..", "$1"))
+    classes = signed.select(F.col("doc_id").alias("rep"), "signature", sketch.alias("sketch")).cache()
     groups = minhash_forest._groups(classes, 128, 32, 8, 0.8, 0.99999, 512).groupBy("component").count().collect()
     assert sum(g["count"] * (g["count"] - 1) // 2 for g in groups) < 400 * 399 // 2 // 10
     assert minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("n_links > 0").count() == 0
@@ -494,3 +546,26 @@ def test_pipeline_against_brute_force(spark, middle, labels):
     n = check_sequences(rows)
     assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(r.doc_id for r in docs.collect())
     assert n <= 1.02 * sum(r.length for r in rows) / packing.MAX_TOKENS + 1
+
+
+def test_stages_keep_columns_of_any_name(spark, labels, tmp_path):
+    import corpus_pipeline as pipeline
+
+    names = ["doc_id", "text", "lang", "source", *CLASH, "copy", "copies", "source_size", "_words", "class_id", "n_links", "piece", pipeline.ROW]
+    taken = [n for n in dict.fromkeys(names) if n not in ("doc_id", "text", "lang", "source")]
+    docs = spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string, source string").repartition(3)
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in taken])
+    at = str(tmp_path)
+    labels.write.parquet(f"{at}/labels.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"{n} of {'none' if r.doc_id is None else r.doc_id}" for n in taken), name
+        assert stage(spark, docs.limit(0), at).collect() == [], name
+    assert pipeline.pack(spark, docs, at).count() >= len(ROWS)
+    assert pipeline.pack(spark, docs.limit(0), at).collect() == []
+    near = Counter(r.doc_id for r in pipeline.drop_near_copies(spark, docs, at).collect())
+    assert near[2] == near[3] == near[4] == 1 and near[5] == 1 and near[6] == 0  # texts without words stay, copies go
+    mixed = Counter(r.doc_id for r in pipeline.mix(spark, docs, at).collect())
+    assert mixed and max(mixed.values()) <= mixing.CAP * 3  # three rows have the id 1
