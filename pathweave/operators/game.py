@@ -144,19 +144,21 @@ def attempt_outcome(completes: Column, fails: Column) -> Column:
 
 
 def level_attempts(raw: DataFrame, ufo: DataFrame | None = None,
-                   params: JobParams = JobParams(), gameplay: DataFrame | None = None) -> DataFrame:
+                   params: JobParams = JobParams(), stitched: DataFrame | None = None) -> DataFrame:
     """One row per (user, session, level_start timestamp, level).
 
-    ``gameplay`` is the flat output of :func:`gameplay_events`; pass a stored copy so
-    the stitch and the session-level branches read compact columns instead of
-    re-parsing the nested parameters of the export for each branch."""
-    gp = gameplay if gameplay is not None else gameplay_events(raw)
-    return with_user_facts(attempt_rollup(gp, params), ufo if ufo is not None else user_first_open(raw))
+    ``stitched`` is the output of :func:`stitch_attempts`; pass a stored copy, as it is read twice."""
+    if stitched is None:
+        stitched = stitch_attempts(gameplay_events(raw), params)
+    return with_user_facts(attempt_rollup(stitched), ufo if ufo is not None else user_first_open(raw))
 
 
-def attempt_rollup(gp: DataFrame, params: JobParams = JobParams()) -> DataFrame:
-    """Attempts with all that follows from the events of their session alone."""
-    stitched = stitch_attempts(gp, params)
+def attempt_rollup(stitched: DataFrame) -> DataFrame:
+    """Attempts with all that follows from the events of their session alone.
+
+    Numbers and flags are one hash aggregate over all events. Fail reasons, popups and items, whose
+    buffers don't fit one, are aggregated apart, from the few events that have them.
+    """
     name = F.col("event_name")
     is_term, is_snap = name.isin(*TERMINAL_EVENTS), name.isin(*SNAPSHOT_EVENTS)
     akeys = [USER, SESS, "attempt_start_ts_us", "level_id"]
@@ -172,7 +174,6 @@ def attempt_rollup(gp: DataFrame, params: JobParams = JobParams()) -> DataFrame:
         ("retry_streak_number", w(name == "level_start", "latest_retry_streak"), "min"),
         ("_dur_c", w(name == "level_complete", "completion_time"), "max"),
         ("_dur_f", w(name == "level_fail", "fail_time_val"), "max"),
-        ("fail_reason", w(name == "level_fail", "fail_reason"), "max"),
         ("stars_gained", w(name == "level_complete", "stars_gained"), "max"),
         *[(f"_{c}_{k}", w(cond, c), "max") for c in ("items_cleared_perc", "objectives_left_perc", "time_left_perc")
           for k, cond in (("t", is_term), ("s", is_snap))],
@@ -193,31 +194,41 @@ def attempt_rollup(gp: DataFrame, params: JobParams = JobParams()) -> DataFrame:
               ("pause_quit_cancelled_count", name == "pause_quit_cancelled"),
               ("fail_stack_full_popup_count", name == "fail_stack_full"),
               ("fail_time_up_popup_count", name == "fail_time_up")]
-    # Documented deviation: the popup mode counts revive events only.
-    popup = F.when(name.isin(*REVIVE_EVENTS), F.col("from_popup"))
-    items = F.when(name == "fail_stack_full",
-                   F.struct(F.col("event_timestamp").alias("o0"), F.col("event_id").alias("o1"),
-                            F.col("stack_items").alias("arr")))
     merge = {"min": F.min, "max": F.max, "or": F.bool_or}
-    aa = (stitched.where(F.col("attempt_start_ts_us").isNotNull() & F.col("attempt_level_id").isNotNull())
-          .groupBy(USER, SESS, "attempt_start_ts_us", F.col("attempt_level_id").alias("level_id"))
-          .agg(*[merge[m](e).alias(n) for n, e, m in parts],
-               *[F.count_if(c).alias(n) for n, c in counts],
-               F.max("session_ab_test").alias("ab_test"),
-               F.collect_list(popup).alias("_popups"), F.collect_list(items).alias("_items")))
-    votes = F.transform(F.array_distinct("_popups"), lambda v: F.struct(
-        (-F.size(F.filter("_popups", lambda x: x == v))).alias("few"), v.alias("v")))
-    aa = aa.select(
+    ours = stitched.where(F.col("attempt_start_ts_us").isNotNull() & F.col("attempt_level_id").isNotNull()).withColumn(
+        "level_id", F.col("attempt_level_id"))
+    # the test arm is one value for all events of a session, so it is a key (never null) of both aggregates
+    ours = ours.withColumn("arm", F.coalesce(F.concat(F.lit("="), "session_ab_test"), F.lit("")))
+    keys = [*akeys, "arm"]
+    aa = ours.groupBy(*keys).agg(*[merge[m](e).alias(n) for n, e, m in parts], *[F.count_if(c).alias(n) for n, c in counts])
+    aa = aa.join(attempt_details(ours, keys), keys, "left").select(
         *akeys, *[n for n, _, _ in parts if not n.startswith("_")], *[n for n, _ in counts],
-        "ab_test", F.array_min(votes)["v"].alias("revive_from_popup_mode"),
+        F.when(F.col("arm") != "", F.substring("arm", 2, 1 << 30)).alias("ab_test"), "fail_reason", "revive_from_popup_mode",
         F.coalesce("_dur_c", "_dur_f").alias("duration_s"),
-        *[F.coalesce(f"_{c}_t", f"_{c}_s").alias(c) for c in ("items_cleared_perc", "objectives_left_perc",
-                                                            "time_left_perc")],
-        F.flatten(F.transform(F.array_sort("_items"), lambda e: e["arr"])).alias("stack_fail_items"))
+        *[F.coalesce(f"_{c}_t", f"_{c}_s").alias(c) for c in ("items_cleared_perc", "objectives_left_perc", "time_left_perc")],
+        F.coalesce("stack_fail_items", S.empty_string_array()).alias("stack_fail_items"))
     return aa.withColumn("attempt_id", S.attempt_key(USER, SESS, "attempt_start_ts_us")).withColumn(
         "outcome", attempt_outcome(F.col("_n_complete"), F.col("_n_fail"))).drop("_n_complete", "_n_fail")
 
 
+def attempt_details(stitched: DataFrame, keys: list[str]) -> DataFrame:
+    """Fail reason, most frequent popup and stack-full items (in order) of the attempts that have any of them."""
+    name = F.col("event_name")
+    # Documented deviation: the popup mode counts revive events only.
+    popup = F.when(name.isin(*REVIVE_EVENTS), F.col("from_popup"))
+    items = F.when(name == "fail_stack_full",
+                   F.struct(F.col("event_timestamp").alias("o0"), F.col("event_id").alias("o1"),
+                            F.col("stack_items").alias("arr")))
+    few = stitched.where(name.isin(*REVIVE_EVENTS, "level_fail", "fail_stack_full"))
+    g = few.groupBy(*keys, popup.alias("popup")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(name == "level_fail", F.col("fail_reason"))).alias("reason"), F.collect_list(items).alias("items"))
+    votes = F.when(F.col("popup").isNotNull(), F.struct(-F.col("n"), F.col("popup")))
+    g = g.groupBy(*keys).agg(F.max("reason").alias("fail_reason"), F.min_by("popup", votes).alias("revive_from_popup_mode"),
+                              F.flatten(F.collect_list("items")).alias("items"))
+    return g.select(*keys, "fail_reason", "revive_from_popup_mode",
+                    F.flatten(F.transform(F.array_sort("items"), lambda e: e["arr"])).alias("stack_fail_items"))
+
+
 def with_user_facts(aa: DataFrame, ufo: DataFrame) -> DataFrame:
     """Rows of :func:`attempt_rollup` with what hangs on the user's other events: first open and first attempt of a level."""
     # after the join the rows are together by user, so this window needs no shuffle of its own

@@ -127,10 +127,14 @@ class Ctx:
         """Flat in-session gameplay events: parameters extracted once, then stored."""
         return self._table("gameplay", lambda: G.gameplay_events(self.raw_game))
 
+    @cached_property
+    def stitched(self) -> DataFrame:
+        """Gameplay events with the attempt they belong to: stored, as the attempt build reads them twice."""
+        return self._table("stitched", lambda: G.stitch_attempts(self.gameplay, self.params))
+
     @cached_property
     def attempts(self) -> DataFrame:
-        return self._table("attempts", lambda: G.level_attempts(self.raw_game, self.ufo, self.params,
-                                                                self.gameplay))
+        return self._table("attempts", lambda: G.level_attempts(self.raw_game, self.ufo, self.params, self.stitched))
 
     @cached_property
     def game_journeys(self) -> DataFrame:

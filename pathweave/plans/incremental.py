@@ -142,7 +142,7 @@ class GameTables:
         made = G.game_sessions(raw, self.params, events)
         self._swap("sessions", parts, made.withColumn("part", _day_part(F.col("session_date"))), sessions, of_session, run)
         gameplay = G.gameplay_events(raw).join(sessions, of_session, "left_semi").checkpoint()
-        made = G.attempt_rollup(gameplay, self.params)
+        made = G.attempt_rollup(G.stitch_attempts(gameplay, self.params).checkpoint())
         self._swap("attempt_parts", parts, made.withColumn("part", _day_part(F.col("session_date"))), sessions, of_session, run)
         self._add_up_levels(parts, run)
         self._renew_users(users, run)

@@ -49,15 +49,20 @@ def test_attempt_stitch_is_bucketed(spark, ctx):
 
 
 def test_attempt_build_reads_and_shuffles_little(spark, ctx):
-    """Two reads of the events and one of the users; seven shuffles even without broadcasts."""
-    ctx.gameplay, ctx.ufo
+    """The stitched events are read twice and the users once; few shuffles even without broadcasts; numbers by hash."""
+    ctx.stitched, ctx.ufo
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = G.level_attempts(ctx.raw_game, ctx.ufo, ctx.params, ctx.gameplay)._jdf.queryExecution().executedPlan().toString()
+        plan = G.level_attempts(ctx.raw_game, ctx.ufo, ctx.params, ctx.stitched)._jdf.queryExecution().executedPlan().toString()
+        stitch = G.stitch_attempts(ctx.gameplay, ctx.params)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert plan.count("FileScan") <= 3 and plan.count("Exchange hashpartitioning") <= 7
+    assert plan.count("FileScan") <= 3 and plan.count("Exchange hashpartitioning") <= 5
+    assert stitch.count("FileScan") <= 2 and plan.count("Exchange hashpartitioning") + stitch.count("Exchange hashpartitioning") <= 9
+    measures = [line for line in plan.splitlines() if "boosters_vacuum" in line and "Aggregate(" in line]
+    assert measures and all(" HashAggregate(" in line or "- HashAggregate(" in line for line in measures)
+    assert not any("collect_list" in line for line in measures)
 
 
 def test_qa_carries_narrow_rows(spark, ctx):
