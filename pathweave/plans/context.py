@@ -57,7 +57,7 @@ class Ctx:
             return read_export(self.spark, self.export_paths[product])
         if not self.materialize:
             return ga4_events(self.spark, self.sf_dir, product)
-        df = self.store.get(f"export_{product}", lambda: ga4_events(self.spark, self.sf_dir, product),
+        df = self.store.get(f"export_{product}", lambda: ga4_events(self.spark, self.sf_dir, product, by_day=True),
                             partition_by=["event_date"], schema=RAW_EVENT, is_input=True)
         return df.select(*RAW_EVENT.fieldNames())
 

@@ -74,11 +74,11 @@ def _game_names(t: Column, k: Column) -> Column:
 
 
 def ga4_events(spark: SparkSession, sf_dir: str, product: str = "game",
-               window: tuple[str, str] | None = None) -> DataFrame:
+               window: tuple[str, str] | None = None, by_day: bool = False) -> DataFrame:
     """Raw export frame (schema ``pathweave.schema.RAW_EVENT``) for ``product``.
 
     ``window`` = (start, end) as yyyyMMdd restricts the scan; the bound is put on
-    the source ``ts`` column so that it reaches the Parquet reader.
+    the source ``ts`` column so that it reaches the Parquet reader. ``by_day``: see ``raw_frame``.
     """
     prepare(spark)
     src = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -86,11 +86,16 @@ def ga4_events(spark: SparkSession, sf_dir: str, product: str = "game",
         lo = F.to_timestamp_ntz(F.lit(window[0]), F.lit("yyyyMMdd"))
         hi = F.to_timestamp_ntz(F.lit(window[1]), F.lit("yyyyMMdd"))
         src = src.where((F.col("ts") >= lo) & (F.col("ts") < F.timestamp_add("DAY", F.lit(1), hi)))
-    return raw_frame(src, product)
+    return raw_frame(src, product, by_day)
 
 
-def raw_frame(src: DataFrame, product: str = "game") -> DataFrame:
-    """Map synthetic rows (event_id, ts, user_id, event_type, value, props) to the export frame."""
+def raw_frame(src: DataFrame, product: str = "game", by_day: bool = False) -> DataFrame:
+    """Map synthetic rows (event_id, ts, user_id, event_type, value, props) to the export frame.
+
+    ``by_day``: the rows of each partition come in order of their event_date, for a write partitioned by
+    it. The narrow source rows are sorted, so that the write needn't sort the export rows, which are many
+    times as wide. A row without ts has '' as its day then, which such a write stores as null.
+    """
     if product not in ("web", "game"):
         raise ValueError(f"unknown product {product!r}")
     # Stage 1: parse props once and derive the per-row drivers as plain columns.  The
@@ -104,6 +109,11 @@ def raw_frame(src: DataFrame, product: str = "game") -> DataFrame:
                      F.inline(F.array(F.struct(k0.alias("_k"), n0.alias("_n")))))
     pre = pre.select("*", F.inline(F.array(F.struct(
         names(F.col("event_type"), F.col("_k")).alias("_name")))))
+    day = F.date_format("ts", "yyyyMMdd")
+    if by_day:
+        # a day that may be null would be replaced in the write, which then takes its rows for unsorted
+        pre = pre.withColumn("_day", F.coalesce(day, F.lit(""))).sortWithinPartitions("_day")
+        day = F.col("_day")
     uid, eid, t = F.col("user_id"), F.col("event_id"), F.col("event_type")
     k, n, name = F.col("_k"), F.col("_n"), F.col("_name")
     span = F.lit(5) + uid % 11
@@ -166,7 +176,7 @@ def raw_frame(src: DataFrame, product: str = "game") -> DataFrame:
                  _pick(uid % 4, ["organic", "(none)", "email"]).alias("medium"),
                  _pick(uid % 4, ["brand", None, "spring"]).alias("name")))
     return pre.select(
-        F.date_format("ts", "yyyyMMdd").alias("event_date"),
+        day.alias("event_date"),
         micros.alias("event_timestamp"),
         name.alias("event_name"),
         F.concat(uid.cast("string"), F.lit("."), gen.cast("string")).alias("user_pseudo_id"),

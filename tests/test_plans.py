@@ -95,3 +95,32 @@ def test_ngrams_shuffle_the_same_for_every_length(spark, ctx):
     plans = [formatted(spark, sequence_ngrams(ctx.web_events, n)) for n in (2, 4)]
     counts = [p.count(") Exchange\n") for p in plans]
     assert counts[0] == counts[1] <= 8
+
+
+def test_export_rows_come_by_day_so_that_the_write_sorts_no_wide_rows(spark):
+    """The narrow source rows are sorted before they are mapped; the write takes the order as its own, and a row without ts stays."""
+    from datetime import datetime, timedelta
+    from pathweave.sources.testdata import raw_frame
+    types = ["view", "click", "signup", "purchase", "error"]
+    rows = [(i, datetime(2024, 1, 1 + i * 7 % 9) + timedelta(minutes=i), i % 4, types[i % 5], 1.5, f'{{"k": {i}}}') for i in range(60)]
+    src = spark.createDataFrame([*rows, (60, None, 1, "view", None, None)],
+                                "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").coalesce(1)
+    for product in ("web", "game"):
+        plain, df = raw_frame(src, product), raw_frame(src, product, by_day=True)
+        order = df._jdf.queryExecution().optimizedPlan().outputOrdering()
+        assert order.size() == 1 and order.head().toString().startswith(("event_date", "_day"))
+        assert not df.schema["event_date"].nullable      # else the write replaces the column and sorts again
+        days = [r[0] for r in df.select("event_date").collect()]
+        assert days == sorted(days) and len(set(days)) == 10
+        assert sorted(map(str, df.replace("", None, "event_date").collect())) == sorted(map(str, plain.collect()))
+
+
+def test_export_without_ts_is_stored_with_a_null_day(spark, tmp_path):
+    from pathweave.schema import RAW_EVENT
+    from pathweave.sources.store import write_table
+    from pathweave.sources.testdata import raw_frame
+    src = spark.createDataFrame([(1, None, 1, "view", None, '{"k": 3}')],
+                                "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    write_table(raw_frame(src, "game", by_day=True), str(tmp_path / "export"), ["event_date"])
+    back = spark.read.schema(RAW_EVENT).parquet(str(tmp_path / "export")).select(*RAW_EVENT.fieldNames())
+    assert back.collect() == raw_frame(src, "game").collect()
