@@ -175,10 +175,14 @@ def frequent_sets(baskets: DataFrame, key: list[str], item: str, least: int, mos
     Items below the support go first. Spark's FP-growth then deals each basket out to its items as conditional prefixes and grows
     a prefix tree for each group of items, so no pair is made of what isn't frequent. Null items don't count.
     """
-    items = baskets.where(F.col(item).isNotNull()).select(*key, F.col(item).cast("string").alias("item")).distinct()
-    n = items.select(*key).distinct().count()
+    checkpoint_dir(baskets.sparkSession)
+    # baskets and their frequent parts are each read several times, and made once
+    sets = baskets.where(F.col(item).isNotNull()).groupBy(*key).agg(F.collect_set(F.col(item).cast("string")).alias("items")).checkpoint()
+    n = sets.count()
+    items = sets.select(*key, F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    lists = items.join(often.select("item"), "item").groupBy(*key).agg(F.collect_list("item").alias("items")).where(F.size("items") > 1)
+    lists = items.join(often.select("item"), "item").groupBy(*key).agg(F.collect_list("item").alias("items")).where(
+        F.size("items") > 1).select("items").checkpoint()
     # a share of the lists with two frequent items or more, just below ``least`` of them
     share = (least - 0.5) / max(1, lists.count())
     if share > 1:
