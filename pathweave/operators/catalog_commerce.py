@@ -9,6 +9,8 @@ from pathweave.operators.asof import exact_quantiles, running_row_number
 from pathweave.operators.catalog_cohorts import COUNT_STRETCH, MONEY, MONEY_STRETCH
 
 U, SESS = "user_pseudo_id", "ga_session_id"
+#: Order lines to a task that pairs them.
+PAIR_ROWS = 250_000
 
 
 def behaviour_clusters(journeys: DataFrame) -> DataFrame:
@@ -121,7 +123,9 @@ def basket_pairs(lineitem: DataFrame, min_support: int = 2) -> DataFrame:
     n_orders = items.agg(F.count_distinct("o").alias("n_orders"))  # one row
     supp = items.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     # frequent items carry their own support into the pair join (no joins afterwards)
-    freq = items.join(supp.where(F.col("n") >= min_support), "p")
+    # and lie in parts of so many rows that the pairs of a part, counted before their shuffle, are a small table
+    parts = 1 + lineitem.count() // PAIR_ROWS  # of stored lines, from the footers
+    freq = items.join(supp.where(F.col("n") >= min_support), "p").repartition(parts, "o")
     a, b = freq.alias("a"), freq.alias("b")
     pairs = (a.join(b, (F.col("a.o") == F.col("b.o")) & (F.col("a.p") < F.col("b.p")))
              .groupBy(F.col("a.p").alias("part_a"), F.col("b.p").alias("part_b"),
