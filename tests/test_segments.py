@@ -220,3 +220,36 @@ def test_sketches_of_days_merge(spark):
     rows = [ev(f"u{u}", DAY0 + d * DAY, "page_view", {"ga_session_id": d}, eid=d * 1000 + u) for d in range(14) for u in range(0, 300, 1 + d % 3)]
     got = CS.cardinality_trend(W.web_session_events(frame(spark, rows))).collect()
     assert [(r.users, r.estimate_holds) for r in sorted(got)] == [(300, True)] * len(got)
+
+
+def test_frequent_sets_reads_its_baskets_once(spark):
+    """Repeated lines of a basket count once; the rows of the input are made once, however many passes follow."""
+    lines = [(b, i) for b in range(30) for i in "abc"[: 1 + b % 3]] * 2 + [(99, None), (None, "a"), (None, "b")]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        read.add(1)
+        return row
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(lines, 2).map(count), "basket int, item string")
+    got = {(tuple(r["items"]), r["size"], r["baskets"]) for r in CS.frequent_sets(df, ["basket"], "item", 10).collect()}
+    assert got == {(("a", "b"), 2, 21), (("a", "c"), 2, 10), (("b", "c"), 2, 10), (("a", "b", "c"), 3, 10)}
+    assert read.value == len(lines)
+
+
+def test_basket_pairs_deals_orders_out_by_their_lines(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+    from pathweave.operators import catalog_commerce as CM
+    monkeypatch.setattr(CM, "PAIR_ROWS", 20)
+    lines = [(o, (o * k) % 7) for o in range(30) for k in range(1, 5)] + [(0, 3), (0, 3), (None, 1), (5, None)]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_partkey long")
+    out = CM.basket_pairs(df, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and f", {1 + len(lines) // 20}), REPARTITION_BY_NUM" in plan
+    baskets = {}
+    for o, p in lines:
+        if o is not None and p is not None:
+            baskets.setdefault(o, set()).add(p)
+    pairs = Counter(pair for b in baskets.values() for pair in combinations(sorted(b), 2))
+    assert {(r["part_a"], r["part_b"]): r["orders"] for r in out.collect()} == {k: n for k, n in pairs.items() if n >= 2}
