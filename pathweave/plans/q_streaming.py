@@ -16,8 +16,8 @@ def _tag(c, name):
     return name + "-" + hashlib.sha1(c.export_path("web").encode()).hexdigest()[:10]
 
 
-#: Events of a day for one more partition of a stream's state.
-STATE_ROWS = 1_000_000
+#: Events of a day for one more partition of a stream's state: a partition is one task of each day.
+STATE_ROWS = 50_000
 STREAMED = [*I.DEDUP_KEYS, "event_date"]
 
 
@@ -25,10 +25,15 @@ def _days(c, product="web"):
     return [r[0] for r in c.export(product).select("event_date").distinct().orderBy("event_date").collect()]  # one row per day
 
 
+def state_parts(events: int, days: int) -> int:
+    """Partitions of the state of a stream that is fed so many events in so many days."""
+    return 2 + events // days // STATE_ROWS
+
+
 def _replay(c, make, name):
     """The web export fed to a stream day by day, with a day's watermark."""
     events, days = c.export("web").select(*STREAMED), _days(c)
-    parts = 2 + events.count() // len(days) // STATE_ROWS  # a count of a stored export reads footers only
+    parts = state_parts(events.count(), len(days))  # a count of a stored export reads footers only
     return I.replay_days(events, days, lambda e: make(I.stream_events_clean(e, I.REPLAY_WATERMARK)), _tag(c, name), parts)
 
 

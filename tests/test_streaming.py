@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rows import DAY, DAY0, ev, frame
 
 from pathweave.plans.context import Ctx
+from pathweave.plans.q_streaming import state_parts
 from pathweave.schema import RAW_EVENT
 from pathweave.streaming import intraday as I
 
@@ -123,6 +124,11 @@ def test_replay_holds_a_days_state_and_goes_on_where_it_stopped(spark, tmp_path)
     assert 0 < late.count() < 3 * 20  # the open end only, of 120 sessions
 
 
+def test_state_partitions_grow_with_the_events_of_a_day():
+    assert state_parts(3_000, 30) == 2  # a partition more costs a small stream time
+    assert 12 <= state_parts(18_000_000, 30) < state_parts(36_000_000, 30) <= 40  # 600,000 and 1.2 million events a day
+
+
 def test_touched_users_are_those_of_the_new_rows(spark):
     added = frame(spark, [ev("u", DAY0, "page_view", None, eid=1), ev(None, DAY0, "page_view", None, eid=2)])
     assert [r[0] for r in I.touched_users(added).collect()] == ["u"]
