@@ -2,8 +2,8 @@
 
 ``nearest`` is an exact k-nearest-neighbour join. Users with equal features are one class. Classes
 fall into cells around pivots, and a query visits cells in order of the least distance at
-which a member can lie (by the triangle inequality): one cell, then two, then four. Its k best so
-far are its search radius, which shrinks from round to round, and it stops where the next
+which a member can lie (by the triangle inequality, and by the box of the members): one cell, then four, then
+sixteen. Its k best so far are its search radius, which shrinks from round to round, and it stops where the next
 cell begins beyond it. Tasks return the k best of a query and a cell, never pairs.
 
 ``clusters`` are Lloyd rounds in column expressions: an assignment is a projection, new centres are one
@@ -63,24 +63,35 @@ def _search(k: int):
             step = max(1, 2_000_000 // len(y))
             for at in range(0, len(x), step):
                 whole = np.floor(_distances(x[at:at + step], y) * UNIT + 0.5).astype(np.int64)
-                for i, row in enumerate(whole, at):
-                    n = min(k, len(row))
-                    reach = min(np.partition(row, n - 1)[n - 1] if len(row) >= k else np.iinfo(np.int64).max, radius[i])
-                    found = sorted((int(row[j]), name) for j in np.flatnonzero(row <= reach) for name in ids[j])[:k]
+                reach = radius[at:at + step]
+                if len(y) >= k:
+                    reach = np.minimum(reach, np.partition(whole, k - 1, axis=1)[:, k - 1])
+                for row, most in zip(whole, reach):
+                    found = sorted((int(row[j]), name) for j in np.flatnonzero(row <= most) for name in ids[j])[:k]
                     out.append([{"d": d, "id": name} for d, name in found])
         return pa.table({"rep": pa.array(rep[:len(out)], pa.string()),
                          "best": pa.array(out, pa.list_(pa.struct([("d", pa.int64()), ("id", pa.string())])))})
     return search
 
 
-def _route(pivots: np.ndarray, cells: np.ndarray, radii: np.ndarray, first: int, last: int):
+def least_distances(x: np.ndarray, away: np.ndarray, radii: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """No member of a cell is nearer to a query: by its distance ``away`` from the pivot less the cell's radius, and
+    by the box from ``low`` to ``high`` that holds the members, which one far member widens in its own direction only."""
+    square = np.zeros(away.shape)
+    for at, a, b in zip(x.T, low.T, high.T):
+        square += np.maximum(0.0, np.maximum(a - at[:, None], at[:, None] - b)) ** 2
+    return np.maximum(away - radii, np.sqrt(square))
+
+
+def _route(pivots: np.ndarray, cells: np.ndarray, radii: np.ndarray, low: np.ndarray, high: np.ndarray, first: int, last: int):
     """Cells first to last of each query, in order of the least distance of a member, as far as its radius reaches."""
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                away = _distances(_vectors(batch.column("x")), pivots)
-                least = np.maximum(0.0, away - radii)
+                x = _vectors(batch.column("x"))
+                away = _distances(x, pivots)
+                least = least_distances(x, away, radii, low, high)
                 order = np.lexsort((away, least))[:, first:last]
                 reach = batch.column("radius").to_numpy()[:, None]
                 go = np.floor(np.take_along_axis(least, order, axis=1) * UNIT) - 1 <= reach
@@ -120,18 +131,20 @@ def nearest(df: DataFrame, key: str, features: list[str], k: int = 5, cell: int
                                                  ["rep", "x", "ids", "cell", "away"])
 
     members = classes.select("rep", "x", "ids").mapInArrow(place_in, "rep string, x array<double>, ids array<string>, cell int, away double").checkpoint()
-    filled = members.groupBy("cell").agg(F.max("away").alias("away")).orderBy("cell").collect()  # a row for each pivot
+    ends = [F.array(*[f(F.col("x")[i]) for i in range(len(features))]).alias(n) for n, f in (("low", F.min), ("high", F.max))]
+    filled = members.groupBy("cell").agg(F.max("away").alias("away"), *ends).orderBy("cell").collect()  # a row for each pivot
     cells = np.array([r["cell"] for r in filled], dtype=np.int64)
+    low, high = (np.array([r[n] for r in filled], dtype=np.float64).reshape(len(filled), len(features)) for n in ("low", "high"))
     radii, centres = np.array([r["away"] for r in filled]), pivots[cells]
 
     best = classes.select("rep", F.array().cast("array<struct<d:bigint,id:string>>").alias("best"))
     everything = F.lit((1 << 62)).cast("bigint")
     first = 0
     while first < len(cells):
-        last = min(len(cells), 2 * first + 1)
+        last = min(len(cells), 4 * first + 1)
         reach = F.when(F.size("best") >= most, F.col("best")[most - 1]["d"]).otherwise(everything)
         asked = members.select("rep", "x").join(best, "rep").select("rep", "x", reach.alias("radius"))
-        routed = asked.mapInArrow(_route(centres, cells, radii, first, last), "rep string, x array<double>, radius bigint, cell int").checkpoint()
+        routed = asked.mapInArrow(_route(centres, cells, radii, low, high, first, last), "rep string, x array<double>, radius bigint, cell int").checkpoint()
         first = last
         if routed.isEmpty():
             break

@@ -47,6 +47,18 @@ def test_nearest_by_brute_force(spark, n, cell, most, block):
     assert len(got) == len(want)
 
 
+def test_no_member_is_nearer_than_its_cells_least_distance():
+    rng = np.random.default_rng(4)
+    members, queries = rng.normal(size=(60, 3)), rng.normal(size=(40, 3))
+    members[0, 1] = 100.0  # one far member: the cell's radius says nothing of the others, its box does
+    pivot, low, high = members[1:2], members.min(axis=0)[None], members.max(axis=0)[None]
+    radii = NB._distances(members, pivot).max(axis=0)
+    queries[:20, 0] += 20.0
+    least = NB.least_distances(queries, NB._distances(queries, pivot), radii, low, high)[:, 0]
+    nearest = NB._distances(queries, members).min(axis=1)
+    assert (least <= nearest).all() and (least[:20] > 10).all()
+
+
 def test_nearest_of_few(spark):
     schema = "u string, a int"
     assert NB.nearest(spark.createDataFrame([], schema), "u", ["a"], 3).count() == 0
