@@ -36,6 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that Spark makes by shuffles alone: a broadcast would collect it in the driver,
+    which holds several of them at once where they grow with the input and are still below Spark's limit."""
+    return df.hint("merge")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it several times inside ``body``.
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import checkpointed
+from pathweave.llm.common import checkpointed, merged
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     own end has a neighbour that isn't, a round at least halves the ids of a component, and
     a long path costs the logarithm of its length.
     The minimum is pre-aggregated before it is shuffled, and the joins carry
-    nothing above them that needs a key whole, so Spark can split a hub's edges.
+    nothing above them that needs a key whole, so Spark can split a hub's edges. No join is a
+    broadcast: the maps grow with the ids, and as many are joined at the end as there were rounds.
     Rows with a null end and loops are no links.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a != b")
@@ -29,16 +30,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = True
         while moved:
             at = m.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
-            on = checkpointed(m.join(at, m["to"] == at["_a"]).select("a", F.col("_to").alias("to"), (F.col("to") != F.col("_to")).alias("moved")))
+            on = checkpointed(m.join(merged(at), m["to"] == at["_a"]).select("a", F.col("_to").alias("to"), (F.col("to") != F.col("_to")).alias("moved")))
             m, moved = on.select("a", "to"), not on.filter("moved").isEmpty()
         maps.append(m)
         at = m.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
         for end in ("a", "b"):
-            left = left.join(at, left[end] == at["_a"]).select(F.col("_to").alias(end), "b" if end == "a" else "a")
+            left = left.join(merged(at), left[end] == at["_a"]).select(F.col("_to").alias(end), "b" if end == "a" else "a")
         left = checkpointed(left.filter("a != b").distinct())
 
     def follow(labels: DataFrame, m: DataFrame) -> DataFrame:
         step = m.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
-        return labels.join(step, labels["to"] == step["_a"], "left").select("a", F.coalesce("_to", "to").alias("to"))
+        return labels.join(merged(step), labels["to"] == step["_a"], "left").select("a", F.coalesce("_to", "to").alias("to"))
 
     return reduce(follow, maps).select(F.col("a").alias("id"), F.col("to").alias("component"))

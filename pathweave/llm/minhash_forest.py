@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import checkpointed
+from pathweave.llm.common import checkpointed, merged
 from pathweave.llm.graph import connected_components
 from pathweave.llm.range_join import block_pairs, settle
 
@@ -226,12 +226,12 @@ def _groups(classes: DataFrame, hashes: int, trees: int, depth: int, threshold:
             continue
         label, mine = F.col("rep"), classes.select("rep", "signature")
         if groups is not None:
-            label, mine = F.coalesce("component", "rep"), mine.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+            label, mine = F.coalesce("component", "rep"), mine.join(merged(groups.withColumnRenamed("id", "rep")), "rep", "left")
         rows = mine.select("rep", "signature", label.alias("label")).mapInArrow(spell, "path bigint, rep bigint, label bigint")
         open_runs = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select(
             "path", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        members = rows.drop("label").join(open_runs, "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        members = members.join(classes.select("rep", "sketch"), "rep")
+        members = rows.drop("label").join(merged(open_runs), "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        members = merged(members).join(classes.select("rep", "sketch"), "rep")
         pairs = block_pairs(members).select("path", "lo", "hi", "block", "rep", "sketch")
         sorted_runs = pairs.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "block")
         edges = sorted_runs.mapInArrow(_link(base, least, at), "rep bigint, root bigint").distinct()
@@ -303,13 +303,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .withColumn("sketch", sketch).withColumn("rep", F.monotonically_increasing_id()))
 
     groups = _groups(classes, hashes, trees, depth, threshold, recall, block)
-    members = classes.drop("signature", "class_key").join(groups, "rep")
+    members = classes.drop("signature", "class_key").join(merged(groups), "rep")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
-    members = members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component")
+    members = members.join(merged(members.groupBy("component").agg(blocks.alias("blocks"))), "component")
     members = checkpointed(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
 
     wanted = members.select("*", F.coalesce("who.doc_id", F.lit(-1)).alias("d"), F.col("who.text_key").alias("text_key"))
-    found = plain.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["d", "text_key"]).select(
+    found = plain.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(merged(wanted), ["d", "text_key"]).select(
         "text", "rep", "copies", "size", "sketch", "component", "blocks", "block")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,12 +323,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         lambda key, t: _verified(key, t, least, agree), "rep bigint, links bigint, root bigint"))
     linked = connected_components(links, "rep", "root").select(F.col("id").alias("rep"), F.col("component").alias("root"))
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    settled = (classes.select("rep", "class_key", "who", "copies").join(total, "rep", "left").join(linked, "rep", "left")
+    settled = (classes.select("rep", "class_key", "who", "copies").join(merged(total), "rep", "left").join(merged(linked), "rep", "left")
                .select("class_key", "who", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     firsts = settled.groupBy("root").agg(F.min("who").alias("first"))
-    settled = settled.join(firsts, "root").select("class_key", "first", "n_links")
+    settled = settled.join(merged(firsts), "root").select("class_key", "first", "n_links")
     first = F.col("first")
-    return rows.select("doc_id", "text_key", "class_key").join(settled, "class_key", "left").select(
+    return rows.select("doc_id", "text_key", "class_key").join(merged(settled), "class_key", "left").select(
         "doc_id", F.when(first.isNull(), F.col("doc_id")).otherwise(first["doc_id"]).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         (first.isNull() | (F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("text_key") == first["text_key"]))).alias("kept"), "text_key")
@@ -343,7 +343,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("none"), "text_key").distinct()
     row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1)).alias("d"),
                       F.col(doc_id).isNull().alias("none"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key"))
-    kept = row.join(out, ["d", "none", "text_key"], "left_semi")
+    kept = row.join(merged(out), ["d", "none", "text_key"], "left_semi")
     wordless = F.length(F.translate(F.coalesce(F.col("row")[text].cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
     return kept.filter(~wordless).dropDuplicates(["d", "none", "text_key"]).select("row.*").unionByName(
         row.filter(wordless).select("row.*"))

@@ -81,6 +81,14 @@ def test_cells_lose_no_pair():
         assert there[i, min(own[i], own[j])] and there[j, min(own[i], own[j])]
 
 
+def test_components_do_not_pass_through_the_driver(spark):
+    path = random.Random(5).sample(range(24), 24)  # takes several rounds
+    found = graph.connected_components(spark.createDataFrame([*zip(path, path[1:])], "a bigint, b bigint"))
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(24)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_connected_components_by_brute_force(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
