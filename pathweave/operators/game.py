@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pathweave.config import JobParams
 from pathweave.functions import aggs as A
 from pathweave.functions import scalars as S
-from pathweave.functions.params import event_param, event_param_alias, event_param_any
+from pathweave.functions.params import PARAM_ARRAYS, event_param, event_param_alias, event_param_any, split_params
 from pathweave.operators.asof import carry_forward
 from pathweave.schema import GAMEPLAY_EVENTS, REVIVE_EVENTS, SNAPSHOT_EVENTS, TERMINAL_EVENTS
 
@@ -93,31 +93,32 @@ def gameplay_events(raw: DataFrame) -> DataFrame:
 
     The event-name IN list is applied before parameter parsing and reaches the
     Parquet scan as a pushed filter."""
-    ev = raw.where(F.col(USER).isNotNull() & F.col("event_name").isin(*GAMEPLAY_EVENTS)).select(
+    raw = raw.where(F.col(USER).isNotNull() & F.col("event_name").isin(*GAMEPLAY_EVENTS))
+    ev = split_params(raw).select(
         USER, "event_name", "event_timestamp", "event_id",
         S.parse_event_date("event_date").alias("event_date_parsed"),
-        event_param("ga_session_id").alias(SESS),
-        event_param_any("level_id").alias("level_id"),
-        event_param("attempt_number").alias("attempt_number"),
-        event_param("retry_streak_number").alias("retry_streak_number"),
-        event_param("completion_time").alias("completion_time"),
-        event_param("fail_time").alias("fail_time_val"),
-        event_param("fail_reason", "string").alias("fail_reason"),
-        event_param("stars_gained").alias("stars_gained"),
-        event_param("items_cleared_perc").alias("items_cleared_perc"),
-        event_param("objectives_left_perc").alias("objectives_left_perc"),
-        event_param("time_left_perc").alias("time_left_perc"),
-        event_param("pre_boosters_chief_level").alias("pre_boosters_chief_level"),
-        S.parse_int_list(event_param("boosters_used", "string")).alias("b_arr"),
-        S.parse_int_list(event_param("pre_boosters_manual_used", "string")).alias("pbm_arr"),
-        S.parse_int_list(event_param("end_boosters_used", "string")).alias("eb_arr"),
-        event_param_alias(("shop_purhcase", "shop_purchase")).alias("shop_purchase_flag"),
-        event_param("from_popup", "string").alias("from_popup"),
-        S.clean_items(event_param_any("stack_item_1"), event_param_any("stack_item_2"),
-                      event_param_any("stack_item_3"), event_param_any("stack_item_last"))
+        event_param("ga_session_id", params=PARAM_ARRAYS).alias(SESS),
+        event_param_any("level_id", params=PARAM_ARRAYS).alias("level_id"),
+        event_param("attempt_number", params=PARAM_ARRAYS).alias("attempt_number"),
+        event_param("retry_streak_number", params=PARAM_ARRAYS).alias("retry_streak_number"),
+        event_param("completion_time", params=PARAM_ARRAYS).alias("completion_time"),
+        event_param("fail_time", params=PARAM_ARRAYS).alias("fail_time_val"),
+        event_param("fail_reason", "string", params=PARAM_ARRAYS).alias("fail_reason"),
+        event_param("stars_gained", params=PARAM_ARRAYS).alias("stars_gained"),
+        event_param("items_cleared_perc", params=PARAM_ARRAYS).alias("items_cleared_perc"),
+        event_param("objectives_left_perc", params=PARAM_ARRAYS).alias("objectives_left_perc"),
+        event_param("time_left_perc", params=PARAM_ARRAYS).alias("time_left_perc"),
+        event_param("pre_boosters_chief_level", params=PARAM_ARRAYS).alias("pre_boosters_chief_level"),
+        S.parse_int_list(event_param("boosters_used", "string", params=PARAM_ARRAYS)).alias("b_arr"),
+        S.parse_int_list(event_param("pre_boosters_manual_used", "string", params=PARAM_ARRAYS)).alias("pbm_arr"),
+        S.parse_int_list(event_param("end_boosters_used", "string", params=PARAM_ARRAYS)).alias("eb_arr"),
+        event_param_alias(("shop_purhcase", "shop_purchase"), params=PARAM_ARRAYS).alias("shop_purchase_flag"),
+        event_param("from_popup", "string", params=PARAM_ARRAYS).alias("from_popup"),
+        S.clean_items(event_param_any("stack_item_1", params=PARAM_ARRAYS), event_param_any("stack_item_2", params=PARAM_ARRAYS),
+                      event_param_any("stack_item_3", params=PARAM_ARRAYS), event_param_any("stack_item_last", params=PARAM_ARRAYS))
         .alias("stack_items"),
-        event_param("ab_test", "string").alias("ab_test_param"),
-        event_param("current_level").alias("current_level"),
+        event_param("ab_test", "string", params=PARAM_ARRAYS).alias("ab_test_param"),
+        event_param("current_level", params=PARAM_ARRAYS).alias("current_level"),
     )
     return ev.where(F.col(SESS).isNotNull())
 

@@ -1,9 +1,14 @@
 """Physical-plan checks: pruning and pushdown reach the scan, the first-N branch
 gets a partial WindowGroupLimit, and no table build has a Cartesian product."""
 
+import re
+
 import pytest
 
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
+from rows import DAY0, ev, frame
+
 from pathweave.operators import game as G
 from pathweave.operators import web as Wb
 from pathweave.plans.context import Ctx
@@ -29,6 +34,18 @@ def test_gameplay_scan_prunes_days_pushes_names_and_nested_fields(spark, ctx):
     assert "device" not in read and "traffic_source" not in read
 
 
+def test_gameplay_parameters_are_taken_apart_once_a_row(spark):
+    raw = frame(spark, [ev("u", DAY0, "level_start", [("ga_session_id", 1), ("level_id", "3"), ("level_id", 4), ("current_level", 2)]),
+                        ev("u", DAY0 + 1, "level_fail", {"ga_session_id": 1, "level_id": 5, "fail_reason": None, "boosters_used": "[1, 2]"}),
+                        ev("u", DAY0 + 2, "level_fail", {"fail_reason": "no session"}), ev("u", DAY0 + 3, "level_fail", [])])
+    raw = raw.union(raw.limit(1).withColumn("event_params", F.lit(None).cast(raw.schema["event_params"].dataType)))
+    got = G.gameplay_events(raw)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"event_params#\d+\.key", plan)) == 1
+    rows = got.orderBy("event_timestamp").select("level_id", "current_level", "fail_reason", "b_arr").collect()
+    assert [tuple(r) for r in rows] == [("3", 2, None, [""]), ("5", None, None, ["1", "2"])]
+
+
 def test_session_scan_reads_only_needed_struct_fields(spark, ctx):
     plan = formatted(spark, Wb.web_sessions(ctx.raw_web))
     read = plan[plan.index("ReadSchema:"):].splitlines()[0]
