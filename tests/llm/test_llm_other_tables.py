@@ -89,6 +89,13 @@ def test_components_do_not_pass_through_the_driver(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_size_guess_of_components_does_not_double_with_each_step(spark):
+    path = random.Random(5).sample(range(300), 300)
+    found = graph.connected_components(spark.createDataFrame([*zip(path, path[1:])], "a bigint, b bigint"))
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 1000  # a map of each round at most
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(300)}
+
+
 def test_connected_components_by_brute_force(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
