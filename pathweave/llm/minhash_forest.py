@@ -40,8 +40,8 @@ FIRST_TREES = 8
 AGREES = 0.75
 #: Classes of a block, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
-#: Words whose hashes a worker keeps; the store is emptied when full.
-KEPT_WORDS = 200_000
+#: Bytes of texts taken apart at a time, and the longest word hashed with others.
+PIECE_BYTES, LONG_WORD = 1 << 18, 255
 
 
 def least_bytes(hashes: int = HASHES, threshold: float = THRESHOLD) -> int:
@@ -73,17 +73,6 @@ def places(hashes: int = HASHES, trees: int = TREES, depth: int = DEPTH) -> np.n
     return np.argsort(np.random.default_rng(9).random((trees, hashes)), axis=1)[:, :depth]
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-@cache
-def _word_hashes() -> _WordHashes:
-    return _WordHashes()
-
-
 @cache
 def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,29 +85,103 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted 64-bit hashes of the set of word n-grams; a shorter text is one gram, one without words none."""
-    parts = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII white-space characters
-    if not parts:
-        return np.empty(0, np.uint64)
-    known = _word_hashes()
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
-    n, place = min(words, len(h)), _odd(words, 5)
-    grams = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        grams += _mixed(h[i:len(h) - n + 1 + i] + place[i]) * place[i]
-    return np.unique(_mixed(grams + np.uint64(n)))
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, 0 for the six ASCII white-space characters; powers of an odd number, and of its inverse."""
+    number, odd = _odd(256, 11).copy(), int(_odd(1, 13)[0])
+    number[list(b" \t\n\r\x0b\x0c")] = 0
+    each = np.ones((2, PIECE_BYTES), np.uint64)
+    each[0, 1:], each[1, 1:] = odd, pow(odd, -1, 1 << 64)
+    return number, *np.multiply.accumulate(each, axis=1)
+
+
+def _word(word: bytes) -> int:
+    if len(word) > LONG_WORD:
+        return xxhash.xxh64_intdigest(word)
+    number, power, _ = _letters()
+    return int((number[np.frombuffer(word, np.uint8)] * power[:len(word)]).sum())
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, whose bytes stand in a row up to ``ends``, and the number of words up to each end.
+
+    A word's hash is the sum of its bytes' numbers times powers of an odd number, for longer ones than ``LONG_WORD`` xxhash.
+    """
+    number, power, inverse = _letters()
+    first = number[data] != 0
+    at = np.r_[0, ends[:-1]]
+    at = at[at < len(data)]  # a text's first byte begins a word, whatever the text before ends with
+    begins = first[at]
+    first[1:] &= ~first[:-1]
+    first[at] = begins
+    starts = np.flatnonzero(first)
+    stops = np.r_[starts[1:], len(data)][:len(starts)]  # white space behind a word counts 0
+    hashes = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + PIECE_BYTES, side="right")))
+        a, b = starts[i], min(stops[j - 1], starts[i] + PIECE_BYTES)
+        hashes[i:j] = np.add.reduceat(number[data[a:b]] * power[:b - a], starts[i:j] - a) * inverse[starts[i:j] - a]
+        i = j
+    for i in np.flatnonzero(stops - starts > LONG_WORD):
+        hashes[i] = _word(data[starts[i]:stops[i]].tobytes().rstrip())
+    return _mixed(hashes), np.searchsorted(starts, ends)
+
+
+def _grams(h: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of texts that end at the words ``ends``, each text's sorted and without repeats, and where they end."""
+    place, count = _odd(words, 5), np.diff(ends, prepend=0)
+    grams, whole = np.zeros(len(h), np.uint64), max(0, len(h) - words + 1)
+    for i in range(words):
+        grams[:whole] += h[i:whole + i] * place[i]
+    grams += np.uint64(words)
+    there = np.ones(len(h), bool)
+    for i in range(1, words):  # no gram goes on in the next text
+        there[(ends - i)[ends >= i]] = False
+    short = np.flatnonzero((count > 0) & (count < words))
+    for n, b in zip(count[short], ends[short]):
+        grams[b - n] = (h[b - n:b] * place[:n]).sum() + np.uint64(n)
+        there[b - n] = True
+    grams = _mixed(grams[there])
+    ends = np.cumsum(np.where(count < words, count > 0, count - words + 1))
+    starts = np.r_[0, ends[:-1]]
+    for a, b in zip(starts, ends):
+        grams[a:b].sort()
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    new[starts[starts < len(grams)]] = True
+    return grams[new], np.r_[0, np.cumsum(new)][ends]
+
+
+def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of the set of its word n-grams; a shorter text is one gram, one without words none."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets or bytes(8), np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE_BYTES, side="right")) - 1)
+        grams, ends = _grams(*word_hashes(data[offsets[a]:offsets[b]], offsets[a + 1:b + 1] - offsets[a]), words)
+        yield from np.split(grams, ends[:-1])
+        a = b
+
+
+@cache
+def _factors(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 32-bit odd number for each min-hash, and room for its products."""
+    return _odd(hashes, 7).astype(np.uint32)[:, None], np.empty(hashes * 1024, np.uint32)
 
 
 def signature(grams: np.ndarray, hashes: int) -> np.ndarray:
-    """Min-hashes of a set, 16 bits each."""
-    by = _odd(hashes, 7)
-    low = np.full(hashes, np.iinfo(np.uint64).max)
-    for at in range(0, len(grams), 512):
-        np.minimum(low, (grams[at:at + 512, None] * by).min(axis=0), out=low)
-    return (_mixed(low) >> np.uint64(48)).astype("<u2")
+    """Min-hashes of a set, 16 bits each, of the upper halves of its numbers (32-bit products take a fraction of the time)."""
+    (by, room), upper = _factors(hashes), (grams >> np.uint64(32)).astype(np.uint32)
+    low = np.full(hashes, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(upper), 1024):
+        some = upper[at:at + 1024]
+        products = room[:hashes * len(some)].reshape(hashes, -1)
+        np.minimum(low, np.multiply(by, some, out=products).min(axis=1), out=low)
+    return (_mixed(low.astype(np.uint64)) >> np.uint64(48)).astype("<u2")
 
 
 def prefixes(signatures: np.ndarray, level: int, some: range, at: np.ndarray) -> np.ndarray:
@@ -134,8 +197,7 @@ def _signed(docs: DataFrame, words: int, hashes: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes, signs = [], [], []
-            for t in batch.column("text"):
-                grams = shingles(t.as_py(), words)
+            for grams in shingles(batch.column("text"), words):
                 keys.append(hashlib.md5(grams.tobytes()).digest() if len(grams) else None)
                 sizes.append(len(grams))
                 signs.append(signature(grams, hashes).tobytes() if len(grams) else None)
@@ -314,7 +376,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())
+            sets = pa.array([grams.tobytes() for grams in shingles(batch.column("text"), words)], pa.binary())
             yield pa.RecordBatch.from_arrays([sets, *batch.columns[1:]], ["grams", *batch.schema.names[1:]])
 
     sets = found.mapInArrow(gather, "grams binary, rep bigint, copies bigint, size bigint, sketch binary, component bigint, blocks int, block int")

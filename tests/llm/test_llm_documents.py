@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from check import compare, register_views
@@ -303,6 +304,35 @@ def brute_links(rows):
     return Counter((rows[i][0], low[root[i]], len(links[i])) for i in range(len(rows)))
 
 
+def test_shingles_are_those_of_each_text_alone():
+    rng = random.Random(17)
+    texts = [None, "", " \t\n\r\x0b\x0c", "a", "a b c d", "a b c d e", " a  b\tc\x0b d \x0ce\nf ", "é ü\xa0ß ñ ö ä", "x" * 255, "x" * 256, "x" * 255 + " y",
+             "x" + " " * 400 + "y", "w" * 300_000 + " z" * 9, "a" + " " * 300_000 + "b", " ".join(f"w{rng.randrange(9)}" for _ in range(150_000))]
+    texts += ["".join(rng.choice("ab é\n") for _ in range(rng.randrange(60))) for _ in range(300)]
+    rng.shuffle(texts)
+
+    def of(text):
+        w = (text or "").encode().split()
+        return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    names = defaultdict(set)
+    for column in (pa.array(texts), pa.array(["before", *texts, "behind"], pa.large_string())[1:-1]):
+        got = list(minhash_forest.shingles(column))
+        assert [len(g) for g in got] == [len(of(t)) for t in texts] and all((g[1:] > g[:-1]).all() for g in got)
+        for t, g in zip(texts, got):
+            names[of(t)].add(g.tobytes())
+    assert all(len(x) == 1 for x in names.values())
+    assert len(np.unique(np.concatenate(got))) == len(frozenset().union(*names))
+
+
+def test_min_hashes_agree_as_sets_do():
+    rng = np.random.default_rng(4)
+    for n in (6, 60, 6000):
+        both = rng.integers(0, 2**64, (60, 6 * n), dtype=np.uint64)
+        same = [(minhash_forest.signature(x[:5 * n], 128) == minhash_forest.signature(x[n:], 128)).mean() for x in both]
+        assert abs(np.mean(same) - 4 / 6) < 0.03
+
+
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(7)
     rows, n = [], 0
