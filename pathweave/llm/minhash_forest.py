@@ -213,19 +213,25 @@ def _rows(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def joined(sketches: np.ndarray, own: np.ndarray, apart: bool, path: np.ndarray, base: int, least: int) -> np.ndarray:
-    """Labels of the texts of a run: equal for texts that agreeing sketches join.
+def joined(sketches: np.ndarray, own: np.ndarray, apart: bool, path: np.ndarray, base: int, least: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Labels of the texts of a run: equal for texts that agreeing sketches join, or that ``known`` has equal numbers for.
 
     ``path`` has the places that the run's tree reads. Texts meet first where their whole paths are equal; a prefix is
     shortened by one level after the other, to ``base`` at last, and at each level only texts of different labels are
-    compared. ``apart``: only texts of different blocks ``own`` are.
+    compared, from the side of those that aren't in the largest group. ``apart``: only texts of different blocks ``own`` are.
     """
     label = np.arange(len(sketches))
+    if known is not None:
+        _, first, same = np.unique(known, return_index=True, return_inverse=True)
+        label = first[same]
     for level in range(len(path), base - 1, -1) if len(label) > 8 else [base]:
         group = np.unique(sketches[:, path[base:level]], axis=0, return_inverse=True)[1].ravel() if level > base else label * 0
-        for i in range(len(label)):
+        most = np.bincount(label).argmax()
+        for i in np.flatnonzero(label != most):
+            if label[i] == most:
+                continue
             other = (label != label[i]) & (group == group[i])
-            other[:i + 1] = False
+            other[:i] &= label[:i] == most  # those before of other groups had their turn
             if apart:
                 other &= own != own[i]
             at = np.flatnonzero(other)
@@ -234,22 +240,26 @@ def joined(sketches: np.ndarray, own: np.ndarray, apart: bool, path: np.ndarray,
                 if len(near):
                     same = np.unique(label[np.r_[i, near]])
                     label[np.isin(label, same)] = same[0]
+                    most = same[0] if most in same else most
+        if (label == label[0]).all():
+            break
     return label
 
 
 def _link(base: int, least: int, at: np.ndarray):
-    """Runs of rows (path, lo, hi, block, rep, sketch), sorted by all but the last two, as (rep, root) of the texts they join."""
+    """Runs of rows (path, lo, hi, block, rep, label, sketch), sorted by the first four, as (rep, root) of the texts of different labels they join."""
     def runs(t: pa.Table) -> pa.Table:
         key = np.stack([t[c].to_numpy() for c in ("path", "lo", "hi")])
         starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        own, rep, sketches = t["block"].to_numpy(), t["rep"].to_numpy(), _rows(t["sketch"], "u1")
+        own, rep, known, sketches = *(t[c].to_numpy() for c in ("block", "rep", "label")), _rows(t["sketch"], "u1")
         ids, roots = [], []
         for a, b in zip(starts, np.r_[starts[1:], t.num_rows]):
-            if b - a > 1:
-                label = joined(sketches[a:b], own[a:b], bool(key[1, a] != key[2, a]), at[key[0, a] & 255], base, least)
-                for i in np.flatnonzero(label != np.arange(b - a)):
-                    ids.append(rep[a + i])
-                    roots.append(rep[a + label[i]])
+            if (known[a:b] != known[a]).any():
+                label = joined(sketches[a:b], own[a:b], bool(key[1, a] != key[2, a]), at[key[0, a] & 255], base, least, known[a:b])
+                for i in np.unique(known[a:b], return_index=True)[1]:  # one of each group known
+                    if known[a + i] != known[a + label[i]]:
+                        ids.append(rep[a + i])
+                        roots.append(rep[a + label[i]])
         return pa.table({"rep": pa.array(ids, pa.int64()), "root": pa.array(roots, pa.int64())})
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +302,9 @@ def _groups(classes: DataFrame, hashes: int, trees: int, depth: int, threshold:
         rows = mine.select("rep", "signature", label.alias("label")).mapInArrow(spell, "path bigint, rep bigint, label bigint")
         open_runs = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select(
             "path", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        members = rows.drop("label").join(open_runs, "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        members = rows.join(open_runs, "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         members = merged(members).join(classes.select("rep", "sketch"), "rep")
-        pairs = block_pairs(members).select("path", "lo", "hi", "block", "rep", "sketch")
+        pairs = block_pairs(members).select("path", "lo", "hi", "block", "rep", "label", "sketch")
         sorted_runs = pairs.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "block")
         edges = sorted_runs.mapInArrow(_link(base, least, at), "rep bigint, root bigint").distinct()
         if groups is not None:

@@ -411,6 +411,24 @@ def test_runs_are_joined_as_by_all_pairs(apart):
         assert [list(got).index(x) for x in got] == [want.index(x) for x in want]
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_runs_of_known_groups_compare_only_across_them(apart):
+    rng = np.random.default_rng(8)
+    for n in (3, 9, 80):
+        base = rng.integers(0, 256, (max(1, n // 4), 128))
+        sketches = base[rng.integers(0, len(base), n)]
+        sketches = np.where(rng.random(sketches.shape) < rng.choice([0.05, 0.3, 0.6], (n, 1)), rng.integers(0, 256, sketches.shape), sketches).astype("u1")
+        own, known = rng.integers(0, 2, n), rng.integers(0, max(2, n // 3), n) + 1000
+        known[rng.random(n) < 0.5] = 1000
+        got = list(minhash_forest.joined(sketches, own, apart, minhash_forest.places()[3], 4, 76, known))
+        want = joined_by_all_pairs(sketches, own, apart, 76)
+        for i in range(n):
+            for j in range(i):
+                if known[i] == known[j]:
+                    want = [want[i] if x == want[j] else x for x in want]
+        assert [got.index(x) for x in got] == [want.index(x) for x in want]
+
+
 def test_pairs_just_above_the_threshold_are_found(spark):
     rng, rows, want = random.Random(12), [], 0
     for k in range(300):
