@@ -108,7 +108,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     A word's hash is the sum of its bytes' numbers times powers of an odd number, for longer ones than ``LONG_WORD`` xxhash.
     """
     number, power, inverse = _letters()
-    first = number[data] != 0
+    first = (number != 0)[data]
     at = np.r_[0, ends[:-1]]
     at = at[at < len(data)]  # a text's first byte begins a word, whatever the text before ends with
     begins = first[at]
